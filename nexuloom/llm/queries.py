@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, language, mixing, rules, sharding, tokens
-from .common import read
+from . import chat, decontaminate, language, mixing, rules, sharding, simhash, tokens
+from .common import packed, read
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -36,6 +36,14 @@ def op4_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_and_read(spark, read(spark, sf_dir, "documents"), vocabulary())
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
 def op8_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = rules.judge(read(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -56,8 +64,11 @@ QUERIES = {
     "op1_mix": op1_mix,
     "op3_language": op3_language,
     "op4_tokens": op4_tokens,
+    "op5_decontaminate": op5_decontaminate,
+    "op7_simhash": op7_simhash,
     "op8_host_rules": op8_host_rules,
     "op9_shards": op9_shards,
     "op10_chat": op10_chat,
 }
+QUERIES = {name: (lambda spark, sf_dir, f=f: packed(f(spark, sf_dir))) for name, f in QUERIES.items()}
 ORACLES: dict[str, str] = {}
