@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, language, mixing, rules, sharding, simhash, tokens
+from . import chat, decontaminate, language, mixing, quality, rules, sharding, simhash, tokens
 from .common import packed, read
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -26,6 +26,12 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = quality.train(docs, read(spark, sf_dir, "labels"), ~held_out())
+    return quality.score(docs.withColumn("held_out", held_out()), model, ["doc_id", "held_out"])
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").withColumn("held_out", held_out())
     model = language.train(docs, ~F.col("held_out"))
@@ -62,6 +68,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_mix": op1_mix,
+    "op2_quality": op2_quality,
     "op3_language": op3_language,
     "op4_tokens": op4_tokens,
     "op5_decontaminate": op5_decontaminate,
