@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, language, mixing, quality, rules, sharding, simhash, tokens
+from . import chat, decontaminate, language, mixing, quality, rules, sharding, simhash, suffix, tokens
 from .common import packed, read
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -46,6 +46,10 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op6_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(read(spark, sf_dir, "documents"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
@@ -72,6 +76,7 @@ QUERIES = {
     "op3_language": op3_language,
     "op4_tokens": op4_tokens,
     "op5_decontaminate": op5_decontaminate,
+    "op6_suffix": op6_suffix,
     "op7_simhash": op7_simhash,
     "op8_host_rules": op8_host_rules,
     "op9_shards": op9_shards,
