@@ -91,5 +91,5 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     names = docs.columns
     keyed = docs.withColumn("__row", F.xxhash64(*[F.col(f"`{c}`") for c in names]))
     counts = mix(keyed, key="__row", **options).groupBy("key").agg(F.sum("copies").alias("__copies")).filter(F.col("__copies") > 0)
-    one = keyed.dropDuplicates(["__row"])
+    one = keyed.withColumn("__nth", F.row_number().over(W.partitionBy("__row").orderBy(F.lit(1)))).filter("__nth = 1")
     return one.join(counts, one["__row"] == counts["key"]).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*[F.col(f"`{c}`") for c in names])

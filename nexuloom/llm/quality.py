@@ -42,16 +42,18 @@ def statistics(text: Column) -> tuple[dict[str, Column], dict[str, Column]]:
         "vocabulary": F.size(F.array_distinct(F.split(F.lower(text), r"[\x20\x09-\x0D]+"))).cast("double"),
         "lines": F.size(F.array_distinct(F.split(text, "\n"))).cast("double"),
     }
-    w = F.greatest(F.col("words"), F.lit(1.0))
-    per_word = {f"{c}_per_word": F.col(c) / w for c in ("symbols", "bangs", "upper", "digits", "stops", "commas", "breaks", "links", "long", "vocabulary", "chars")}
-    return raw, {"words": F.col("words"), **per_word, "repeated_lines": 1 - F.col("lines") / (F.col("breaks") + 1)}
+    raw = {f"__r_{n}": c for n, c in raw.items()}
+    col = lambda n: F.col(f"__r_{n}")
+    w = F.greatest(col("words"), F.lit(1.0))
+    per_word = {f"{c}_per_word": col(c) / w for c in ("symbols", "bangs", "upper", "digits", "stops", "commas", "breaks", "links", "long", "vocabulary", "chars")}
+    return raw, {"words": col("words"), **per_word, "repeated_lines": 1 - col("lines") / (col("breaks") + 1)}
 
 
 def with_statistics(docs: DataFrame, keep: list[str], text_col: str = "text") -> tuple[DataFrame, list[str]]:
     raw, stats = statistics(F.col("__text"))
     d = docs.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
     d = d.select(*keep, *[c.alias(n) for n, c in raw.items()])
-    return d.select(*keep, *[c.alias(f"s_{n}") for n, c in stats.items()]), [f"s_{n}" for n in stats]
+    return d.select(*keep, *[c.alias(f"__s_{n}") for n, c in stats.items()]), [f"__s_{n}" for n in stats]
 
 
 @dataclass
@@ -158,3 +160,9 @@ def score(docs: DataFrame, model: Rules, keep: list[str], text_col: str = "text"
     """``score`` and ``predicted`` beside the columns in ``keep``."""
     stats, _ = with_statistics(docs, keep, text_col)
     return stats.select(*keep, model.column().alias("score")).withColumn("predicted", (F.col("score") >= least).cast("int"))
+
+
+def accepted(docs: DataFrame, model: Rules, text_col: str = "text", least: float = 0.7) -> DataFrame:
+    """The documents whose score is at least ``least``, all columns kept."""
+    stats, _ = with_statistics(docs, [f"`{c}`" for c in docs.columns], text_col)
+    return stats.filter(model.column() >= least).select(*[f"`{c}`" for c in docs.columns])

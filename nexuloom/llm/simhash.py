@@ -19,6 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import stage
@@ -208,12 +209,22 @@ def links(distinct: DataFrame, most: int = 3) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, most: int = 3, shingle: int = 3, keep: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, fp, fingerprint, component_id`` and the columns in ``keep``, one row a document."""
+    """``doc_id, root, fingerprint, component_id`` and the columns in ``keep``, one row a document; ``root`` is the
+    component's smallest fingerprint."""
     named = docs.select(F.col(id_col).alias("doc_id"), *keep, F.col(text_col).alias("text"))
     prints = stage(fingerprints(named, shingle, ("doc_id", *keep)), "simhash-prints")
     distinct = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
     root = components(links(distinct.select("fp"), most))
     classes = distinct.join(root, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     names = classes.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "r")
-    named = classes.join(names, F.col("root") == F.col("r")).select(F.col("fp").alias("cfp"), "component_id")
-    return prints.join(named, F.col("fp") == F.col("cfp")).select("doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", *keep)
+    named = classes.join(names, F.col("root") == F.col("r")).select(F.col("fp").alias("cfp"), "component_id", "root")
+    return prints.join(named, F.col("fp") == F.col("cfp")).select("doc_id", "root", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", *keep)
+
+
+def one_of_each(docs: DataFrame, **options) -> DataFrame:
+    """The document of the smallest id of each component, all columns kept; of identical rows one stays."""
+    names = [f"`{c}`" for c in docs.columns]
+    keyed = docs.withColumn("__row", F.xxhash64(*names))
+    stays = near_duplicates(keyed, keep=("__row",), **options).groupBy("root").agg(F.min(F.struct("doc_id", "__row"))["__row"].alias("__stays"))
+    first = F.row_number().over(W.partitionBy("__row").orderBy(F.lit(1)))
+    return keyed.join(stays, F.col("__row") == F.col("__stays"), "left_semi").withColumn("__nth", first).filter("__nth = 1").select(*names)
