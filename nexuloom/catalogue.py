@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from .plans import kg
+
 FLAGSHIP = "ctx_kept"
 QUERIES: dict = {}
 ORACLES: dict = {}
+for _m in (kg,):
+    QUERIES |= _m.QUERIES
+    ORACLES |= _m.ORACLES
