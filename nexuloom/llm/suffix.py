@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -260,14 +261,14 @@ def repeats(entries: Iterator[tuple[int, bytes, np.ndarray, np.ndarray]], length
 def _build_runs(length: int, parts: int, at_once: int = 150_000):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[int, dict[bytes, list]] = {}
-        size = 0
+        size, opened = 0, zstandard.ZstdDecompressor().decompress
 
         def flush():
             return pd.DataFrame({"part": list(held), "run": [pack_run(x) for x in held.values()]})
 
         for b in batches:
-            for d, text, cand in zip(b["doc"], b["text"], b["cand"]):
-                raw = text.encode("utf-8")
+            for d, z, cand in zip(b["doc"], b["z"], b["cand"]):
+                raw = opened(z)
                 for c in cand.tolist():
                     hot, at = c & 1, c >> 1
                     p, lo, hi = at >> 14, at >> 7 & 127, at & 127
@@ -329,12 +330,19 @@ def cut(raw: bytes, spans: np.ndarray) -> tuple[int, int, str]:
     return removed, runs, digest.hexdigest()
 
 
+def _squeeze(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Texts as compressed bytes: they are moved twice."""
+    press = zstandard.ZstdCompressor(level=3).compress
+    for b in batches:
+        yield pd.DataFrame({"doc": b["doc"], "z": [press(t.encode("utf-8")) for t in b["text"]]})
+
+
 def _finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    none = np.zeros(0, np.int64)
+    none, opened = np.zeros(0, np.int64), zstandard.ZstdDecompressor().decompress
     for b in batches:
         rows = []
-        for d, text, spans in zip(b["doc"], b["text"], b["spans"]):
-            raw = text.encode("utf-8")
+        for d, z, spans in zip(b["doc"], b["z"], b["spans"]):
+            raw = opened(z)
             rows.append((d, len(raw), *cut(raw, none if spans is None else spans)))
         yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
@@ -354,11 +362,12 @@ def remove_repeats(docs: DataFrame, length: int = 100, split_over: int = 100_000
     found = rows.filter(F.octet_length("text") >= length).mapInPandas(_emit_anchors(length), "h long, doc long, at long")
     again = found.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("h"))).filter("n > 1")
     cand = again.groupBy("doc").agg(F.collect_list(F.shiftleft("at", 1).bitwiseOR(F.when(F.col("n") > split_over, 1).otherwise(0).cast("long"))).alias("cand")).withColumnRenamed("doc", "c_doc")
-    texts = rows.join(cand.hint("merge"), F.col("doc") == F.col("c_doc")).select("doc", "text", "cand")
+    small = rows.mapInPandas(_squeeze, "doc long, z binary")
+    texts = small.join(cand.hint("merge"), F.col("doc") == F.col("c_doc")).select("doc", "z", "cand")
     runs = texts.mapInPandas(_build_runs(length, parts), "part int, run binary")
     spans = runs.repartition(parts, "part").sortWithinPartitions("part").mapInPandas(_merge_parts(length), "doc long, span long")
     spans = spans.groupBy("doc").agg(F.collect_list("span").alias("spans")).withColumnRenamed("doc", "s_doc")
-    out = rows.join(spans.hint("merge"), F.col("doc") == F.col("s_doc"), "left").select("doc", "text", "spans").mapInPandas(_finish, RESULT)
+    out = small.join(spans.hint("merge"), F.col("doc") == F.col("s_doc"), "left").select("doc", "z", "spans").mapInPandas(_finish, RESULT)
     if unique:
         return out
     names = d.select(F.col("doc").alias("n_doc"), "id")
