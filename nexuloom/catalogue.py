@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from .plans import kg
+from .plans import analytics, kg, ontology, search
 
 FLAGSHIP = "ctx_kept"
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _m in (kg,):
+for _m in (kg, ontology, analytics, search):
     QUERIES |= _m.QUERIES
     ORACLES |= _m.ORACLES

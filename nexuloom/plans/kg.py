@@ -188,7 +188,9 @@ def ctx_induced_edges(spark, sf):
 def ctx_presence_ranks(spark, sf):
     s, _, _ = _kept_parts(spark, sf)
     ids = table(spark, sf, "nation").select(F.concat(F.lit("N:"), F.col("n_nationkey").cast("string")).alias("id"))
-    return context.presence(s, ids).select("id", "reached", "category", "hop", "score", F.col("rank").cast("long").alias("rank"), F.col("of").alias("category_size"))
+    found = context.presence(s, ids)
+    none = F.lit(-1)  # of an id that was not reached
+    return found.select("id", "reached", F.coalesce("category", F.lit("")).alias("category"), F.coalesce("hop", none).alias("hop"), F.coalesce("score", none).alias("score"), F.coalesce("rank", none).cast("long").alias("rank"), F.coalesce("of", none).cast("long").alias("category_size"))
 
 
 def ctx_category_counts(spark, sf):
@@ -320,7 +322,7 @@ ORACLES = {
     "ctx_kept": sql("SELECT * FROM kept", "kept"),
     "ctx_connected": sql("SELECT node FROM conn", "conn"),
     "ctx_induced_edges": sql("SELECT subject, predicate, object, count(*) AS n, round(max(weight), 6) AS weight FROM induced GROUP BY subject, predicate, object", "induced"),
-    "ctx_presence_ranks": sql("SELECT 'N:' || n_nationkey AS id, s.rank IS NOT NULL AS reached, s.category, s.hop, s.score, s.rank, s.category_size FROM nation LEFT JOIN (SELECT *, rank() OVER (PARTITION BY category ORDER BY score DESC) AS rank, count(*) OVER (PARTITION BY category) AS category_size FROM scored) s ON s.node = 'N:' || n_nationkey", "scored"),
+    "ctx_presence_ranks": sql("SELECT 'N:' || n_nationkey AS id, s.rank IS NOT NULL AS reached, coalesce(s.category, '') AS category, coalesce(s.hop, -1) AS hop, coalesce(s.score, -1) AS score, coalesce(s.rank, -1) AS rank, coalesce(s.category_size, -1) AS category_size FROM nation LEFT JOIN (SELECT *, rank() OVER (PARTITION BY category ORDER BY score DESC) AS rank, count(*) OVER (PARTITION BY category) AS category_size FROM scored) s ON s.node = 'N:' || n_nationkey", "scored"),
     "ctx_category_counts": sql("SELECT category, count(*) AS n FROM kept GROUP BY category", "kept"),
     "graph_components": sql("SELECT node, component FROM comp", "comp"),
     "graph_seed_pairs": sql("SELECT (SELECT coalesce(sum(n * (n - 1) // 2), 0) FROM (SELECT count(*) AS n FROM comp WHERE node IN (SELECT seed FROM present) GROUP BY component))::BIGINT AS connected, (SELECT count(*) * (count(*) - 1) // 2 FROM present)::BIGINT AS pairs", "comp"),
