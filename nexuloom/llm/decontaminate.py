@@ -1,8 +1,8 @@
 """Benchmark decontamination by template canonicalisation (DataFrame functions only).
 
 Numbers, names (capitalised words inside a sentence) and units after numbers become typed placeholders. Windows of
-five template words are hash-joined with the benchmark's windows; windows of the plain words are joined as well, so
-a passage whose capitals changed is still found. Matches lie on diagonals (place in the document minus place in the
+five template words are hash-joined with the benchmark's windows; a window of the benchmark has the hash of its plain
+words as well, so a passage that lost its capitals is still found. Matches lie on diagonals (place in the document minus place in the
 item). On each diagonal the values in the slots must be consistent: a value of the item always stands for the same
 value of the document. An item is in a document if the consistent diagonals cover at least ``least`` of its windows.
 
@@ -13,7 +13,7 @@ table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 5
@@ -25,49 +25,49 @@ UNITS = "km kilometers kilometres m meters metres cm mm miles mile feet foot ft
 BROADCAST_WINDOWS = 500_000
 
 
-def canonical(text: Column) -> tuple[Column, Column]:
-    """Plain and template words as blank-joined lines of equally many words."""
-    marked = F.regexp_replace(text, r"(?<=[\p{Ll}\p{N},;] )(?=\p{Lu}\p{Ll})", MARK)
-    line = F.trim(F.regexp_replace(marked, rf"[^\p{{L}}\p{{N}}{MARK}]+", " "))
-    plain = F.lower(F.regexp_replace(line, MARK, ""))
-    template = F.regexp_replace(line, rf"(?<![\p{{L}}\p{{N}}{MARK}])\p{{N}}[\p{{L}}\p{{N}}]*", NUMBER)
-    template = F.regexp_replace(template, rf"{MARK}[\p{{L}}\p{{N}}]+", NAME)
-    template = F.regexp_replace(F.lower(template), rf"(?<={NUMBER} )(?:{'|'.join(UNITS)})(?![\p{{L}}\p{{N}}])", UNIT)
-    return plain, template
+def canonical(rows: DataFrame, keys: list[str], text_col: str) -> DataFrame:
+    """``keys, __p, __q``: plain and template words as blank-joined lines of equally many words."""
+    marked = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"(?<=[\p{Ll}\p{N},;] )(?=\p{Lu}\p{Ll})", MARK)
+    d = rows.select(*keys, F.trim(F.regexp_replace(marked, rf"[^\p{{L}}\p{{N}}{MARK}]+", " ")).alias("__l")).filter(F.col("__l") != "")
+    template = F.regexp_replace("__l", rf"(?<![\p{{L}}\p{{N}}{MARK}])\p{{N}}[\p{{L}}\p{{N}}]*", NUMBER)
+    template = F.lower(F.regexp_replace(template, rf"{MARK}[\p{{L}}\p{{N}}]+", NAME))
+    d = d.select(*keys, F.lower(F.replace("__l", F.lit(MARK), F.lit(""))).alias("__p"), template.alias("__q"))
+    unit = F.regexp_replace("__q", rf"(?<={NUMBER} )(?:{'|'.join(UNITS)})(?![\p{{L}}\p{{N}}])", UNIT)
+    return d.select(*keys, "__p", F.when(F.col("__q").contains(NUMBER), unit).otherwise(F.col("__q")).alias("__q"))
 
 
-def windows(rows: DataFrame, keys: list[str], text_col: str) -> DataFrame:
-    """``keys, place, h, plain5, slots5``; the last two only where the template has a placeholder."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    plain, template = canonical(text)
-    d = rows.select(*keys, plain.alias("__p"), template.alias("__q")).filter(F.col("__p") != "")
-    d = d.select(*keys, F.split("__p", " ").alias("__pw"), F.when(F.col("__p") != F.col("__q"), F.split("__q", " ")).alias("__qw"))
-    starts = F.sequence(F.lit(1), F.greatest(F.size("__pw") - (WINDOW - 1), F.lit(1)))
-    cut = lambda c, i: F.slice(c, i, WINDOW)
-    none = F.lit(None).cast("array<string>")
-    simple = F.transform(starts, lambda i: F.struct(i.alias("place"), F.xxhash64(cut("__pw", i)).alias("h"), none.alias("plain5"), none.alias("slots5")))
-    held = lambda s: F.size(F.filter(s, lambda x: x.isin(NUMBER, NAME, UNIT)))
-    slotted = F.filter(
-        F.transform(starts, lambda i: F.struct(i.alias("place"), F.xxhash64(cut("__qw", i)).alias("h"), cut("__pw", i).alias("plain5"), cut("__qw", i).alias("slots5"))),
-        lambda s: held(s["slots5"]).between(1, WINDOW - 2),
-    )
-    rows_of = F.when(F.col("__qw").isNull(), simple).otherwise(F.concat(simple, slotted))
-    return d.select(*keys, F.inline(rows_of))
+def windows(rows: DataFrame, keys: list[str], text_col: str, both: bool = False) -> DataFrame:
+    """``keys, place, h, plain5, slots5``; the last two only where the template key is used.
+
+    A window's key is its template's hash if one to three of its words are placeholders (more say too little), else
+    the hash of its plain words. With ``both`` every window has the plain key too. A text of fewer words is one window.
+    """
+    d = canonical(rows, keys, text_col).select(*keys, F.split("__p", " ").alias("__w"), F.when(F.col("__p") != F.col("__q"), F.split("__q", " ")).alias("__v"))
+    d = d.withColumn("__v", F.coalesce("__v", "__w"))
+    shifted = [F.slice(c, i + 1, 1 << 30).alias(f"{n}{i}") if i else F.col(c).alias(f"{n}{i}") for c, n in (("__w", "p"), ("__v", "q")) for i in range(WINDOW)]
+    w = d.select(*keys, F.posexplode(F.arrays_zip(*shifted)).alias("place", "z")).filter(F.col(f"z.p{WINDOW - 1}").isNotNull() | (F.col("place") == 0))
+    p, q = ([F.col(f"z.{n}{i}") for i in range(WINDOW)] for n in "pq")
+    held = sum((F.when(x.isin(NUMBER, NAME, UNIT), 1).otherwise(0) for x in q), F.lit(0)).between(1, WINDOW - 2)
+    keyed = w.select(*keys, "place", F.xxhash64(*p).alias("hp"), F.when(held, F.xxhash64(*q)).alias("hq"), F.when(held, F.array(*p)).alias("plain5"), F.when(held, F.array(*q)).alias("slots5"))
+    if both:
+        return keyed.select(*keys, "place", F.explode(F.array_compact(F.array("hp", "hq"))).alias("h"), "plain5", "slots5")
+    return keyed.select(*keys, "place", F.coalesce("hq", "hp").alias("h"), "plain5", "slots5")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """``doc_id, item_id, coverage, n_windows, n_slots``: one row for each item found in a document."""
     items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text).alias("item_text"))
     items = items.withColumn("item_key", F.xxhash64("item_id", "item_text"))
-    b = windows(items, ["item_id", "item_key"], "item_text").withColumnsRenamed({"place": "item_place", "plain5": "item_plain", "slots5": "item_slots"}).dropDuplicates(["item_key", "item_place", "h"])
+    b = windows(items, ["item_id", "item_key"], "item_text", both=True).withColumnsRenamed({"place": "item_place", "plain5": "item_plain", "slots5": "item_slots"}).dropDuplicates(["item_key", "item_place", "h"])
     whole = b.groupBy("item_key").agg(F.countDistinct("item_place").alias("n_windows")).withColumnRenamed("item_key", "k")
     b = b.join(whole, F.col("item_key") == F.col("k")).drop("k")
     if b.count() <= BROADCAST_WINDOWS:
         b = F.broadcast(b)
     d = windows(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("doc_text"), F.xxhash64(F.col(text_col)).alias("text_key")), ["doc_id", "text_key"], "doc_text")
     hits = d.join(b, "h")
+    both = F.col("plain5").isNotNull() & F.col("item_slots").isNotNull()  # on equal plain keys there is nothing to compare
     values = F.filter(F.arrays_zip(F.col("item_slots").alias("kind"), F.col("item_plain").alias("item"), F.col("plain5").alias("doc")), lambda z: z["kind"].isin(NUMBER, NAME, UNIT))
-    pairs = F.coalesce(F.transform(values, lambda z: F.struct(z["kind"].alias("kind"), z["item"].alias("item"), z["doc"].alias("doc"))), F.array().cast("array<struct<kind:string,item:string,doc:string>>"))
+    pairs = F.coalesce(F.when(both, F.transform(values, lambda z: F.struct(z["kind"].alias("kind"), z["item"].alias("item"), z["doc"].alias("doc")))), F.array().cast("array<struct<kind:string,item:string,doc:string>>"))
     hits = hits.select("doc_id", "text_key", "item_id", "item_key", "n_windows", (F.col("place") - F.col("item_place")).alias("diagonal"), "item_place", pairs.alias("pairs"))
     lines = hits.groupBy("doc_id", "text_key", "item_id", "item_key", "n_windows", "diagonal").agg(F.collect_set("item_place").alias("places"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
     consistent = F.size(F.array_distinct(F.transform("pairs", lambda p: F.struct(p["kind"], p["item"])))) == F.size("pairs")
