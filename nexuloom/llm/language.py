@@ -33,7 +33,7 @@ def codes(text: str) -> np.ndarray:
 
 
 def grams(c: np.ndarray, bits: int) -> Iterator[np.ndarray]:
-    """Hashed n-grams of an array of code points, one array an order; entry i starts at i."""
+    """Hashed n-grams of an array of code points, one array an order of at most its length; entry i starts at i."""
     with np.errstate(over="ignore"):
         at = [c * np.uint32(s) for s in STEPS]
         for order in ORDERS:
@@ -90,6 +90,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: tuple[st
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         langs, table = shared.value
+        table = np.vstack([table, np.zeros((1, table.shape[1]), table.dtype)])  # the last row is for grams over two texts
         for b in batches:
             texts = b["__text"]
             best, score = np.zeros(len(texts), np.int64), np.zeros(len(texts))
@@ -104,8 +105,10 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: tuple[st
                     else:
                         parts = [codes(f" {t} ") for t in texts.iloc[lo:hi]]
                         starts = np.cumsum([0] + [len(p) for p in parts[:-1]])
-                        for h in grams(np.concatenate(parts), bits):
-                            sums += _summed(table, h, np.minimum(starts, len(h) - 1))
+                        for order, h in zip(ORDERS, grams(np.concatenate(parts), bits)):
+                            for back in range(1, order):
+                                h[starts[1:] - back] = 1 << bits
+                            sums += _summed(table, h, starts)
                     top = sums.max(axis=1, keepdims=True)
                     p = np.exp(sums - top)
                     best[lo:hi], score[lo:hi] = sums.argmax(axis=1), 1 / p.sum(axis=1)

@@ -60,8 +60,8 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), max_copies: int =
     j = ordered.join(t, ordered["src"].eqNullSafe(t["t_src"]) & (ordered["part"] == t["salt"]))
     j = stage(j.select("doc_id", "size", "key", "upto", "nth", "source_size", "rank", "target"), "mix-order")
 
-    time = lambda e: (e * F.col("source_size") + F.col("upto")) / F.col("target")
-    passes = F.least(F.lit(max_copies), F.ceil(F.col("target") / F.col("source_size"))).cast("int")
+    time = lambda e: F.try_divide((e * F.col("source_size") + F.col("upto")).cast("double"), F.col("target"))  # noqa: E731  null where there is no target
+    passes = F.coalesce(F.least(F.lit(max_copies), F.ceil(F.try_divide(F.col("target"), F.col("source_size").cast("double")))).cast("int"), F.lit(0))
     copies = j.filter((F.col("size") > 0) & (F.col("target") > 0)).select("size", "source_size", "upto", "target", "rank", "nth", F.explode(F.sequence(F.lit(0), passes - 1)).alias("e")).withColumn("t", time(F.col("e")))
     sums = copies.groupBy(_slice(F.col("t")).alias("slice")).agg(F.sum("size").alias("n"))
     upto = F.sum("n").over(W.orderBy("slice").rowsBetween(W.unboundedPreceding, 0))
@@ -78,7 +78,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), max_copies: int =
         here = (F.lit(e) < passes) & (F.col("target") > 0) & (F.col("size") > 0)
         if cut is not None:
             here = here & (F.struct(time(F.lit(e)).alias("t"), F.col("rank"), F.col("nth"), F.lit(e).alias("e")) < F.struct(F.lit(cut["t"]).alias("t"), F.lit(cut["rank"]).alias("rank"), F.lit(cut["nth"]).alias("nth"), F.lit(cut["e"]).alias("e")))
-        count = count + F.when(here, 1).otherwise(0)
+        count = count + F.when(F.coalesce(here, F.lit(False)), 1).otherwise(0)
     out = j.select("doc_id", "size", "source_size", "target", (F.col("size") * count).cast("long").alias("taken"), count.alias("copies"), *(["key"] if key else []))
     return out
 
@@ -90,6 +90,6 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """
     names = docs.columns
     keyed = docs.withColumn("__row", F.xxhash64(*[F.col(f"`{c}`") for c in names]))
-    counts = mix(keyed, key="__row", **options).groupBy("key").agg(F.sum("copies").alias("__copies")).filter(F.col("__copies") > 0)
+    counts = mix(keyed, key="__row", **options).groupBy(F.col("key").alias("__key")).agg(F.sum("copies").alias("__copies")).filter(F.col("__copies") > 0)
     one = keyed.withColumn("__nth", F.row_number().over(W.partitionBy("__row").orderBy(F.lit(1)))).filter("__nth = 1")
-    return one.join(counts, one["__row"] == counts["key"]).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*[F.col(f"`{c}`") for c in names])
+    return one.join(counts, F.col("__row") == F.col("__key")).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*[F.col(f"`{c}`") for c in names])

@@ -1,9 +1,9 @@
 """Sharding by balanced label propagation over groups of equal texts, under the law ``bytes``.
 
-Documents start on shards dealt by their hash. Linked documents (equal texts) are a star around their text, so no pair
-is ever made; long stars are cut into parts of a bounded size. In each round every part proposes the shard that most of
-its bytes are on (a neighbour vote), and a shard accepts proposals while its quota lasts. Parts that are turned down
-vote again without the full shards. Documents that are not linked, and parts nobody could take, then fill every shard
+Documents start on shards dealt by their hash. Linked documents (equal texts) are a star around their text, so no pair is
+ever made; long stars are cut into parts of a bounded size. In each round every part proposes the shard that most of
+its text's bytes are on (a neighbour vote), and a shard accepts proposals while its quota lasts. Parts that are turned
+down vote again without the full shards. Documents that are not linked, and parts nobody could take, then fill every shard
 up to the same size along one running total.
 
 Defined cases: a null text has size 1 and CRC 0 and is not linked; empty texts are linked; null ids and repeated rows
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import running_total, stage
 
 
-def shard(docs: DataFrame, shards: int = 16, rounds: int = 3, parts_a_shard: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shard(docs: DataFrame, shards: int = 16, rounds: int = 8, parts_a_shard: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, size, text_crc32, law, shard, slot, grown_shard`` for every document."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = stage(
@@ -41,23 +41,29 @@ def shard(docs: DataFrame, shards: int = 16, rounds: int = 3, parts_a_shard: int
     chunked = running_total(linked, ["g"], "h", ["doc_id"], "size", "upto").withColumn("part", F.floor((F.col("upto") - F.col("size")) / F.lit(part)))
     chunked = stage(chunked.select("doc_id", "size", "g", "h", "part", "label"), "shard-parts")
 
-    # one row a part and a shard that some of its documents are on
-    votes = stage(chunked.groupBy("g", "part", "label").agg(F.sum("size").alias("here")), "shard-votes")
-    parts = votes.groupBy("g", "part").agg(F.sum("here").alias("bytes")).withColumn("ph", F.xxhash64("g", "part"))
-    open_parts, placed, left = stage(parts, "shard-open"), [], {s: quota for s in range(shards)}
+    # one row a text and a shard that some of its documents are on
+    votes = stage(chunked.groupBy("g", "label").agg(F.sum("size").alias("here")), "shard-votes")
+    parts = chunked.groupBy("g", "part").agg(F.sum("size").alias("bytes")).withColumn("ph", F.xxhash64("g", "part"))
+    open_parts, placed, left, full = stage(parts, "shard-open"), [], {s: quota for s in range(shards)}, set()
     for r in range(rounds):
-        room = [s for s in range(shards) if left[s] > 0.02 * quota]
+        room = [s for s in range(shards) if left[s] > 0 and s not in full]
         if not room:
             break
-        free = F.element_at(F.array(*[F.lit(s) for s in room]), (F.pmod(F.xxhash64("ph", F.lit(r)), F.lit(len(room))) + 1).cast("int"))
-        vote = votes.filter(F.col("label").isin(room)).groupBy("g", "part").agg(F.max(F.struct("here", (-F.col("label")).alias("low"))).alias("v")).select(F.col("g").alias("vg"), F.col("part").alias("vp"), (-F.col("v.low")).alias("want"))
-        asked = open_parts.join(vote, (F.col("g") == F.col("vg")) & (F.col("part") == F.col("vp")), "left").withColumn("want", F.coalesce("want", free)).drop("vg", "vp")
+        free = F.element_at(F.array(*[F.lit(s) for s in room]), (F.pmod(F.xxhash64("g", F.lit(r)), F.lit(len(room))) + 1).cast("int"))
+        vote = votes.filter(F.col("label").isin(room)).groupBy("g").agg(F.max(F.struct("here", (-F.col("label")).alias("low"))).alias("v")).select(F.col("g").alias("vg"), (-F.col("v.low")).alias("want"))
+        asked = open_parts.join(vote, F.col("g") == F.col("vg"), "left").withColumn("want", F.coalesce("want", free)).drop("vg")
         asked = stage(asked, "shard-asked")
         limits = reduce(lambda c, s: c.when(F.col("want") == s, F.lit(left[s])), room, F.when(F.lit(False), F.lit(0.0)))
         answered = stage(running_total(asked, ["want"], "ph", ["bytes"], "bytes", "upto").withColumn("ok", F.col("upto") <= limits), "shard-answered")
         placed.append(answered.filter("ok").select(F.col("g").alias("pg"), F.col("part").alias("pp"), F.col("want").alias("shard")))
-        for row in answered.filter("ok").groupBy("want").agg(F.sum("bytes").alias("b")).collect():  # at most one row a shard
+        again = 0
+        for row in answered.groupBy("want").agg(F.sum(F.when(F.col("ok"), F.col("bytes")).otherwise(0)).alias("b"), F.count_if(~F.col("ok")).alias("n")).collect():  # at most one row a shard
             left[row["want"]] -= row["b"]
+            again += row["n"]
+            if row["n"]:
+                full.add(row["want"])
+        if not again:
+            break
         open_parts = answered.filter(~F.col("ok")).select("g", "part", "bytes", "ph")
     spots = reduce(DataFrame.unionAll, placed) if placed else None
     where = chunked.join(spots, (F.col("g") == F.col("pg")) & (F.col("part") == F.col("pp")), "left") if spots is not None else chunked.withColumn("shard", F.lit(None).cast("int"))
