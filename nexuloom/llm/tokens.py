@@ -14,13 +14,14 @@ shards; other columns are ignored.
 
 from __future__ import annotations
 
-import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -31,6 +32,8 @@ from .common import new_path, stage
 MAGIC = b"NXMPH001"
 MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 MANIFEST = "name string, first_id long, first_null boolean, records long, ids long, width int"
+#: Marks that end a word without joining it.
+MARKS = ".,;:!?"
 RECORDS = "name string, nth long, doc_id long, is_null boolean, offset long, n_tokens long, ids_crc32 long"
 
 
@@ -38,15 +41,15 @@ RECORDS = "name string, nth long, doc_id long, is_null boolean, offset long, n_t
 
 
 class Encoder:
-    """Exact ids of whole texts by the tokenizers library, each distinct blank-led piece encoded once.
+    """Exact ids of whole texts by the tokenizers library, each distinct piece encoded once.
 
-    The pre-tokenizer never joins across a single blank between two non-blanks, so such blanks are cut points; texts
-    where a blank touches other white space, and those without any, are encoded as they are. The cache is bounded.
+    The pre-tokenizer never joins across a single blank or line break between two characters that are not white space,
+    so a text is cut before these. Distinct pieces are encoded together; the ids that open a piece are those whose
+    bytes begin with a blank or a line break. Texts with other white space at a cut are encoded as they are. The cache
+    is bounded.
     """
 
-    ODD = re.compile(r"^\s|\s$| (?=\s)|(?<=\s) ")
-
-    def __init__(self, path: str, cache: int = 250_000):
+    def __init__(self, path: str, cache: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.t = Tokenizer.from_file(path)
@@ -54,40 +57,67 @@ class Encoder:
         self.dtype = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
         self.led = np.zeros(self.size, bool)
         for piece, i in self.t.get_vocab(with_added_tokens=True).items():
-            self.led[i] = piece.startswith("Ġ")
+            self.led[i] = piece.startswith(("Ġ", "Ċ"))
         self.most, self.cache = cache, {}
+        self.marks = dict(zip(MARKS, self.whole(list(MARKS))))
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.t.encode_batch_fast(texts, add_special_tokens=False)]
 
+    @staticmethod
+    def _plain(piece: str) -> bool:
+        """No white space at either end, but for the line break that leads it."""
+        body = piece[1:] if piece[:1] == "\n" else piece
+        return bool(body) and not body[0].isspace() and not body[-1].isspace()
+
     def __call__(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes | None] = [None] * len(texts)
-        plain, cut, new = [], [], set()
         if len(self.cache) > self.most:
             self.cache.clear()
-        for i, text in enumerate(texts):
-            if " " not in text or self.ODD.search(text):
-                plain.append(i)
-            else:
-                pieces = text.split(" ")
-                cut.append((i, pieces))
-                new.update(pieces[1:])
-        new = [x for x in new if x not in self.cache]
+        cut = [t.replace("\n", " \n").split(" ") for t in texts]
+        new = set()
+        for pieces in cut:
+            new.update(pieces[1:])
+        cache = self.cache
+        new = [x for x in new if x not in cache and self._plain(x)]
+        marked = [x for x in new if x[-1] in MARKS and x[-2:-1].isalpha()]
+        if marked:  # a mark after a letter is a piece of the pre-tokenizer's own, so such a word is its stem and the mark
+            done = set(marked)
+            new = [x for x in new if x not in done] + list({x[:-1] for x in marked if x[:-1] not in cache}.difference(new))
         if new:
-            ids = np.array(self.t.encode_batch_fast([" " + " ".join(new)], add_special_tokens=False)[0].ids, self.dtype)
+            line = "".join([x if x[0] == "\n" else " " + x for x in new])
+            ids = np.array(self.t.encode_batch_fast([line], add_special_tokens=False)[0].ids, self.dtype)
             starts = np.flatnonzero(self.led[ids])
             assert len(starts) == len(new), "a piece was joined or split"
             raw, w = ids.tobytes(), self.dtype.itemsize
             ends = np.append(starts[1:], len(ids)) * w
-            self.cache.update(zip(new, (raw[a:b] for a, b in zip((starts * w).tolist(), ends.tolist()))))
-        for i, b in zip(plain, self.whole([texts[i] for i in plain])):
+            cache.update(zip(new, [raw[a:b] for a, b in zip((starts * w).tolist(), ends.tolist())]))
+        for x in marked:
+            cache[x] = cache[x[:-1]] + self.marks[x[-1]]
+        out: list[bytes | None] = []
+        get, odd, heads = cache.__getitem__, [], []
+        for i, pieces in enumerate(cut):
+            head = pieces[0]
+            try:
+                if head and (head[0].isspace() or head[-1].isspace()) or not head and len(pieces) > 1:
+                    raise KeyError(head)
+                out.append(b"".join(map(get, pieces[1:])))
+                heads.append(i)
+            except KeyError:  # a piece that is not plain
+                out.append(None)
+                odd.append(i)
+        for i, b in zip(odd, self.whole([texts[i] for i in odd])):
             out[i] = b
-        get = self.cache.__getitem__
-        for (i, pieces), head in zip(cut, self.whole([p[0] for _, p in cut])):
-            out[i] = head + b"".join(map(get, pieces[1:]))
+        for i, b in zip(heads, self.whole([cut[i][0] for i in heads])):
+            out[i] = b + out[i]
         return out
 
 
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """One encoder, with its cache, for all tasks of a Python worker."""
+    return Encoder(path)
+
+
 # ---- minimal perfect hash -------------------------------------------------------------------------------------------
 
 
@@ -205,24 +235,24 @@ def file_system(folder: str) -> tuple[pafs.FileSystem, str]:
 def write_tokens(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 0, shards: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode every whole text, write the shards into ``folder`` and return the manifest (one row a shard)."""
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = file_system(folder)
         fs.create_dir(root, recursive=True)
-        enc, name = Encoder(vocabulary), f"shard-{uuid.uuid4().hex}"
+        enc, name = encoder(vocabulary), f"shard-{uuid.uuid4().hex}"
         end = np.array([end_id], enc.dtype).tobytes()
         keys, lengths, last, again, out = [], [], None, 0, None
         for b in batches:
-            ids, texts = b["k"], b["text"]
+            ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             for lo, hi in slices(texts):
-                for key, raw in zip(ids.iloc[lo:hi], enc(texts.iloc[lo:hi].tolist())):
-                    if out is None:
-                        out = fs.open_output_stream(f"{root}/{name}.ids", buffer_size=1 << 20)
+                if out is None:
+                    out = fs.open_output_stream(f"{root}/{name}.ids", buffer_size=1 << 20)
+                records = enc(texts[lo:hi])
+                for key, raw in zip(ids[lo:hi], records):
                     again = again + 1 if keys and key == last else 0
                     last = key
-                    keys.append((0 if key is None else int(key), key is None, again))
-                    out.write(raw)
-                    out.write(end)
+                    keys.append((key or 0, key is None, again))
                     lengths.append(len(raw) // enc.dtype.itemsize + 1)
+                out.write(end.join(records) + end)
         if out is None:
             return
         out.close()
@@ -230,17 +260,17 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 0,
         size = np.array(lengths, np.int64)
         with fs.open_output_stream(f"{root}/{name}.mph") as f:
             f.write(pack_index(ids.astype(np.int64), nulls, nth, np.cumsum(size) - size, size))
-        yield pd.DataFrame({"name": [name], "first_id": [int(ids[0])], "first_null": [bool(nulls[0])], "records": [len(size)], "ids": [int(size.sum())], "width": [enc.dtype.itemsize]})
+        yield pa.RecordBatch.from_pydict({"name": [name], "first_id": [int(ids[0])], "first_null": [bool(nulls[0])], "records": [len(size)], "ids": [int(size.sum())], "width": pa.array([enc.dtype.itemsize], pa.int32())})
 
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     ranged = d.repartitionByRange(*([shards] if shards else []), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    return stage(ranged.select(F.col("doc_id").cast("string").alias("k"), "text").mapInPandas(encode, MANIFEST), "token-manifest")
+    return stage(ranged.select("doc_id", "text").mapInArrow(encode, MANIFEST), "token-manifest")
 
 
-def slices(texts: pd.Series, most: int = 2_000_000) -> Iterator[tuple[int, int]]:
+def slices(texts, most: int = 2_000_000) -> Iterator[tuple[int, int]]:
     """Spans of rows of about ``most`` characters, at least one row each."""
     lo = size = 0
-    for i, n in enumerate(texts.str.len().tolist()):
+    for i, n in enumerate(map(len, texts)):
         if size and size + n > most:
             yield lo, i
             lo, size = i, 0
