@@ -41,11 +41,12 @@ def packed(df: DataFrame) -> DataFrame:
     return df.coalesce(max(8, 2 * df.sparkSession.sparkContext.defaultParallelism))
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
+def stage(df: DataFrame, label: str, pack: bool = True) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: lineage is cut, columns can be pruned,
-    and a lost executor costs nothing that was staged."""
+    and a lost executor costs nothing that was staged. ``pack`` is for what comes out of shuffles; what comes straight
+    from a scan keeps the scan's partitions."""
     path = new_path(df.sparkSession, label)
-    packed(df).write.parquet(path)
+    (packed(df) if pack else df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
