@@ -2,62 +2,18 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: A word: a run of characters that are neither a blank nor ASCII 9 to 13.
-WORD = r"[^\x20\x09-\x0D]+"
-_LOCAL: list[str] = []
-
-
-def scratch(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; where unset (tests), a temporary one."""
-    sc = spark.sparkContext
-    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not path:
-        if sc.getCheckpointDir() is None:
-            own = tempfile.mkdtemp(prefix="nexuloom-")
-            _LOCAL.append(own)
-            sc.setCheckpointDir(f"file://{own}")
-        path = sc.getCheckpointDir()
-    return path.rstrip("/")
-
-
-@atexit.register
-def _drop_local() -> None:
-    for p in _LOCAL:
-        shutil.rmtree(p, ignore_errors=True)
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch(spark)}/nexuloom/{label}-{uuid.uuid4().hex}"
-
+from ..staging import drop_staged, new_path, packed, scratch, stage
 
-def packed(df: DataFrame) -> DataFrame:
-    """At most two partitions a core of the cluster: thousands of tiny files cost more than they spread."""
-    return df.coalesce(max(8, 2 * df.sparkSession.sparkContext.defaultParallelism))
+__all__ = ["WORD", "drop_staged", "n_words", "new_path", "packed", "read", "running_total", "scratch", "stage"]
 
-
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back: lineage is cut, columns can be pruned,
-    and a lost executor costs nothing that was staged."""
-    path = new_path(df.sparkSession, label)
-    packed(df).write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def drop_staged(spark: SparkSession) -> None:
-    """Delete every table staged by this library in the shared folder (call when no result is pending)."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(f"{scratch(spark)}/nexuloom")
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+#: A word: a run of characters that are neither a blank nor ASCII 9 to 13.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def n_words(text: Column) -> Column:
@@ -65,14 +21,6 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def same(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> Column:
-    """Null-safe equality on all keys."""
-    on = F.lit(True)
-    for k in keys:
-        on = on & a[k].eqNullSafe(b[k])
-    return on
-
-
 def running_total(df: DataFrame, by: Sequence[str], hashed: str, ties: Sequence[str], value: str, out: str, rank: str | None = None, bits: int = 10) -> DataFrame:
     """Inclusive running total ``out`` of ``value`` within ``by``, ordered by the long ``hashed`` and then ``ties``.
 

@@ -51,7 +51,7 @@ def _slice(t):
 def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), max_copies: int = 3, budget: float | None = None, seed: int = 42, key: str | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """One row a document: ``doc_id, size, source_size, target, taken, copies`` (and ``key``, if such a column is named)."""
     key_col = F.col(key) if key else F.lit(None).cast("long")
-    base = stage(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("src"), n_words(F.col(text_col)).alias("size"), F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("h"), key_col.alias("key")), "mix-sizes")
+    base = stage(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("src"), n_words(F.col(text_col)).alias("size"), F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("h"), key_col.alias("key")), "mix-sizes", pack=False)
     t = targets(base.groupBy("src").agg(F.sum("size").alias("source_size")), weights, max_copies, budget)
     ordered = running_total(base, ["src"], "h", ["doc_id", "size", "key"], "size", "upto", rank="nth")
     salt = F.pmod(F.col("h"), F.lit(64))

@@ -90,7 +90,7 @@ def judge(docs: DataFrame, host: Column | None = None, limit: float = 0.5, text_
     rule = F.lit(False)
     for failed in failures().values():
         rule = rule | failed
-    counts = stage(counts.withColumn("rule_failed", rule), "rule-counts")
+    counts = stage(counts.withColumn("rule_failed", rule), "rule-counts", pack=False)
     verdicts = host_verdicts(counts, "host", limit).withColumn("h_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = counts.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
     j = salted.join(verdicts, salted["host"].eqNullSafe(verdicts["h_host"]) & (salted["salt"] == verdicts["h_salt"]))

@@ -32,6 +32,7 @@ def shard(docs: DataFrame, shards: int = 16, rounds: int = 8, parts_a_shard: int
             F.xxhash64(F.col(id_col), text).alias("h"),
         ),
         "shard-sizes",
+        pack=False,
     )
     total = base.agg(F.sum("size").alias("s")).head()["s"] or 0
     quota, part = total / shards, max(1.0, total / shards / parts_a_shard)

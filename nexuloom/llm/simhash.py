@@ -1,8 +1,8 @@
 """SimHash near-duplicates over a Gray-order hierarchical index.
 
 Fingerprints are 64 bits; two link if at most ``most`` bits differ. Equal fingerprints are one node from the start.
-By the pigeonhole principle two linked fingerprints agree on one of ``most + 1`` blocks of bits, so each is dealt once
-a block. Within a block's bucket the fingerprints are sorted by Gray rank; runs of eight are leaves, runs of eight
+By the pigeonhole principle two linked fingerprints agree on one of ``most + 1`` blocks of bits (on two of ``most + 2``),
+so each is dealt once a choice of blocks. Within a block's bucket the fingerprints are sorted by Gray rank; runs of eight are leaves, runs of eight
 leaves their parents and so on. A node keeps the bits that all below it share. Pairs of nodes are opened from the top;
 a pair whose shared bits already differ in more than ``most`` places is dropped whole, as is one whose members are
 linked already, so a group of near copies costs its nodes, not its pairs. A bucket gives its spanning links only.
@@ -15,6 +15,7 @@ has none other; an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -199,12 +200,24 @@ def _bucket_links(most: int, rows_at_once: int = 200_000):
     return run
 
 
-def links(distinct: DataFrame, most: int = 3) -> DataFrame:
-    """Spanning links ``u, v`` between the distinct fingerprints ``fp``."""
-    blocks = most + 1
+def links(distinct: DataFrame, most: int = 3, agree: int | None = None) -> DataFrame:
+    """Spanning links ``u, v`` between the distinct fingerprints ``fp``.
+
+    The bits are cut into ``most + agree`` blocks; two linked fingerprints agree on ``agree`` of them, whichever, so
+    each is dealt once for every choice of so many blocks (4 for three bits, 28 for six)."""
+    agree = agree or (1 if most <= 3 else 2)
+    blocks = most + agree
     edges = [64 * i // blocks for i in range(blocks + 1)]
-    block = lambda i: F.struct(F.lit(i).alias("block"), F.shiftrightunsigned("fp", edges[i]).bitwiseAND(F.lit((1 << (edges[i + 1] - edges[i])) - 1)).alias("bucket"))
-    dealt = distinct.select("fp", F.explode(F.array(*[block(i) for i in range(blocks)])).alias("k")).select("fp", "k.block", "k.bucket")
+    part = lambda i: F.shiftrightunsigned("fp", edges[i]).bitwiseAND(F.lit((1 << (edges[i + 1] - edges[i])) - 1))
+
+    def key(chosen: tuple[int, ...]):
+        out = F.lit(0).cast("long")
+        for i in chosen:
+            out = F.shiftleft(out, edges[i + 1] - edges[i]).bitwiseOR(part(i))
+        return out
+
+    choices = list(combinations(range(blocks), agree))
+    dealt = distinct.select("fp", F.explode(F.array(*[F.struct(F.lit(k).alias("block"), key(c).alias("bucket")) for k, c in enumerate(choices)])).alias("k")).select("fp", "k.block", "k.bucket")
     return dealt.repartition("block", "bucket").sortWithinPartitions("block", "bucket").mapInPandas(_bucket_links(most), "u long, v long")
 
 
@@ -212,7 +225,7 @@ def near_duplicates(docs: DataFrame, most: int = 3, shingle: int = 3, keep: tupl
     """``doc_id, root, fingerprint, component_id`` and the columns in ``keep``, one row a document; ``root`` is the
     component's smallest fingerprint."""
     named = docs.select(F.col(id_col).alias("doc_id"), *keep, F.col(text_col).alias("text"))
-    prints = stage(fingerprints(named, shingle, ("doc_id", *keep)), "simhash-prints")
+    prints = stage(fingerprints(named, shingle, ("doc_id", *keep)), "simhash-prints", pack=False)
     distinct = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
     root = components(links(distinct.select("fp"), most))
     classes = distinct.join(root, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))

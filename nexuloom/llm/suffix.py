@@ -10,8 +10,9 @@ task; each contender carries the prefix it is known to share with the last winne
 looked at. The shared prefixes of the merged order say, for each offset of the anchor in a string, which strings are
 equal; all but the earliest of these are removed.
 
-A gram that occurs more than ``split_over`` times is dealt by whole strings instead (each string of its anchors is a
-suffix of its own, dealt by its bytes), so that no task holds all of it.
+A frequent gram is dealt by whole strings instead (each string of its anchors is a suffix of its own, dealt by its
+bytes), so that no task holds all of it, and skips the count. Which grams are frequent is read off a bounded sample of
+documents; it decides the way an anchor takes, never the result.
 
 Defined cases: null text is empty; texts shorter than ``length`` lose nothing; rows of one id are separate documents,
 ordered by a hash of the text, and null ids come first; an empty table gives an empty result; other columns are ignored.
@@ -84,7 +85,18 @@ def _anchors(raw: bytes, length: int, shift: int):
     return h[p].view(np.int64), p + shift, p - last, p - new
 
 
-def _emit_anchors(length: int):
+def _emit_anchors(length: int, frequent: np.ndarray):
+    """Rows ``h, doc, at``; ``at`` packs place, offsets and, in its last bit, whether the gram is frequent. Anchors of
+    frequent grams have a key of their own in place of ``h``: they need no count."""
+
+    def frame(h: list, doc: list, at: list) -> pd.DataFrame:
+        h, doc, at = np.concatenate(h), np.concatenate(doc), np.concatenate(at) << 1
+        if len(frequent):
+            hot = frequent[np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)] == h
+            h = np.where(hot, (doc * 0x2545F491 + at) ^ h, h)
+            at |= hot
+        return pd.DataFrame({"h": h, "doc": doc, "at": at})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             h, doc, packed, size = [], [], [], 0
@@ -95,14 +107,24 @@ def _emit_anchors(length: int):
                 packed.append(p << 14 | lo << 7 | hi)
                 size += len(a)
                 if size > 200_000:
-                    yield pd.DataFrame({"h": np.concatenate(h), "doc": np.concatenate(doc), "at": np.concatenate(packed)})
+                    yield frame(h, doc, packed)
                     h, doc, packed, size = [], [], [], 0
             if size:
-                yield pd.DataFrame({"h": np.concatenate(h), "doc": np.concatenate(doc), "at": np.concatenate(packed)})
+                yield frame(h, doc, packed)
 
     return run
 
 
+def frequent_grams(rows: DataFrame, length: int, sample: int, share: float) -> np.ndarray:
+    """Anchor grams in at least ``share`` of a sample of ``sample`` documents, sorted. Their number is at most the
+    sample's anchors divided by ``share * sample``."""
+    chosen = rows.select("doc").orderBy(F.xxhash64("doc"), "doc").limit(sample).withColumnRenamed("doc", "pick")
+    texts = rows.join(F.broadcast(chosen), F.col("doc") == F.col("pick"), "left_semi")
+    found = texts.filter(F.octet_length("text") >= length).mapInPandas(_emit_anchors(length, np.zeros(0, np.int64)), "h long, doc long, at long")
+    n = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= max(2.0, share * sample)).select("h").toPandas()
+    return np.sort(n["h"].to_numpy(np.int64))
+
+
 def shared_prefix(a: bytes, b: bytes, known: int) -> int:
     """Length of the common prefix of two different strings; the first ``known`` bytes are not looked at."""
     n = min(len(a), len(b))
@@ -347,7 +369,7 @@ def _finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, split_over: int = 100_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 100, sample: int = 20_000, share: float = 0.005, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of every document."""
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     ids = d.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("ids")).head()
@@ -359,9 +381,10 @@ def remove_repeats(docs: DataFrame, length: int = 100, split_over: int = 100_000
         d = stage(d.withColumn("doc", F.monotonically_increasing_id()), "suffix-numbered")
     parts = int(d.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = d.select("doc", "text")
-    found = rows.filter(F.octet_length("text") >= length).mapInPandas(_emit_anchors(length), "h long, doc long, at long")
-    again = found.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("h"))).filter("n > 1")
-    cand = again.groupBy("doc").agg(F.collect_list(F.shiftleft("at", 1).bitwiseOR(F.when(F.col("n") > split_over, 1).otherwise(0).cast("long"))).alias("cand")).withColumnRenamed("doc", "c_doc")
+    frequent = frequent_grams(rows, length, sample, share)
+    found = rows.filter(F.octet_length("text") >= length).mapInPandas(_emit_anchors(length, frequent), "h long, doc long, at long")
+    again = found.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("h"))).filter("n > 1 OR (at & 1) = 1")
+    cand = again.groupBy("doc").agg(F.collect_list("at").alias("cand")).withColumnRenamed("doc", "c_doc")
     small = rows.mapInPandas(_squeeze, "doc long, z binary")
     texts = small.join(cand.hint("merge"), F.col("doc") == F.col("c_doc")).select("doc", "z", "cand")
     runs = texts.mapInPandas(_build_runs(length, parts), "part int, run binary")
