@@ -137,15 +137,20 @@ def carry_over(new: DataFrame, old: DataFrame, key: str) -> DataFrame:
     return new.unionByName(old.join(new.select(key).distinct(), key, "left_anti"))
 
 
+def draw_key(key: str, seed: int) -> Column:
+    """A seeded digest of a key: the same in every engine, whatever the partitions."""
+    return F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")).cast("binary"))
+
+
 def hash_sample(rows: DataFrame, key: str, n: int, seed: int = 77) -> DataFrame:
-    """N rows in the order of a seeded hash (the same rows whatever the partitions)."""
-    return rows.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    """N rows in the order of a seeded digest."""
+    return rows.orderBy(draw_key(key, seed), key).limit(n)
 
 
 def weighted_order(rows: DataFrame, key: str, weight: str, seed: int = 77) -> DataFrame:
-    """Keys of weighted random order, u ** (1 / (1 + weight)) with u from a seeded hash."""
-    u = (F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
-    return rows.withColumn("draw", F.pow(u, 1 / (1 + F.col(weight))))
+    """Keys of weighted random order, u ** (1 / (1 + weight)) with u from a seeded digest."""
+    u = (F.conv(F.substring(draw_key(key, seed), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
+    return rows.withColumn("draw", F.round(F.pow(u, 1 / (1 + F.col(weight))), 12))
 
 
 def review(mentions: DataFrame, decisions: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import surface_form, tokens, usable_exemplar
-from .relational import top_k
+from .relational import draw_key, top_k
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
@@ -127,9 +127,9 @@ def once_per(mentions: DataFrame, keys: list[str], provider) -> DataFrame:
 
 
 def sample_exemplars(nodes: DataFrame, details: DataFrame, target: int, synonyms_a_node: int = 2, seed: int = 7) -> DataFrame:
-    """Per class at most ``target`` exemplars: usable names in hash order, then synonyms of the nodes sampled;
+    """Per class at most ``target`` exemplars: usable names in the order of a seeded digest, then synonyms of the nodes sampled;
     each spelling once. Columns ``class, exemplar, form, id``."""
-    h = F.xxhash64("id", F.lit(seed))
+    h = draw_key("id", seed)
     names = nodes.filter(usable_exemplar(F.col("name"))).select("class", F.col("name").alias("exemplar"), "id", F.lit(0).alias("leg"), h.alias("h"))
     names = names.withColumn("r", F.row_number().over(W.partitionBy("class", F.lower("exemplar")).orderBy("h", "id"))).filter("r = 1").drop("r")
     picked = top_k(names, ["class"], ["h", "id"], target)

@@ -242,6 +242,8 @@ def _sig(x: str) -> str:
 
 
 ORACLES = {
+    "hash_sample": "SELECT p_partkey FROM part ORDER BY md5(p_partkey || ':77'), p_partkey LIMIT 50",
+    "weighted_sample": "SELECT l_partkey FROM (SELECT l_partkey, round(pow((('0x' || substr(md5(l_partkey || ':77'), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656.0::DOUBLE, 1.0::DOUBLE / (1 + count(*))), 12) AS draw FROM lineitem GROUP BY l_partkey) ORDER BY draw DESC, l_partkey LIMIT 50",
     "presence_matrix": f"WITH {_BOUGHT} SELECT p_partkey AS id, " + ", ".join(f"count(*) FILTER (WHERE set_name = '{s}') AS \"{s}\"" for s in SEGMENTS) + " FROM part LEFT JOIN bought ON item = p_partkey GROUP BY p_partkey",
     "venn_regions": f"WITH {_BOUGHT} SELECT region, count(*) AS n FROM (SELECT item, string_agg(set_name, '&' ORDER BY set_name) AS region FROM bought WHERE set_name IN ('AUTOMOBILE', 'BUILDING', 'FURNITURE') GROUP BY item) GROUP BY region",
     "jaccard_matrix": f"WITH {_BOUGHT}, n AS (SELECT set_name, count(*) AS n FROM bought GROUP BY 1), b AS (SELECT a.set_name, b.set_name AS other, count(*) AS n_both FROM bought a JOIN bought b ON a.item = b.item AND a.set_name < b.set_name GROUP BY 1, 2) SELECT b.set_name, other, n_both, round(n_both / (x.n + y.n - n_both), 6) AS jaccard FROM b JOIN n x ON x.set_name = b.set_name JOIN n y ON y.set_name = b.other",

@@ -282,6 +282,10 @@ CTES: list[tuple[str, str]] = [
     ("pairs", "SELECT DISTINCT * FROM (SELECT subject AS a, object AS b FROM induced UNION ALL SELECT object, subject FROM induced) WHERE a <> b"),
     ("inside", "SELECT DISTINCT a, b FROM und WHERE a IN (SELECT id FROM kept_ids) AND b IN (SELECT id FROM kept_ids)"),
     ("conn", "SELECT seed AS node FROM present UNION SELECT i.b FROM conn JOIN inside i ON i.a = conn.node"),
+    ("islands", "SELECT node FROM kept WHERE node NOT IN (SELECT node FROM conn)"),
+    ("kept1", "SELECT * FROM kept WHERE node NOT IN (SELECT node FROM islands)"),
+    ("have", "SELECT category, count(*) AS have FROM kept1 GROUP BY category"),
+    ("refill", "SELECT s.node, s.name, s.category, s.hop, s.coverage, s.score, s.degree, s.seeds, row_number() OVER (PARTITION BY s.category ORDER BY s.score DESC, s.coverage DESC, s.hop, s.node) AS rk FROM scored s JOIN floors f ON f.hop = s.hop WHERE (SELECT count(*) FROM islands) > 0 AND s.score >= f.thr AND s.node NOT IN (SELECT node FROM kept) AND s.node IN (SELECT u.b FROM und u JOIN conn c ON u.a = c.node)"),
     ("walk", "SELECT id AS node, id AS label FROM kept_ids UNION SELECT p.b, w.label FROM walk w JOIN pairs p ON p.a = w.node"),
     ("comp", "SELECT node, min(label) AS component FROM walk GROUP BY node"),
     ("bfs", "SELECT seed AS source, seed AS node, 0 AS dist FROM present UNION SELECT b.source, p.b, b.dist + 1 FROM bfs b JOIN pairs p ON p.a = b.node WHERE b.dist < 12"),
@@ -298,7 +302,7 @@ NAMES = [n for n, _ in CTES]
 
 def sql(select: str, upto: str) -> str:
     """The common tables up to ``upto``, materialised where they are read often, and a select over them."""
-    held = {"edges", "deg", "e", "und", "r1", "r2", "scored", "kept", "inside", "pairs", "induced"}
+    held = {"islands", "edges", "deg", "e", "und", "r1", "r2", "scored", "kept", "inside", "pairs", "induced"}
     parts = [f"{n} AS {'MATERIALIZED ' if n in held else ''}({q})" for n, q in CTES[: NAMES.index(upto) + 1]]
     return f"WITH RECURSIVE {', '.join(parts)} {select}"
 
@@ -321,6 +325,8 @@ ORACLES = {
     "ctx_score_floor": sql("SELECT hop, round(thr, 6) AS thr FROM floors", "floors"),
     "ctx_kept": sql("SELECT * FROM kept", "kept"),
     "ctx_connected": sql("SELECT node FROM conn", "conn"),
+    "ctx_refilled": sql("SELECT * FROM kept1 UNION ALL SELECT node, name, r.category, hop, coverage, score, degree, seeds FROM refill r LEFT JOIN have h ON h.category = r.category WHERE rk <= 40 - coalesce(have, 0)", "refill"),
+    "ctx_repair_info": sql("SELECT CASE WHEN count(*) = 0 THEN 1 ELSE 2 END::INT AS passes, true AS converged, count(*)::INT AS nodes_removed FROM islands", "islands"),
     "ctx_induced_edges": sql("SELECT subject, predicate, object, count(*) AS n, round(max(weight), 6) AS weight FROM induced GROUP BY subject, predicate, object", "induced"),
     "ctx_presence_ranks": sql("SELECT 'N:' || n_nationkey AS id, s.rank IS NOT NULL AS reached, coalesce(s.category, '') AS category, coalesce(s.hop, -1) AS hop, coalesce(s.score, -1) AS score, coalesce(s.rank, -1) AS rank, coalesce(s.category_size, -1) AS category_size FROM nation LEFT JOIN (SELECT *, rank() OVER (PARTITION BY category ORDER BY score DESC) AS rank, count(*) OVER (PARTITION BY category) AS category_size FROM scored) s ON s.node = 'N:' || n_nationkey", "scored"),
     "ctx_category_counts": sql("SELECT category, count(*) AS n FROM kept GROUP BY category", "kept"),

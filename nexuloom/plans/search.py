@@ -214,6 +214,9 @@ _KNN = "d AS (SELECT q.vec_id AS query, e.vec_id AS id, e.label, round(list_sum(
 _MATCH = "(contains(m, g) OR contains(g, m) OR len(list_filter(gt, lambda x: NOT list_contains(mt, x))) = 0 OR len(list_filter(mt, lambda x: NOT list_contains(gt, x))) = 0)"
 _GOLD = "gg AS (SELECT p_partkey AS gold_id, lower(p_name || ' ' || p_brand) AS g, list_filter(regexp_split_to_array(lower(p_name || ' ' || p_brand), '\\W+'), lambda x: x <> '') AS gt FROM part WHERE p_partkey % 7 = 0), mm AS (SELECT p_partkey AS mention_id, t AS m, list_filter(regexp_split_to_array(t, '\\W+'), lambda x: x <> '') AS mt FROM (SELECT p_partkey, lower(CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE split_part(p_name, ' ', 2) END || ' ' || p_brand) AS t FROM part WHERE p_partkey % 5 < 3)), hits AS (SELECT gold_id, mention_id, m, CASE WHEN g = m THEN 0 ELSE 1 END AS o FROM gg, mm WHERE " + _MATCH + ")"
 ORACLES = {
+    "sentence_counts": r"SELECT doc_id AS doc, len(list_filter(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x) <> '')) AS n FROM documents",
+    "page_tag_strip": r"SELECT page_id, length(trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))) AS n FROM pages",
+    "stratified_sample": "WITH n AS (SELECT *, md5(p_partkey || ':7') AS h FROM part), ok AS (SELECT * FROM (SELECT p_type AS class, p_name AS e, p_partkey AS id, h, row_number() OVER (PARTITION BY p_type, lower(p_name) ORDER BY h, p_partkey) AS r FROM n) WHERE r = 1), pick AS (SELECT class, e, id, h, 0 AS leg FROM (SELECT *, row_number() OVER (PARTITION BY class ORDER BY h, id) AS k FROM ok) WHERE k <= 80), syn AS (SELECT class, unnest([p_name || ' ' || p_brand, p_brand]) AS e, id, h, 1 AS leg FROM pick JOIN part ON p_partkey = id), b AS (SELECT *, row_number() OVER (PARTITION BY class, lower(e) ORDER BY leg, h, id) AS r FROM (SELECT * FROM pick UNION ALL SELECT * FROM syn)) SELECT class, e AS exemplar, CASE WHEN leg = 1 THEN 'variant' ELSE 'canonical' END AS form, id FROM (SELECT *, row_number() OVER (PARTITION BY class ORDER BY leg, h, e) AS k FROM b WHERE r = 1) WHERE k <= 80",
     "bm25_search": f"WITH t AS (SELECT doc_id AS doc, {_TOK} AS t FROM documents), n AS (SELECT count(*) AS n, avg(len(t)) AS al FROM t), p AS (SELECT doc, len(t) AS l, unnest(t) AS term FROM t), df AS (SELECT term, ln(n.n - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM p, n GROUP BY term, n.n), idf AS (SELECT term, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM df) ELSE raw END AS idf FROM df), q AS (SELECT item_id AS query, unnest({_TOK}) AS term FROM benchmark), s AS (SELECT query, doc, round(sum(idf * 2.5 / (1 + 1.5 * (0.25 + 0.75 * l / al))), 9) AS score FROM q JOIN idf USING (term) JOIN p USING (term), n GROUP BY 1, 2) SELECT query, doc, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS r FROM s WHERE score > 0) WHERE r <= 10",
     "knn_exact": f"WITH {_KNN} SELECT query, id, dist, rank FROM k WHERE rank <= 10",
     "knn_label_exemplar": f"WITH {_KNN} SELECT query, class, rank FROM (SELECT query, label AS class, row_number() OVER (PARTITION BY query ORDER BY min(rank), label) AS rank FROM k WHERE rank <= 30 GROUP BY query, label) WHERE rank <= 5",
