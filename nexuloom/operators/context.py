@@ -224,7 +224,7 @@ class ContextGraph:
 
 def run(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, profile: Profile, params: Params = Params(), representation: Representation | None = None, deg: DataFrame | None = None) -> ContextGraph:
     """The whole query. ``seeds``: seed, seed_weight; ``edges``: subject, object, predicate, source, level."""
-    deg = degrees(edges) if deg is None else deg
+    deg = stage(degrees(edges), "degrees") if deg is None else deg
     e = stage(traversable(edges, nodes, seeds, profile, params, representation), "traversable")
     und, links = both_ways(e, profile, params), representation_links(e)
     reach = expand(seeds, nodes, und, links, deg, params)

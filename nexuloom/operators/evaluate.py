@@ -134,3 +134,29 @@ def structure(distances: DataFrame, nodes: DataFrame, cap: int) -> DataFrame:
     full = nodes.groupBy("category").agg(F.count(F.lit(1)).alias("n")).agg(F.count_if(F.col("n") >= cap).alias("saturated"))
     hop = nodes.agg(rate(F.col("hop") == 1).alias("hop1_share"))
     return d.join(full).join(hop)  # one row each
+
+
+def stage_maxima(rows: DataFrame, order: DataFrame, name: str, values: list[str]) -> DataFrame:
+    """The largest values of each stage, in the order of a list of stages, null where a stage has no rows."""
+    top = rows.groupBy(name).agg(*[F.max(v).alias(v) for v in values])
+    return order.join(top, name, "left")
+
+
+def top_values(rows: DataFrame, column: str, k: int) -> DataFrame:
+    """The most frequent values of a column."""
+    return rows.groupBy(column).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), column).limit(k)
+
+
+def distinct_counts(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Distinct values of each column, and distinct rows over all of them."""
+    return rows.agg(*[F.count_distinct(c).alias(c) for c in columns], F.count_distinct(F.struct(*columns)).alias("rows"))
+
+
+def sizes(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """A17"""
+    return rows.groupBy(*columns).agg(F.count(F.lit(1)).alias("n"))
+
+
+def natural_order(rows: DataFrame, column: str) -> DataFrame:
+    """Numbers kept as text, shorter first."""
+    return rows.orderBy(F.length(column), column)

@@ -226,6 +226,36 @@ def weighted_sample(spark, sf):
     return relational.weighted_order(d, "l_partkey", "n").orderBy(F.desc("draw"), "l_partkey").limit(50).select("l_partkey")
 
 
+def stage_maxima(spark, sf):
+    """A16"""
+    order = spark.createDataFrame([("signup",), ("view",), ("never",)], "event_type string")
+    r = evaluate.stage_maxima(table(spark, sf, "events").filter("user_id < 50"), order, "event_type", ["value"])
+    return r.select("event_type", F.coalesce("value", F.lit(-1.0)).alias("value"))
+
+
+def top_values(spark, sf):
+    """A22"""
+    return evaluate.top_values(table(spark, sf, "part"), "p_name", 10)
+
+
+def distinct_counts(spark, sf):
+    """A22"""
+    return evaluate.distinct_counts(table(spark, sf, "part"), ["p_brand", "p_type", "p_name"])
+
+
+def group_sizes(spark, sf):
+    """A17"""
+    return evaluate.sizes(table(spark, sf, "orders"), ["o_orderstatus", "o_orderpriority"])
+
+
+def column_union(spark, sf):
+    """U05"""
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("key"), "c_mktsegment")
+    s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("key"), "s_acctbal")
+    u = c.unionByName(s, allowMissingColumns=True)
+    return u.select("key", F.coalesce("c_mktsegment", F.lit("")).alias("segment"), F.coalesce("s_acctbal", F.lit(0.0)).alias("balance"))
+
+
 _BOUGHT = "bought AS (SELECT DISTINCT c_mktsegment AS set_name, l_partkey AS item FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey)"
 _STAGES = "stages AS (SELECT user_id, event_id, coalesce(lag(ts) OVER (PARTITION BY user_id ORDER BY ts), start) AS t0, ts AS t1 FROM (SELECT *, min(ts) OVER (PARTITION BY user_id) AS start FROM events) WHERE event_type = 'signup')"
 
@@ -242,6 +272,11 @@ def _sig(x: str) -> str:
 
 
 ORACLES = {
+    "stage_maxima": "SELECT t AS event_type, coalesce((SELECT max(value) FROM events WHERE event_type = t AND user_id < 50), -1.0) AS value FROM (VALUES ('signup'), ('view'), ('never')) v(t)",
+    "top_values": "SELECT p_name, count(*) AS n FROM part GROUP BY 1 ORDER BY n DESC, p_name LIMIT 10",
+    "distinct_counts": "SELECT count(DISTINCT p_brand) AS p_brand, count(DISTINCT p_type) AS p_type, count(DISTINCT p_name) AS p_name, (SELECT count(*) FROM (SELECT DISTINCT p_brand, p_type, p_name FROM part)) AS rows FROM part",
+    "group_sizes": "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY 1, 2",
+    "column_union": "SELECT c_custkey AS key, c_mktsegment AS segment, 0.0::DOUBLE AS balance FROM customer UNION ALL SELECT s_suppkey, '', s_acctbal FROM supplier",
     "hash_sample": "SELECT p_partkey FROM part ORDER BY md5(p_partkey || ':77'), p_partkey LIMIT 50",
     "weighted_sample": "SELECT l_partkey FROM (SELECT l_partkey, round(pow((('0x' || substr(md5(l_partkey || ':77'), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656.0::DOUBLE, 1.0::DOUBLE / (1 + count(*))), 12) AS draw FROM lineitem GROUP BY l_partkey) ORDER BY draw DESC, l_partkey LIMIT 50",
     "presence_matrix": f"WITH {_BOUGHT} SELECT p_partkey AS id, " + ", ".join(f"count(*) FILTER (WHERE set_name = '{s}') AS \"{s}\"" for s in SEGMENTS) + " FROM part LEFT JOIN bought ON item = p_partkey GROUP BY p_partkey",
@@ -275,4 +310,4 @@ ORACLES = {
     "heat_matrix": "SELECT p_brand, e AS \"ECONOMY\", l AS \"LARGE\", p AS \"PROMO\", e + l + p AS total FROM (SELECT p_brand, count(*) FILTER (WHERE p_type = 'ECONOMY') AS e, count(*) FILTER (WHERE p_type = 'LARGE') AS l, count(*) FILTER (WHERE p_type = 'PROMO') AS p FROM part GROUP BY 1) WHERE e + l + p >= 25 AND NOT (e >= 12 AND l >= 12 AND p >= 12)",
     "viewer_legend": "SELECT category, n, (row_number() OVER (ORDER BY n DESC, category) - 1) % 34 AS colour FROM (SELECT p_brand AS category, count(*) AS n FROM part GROUP BY 1)",
 }
-QUERIES = {f.__name__: f for f in (presence_matrix, venn_regions, jaccard_matrix, set_coverage, first_wins_dedup, ordered_collect, map_max_merge, top_orders, rank_within, numbered_names, custom_order, carried_over, reconcile_cells, stage_windows, stage_peaks, bucketed_intervals, rolling_cost_model, energy_estimate, enrich_hypergeom, enrich_bh, label_accuracy_ci, macro_accuracy, gate_confusion, verdict_changes, run_agreement, element_matrix, not_done, category_shares, heat_matrix, viewer_legend, node_budget_quota, hash_sample, weighted_sample)}
+QUERIES = {f.__name__: f for f in (presence_matrix, venn_regions, jaccard_matrix, set_coverage, first_wins_dedup, ordered_collect, map_max_merge, top_orders, rank_within, numbered_names, custom_order, carried_over, reconcile_cells, stage_windows, stage_peaks, bucketed_intervals, rolling_cost_model, energy_estimate, enrich_hypergeom, enrich_bh, label_accuracy_ci, macro_accuracy, gate_confusion, verdict_changes, run_agreement, element_matrix, not_done, category_shares, heat_matrix, viewer_legend, node_budget_quota, hash_sample, weighted_sample, stage_maxima, top_values, distinct_counts, group_sizes, column_union)}

@@ -58,8 +58,9 @@ def _run(spark: SparkSession, sf: str, params: Params = PARAMS) -> context.Conte
     return context.run(seeds(spark, sf), nodes(spark, sf), edges(spark, sf), PROFILE, params, SAME)
 
 
-def _und(spark, sf):
+def _und(spark, sf, staged=False):
     e = context.traversable(edges(spark, sf), nodes(spark, sf), seeds(spark, sf), PROFILE, PARAMS, SAME)
+    e = context.stage(e, "traversable") if staged else e
     return e, context.both_ways(e, PROFILE, PARAMS)
 
 
@@ -112,10 +113,11 @@ def ctx_hop1(spark, sf):
     return g.filter("hop > 0").select("seed", "node", "hop", F.round("path_w", 6).alias("path_w"))
 
 
-def _reach(spark, sf, hops, neutral=True):
-    e, und = _und(spark, sf)
+def _reach(spark, sf, hops, neutral=True, deg=None):
+    e, und = _und(spark, sf, True)
     p = Params(hops=hops, representation_hop_neutral=neutral)
-    return context.expand(seeds(spark, sf), nodes(spark, sf), und, context.representation_links(e), context.degrees(edges(spark, sf)), p)
+    deg = context.stage(context.degrees(edges(spark, sf)), "degrees") if deg is None else deg
+    return context.expand(seeds(spark, sf), nodes(spark, sf), und, context.representation_links(e), deg, p)
 
 
 def ctx_hop2_reach(spark, sf):
@@ -137,7 +139,8 @@ def _cols(df):
 
 
 def _scored(spark, sf):
-    return context.score(_reach(spark, sf, 2), nodes(spark, sf), context.degrees(edges(spark, sf)), seeds(spark, sf), PARAMS)
+    deg = context.stage(context.degrees(edges(spark, sf)), "degrees")
+    return context.score(_reach(spark, sf, 2, deg=deg), nodes(spark, sf), deg, seeds(spark, sf), PARAMS)
 
 
 def ctx_scored(spark, sf):
@@ -166,7 +169,7 @@ def ctx_repair_info(spark, sf):
 
 def _kept_parts(spark, sf):
     s = context.stage(_scored(spark, sf), "scored")
-    kept = context.keep(s, context.score_floor(s, PARAMS), PARAMS)
+    kept = context.stage(context.keep(s, context.score_floor(s, PARAMS), PARAMS), "kept")
     present, _ = context.seed_split(seeds(spark, sf), nodes(spark, sf))
     return s, kept, present
 
@@ -174,7 +177,7 @@ def _kept_parts(spark, sf):
 def ctx_connected(spark, sf):
     """G17 on the first kept set."""
     _, kept, present = _kept_parts(spark, sf)
-    _, und = _und(spark, sf)
+    _, und = _und(spark, sf, True)
     ids = kept.select(F.col("node").alias("id")).unionByName(present.select(F.col("seed").alias("id"))).distinct()
     return context.connected(ids, present, und)
 
@@ -193,6 +196,19 @@ def ctx_presence_ranks(spark, sf):
     return found.select("id", "reached", F.coalesce("category", F.lit("")).alias("category"), F.coalesce("hop", none).alias("hop"), F.coalesce("score", none).alias("score"), F.coalesce("rank", none).cast("long").alias("rank"), F.coalesce("of", none).cast("long").alias("category_size"))
 
 
+def ctx_provenance(spark, sf):
+    """A seed's pages are its key and its key mod 3."""
+    _, kept, present = _kept_parts(spark, sf)
+    key = F.split_part("seed", F.lit(":"), F.lit(2)).try_cast("int")
+    p = context.provenance(kept, present.select("seed", F.array(key, key % 3).alias("pages")))
+    return p.select("node", "shared", F.array_join(F.transform("slides", lambda x: x.cast("string")), ";").alias("slides"))
+
+
+def ctx_missing_seeds(spark, sf):
+    """G07"""
+    return context.seed_split(seeds(spark, sf), nodes(spark, sf))[1]
+
+
 def ctx_category_counts(spark, sf):
     _, kept, _ = _kept_parts(spark, sf)
     return context.category_counts(kept)
@@ -329,6 +345,8 @@ ORACLES = {
     "ctx_repair_info": sql("SELECT CASE WHEN count(*) = 0 THEN 1 ELSE 2 END::INT AS passes, true AS converged, count(*)::INT AS nodes_removed FROM islands", "islands"),
     "ctx_induced_edges": sql("SELECT subject, predicate, object, count(*) AS n, round(max(weight), 6) AS weight FROM induced GROUP BY subject, predicate, object", "induced"),
     "ctx_presence_ranks": sql("SELECT 'N:' || n_nationkey AS id, s.rank IS NOT NULL AS reached, coalesce(s.category, '') AS category, coalesce(s.hop, -1) AS hop, coalesce(s.score, -1) AS score, coalesce(s.rank, -1) AS rank, coalesce(s.category_size, -1) AS category_size FROM nation LEFT JOIN (SELECT *, rank() OVER (PARTITION BY category ORDER BY score DESC) AS rank, count(*) OVER (PARTITION BY category) AS category_size FROM scored) s ON s.node = 'N:' || n_nationkey", "scored"),
+    "ctx_provenance": sql("SELECT node, CASE WHEN coverage > 1 THEN 'shared' ELSE 'specific' END AS shared, (SELECT string_agg(p, ';' ORDER BY p::INT) FROM (SELECT DISTINCT unnest([k, (k::INT % 3)::VARCHAR]) AS p FROM (SELECT split_part(unnest(string_split(seeds, ';')), ':', 2) AS k))) AS slides FROM kept", "kept"),
+    "ctx_missing_seeds": sql("SELECT seed, seed_weight FROM seeds WHERE seed NOT IN (SELECT id FROM nodes)", "seeds"),
     "ctx_category_counts": sql("SELECT category, count(*) AS n FROM kept GROUP BY category", "kept"),
     "graph_components": sql("SELECT node, component FROM comp", "comp"),
     "graph_seed_pairs": sql("SELECT (SELECT coalesce(sum(n * (n - 1) // 2), 0) FROM (SELECT count(*) AS n FROM comp WHERE node IN (SELECT seed FROM present) GROUP BY component))::BIGINT AS connected, (SELECT count(*) * (count(*) - 1) // 2 FROM present)::BIGINT AS pairs", "comp"),
@@ -336,4 +354,4 @@ ORACLES = {
     "graph_simple_edges": sql("SELECT a, b, weight, predicate, subject, object FROM simple", "simple"),
     "graph_shortest_path_cost": sql("SELECT node, round(dist, 6) AS dist FROM p4", "p4"),
 }
-QUERIES = {f.__name__: f for f in (kg_degree, kg_degree_stats, kg_top_hubs, kg_edge_weights, kg_traversal_view, kg_filter_reasons, kg_filtered_edges, kg_kept_nodes, ctx_hop1, ctx_hop2_reach, ctx_repr_closure, ctx_hop_counts, ctx_scored, ctx_score_floor, ctx_kept, ctx_connected, ctx_refilled, ctx_repair_info, ctx_induced_edges, ctx_presence_ranks, ctx_category_counts, graph_components, graph_seed_pairs, graph_distances, graph_simple_edges, graph_shortest_path_cost)}
+QUERIES = {f.__name__: f for f in (kg_degree, kg_degree_stats, kg_top_hubs, kg_edge_weights, kg_traversal_view, kg_filter_reasons, kg_filtered_edges, kg_kept_nodes, ctx_hop1, ctx_hop2_reach, ctx_repr_closure, ctx_hop_counts, ctx_scored, ctx_score_floor, ctx_kept, ctx_connected, ctx_refilled, ctx_repair_info, ctx_induced_edges, ctx_presence_ranks, ctx_provenance, ctx_missing_seeds, ctx_category_counts, graph_components, graph_seed_pairs, graph_distances, graph_simple_edges, graph_shortest_path_cost)}

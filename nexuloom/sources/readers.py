@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterable
-from pathlib import Path
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -112,5 +111,10 @@ def edge_counts(spark: SparkSession, folder: str) -> dict[str, int]:
         return {}
 
 
-def exists(path: str) -> bool:
-    return Path(path).exists()
+def has_table(spark: SparkSession, path: str) -> bool:
+    """Whether a path can be read as Parquet, in any store Spark reads."""
+    try:
+        spark.read.parquet(path)
+    except AnalysisException:
+        return False
+    return True

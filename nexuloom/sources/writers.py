@@ -47,7 +47,7 @@ def _bounded(d: DataFrame, most: int) -> list:
 
 def graphml(nodes: DataFrame, edges: DataFrame, path: str, most: int = 200_000) -> None:
     """A kept graph (its size is checked) as GraphML. ``nodes``: id, ...; ``edges``: source, target, ..."""
-    out = ['<?xml version="1.0" encoding="UTF-8"?>', '<graphml xmlns="http://graphml.graphdrafting.org/xmlns">'.replace("graphdrafting", "graphdrawing")]
+    out = ['<?xml version="1.0" encoding="UTF-8"?>', '<graphml xmlns="http://graphml.graphdrawing.org/xmlns">']
     for kind, d in (("node", nodes), ("edge", edges)):
         out += [f'<key id="{kind}_{n}" for="{kind}" attr.name="{escape(n)}" attr.type="string"/>' for n in d.columns if n not in ("id", "source", "target")]
     out.append('<graph edgedefault="directed">')
