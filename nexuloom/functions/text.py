@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import html as _html
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -160,3 +163,32 @@ def strip_tags(html: Column) -> Column:
     """Text of a page: scripts, styles and tags out, white space folded."""
     t = F.regexp_replace(html, r"(?is)<(script|style)[^>]*>.*?</(script|style)>", " ")
     return F.trim(F.regexp_replace(F.regexp_replace(t, r"<[^>]*>", " "), r"\s+", " "))
+
+
+def prompt(template: str, **fields: Column) -> Column:
+    """A text with ``{name}`` fields filled from columns; null fields are empty. What is asked of a model (N13) goes
+    through ``retrieval.once_per``."""
+    parts, at = [], 0
+    for m in re.finditer(r"\{(\w+)\}", template):
+        parts += [F.lit(template[at : m.start()]), F.coalesce(fields[m[1]].cast("string"), F.lit(""))]
+        at = m.end()
+    return F.concat(*parts, F.lit(template[at:]))
+
+
+def markdown_html(text: str) -> str:
+    """Headings, lists, bold, code and paragraphs of a short report."""
+    out, listing = [], False
+    for block in text.split("\n"):
+        line = _html.escape(block.strip(), quote=False)
+        line = re.sub(r"`([^`]+)`", r"<code>\1</code>", re.sub(r"\*\*([^*]+)\*\*", r"<b>\1</b>", line))
+        item, head = re.match(r"[-*] (.*)", line), re.match(r"(#{1,4}) (.*)", line)
+        if listing and not item:
+            out.append("</ul>")
+        if item:
+            out += ["<ul>"] * (not listing) + [f"<li>{item[1]}</li>"]
+        elif head:
+            out.append(f"<h{len(head[1])}>{head[2]}</h{len(head[1])}>")
+        elif line:
+            out.append(f"<p>{line}</p>")
+        listing = bool(item)
+    return "\n".join(out + ["</ul>"] * listing)

@@ -33,7 +33,7 @@ def concept_nodes(nodes: DataFrame, prefixes: list[str], categories: tuple[str,
 
 
 def kept_nodes(nodes: DataFrame, kept_edges: DataFrame) -> DataFrame:
-    """Nodes with an edge left."""
+    """Nodes with an edge left."""
     ends = kept_edges.select(F.explode(F.array("subject", "object")).alias("id")).distinct()
     return nodes.join(ends, "id", "left_semi")
 
@@ -60,7 +60,7 @@ class Tables:
 
 
 def build(node_dump: DataFrame, edge_dump: DataFrame, rules: BuildRules) -> Tables:
-    """One flagged edge table feeds the kept edges, the counters and the predicate codes."""
+    """One flagged edge table feeds the kept edges, the counters and the predicate codes."""
     blank = lambda c: F.coalesce(F.col(c), F.lit(""))
     e = edge_dump.select(*[blank(c).alias(c) for c in ("subject", "object", "predicate", "primary_knowledge_source", "knowledge_level", "agent_type")]).withColumn("predicate", normal_predicate(F.col("predicate")))
     concepts = concept_nodes(node_dump.select("id", "category"), list(rules.concept_prefixes))

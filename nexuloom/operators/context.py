@@ -31,7 +31,7 @@ class Params:
 
 
 def degrees(edges: DataFrame) -> DataFrame:
-    """Undirected degree over all edges; one scan, a self-loop counts twice."""
+    """Undirected degree over all edges; one scan, a self-loop counts twice."""
     return edges.select(F.explode(F.array("subject", "object")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
 
 
@@ -47,7 +47,7 @@ def edge_weight(is_representation: Column, predicate_w: Column, source_w: Column
 
 
 def traversable(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, profile: Profile, params: Params = Params(), representation: Representation | None = None) -> DataFrame:
-    """``subject, object, predicate, weight, source, level, is_repr`` of the edges the profile lets through.
+    """``subject, object, predicate, weight, source, level, is_repr`` of the edges the profile lets through.
 
     The predicate filter runs before the node joins, so edges without weight never shuffle. Nodes are joined by one
     narrow table (id, in scope, seed), once a side.
@@ -94,7 +94,7 @@ def seed_split(seeds: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame
 
 
 def expand(seeds: DataFrame, nodes: DataFrame, und: DataFrame, und_repr: DataFrame, deg: DataFrame, params: Params = Params()) -> DataFrame:
-    """``seed, node, hop, path_w``. A pair keeps the weight of the hop it first appears at; within that hop
+    """``seed, node, hop, path_w``. A pair keeps the weight of the hop it first appears at; within that hop
     the best product counts. Only the rows of the hop before are extended; each hop is staged."""
     present, _ = seed_split(seeds, nodes)
     reach = stage(present.select("seed", F.col("seed").alias("node"), F.lit(0).alias("hop"), F.col("seed_weight").cast("double").alias("path_w")), "reach")
@@ -128,7 +128,7 @@ def per_hop(reach: DataFrame) -> DataFrame:
 
 
 def score(reach: DataFrame, nodes: DataFrame, deg: DataFrame, seeds: DataFrame, params: Params = Params()) -> DataFrame:
-    """``node, name, category, hop, coverage, score, degree, seeds``; seeds and unknown ids are left out."""
+    """``node, name, category, hop, coverage, score, degree, seeds``; seeds and unknown ids are left out."""
     hits = reach.filter("hop > 0").join(seeds.select(F.col("seed").alias("node")), "node", "left_anti")
     agg = hits.groupBy("node").agg(F.min("hop").alias("hop"), F.count(F.lit(1)).alias("coverage"), F.sum("path_w").alias("total"), F.array_sort(F.collect_list("seed")).alias("seeds"))
     d = agg.join(nodes.select(F.col("id").alias("node"), "name", "category"), "node").join(deg, "node", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
@@ -147,7 +147,7 @@ def by_rank() -> list[Column]:
 
 
 def keep(scored: DataFrame, floor: DataFrame, params: Params = Params()) -> DataFrame:
-    """At most so many nodes a category, above the floor of their hop; ties by node."""
+    """At most so many nodes a category, above the floor of their hop; ties by node."""
     over = scored.join(F.broadcast(floor), "hop").filter(F.col("score") >= F.col("thr")).drop("thr")  # one row a hop
     return over.withColumn("rk", F.row_number().over(W.partitionBy("category").orderBy(*by_rank()))).filter(F.col("rk") <= params.per_category_cap).drop("rk").select(*scored.columns)
 
@@ -160,7 +160,7 @@ def connected(kept_ids: DataFrame, seeds: DataFrame, und: DataFrame) -> DataFram
 
 
 def repair(kept: DataFrame, scored: DataFrame, floor: DataFrame, seeds: DataFrame, nodes: DataFrame, und: DataFrame, params: Params = Params()) -> tuple[DataFrame, dict]:
-    """Drop islands, refill the categories from linked candidates, at most so many times.
+    """Drop islands, refill the categories from linked candidates, at most so many times.
 
     A node dropped once never returns. ``converged`` only if a pass drops nothing; that pass counts."""
     present, _ = seed_split(seeds, nodes)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -197,3 +199,32 @@ def distance(a: Column, b: Column) -> Column:
     same = F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)))
     lcp = F.aggregate(same, F.struct(F.lit(0).alias("n"), F.lit(True).alias("go")), lambda s, ok: F.struct((s["n"] + F.when(s["go"] & ok, 1).otherwise(0)).alias("n"), (s["go"] & ok).alias("go")), lambda s: s["n"])
     return F.when(a.isNotNull() & b.isNotNull(), F.size(a) + F.size(b) - 2 * lcp)
+
+
+def indexable(classes: DataFrame) -> DataFrame:
+    """Classes that are neither deprecated nor abstract."""
+    return classes.filter(~F.coalesce("deprecated", F.lit(False)) & ~F.coalesce("abstract", F.lit(False)))
+
+
+def nested(tree: DataFrame, most: int = 20_000) -> str:
+    """The hierarchy as nested JSON; an ontology is small, its size is checked. Names of a cycle are left out."""
+    rows = tree.select("name", "parent").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError("too many classes for one document")
+    kids: dict = {}
+    for r in rows:
+        kids.setdefault(r["parent"], []).append(r["name"])
+
+    def below(name: str) -> dict:
+        return {"name": name, "children": [below(k) for k in sorted(kids.get(name, []))]}
+
+    return json.dumps([below(n) for n in sorted(kids.get(None, []))])
+
+
+def lookup_text(tree: DataFrame, descriptions: DataFrame) -> DataFrame:
+    """What a lookup of a class answers: its description, parent, children and siblings, one text a class."""
+    kinds = {0: "children", 1: "siblings", 2: "parent"}
+    near = neighbours(tree).groupBy("name", "kind").agg(F.array_join(F.array_sort(F.collect_set("other")), ", ").alias("names"))
+    kind = F.element_at(F.create_map(*[x for k, v in kinds.items() for x in (F.lit(k), F.lit(v))]), F.col("kind"))
+    lines = near.groupBy("name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("kind", F.concat(kind, F.lit(": "), F.col("names")).alias("t")))), lambda x: x["t"]), "\n").alias("around"))
+    return descriptions.join(lines, "name", "left").select("name", F.concat_ws("\n", F.concat(F.col("name"), F.lit(": "), F.coalesce("description", F.lit(""))), "around").alias("text"))

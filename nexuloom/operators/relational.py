@@ -177,3 +177,13 @@ def heat_matrix(rows: DataFrame, row: str, column: str, value: str, columns: lis
     for c in columns:
         capped = capped & (F.col(str(c)) >= cap)
     return m.withColumn("total", total).filter((F.col("total") >= least) & ~capped)
+
+
+def wanted(ids: DataFrame, table: DataFrame, key: str = "id") -> DataFrame:
+    """Attributes of a short list of ids from a large table, which is filtered by the list, not indexed."""
+    return table.join(F.broadcast(ids.select(key).distinct()), key)
+
+
+def export_order(kept: DataFrame) -> DataFrame:
+    """By category, best score first; ties by node."""
+    return kept.orderBy("category", F.desc("score"), "node")

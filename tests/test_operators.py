@@ -265,3 +265,30 @@ def test_streaming_degrees(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {r["node"]: r["degree"] for r in spark.table("degrees_now").collect()} == {"a": 3, "b": 1}
+
+
+# ---- the rest -------------------------------------------------------------------------------------------------------
+
+
+def test_small_helpers(spark, tree):
+    assert json.loads(ontology.nested(tree))[0]["children"][0]["name"] == "biological entity"
+    t = {r["name"]: r["text"] for r in ontology.lookup_text(tree, tree.select("name", F.lit("about").alias("description"))).collect()}
+    assert t["gene"] == "gene: about\nsiblings: protein\nparent: biological entity"
+    assert package.ring_order({("a", "b"): 1, ("b", "c"): 5, ("a", "d"): 2}, list("abcd")) == ["b", "c", "a", "d"]
+    assert text.markdown_html("# T\n- **a** <b>\n- c\n\nend `x`") == "<h1>T</h1>\n<ul>\n<li><b>a</b> &lt;b&gt;</li>\n<li>c</li>\n</ul>\n<p>end <code>x</code></p>"
+    assert one(spark, text.prompt("Is {a} a {b}?", a=F.lit("x"), b=F.lit(None).cast("string"))) == ("Is x a ?",)
+    k = spark.createDataFrame([("g", "n1", "c", 2.0, False), ("g", "n2", "c", 1.0, False), ("g", "s", "c", 9.0, True)], "graph string, node string, category string, score double, is_seed boolean")
+    ids = spark.createDataFrame([("n2",)], "id string")
+    assert tuple(evaluate.mechanism_ranks(k, ids).head()) == ("g", "n2", "c", 2, 2)
+    assert [r["node"] for r in relational.export_order(k).collect()] == ["s", "n1", "n2"]
+    assert relational.wanted(ids, k.withColumnRenamed("node", "id")).count() == 1
+    c = spark.createDataFrame([("a", True, False), ("b", None, False)], "name string, deprecated boolean, abstract boolean")
+    assert [r["name"] for r in ontology.indexable(c).collect()] == ["b"]
+    assert [r["x"] for r in evaluate.natural_order(spark.createDataFrame([("10",), ("9",)], "x string"), "x").collect()] == ["9", "10"]
+
+
+def test_weighted_order_favours_weights(spark):
+    d = spark.range(2000).select("id", F.when(F.col("id") < 500, 20).otherwise(0).alias("w"))
+    first = relational.weighted_order(d, "id", "w").orderBy(F.desc("draw")).limit(500).filter("w = 20").count()
+    assert 375 < first <= 500
+    assert relational.weighted_order(d, "id", "w").count() == 2000
