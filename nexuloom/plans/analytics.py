@@ -296,7 +296,7 @@ ORACLES = {
     "stage_peaks": f"WITH {_STAGES} SELECT e.user_id, s.event_id, max(e.value) AS peak, count(*) AS n FROM events e JOIN stages s ON s.user_id = e.user_id AND e.ts BETWEEN s.t0 AND s.t1 WHERE e.event_type <> 'signup' GROUP BY 1, 2",
     "bucketed_intervals": "SELECT event_id, d AS day FROM events, range(30) r(d) WHERE ts BETWEEN TIMESTAMP '2024-01-01' + d * INTERVAL 1 DAY AND TIMESTAMP '2024-01-01 01:00:00' + d * INTERVAL 1 DAY",
     "rolling_cost_model": "SELECT user_id, round(quantile_cont(value, 0.5), 6) AS median FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r <= 10 GROUP BY user_id",
-    "energy_estimate": f"SELECT event_type, watts, region, round(sum(value) * watts / 3.6e6, 6) AS kwh, round(sum(value) * watts / 3.6e6 * g, 4) AS g_co2 FROM events, (VALUES {', '.join(str(x) for x in ASSUMED)}) a(watts, region, g) GROUP BY event_type, watts, region, g",
+    "energy_estimate": f"SELECT event_type, watts::DOUBLE AS watts, region, round(sum(value) * watts / 3.6e6, 6) AS kwh, round(sum(value) * watts / 3.6e6 * g, 4) AS g_co2 FROM events, (VALUES {', '.join(str(x) for x in ASSUMED)}) a(watts, region, g) GROUP BY event_type, watts, region, g",
     "enrich_hypergeom": f"WITH {_hyper()} SELECT term, term_size, overlap, round({_sig('p')}, 9) AS p_value FROM f",
     "enrich_bh": f"WITH {_hyper()} SELECT term, round({_sig('fdr')}, 9) AS fdr FROM f",
     "label_accuracy_ci": "SELECT source, count(*) AS n, round(avg(ok::INT), 6) AS accuracy, round(1.96 * sqrt(avg(ok::INT) * (1 - avg(ok::INT)) / count(*)), 6) AS half_width FROM (SELECT source, CASE WHEN n_chars > 1000 THEN quality = 1 ELSE quality = 0 OR toxic = 1 END AS ok FROM documents JOIN labels USING (doc_id) WHERE doc_id % 11 <> 0) GROUP BY source",

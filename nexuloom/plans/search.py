@@ -178,22 +178,23 @@ def existence_gate(spark, sf):
 
 def doc_counts(spark, sf):
     """E16"""
-    return _docs(spark, sf).select("doc", *text.text_counts(F.col("text"), "[0-9]+"))
+    d = _docs(spark, sf).select("doc", *text.text_counts(F.col("text"), "[0-9]+"))
+    return d.select("doc", *[F.col(c).cast("long").alias(c) for c in d.columns[1:]])
 
 
 def sentence_counts(spark, sf):
     """N01"""
-    return _docs(spark, sf).select("doc", F.size(text.sentences(F.col("text"))).alias("n"))
+    return _docs(spark, sf).select("doc", F.size(text.sentences(F.col("text"))).cast("long").alias("n"))
 
 
 def page_tag_strip(spark, sf):
-    return table(spark, sf, "pages").select("page_id", F.length(text.strip_tags(F.col("html"))).alias("n"))
+    return table(spark, sf, "pages").select("page_id", F.length(text.strip_tags(F.col("html"))).cast("long").alias("n"))
 
 
 def token_sets(spark, sf):
     """R02"""
     t = text.tokens(F.col("text"))
-    return _docs(spark, sf).select("doc", F.size(t).alias("n"))
+    return _docs(spark, sf).select("doc", F.size(t).cast("long").alias("n"))
 
 
 def usable_names(spark, sf):
