@@ -10,9 +10,11 @@ task; each contender carries the prefix it is known to share with the last winne
 looked at. The shared prefixes of the merged order say, for each offset of the anchor in a string, which strings are
 equal; all but the earliest of these are removed.
 
-A frequent gram is dealt by whole strings instead (each string of its anchors is a suffix of its own, dealt by its
-bytes), so that no task holds all of it, and skips the count. Which grams are frequent is read off a bounded sample of
-documents; it decides the way an anchor takes, never the result.
+Grams that are frequent in a bounded sample of documents rank behind all others, so they are anchors only of strings
+that hold no other gram: the inside of passages that many documents share, which are few *different* strings. Such
+anchors skip the count, and equal suffixes of a map task are one entry of its run (all but the earliest are known to
+repeat and go to their documents at once), so no task holds a frequent gram's occurrences. The sample decides the way
+an anchor takes, never the result.
 
 Defined cases: null text is empty; texts shorter than ``length`` lose nothing; rows of one id are separate documents,
 ordered by a hash of the text, and null ids come first; an empty table gives an empty result; other columns are ignored.
@@ -21,6 +23,7 @@ ordered by a hash of the text, and null ids come first; an empty table gives an
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,17 +53,34 @@ def _powers(n: int, cache: dict = {}) -> tuple[np.ndarray, np.ndarray]:  # noqa:
     return cache["up"], cache["down"]
 
 
-def anchors(raw: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash and place of each anchor, and the least and greatest offset of it in the strings it stands for."""
-    out = [_anchors(raw[a : a + SEGMENT + length - 1], length, a) for a in range(0, max(1, len(raw) - length + 1), SEGMENT)]
+class Frequent:
+    """A set of gram hashes; most others are told apart by one look into a table of bits."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = np.sort(hashes.view(np.uint64))
+        self.seen = np.zeros(1 << 22, bool)
+        self.seen[(self.hashes >> np.uint64(42)).astype(np.int64)] = True
+
+    def __call__(self, h: np.ndarray) -> np.ndarray:
+        out = self.seen[(h >> np.uint64(42)).astype(np.int64)]
+        some = np.flatnonzero(out)
+        if len(some):
+            at = np.minimum(np.searchsorted(self.hashes, h[some]), len(self.hashes) - 1)
+            out[some] = self.hashes[at] == h[some]
+        return out
+
+
+def anchors(raw: bytes, length: int, frequent: Frequent | None = None) -> tuple[np.ndarray, ...]:
+    """Hash and place of each anchor, the least and greatest offset of it in the strings it stands for, and whether its
+    gram is frequent."""
+    out = [_anchors(raw[a : a + SEGMENT + length - 1], length, a, frequent) for a in range(0, max(1, len(raw) - length + 1), SEGMENT)]
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def _anchors(raw: bytes, length: int, shift: int):
+def gram_hashes(raw: bytes) -> np.ndarray:
+    """Hash of the gram at each place."""
     n = len(raw)
-    if n < length:
-        return (np.zeros(0, np.int64),) * 4
-    up, down = _powers(min(SEGMENT + length, max(n, 1 << 17)))
+    up, down = _powers(max(n, 1 << 17))
     with np.errstate(over="ignore"):
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum((np.frombuffer(raw, np.uint8).astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
@@ -68,61 +88,75 @@ def _anchors(raw: bytes, length: int, shift: int):
         h ^= h >> np.uint64(29)
         h *= np.uint64(0xBF58476D1CE4E5B9)
         h ^= h >> np.uint64(32)
+    return h
+
+
+def _anchors(raw: bytes, length: int, shift: int, frequent: Frequent | None):
+    if len(raw) < length:
+        return (np.zeros(0, np.int64),) * 5
+    h = gram_hashes(raw)
     # sliding minimum of (hash, place) over w grams, by running minima of blocks from both sides
     w, m = length - GRAM + 1, len(h)
     low = np.uint64((1 << 24) - 1)
-    key = (h & ~low) | np.arange(m, dtype=np.uint64)
+    rank = h >> np.uint64(1)
+    if frequent is not None and len(frequent.hashes):
+        rank |= frequent(h).astype(np.uint64) << np.uint64(63)
+    key = (rank & ~low) | np.arange(m, dtype=np.uint64)
     blocks = -(-m // w)
     grid = np.full(blocks * w, ~np.uint64(0), np.uint64)
     grid[:m] = key
     grid = grid.reshape(blocks, w)
     ahead = np.minimum.accumulate(grid, axis=1).ravel()
     behind = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
-    place = (np.minimum(behind[: m - w + 1], ahead[w - 1 : m]) & low).astype(np.int64)
+    least = np.minimum(behind[: m - w + 1], ahead[w - 1 : m])
+    place = (least & low).astype(np.int64)
     new = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
     last = np.r_[new[1:], len(place)] - 1
     p = place[new]
-    return h[p].view(np.int64), p + shift, p - last, p - new
+    return h[p].view(np.int64), p + shift, p - last, p - new, (least[new] >> np.uint64(63)).astype(np.int64)
 
 
-def _emit_anchors(length: int, frequent: np.ndarray):
+def _emit_anchors(length: int, hashes: np.ndarray):
     """Rows ``h, doc, at``; ``at`` packs place, offsets and, in its last bit, whether the gram is frequent. Anchors of
     frequent grams have a key of their own in place of ``h``: they need no count."""
 
-    def frame(h: list, doc: list, at: list) -> pd.DataFrame:
-        h, doc, at = np.concatenate(h), np.concatenate(doc), np.concatenate(at) << 1
-        if len(frequent):
-            hot = frequent[np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)] == h
-            h = np.where(hot, (doc * 0x2545F491 + at) ^ h, h)
-            at |= hot
-        return pd.DataFrame({"h": h, "doc": doc, "at": at})
+    def frame(parts: list) -> pd.DataFrame:
+        h, p, lo, hi, hot, doc = (np.concatenate(x) for x in zip(*parts))
+        at = p << 15 | lo << 8 | hi << 1 | hot
+        return pd.DataFrame({"h": np.where(hot == 1, (doc * 0x2545F491 + at) ^ h, h), "doc": doc, "at": at})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        frequent = Frequent(hashes)
         for b in batches:
-            h, doc, packed, size = [], [], [], 0
+            held, size = [], 0
             for d, text in zip(b["doc"], b["text"]):
-                a, p, lo, hi = anchors(text.encode("utf-8"), length)
-                h.append(a)
-                doc.append(np.full(len(a), d, np.int64))
-                packed.append(p << 14 | lo << 7 | hi)
-                size += len(a)
+                a = anchors(text.encode("utf-8"), length, frequent)
+                held.append((*a, np.full(len(a[0]), d, np.int64)))
+                size += len(a[0])
                 if size > 200_000:
-                    yield frame(h, doc, packed)
-                    h, doc, packed, size = [], [], [], 0
+                    yield frame(held)
+                    held, size = [], 0
             if size:
-                yield frame(h, doc, packed)
+                yield frame(held)
 
     return run
 
 
-def frequent_grams(rows: DataFrame, length: int, sample: int, share: float) -> np.ndarray:
-    """Anchor grams in at least ``share`` of a sample of ``sample`` documents, sorted. Their number is at most the
-    sample's anchors divided by ``share * sample``."""
+def _count_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        for text in b["text"]:
+            raw = text.encode("utf-8")
+            for lo in range(0, len(raw) - GRAM + 1, SEGMENT):
+                h, n = np.unique(gram_hashes(raw[lo : lo + SEGMENT + GRAM - 1]), return_counts=True)
+                yield pd.DataFrame({"h": h.view(np.int64), "n": n})
+
+
+def frequent_grams(rows: DataFrame, sample: int, share: float) -> np.ndarray:
+    """Grams that occur at least ``share * sample`` times in a sample of ``sample`` documents."""
     chosen = rows.select("doc").orderBy(F.xxhash64("doc"), "doc").limit(sample).withColumnRenamed("doc", "pick")
-    texts = rows.join(F.broadcast(chosen), F.col("doc") == F.col("pick"), "left_semi")
-    found = texts.filter(F.octet_length("text") >= length).mapInPandas(_emit_anchors(length, np.zeros(0, np.int64)), "h long, doc long, at long")
-    n = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= max(2.0, share * sample)).select("h").toPandas()
-    return np.sort(n["h"].to_numpy(np.int64))
+    texts = rows.join(F.broadcast(chosen), F.col("doc") == F.col("pick"), "left_semi").filter(F.octet_length("text") >= GRAM)
+    n = texts.mapInPandas(_count_grams, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    return n.filter(F.col("n") >= max(2.0, share * sample)).select("h").toPandas()["h"].to_numpy(np.int64)
 
 
 def shared_prefix(a: bytes, b: bytes, known: int) -> int:
@@ -150,34 +184,27 @@ def front_code(keys: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
     return shared, rest
 
 
-def pack_run(held: dict[bytes, list[tuple[int, int]]]) -> bytes:
-    """A front-coded run: keys in order, each with its occurrences (document, place), the earliest first."""
+def pack_run(held: dict[bytes, tuple[int, int]]) -> bytes:
+    """A front-coded run: keys in order, each with its earliest document and place."""
     keys = sorted(held)
     shared, rest = front_code(keys)
-    seen = [sorted(held[k]) for k in keys]
-    flat = np.array([o for s in seen for o in s], np.int64).reshape(-1, 2)
-    head = np.array([len(keys), len(flat), sum(map(len, rest))], "<u8")
-    return head.tobytes() + shared.tobytes() + np.array([len(r) for r in rest], np.uint8).tobytes() + np.array([len(s) for s in seen], "<u4").tobytes() + flat[:, 0].astype("<i8").tobytes() + flat[:, 1].astype("<i8").tobytes() + b"".join(rest)
-
-
-def open_run(raw: bytes) -> Iterator[tuple[int, bytes, np.ndarray, np.ndarray]]:
-    """Entries of a run: shared prefix with the entry before, key, documents and places."""
-    n, m, _ = map(int, np.frombuffer(raw, "<u8", 3))
-    at = 24
-    shared = raw[at : at + n]
-    sizes = raw[at + n : at + 2 * n]
-    counts = np.frombuffer(raw, "<u4", n, at + 2 * n).tolist()
-    docs = np.frombuffer(raw, "<i8", m, at + 6 * n)
-    places = np.frombuffer(raw, "<i8", m, at + 6 * n + 8 * m)
-    pos, o, key = at + 6 * n + 16 * m, 0, b""
+    at = np.array([held[k] for k in keys], np.int64).reshape(-1, 2)
+    return np.array([len(keys)], "<u8").tobytes() + shared.tobytes() + np.array([len(r) for r in rest], np.uint8).tobytes() + at.astype("<i8").tobytes() + b"".join(rest)
+
+
+def open_run(raw: bytes) -> Iterator[tuple[int, bytes, int, int]]:
+    """Entries of a run: shared prefix with the entry before, key, document and place."""
+    n = int(np.frombuffer(raw, "<u8", 1)[0])
+    shared, sizes = raw[8 : 8 + n], raw[8 + n : 8 + 2 * n]
+    at = np.frombuffer(raw, "<i8", 2 * n, 8 + 2 * n).reshape(-1, 2).tolist()
+    pos, key = 8 + 18 * n, b""
     for i in range(n):
         key = key[: shared[i]] + raw[pos : pos + sizes[i]]
-        yield shared[i], key, docs[o : o + counts[i]], places[o : o + counts[i]]
+        yield shared[i], key, *at[i]
         pos += sizes[i]
-        o += counts[i]
 
 
-def merge_runs(runs: list[Iterator]) -> Iterator[tuple[int, bytes, np.ndarray, np.ndarray]]:
+def merge_runs(runs: list[Iterator]) -> Iterator[tuple[int, bytes, int, int]]:
     """Entries of all runs in order, each with the prefix it shares with the entry before it in that order.
 
     A loser tree in which a contender's known prefix is the one it shares with the last winner. Of two contenders the
@@ -225,33 +252,25 @@ def merge_runs(runs: list[Iterator]) -> Iterator[tuple[int, bytes, np.ndarray, n
             i //= 2
 
 
-def repeats(entries: Iterator[tuple[int, bytes, np.ndarray, np.ndarray]], length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def repeats(entries: Iterator[tuple[int, bytes, int, int]], length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Merged entries -> (documents, starts, ends) of removed bytes."""
-    shared, keys, docs, places, rest = [], [], [], [], []
+    shared, keys, where, rest = [], [], [], []
     for n, key, d, p in entries:
-        if keys and n == len(key) == len(keys[-1]):  # the same key from another run
-            if (d[0], p[0]) < (docs[-1], places[-1]):
-                rest.append((len(keys) - 1, np.array([docs[-1]]), np.array([places[-1]])))
-                docs[-1], places[-1] = int(d[0]), int(p[0])
-                d, p = d[1:], p[1:]
-            if len(d):
-                rest.append((len(keys) - 1, d, p))
-            continue
-        shared.append(n)
-        keys.append(key)
-        docs.append(int(d[0]))
-        places.append(int(p[0]))
-        if len(d) > 1:
-            rest.append((len(keys) - 1, d[1:], p[1:]))
+        if keys and n == len(key) == len(keys[-1]):  # the same key from another run: the earlier one stays
+            rest.append((len(keys) - 1, *max((d, p), where[-1])))
+            where[-1] = min((d, p), where[-1])
+        else:
+            shared.append(n)
+            keys.append(key)
+            where.append((d, p))
     if not keys:
         return
     right = np.array([k.index(STOP) for k in keys], np.int64)
     total = np.array([len(k) for k in keys], np.int64)
     low, high = length - right, total - right - 1  # offsets of the anchor in the strings of the key
-    doc, place = np.array(docs, np.int64), np.array(places, np.int64)
+    doc, place = np.array(where, np.int64).T
     if rest:
-        which = np.repeat([i for i, _, _ in rest], [len(d) for _, d, _ in rest])
-        d, p = np.concatenate([d for _, d, _ in rest]), np.concatenate([p for _, _, p in rest])
+        which, d, p = np.array(rest, np.int64).T
         yield d, p - high[which], p - low[which] + length
     share = np.minimum(np.array(shared, np.int64), np.minimum(right, np.r_[0, right[:-1]]))
     left = [k[r + 1 :] for k, r in zip(keys, right.tolist())]
@@ -281,49 +300,57 @@ def repeats(entries: Iterator[tuple[int, bytes, np.ndarray, np.ndarray]], length
 
 
 def _build_runs(length: int, parts: int, at_once: int = 150_000):
+    """Rows ``part, run, sure``: runs, and the spans of suffixes that are equal to an earlier one of the same task."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[int, dict[bytes, list]] = {}
-        size, opened = 0, zstandard.ZstdDecompressor().decompress
+        opened, press = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=3).compress
+        held: dict[int, dict[bytes, tuple[int, int]]] = {}
+        sure: list[tuple[int, int]] = []
+        size = 0
 
         def flush():
-            return pd.DataFrame({"part": list(held), "run": [pack_run(x) for x in held.values()]})
+            rows = [(k, press(pack_run(x)), False) for k, x in held.items()]
+            if sure:
+                rows.append((zlib.crc32(b"%d" % sure[0][0]) % parts, press(np.array(sure, "<i8").tobytes()), True))
+            return pd.DataFrame(rows, columns=["part", "run", "sure"])
 
         for b in batches:
             for d, z, cand in zip(b["doc"], b["z"], b["cand"]):
                 raw = opened(z)
                 for c in cand.tolist():
-                    hot, at = c & 1, c >> 1
-                    p, lo, hi = at >> 14, at >> 7 & 127, at & 127
-                    for a, z in [(o, o) for o in range(lo, hi + 1)] if hot else [(lo, hi)]:
-                        right = raw[p : p + length - a]
-                        key = right + STOP + raw[p - z : p][::-1]
-                        seed = hash_bytes(key) if hot else hash_bytes(right[:GRAM])
-                        held.setdefault(seed % parts, {}).setdefault(key, []).append((d, p))
-                        size += 1
-                if size >= at_once:
-                    yield flush()
-                    held, size = {}, 0
+                    p, lo, hi = c >> 15, c >> 8 & 127, c >> 1 & 127
+                    right = raw[p : p + length - lo]
+                    key = right + STOP + raw[p - hi : p][::-1]
+                    mine = held.setdefault(zlib.crc32(right[:GRAM]) % parts, {})
+                    have = mine.get(key)
+                    if have is None:
+                        mine[key] = (d, p)
+                    else:
+                        mine[key], (e, q) = ((d, p), have) if (d, p) < have else (have, (d, p))
+                        sure.append((e, (q - hi) << 32 | (q - lo + length)))
+                size += len(cand)
+            if size >= at_once:
+                yield flush()
+                held, sure, size = {}, [], 0
         if size:
             yield flush()
 
     return run
 
 
-def hash_bytes(b: bytes) -> int:
-    import zlib
-
-    return zlib.crc32(b)
-
-
 def _merge_parts(length: int):
     def close(runs: list[bytes]) -> Iterator[pd.DataFrame]:
         for d, a, z in repeats(merge_runs([open_run(r) for r in runs]), length):
             yield pd.DataFrame({"doc": d, "span": a << 32 | z})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part, held = None, []
+        part, held, opened = None, [], zstandard.ZstdDecompressor().decompress
         for b in batches:
-            for p, r in zip(b["part"], b["run"]):
+            for p, r, sure in zip(b["part"], map(opened, b["run"]), b["sure"]):
+                if sure:
+                    d, span = np.frombuffer(r, "<i8").reshape(-1, 2).T
+                    yield pd.DataFrame({"doc": d, "span": span})
+                    continue
                 if held and p != part:
                     yield from close(held)
                     held = []
@@ -369,7 +396,7 @@ def _finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, sample: int = 20_000, share: float = 0.005, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 100, sample: int = 2_000, share: float = 0.02, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of every document."""
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     ids = d.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("ids")).head()
@@ -381,13 +408,13 @@ def remove_repeats(docs: DataFrame, length: int = 100, sample: int = 20_000, sha
         d = stage(d.withColumn("doc", F.monotonically_increasing_id()), "suffix-numbered")
     parts = int(d.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = d.select("doc", "text")
-    frequent = frequent_grams(rows, length, sample, share)
+    frequent = frequent_grams(rows, sample, share)
     found = rows.filter(F.octet_length("text") >= length).mapInPandas(_emit_anchors(length, frequent), "h long, doc long, at long")
     again = found.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("h"))).filter("n > 1 OR (at & 1) = 1")
     cand = again.groupBy("doc").agg(F.collect_list("at").alias("cand")).withColumnRenamed("doc", "c_doc")
     small = rows.mapInPandas(_squeeze, "doc long, z binary")
     texts = small.join(cand.hint("merge"), F.col("doc") == F.col("c_doc")).select("doc", "z", "cand")
-    runs = texts.mapInPandas(_build_runs(length, parts), "part int, run binary")
+    runs = texts.mapInPandas(_build_runs(length, parts), "part int, run binary, sure boolean")
     spans = runs.repartition(parts, "part").sortWithinPartitions("part").mapInPandas(_merge_parts(length), "doc long, span long")
     spans = spans.groupBy("doc").agg(F.collect_list("span").alias("spans")).withColumnRenamed("doc", "s_doc")
     out = small.join(spans.hint("merge"), F.col("doc") == F.col("s_doc"), "left").select("doc", "z", "spans").mapInPandas(_finish, RESULT)

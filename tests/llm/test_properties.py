@@ -27,10 +27,11 @@ def test_fingerprint_and_escapes(text):
 
 
 @settings(max_examples=100, deadline=None)
-@given(st.text("ab", min_size=90, max_size=400), st.integers(1, 300))
-def test_each_string_has_one_anchor_at_its_offset(text, at):
+@given(st.text("ab", min_size=90, max_size=400), st.integers(1, 300), st.booleans())
+def test_each_string_has_one_anchor_at_its_offset(text, at, some):
     raw = (text + text[:at] + text).encode()
-    _, place, low, high = suffix.anchors(raw, 100)
+    frequent = suffix.Frequent(suffix.gram_hashes(raw)[: at if some else 0].view(np.int64)) if len(raw) >= suffix.GRAM else None
+    _, place, low, high, _ = suffix.anchors(raw, 100, frequent)
     where = {}
     for p, a, z in zip(place.tolist(), low.tolist(), high.tolist()):
         for o in range(a, z + 1):
