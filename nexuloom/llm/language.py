@@ -67,11 +67,10 @@ def _counted(bits: int):
 def train(docs: DataFrame, learn: Column, bits: int = 14, rows_a_language: int = 1500, alpha: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
     """Languages in order and the matrix ``2**bits x languages`` of log probabilities."""
     usable = docs.filter(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    # the first rows of each of 64 parts of a language, then of these: no task holds a language
-    ids = usable.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col)).alias("h")).withColumn("part", F.pmod("h", F.lit(64)))
-    for by in (("lang", "part"), ("lang",)):
-        ids = ids.withColumn("r", F.row_number().over(W.partitionBy(*by).orderBy("h", "id"))).filter(F.col("r") <= rows_a_language).drop("r")
-    chosen = ids.select("id").distinct()
+    # the first rows of each of 64 parts of a language: no task holds a language
+    ids = usable.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col)).alias("h")).withColumn("part", F.pmod(F.col("h"), F.lit(64)))
+    first = F.row_number().over(W.partitionBy("lang", "part").orderBy("h", "id"))
+    chosen = ids.withColumn("r", first).filter(F.col("r") <= -(-rows_a_language // 64)).select("id").distinct()
     sample = usable.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id", "left_semi")  # at most rows_a_language ids a language
     counts = sample.select("lang", "text").mapInPandas(_counted(bits), "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(counts["lang"].unique())
