@@ -63,7 +63,7 @@ def traversable(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, profile: P
     if params.exclude_prediction_edges:
         e = e.filter(F.col("level") != "prediction")
     e = e.filter(profile.allowed(F.col("predicate"), F.col("subject"), F.col("object")))
-    if profile.categories:
+    if any(w <= 0 for w in profile.categories.values()):  # a category without a weight is in scope
         scope = nodes.join(lookup(spark, profile.categories, "category", "wc"), "category", "left").select("id", (F.coalesce("wc", F.lit(1.0)) > 0).alias("inside"))
         out = scope.filter(~F.col("inside")).select("id").join(seeds.select(F.col("seed").alias("id")), "id", "left_anti")  # P02: an end out of scope is let through only if it is a seed
         for side in ("subject", "object"):

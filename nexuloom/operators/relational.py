@@ -77,15 +77,22 @@ def token_blocked_match(gold: DataFrame, mentions: DataFrame, gold_text: str, me
 
 
 def theta_match(gold: DataFrame, mentions: DataFrame, gold_text: str, mention_text: str, most: int = 20_000) -> DataFrame:
-    """J18 in full, containment within words included: the gold list is short by nature; its size is checked and it is
-    broadcast against all mentions."""
+    """J18 in full: ``status`` of pairs where one text contains the other, or all tokens of one are among the other's.
+
+    Containment within words needs every pair, so the gold list, short by nature and checked, is broadcast and only the
+    two substring tests run on pairs. A token subset is found by equi-joins: its longest token must be in the other."""
     if gold.limit(most + 1).count() > most:
         raise ValueError("a gold list of this size needs token_blocked_match")
-    t = lambda c: F.filter(F.split(c, r"\W+"), lambda x: x != "")
-    g, m = F.col(gold_text), F.col(mention_text)
-    subset = (F.size(t(gold_text)) > 0) & (F.size(t(mention_text)) > 0) & ((F.size(F.array_except(t(gold_text), t(mention_text))) == 0) | (F.size(F.array_except(t(mention_text), t(gold_text))) == 0))
-    cond = (g != "") & (m != "") & (m.contains(g) | g.contains(m) | subset)
-    return mentions.join(F.broadcast(gold), cond).withColumn("status", F.when(g == m, "exact").otherwise("partial"))
+    words = lambda c: F.array_distinct(F.filter(F.split(c, r"\W+"), lambda x: x != ""))
+    longest = lambda c: F.array_max(F.transform(c, lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
+    keys = [*mentions.columns, *gold.columns]
+    g = gold.filter(F.col(gold_text) != "").withColumn("__gt", words(gold_text))
+    m = mentions.filter(F.col(mention_text) != "").withColumn("__mt", words(mention_text))
+    inside = m.select(*mentions.columns).join(F.broadcast(g.select(*gold.columns)), F.col(mention_text).contains(F.col(gold_text)) | F.col(gold_text).contains(F.col(mention_text))).select(*keys)
+    in_mention = m.withColumn("__t", F.explode("__mt")).join(g.withColumn("__t", longest(F.col("__gt"))), "__t").filter(F.size(F.array_except("__gt", "__mt")) == 0).select(*keys)
+    in_gold = g.withColumn("__t", F.explode("__gt")).join(m.withColumn("__t", longest(F.col("__mt"))), "__t").filter(F.size(F.array_except("__mt", "__gt")) == 0).select(*keys)
+    pairs = inside.unionByName(in_mention).unionByName(in_gold).dropDuplicates()
+    return pairs.withColumn("status", F.when(F.col(gold_text) == F.col(mention_text), "exact").otherwise("partial"))
 
 
 def cognate_match(forms: Column, tokens: Column) -> Column:
