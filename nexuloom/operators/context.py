@@ -53,7 +53,7 @@ def traversable(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, profile: P
     narrow table (id, in scope, seed), once a side.
     """
     spark = edges.sparkSession
-    representation = representation or Representation.biomedical()
+    representation = representation or Representation.of_identifiers()
     is_repr = representation.column(F.col("predicate"), F.col("subject"), F.col("object"))
     e = edges.select("subject", "object", "predicate", "source", "level", is_repr.alias("is_repr"))
     e = e.join(lookup(spark, profile.predicates, "predicate", "wp"), "predicate", "left").filter(F.col("is_repr") | (F.col("wp") > 0))

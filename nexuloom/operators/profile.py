@@ -24,7 +24,7 @@ class Representation:
     rules: dict[str, tuple[tuple[str, ...], tuple[str, ...]]]
 
     @classmethod
-    def biomedical(cls) -> Representation:
+    def of_identifiers(cls) -> Representation:
         both = {p: (IDENTITY_PREFIXES, IDENTITY_PREFIXES) for p in REPRESENTATION}
         return cls(both | {"biolink:has_part": (GENE_PREFIXES, TARGET_PREFIXES), "biolink:part_of": (TARGET_PREFIXES, GENE_PREFIXES)})
 
