@@ -17,9 +17,9 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one of the smallest id. Six bits, not three, so that most
-    texts that share 80 % of their five-word shingles link."""
-    return packed(simhash.one_of_each(docs, most=NEAR_BITS))
+    """One document of each group of near copies stays: the one of the smallest id. Fingerprints within six bits are
+    candidates; a link is a pair that shares 80 % of its five-word shingles."""
+    return packed(simhash.one_of_similar(docs, most=NEAR_BITS))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

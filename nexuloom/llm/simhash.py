@@ -114,12 +114,10 @@ def unite(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             root[:] = up
 
 
-def linked(fp: np.ndarray, group: np.ndarray, most: int, pairs_at_once: int = 40_000) -> np.ndarray:
-    """For fingerprints sorted by group and Gray rank: the place of each one's root among the links of its group."""
-    n = len(fp)
-    root = np.arange(n)
+def _tree(fp: np.ndarray, group: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray], np.ndarray]:
+    """Shared bits and their masks by level, where each node's members begin, and the nodes of the top level."""
     # levels[0] are the fingerprints; a node of level k + 1 is a run of up to FAN nodes of level k within a group
-    common, mask, own = [fp], [np.full(n, ~np.uint64(0))], [group]
+    common, mask, own = [fp], [np.full(len(fp), ~np.uint64(0))], [group]
     first = []
     while True:
         g = own[-1]
@@ -135,9 +133,15 @@ def linked(fp: np.ndarray, group: np.ndarray, most: int, pairs_at_once: int = 40
         common.append(both_and & m)
         mask.append(m)
         own.append(g[start])
+    return common, mask, first, np.arange(len(own[-1]))
+
+
+def linked(fp: np.ndarray, group: np.ndarray, most: int, pairs_at_once: int = 40_000) -> np.ndarray:
+    """For fingerprints sorted by group and Gray rank: the place of each one's root among the links of its group."""
+    root = np.arange(len(fp))
+    common, mask, first, nodes = _tree(fp, group)
     top = len(first)
     grid_a, grid_b = (x.ravel() for x in np.meshgrid(np.arange(FAN), np.arange(FAN), indexing="ij"))
-    nodes = np.arange(len(own[top]))
     todo = [(top, nodes[i : i + pairs_at_once], nodes[i : i + pairs_at_once]) for i in range(0, len(nodes), pairs_at_once)]
     while todo:
         level, a, b = todo.pop()
@@ -161,6 +165,60 @@ def linked(fp: np.ndarray, group: np.ndarray, most: int, pairs_at_once: int = 40
     return root
 
 
+def near_pairs(fp: np.ndarray, group: np.ndarray, label: np.ndarray, most: int, enough: int, pairs_at_once: int = 4_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of places of one group and two labels that differ in at most ``most`` bits, and the groups not gone through.
+
+    A member that has ``enough`` pairs takes no more of them; its group is then among the last, to be asked again with
+    the labels that the pairs gave."""
+    common, mask, first, nodes = _tree(fp, group)
+    grid_a, grid_b = (x.ravel() for x in np.meshgrid(np.arange(FAN), np.arange(FAN), indexing="ij"))
+    spans = [_span(label, first, k) for k in range(len(first) + 1)]
+    places = [np.arange(len(fp))]
+    for f in first:
+        places.append(places[-1][f[:-1]])
+    count, unfinished, out = np.zeros(len(fp), np.int64), [np.zeros(0, group.dtype)], []
+    todo = [(len(first), nodes[i : i + pairs_at_once], nodes[i : i + pairs_at_once]) for i in range(0, len(nodes), pairs_at_once)]
+    while todo:
+        level, a, b = todo.pop()
+        least = count
+        for f in first[:level]:
+            least = np.minimum.reduceat(least, f[:-1])
+        full = (least[a] >= enough) | (least[b] >= enough)
+        unfinished.append(np.unique(group[places[level][a[full]]]))
+        a, b = a[~full], b[~full]
+        start, below = first[level - 1], level - 1
+        i, j = start[a][:, None] + grid_a, start[b][:, None] + grid_b
+        ok = (i < start[a + 1][:, None]) & (j < start[b + 1][:, None]) & ((i < j) if level == 1 else (i <= j))
+        i, j = i[ok], j[ok]
+        low, high = spans[below]
+        near = np.bitwise_count((common[below][i] ^ common[below][j]) & mask[below][i] & mask[below][j]) <= most
+        near &= ~((low[i] == high[i]) & (low[j] == high[j]) & (low[i] == low[j]))
+        i, j = i[near], j[near]
+        if below == 0:
+            free = (count[i] + _nth(i) < enough) & (count[j] + _nth(j) < enough)
+            unfinished.append(np.unique(group[i[~free]]))
+            i, j = i[free], j[free]
+            np.add.at(count, i, 1)
+            np.add.at(count, j, 1)
+            out.append((i, j))
+            continue
+        same = i == j
+        for x, y in ((i[~same], j[~same]), (i[same], j[same])):  # close kin are opened first
+            todo += [(below, x[k : k + pairs_at_once], y[k : k + pairs_at_once]) for k in range(0, len(x), pairs_at_once)]
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *(x for x, _ in out)]), np.concatenate([none, *(y for _, y in out)]), np.unique(np.concatenate(unfinished))
+
+
+def _nth(x: np.ndarray) -> np.ndarray:
+    """How many equal entries stand before each."""
+    order = np.argsort(x, kind="stable")
+    s = x[order]
+    edge = np.flatnonzero(np.r_[True, s[1:] != s[:-1]][: len(s)])
+    out = np.empty(len(x), np.int64)
+    out[order] = np.arange(len(x)) - np.repeat(edge, np.diff(np.r_[edge, len(x)]))
+    return out
+
+
 def _span(root: np.ndarray, first: list[np.ndarray], level: int) -> tuple[np.ndarray, np.ndarray]:
     low = high = root
     for k in range(level):
@@ -168,18 +226,46 @@ def _span(root: np.ndarray, first: list[np.ndarray], level: int) -> tuple[np.nda
     return low, high
 
 
-def _bucket_links(most: int, rows_at_once: int = 200_000):
+def _grouped(held: list[pd.DataFrame]) -> tuple[pd.DataFrame, np.ndarray, np.ndarray]:
+    """Rows by bucket and Gray rank, their fingerprints and the numbers of their buckets."""
+    d = pd.concat(held)
+    fp = d["fp"].to_numpy().view(np.uint64)
+    key = d["block"].to_numpy().astype(np.int64) << 56 ^ d["bucket"].to_numpy()
+    _, group = np.unique(key, return_inverse=True)
+    order = np.lexsort((gray_rank(fp), group))
+    return d.iloc[order], fp[order], group[order]
+
+
+def _bucket_links(most: int):
     def close(held: list[pd.DataFrame]) -> pd.DataFrame:
-        d = pd.concat(held)
-        fp = d["fp"].to_numpy().view(np.uint64)
-        key = d["block"].to_numpy().astype(np.int64) << 56 ^ d["bucket"].to_numpy()
-        _, group = np.unique(key, return_inverse=True)
-        order = np.lexsort((gray_rank(fp), group))
-        fp, group = fp[order], group[order]
+        _, fp, group = _grouped(held)
         root = linked(fp, group, most)
         moved = np.flatnonzero(root != np.arange(len(fp)))
         return pd.DataFrame({"u": fp[moved].view(np.int64), "v": fp[root[moved]].view(np.int64)})
 
+    return _by_bucket(close)
+
+
+def _bucket_pairs(most: int, enough: int, masks: list[int]):
+    """Each pair in the first of the buckets it shares; a bucket not gone through is a row without a pair."""
+    masks = np.array(masks, np.uint64)
+
+    def close(held: list[pd.DataFrame]) -> pd.DataFrame:
+        d, fp, group = _grouped(held)
+        block, bucket, key = (d[c].to_numpy() for c in ("block", "bucket", "key"))
+        i, j, rest = near_pairs(fp, group, d["label"].to_numpy(), most, enough)
+        own = np.ones(len(i), bool)
+        for k, m in enumerate(masks):
+            own &= (block[i] <= k) | ((fp[i] ^ fp[j]) & m != 0)
+        i, j = i[own], j[own]
+        at = np.searchsorted(group, rest)
+        pairs = pd.DataFrame({"u": key[i], "v": key[j], "block": block[i], "bucket": bucket[i], "tested": True})
+        return pd.concat([pairs, pd.DataFrame({"u": 0, "v": 0, "block": block[at], "bucket": bucket[at], "tested": False})])
+
+    return _by_bucket(close)
+
+
+def _by_bucket(close, rows_at_once: int = 200_000):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size = [], 0
         for b in batches:  # sorted by bucket: whole buckets go together
@@ -200,8 +286,8 @@ def _bucket_links(most: int, rows_at_once: int = 200_000):
     return run
 
 
-def links(distinct: DataFrame, most: int = 3, agree: int | None = None) -> DataFrame:
-    """Spanning links ``u, v`` between the distinct fingerprints ``fp``.
+def _dealt(rows: DataFrame, most: int, agree: int | None = None) -> tuple[DataFrame, list[int]]:
+    """``rows`` once a choice of blocks, with ``block`` and ``bucket``, and the bits of each choice.
 
     The bits are cut into ``most + agree`` blocks; two linked fingerprints agree on ``agree`` of them, whichever, so
     each is dealt once for every choice of so many blocks (4 for three bits, 28 for six)."""
@@ -217,10 +303,74 @@ def links(distinct: DataFrame, most: int = 3, agree: int | None = None) -> DataF
         return out
 
     choices = list(combinations(range(blocks), agree))
-    dealt = distinct.select("fp", F.explode(F.array(*[F.struct(F.lit(k).alias("block"), key(c).alias("bucket")) for k, c in enumerate(choices)])).alias("k")).select("fp", "k.block", "k.bucket")
+    dealt = rows.select("*", F.explode(F.array(*[F.struct(F.lit(k).alias("block"), key(c).alias("bucket")) for k, c in enumerate(choices)])).alias("k")).select(*rows.columns, "k.block", "k.bucket")
+    return dealt, [sum((1 << edges[i + 1]) - (1 << edges[i]) for i in c) for c in choices]
+
+
+def links(distinct: DataFrame, most: int = 3, agree: int | None = None) -> DataFrame:
+    """Spanning links ``u, v`` between the distinct fingerprints ``fp``."""
+    dealt, _ = _dealt(distinct, most, agree)
     return dealt.repartition("block", "bucket").sortWithinPartitions("block", "bucket").mapInPandas(_bucket_links(most), "u long, v long")
 
 
+def similar_links(nodes: DataFrame, most: int, least: float, enough: int = 16) -> DataFrame:
+    """``key, fp, set`` -> links ``u, v`` of keys that join what pairs within ``most`` bits whose sets have a Jaccard
+    similarity of ``least`` or more join.
+
+    Rounds: a member is compared with ``enough`` others of each of its buckets at most; members joined by then are not compared in
+    the next round, which goes through the buckets that had more, eight times as far, until none is left. So a group
+    of near copies costs its members, not its pairs."""
+    label, rest, found = nodes.select("key", "fp", F.col("key").alias("label")), None, None
+    side = lambda n: nodes.select(F.col("key").alias(f"k{n}"), F.col("set").alias(f"set{n}"))
+    while True:
+        dealt, masks = _dealt(label, most)
+        if rest is not None:
+            dealt = dealt.join(rest, ["block", "bucket"], "left_semi")
+        asked = dealt.repartition("block", "bucket").sortWithinPartitions("block", "bucket").mapInPandas(_bucket_pairs(most, enough, masks), "u long, v long, block int, bucket long, tested boolean")
+        asked = stage(asked, "simhash-asked")
+        both = asked.filter("tested").join(side(1), F.col("u") == F.col("k1")).join(side(2), F.col("v") == F.col("k2"))
+        shared = both.select("u", "v", F.size(F.array_intersect("set1", "set2")).alias("n"), (F.size("set1") + F.size("set2")).alias("m"))
+        now = stage(shared.filter(F.col("n") >= least * (F.col("m") - F.col("n"))).filter("n > 0").select("u", "v"), "simhash-similar")
+        found = now if found is None else found.unionByName(now)
+        rest = asked.filter("NOT tested").select("block", "bucket").distinct()
+        if rest.isEmpty():
+            return found
+        root = components(found)
+        label = stage(nodes.select("key", "fp").join(root, F.col("key") == F.col("node"), "left").select("key", "fp", F.coalesce("root", "key").alias("label")), "simhash-labels")
+        enough *= 8
+
+
+def shingle_sets(docs: DataFrame, shingle: int, keep: tuple[str, ...], text_col: str) -> DataFrame:
+    """``key`` (of the words), ``fp`` and ``set`` (hashes of the distinct runs of ``shingle`` words) beside ``keep``."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import xxhash
+
+        for b in batches:
+            for lo in range(0, len(b), 500):
+                part = b.iloc[lo : lo + 500]
+                texts = part["__text"]
+                key = np.array([xxhash.xxh64_intdigest(b" ".join(t.encode("utf-8", "surrogatepass").lower().split())) for t in texts], np.uint64)
+                sets = [np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in texts]
+                yield part.drop(columns="__text").assign(key=key.view(np.int64), fp=fold_bits([shingle_hashes(t, 3) for t in texts]).view(np.int64), set=pd.Series(sets, index=part.index))
+
+    d = docs.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
+    return d.mapInPandas(run, ", ".join(f"`{n}` {t}" for n, t in d.dtypes if n != "__text") + ", key long, fp long, set array<bigint>")
+
+
+def one_of_similar(docs: DataFrame, most: int, least: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The document of the smallest id of each group that equal words and ``similar_links`` join, all columns kept; of
+    identical rows one stays. Fingerprints are of three words a shingle and find candidates only."""
+    names = [f"`{c}`" for c in docs.columns]
+    keyed = docs.withColumn("__row", F.xxhash64(*names))
+    rows = shingle_sets(keyed.withColumn("__id", F.col(id_col)), shingle, ("__id", "__row"), text_col)
+    nodes = stage(rows.groupBy("key").agg(F.first("fp").alias("fp"), F.first("set").alias("set"), F.min(F.struct("__id", "__row")).alias("stays")), "simhash-nodes")
+    root = components(similar_links(nodes, most, least))
+    stays = nodes.select("key", "stays").join(root, F.col("key") == F.col("node"), "left").groupBy(F.coalesce("root", "key").alias("root")).agg(F.min("stays")["__row"].alias("__stays"))
+    first = F.row_number().over(W.partitionBy("__row").orderBy(F.lit(1)))
+    return keyed.join(stays, F.col("__row") == F.col("__stays"), "left_semi").withColumn("__nth", first).filter("__nth = 1").select(*names)
+
+
 def near_duplicates(docs: DataFrame, most: int = 3, shingle: int = 3, keep: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, root, fingerprint, component_id`` and the columns in ``keep``, one row a document; ``root`` is the
     component's smallest fingerprint."""

@@ -297,6 +297,52 @@ def test_one_of_each(docs, rows):
     assert keep == set(brute.link_components({r[0]: brute.simhash(r[1]) for r in rows}).values())
 
 
+def similar_roots(rows, least=0.8, most=6):
+    """Smallest id of each group joined by equal words and by candidates that are similar enough."""
+    prints = {d: brute.simhash(t) for d, t in rows.items()}
+    sets = {d: set(simhash.shingle_hashes(t or "", 5).tolist()) for d, t in rows.items()}
+    text = {d: b" ".join((t or "").encode().lower().split()) for d, t in rows.items()}
+    root = {d: d for d in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted(rows)
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            near = (prints[a] ^ prints[b]).bit_count() <= most and len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b]) > 0
+            if near or text[a] == text[b]:
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {find(d) for d in ids}
+
+
+@pytest.mark.parametrize("enough", [1, 16])
+def test_one_of_similar(spark, enough, monkeypatch):
+    r = random.Random(4)
+    words = [f"w{i}" for i in range(400)]
+    rows, at = {}, 0
+    for changes in (0, 1, 2, 4, 8, 14, 20, 30):
+        base = [r.choice(words) for _ in range(300)]
+        for _ in range(25):
+            w = base[:]
+            for _ in range(r.randint(0, changes)):
+                w[r.randrange(300)] = r.choice(words)
+            rows[at] = " ".join(w)
+            at += 1
+    rows |= {at: None, at + 1: "", at + 2: " \n", at + 3: "a b c", at + 4: "A  b c", at + 5: "a b d"}
+    prints = {d: brute.simhash(t) for d, t in rows.items()}
+    want = similar_roots(rows)
+    assert len(want) > len(set(brute.link_components(prints, 6).values()))  # candidates alone would drop more
+    links = simhash.similar_links
+    monkeypatch.setattr(simhash, "similar_links", lambda n, most, least: links(n, most, least, enough))
+    got = simhash.one_of_similar(spark.createDataFrame(list(rows.items()), "doc_id long, text string"), most=6)
+    assert got.columns == ["doc_id", "text"] and sorted(x["doc_id"] for x in got.collect()) == sorted(want)
+    assert simhash.one_of_similar(got.limit(0), most=6).count() == 0
+
+
 def test_components_of_a_chain(spark):
     e = spark.range(60).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"))
     got = graph.components(e).collect()
