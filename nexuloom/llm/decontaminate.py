@@ -1,8 +1,8 @@
 """Benchmark decontamination by template canonicalisation (DataFrame functions only).
 
 Numbers, names (capitalised words inside a sentence) and units after numbers become typed placeholders. Windows of
-five template words are hash-joined with the benchmark's windows; a window of the benchmark has the hash of its plain
-words as well, so a passage that lost its capitals is still found. Matches lie on diagonals (place in the document minus place in the
+five template words are hash-joined with the benchmark's windows; windows of both sides have the hash of their plain
+words as well, so a passage whose placeholders are typed differently (lost capitals, quoted mid-sentence) is still found. Matches lie on diagonals (place in the document minus place in the
 item). On each diagonal the values in the slots must be consistent: a value of the item always stands for the same
 value of the document. An item is in a document if the consistent diagonals cover at least ``least`` of its windows.
 
@@ -36,11 +36,11 @@ def canonical(rows: DataFrame, keys: list[str], text_col: str) -> DataFrame:
     return d.select(*keys, "__p", F.when(F.col("__q").contains(NUMBER), unit).otherwise(F.col("__q")).alias("__q"))
 
 
-def windows(rows: DataFrame, keys: list[str], text_col: str, both: bool = False) -> DataFrame:
+def windows(rows: DataFrame, keys: list[str], text_col: str) -> DataFrame:
     """``keys, place, h, plain5, slots5``; the last two only where the template key is used.
 
-    A window's key is its template's hash if one to three of its words are placeholders (more say too little), else
-    the hash of its plain words. With ``both`` every window has the plain key too. A text of fewer words is one window.
+    A window has the hash of its plain words and, if one to three of its words are placeholders (more say too little),
+    that of its template. A text of fewer words is one window.
     """
     d = canonical(rows, keys, text_col).select(*keys, F.split("__p", " ").alias("__w"), F.when(F.col("__p") != F.col("__q"), F.split("__q", " ")).alias("__v"))
     d = d.withColumn("__v", F.coalesce("__v", "__w"))
@@ -49,16 +49,14 @@ def windows(rows: DataFrame, keys: list[str], text_col: str, both: bool = False)
     p, q = ([F.col(f"z.{n}{i}") for i in range(WINDOW)] for n in "pq")
     held = sum((F.when(x.isin(NUMBER, NAME, UNIT), 1).otherwise(0) for x in q), F.lit(0)).between(1, WINDOW - 2)
     keyed = w.select(*keys, "place", F.xxhash64(*p).alias("hp"), F.when(held, F.xxhash64(*q)).alias("hq"), F.when(held, F.array(*p)).alias("plain5"), F.when(held, F.array(*q)).alias("slots5"))
-    if both:
-        return keyed.select(*keys, "place", F.explode(F.array_compact(F.array("hp", "hq"))).alias("h"), "plain5", "slots5")
-    return keyed.select(*keys, "place", F.coalesce("hq", "hp").alias("h"), "plain5", "slots5")
+    return keyed.select(*keys, "place", F.explode(F.array_compact(F.array("hp", "hq"))).alias("h"), "plain5", "slots5")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """``doc_id, item_id, coverage, n_windows, n_slots``: one row for each item found in a document."""
     items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text).alias("item_text"))
     items = items.withColumn("item_key", F.xxhash64("item_id", "item_text"))
-    b = windows(items, ["item_id", "item_key"], "item_text", both=True).withColumnsRenamed({"place": "item_place", "plain5": "item_plain", "slots5": "item_slots"}).dropDuplicates(["item_key", "item_place", "h"])
+    b = windows(items, ["item_id", "item_key"], "item_text").withColumnsRenamed({"place": "item_place", "plain5": "item_plain", "slots5": "item_slots"}).dropDuplicates(["item_key", "item_place", "h"])
     whole = b.groupBy("item_key").agg(F.countDistinct("item_place").alias("n_windows")).withColumnRenamed("item_key", "k")
     b = b.join(whole, F.col("item_key") == F.col("k")).drop("k")
     if b.count() <= BROADCAST_WINDOWS:

@@ -205,6 +205,13 @@ def test_reparameterised_questions(spark, none):
     assert decontaminate.contaminated(none, bench(spark, [item])).count() == 0 and decontaminate.contaminated(d, bench(spark, [item]).limit(0)).count() == 0
 
 
+def test_other_placeholders_in_the_document(spark):
+    items = ["On Monday Maria bought 12 apples for 3 dollars and sold 5 of them to Peter for 2 dollars each.", "Water boils at one hundred degrees", "Seven old men walk home"]
+    docs = [(1, items[0].lower()), (2, f'The note says, {items[1]}, and more'), (3, f"He wrote {items[2]} on the wall"), (4, "On Monday Maria bought apples and sold some of them to Peter.")]
+    got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench(spark, items)).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["coverage"]) for r in got) == [(1, 0, 1.0), (2, 1, 1.0), (3, 2, 1.0)]
+
+
 def test_planted_benchmark_passages(spark):
     d = spark.read.parquet(f"{SF}/documents.parquet").toPandas()
     b = spark.read.parquet(f"{SF}/benchmark.parquet").toPandas()
