@@ -6,6 +6,10 @@ words as well, so a passage whose placeholders are typed differently (lost capit
 item). On each diagonal the values in the slots must be consistent: a value of the item always stands for the same
 value of the document. An item is in a document if the consistent diagonals cover at least ``least`` of its windows.
 
+Where four or five words of a window are placeholders, its template says too little; its key then takes in the two next
+plain words after the window's start, or the two last before its end, and how far off they are. An item of fewer than
+two plain words is found by its plain words only: any other numbers would match it.
+
 Defined cases: null or empty texts match nothing; an item of fewer than five words is found only where it is the whole
 text; repeated rows of one id give one row; repeated items are items each; a document may hold several items; an empty
 table gives an empty result; other columns are ignored.
@@ -13,7 +17,7 @@ table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 5
@@ -21,6 +25,8 @@ NUMBER, NAME, UNIT = "#", "@", "~"
 MARK = ""
 #: Units of measure that are placeholders after a number: fixed values.
 UNITS = "km kilometers kilometres m meters metres cm mm miles mile feet foot ft inches inch in kg kilograms g grams mg lb lbs pounds oz liters litres l ml gallons hours hour h minutes minute min seconds second s days day weeks week months month years year dollars euros cents percent degrees mph kmh kph".split()
+#: Four placeholders among five words of a template.
+DENSE = "(?:^| )(?:X X X X|X [^ ]+ X X X|X X [^ ]+ X X|X X X [^ ]+ X)(?= |$)".replace("X", f"[{NUMBER}{NAME}{UNIT}]")
 #: A benchmark with more windows than this is not broadcast but shuffled.
 BROADCAST_WINDOWS = 500_000
 
@@ -36,20 +42,41 @@ def canonical(rows: DataFrame, keys: list[str], text_col: str) -> DataFrame:
     return d.select(*keys, "__p", F.when(F.col("__q").contains(NUMBER), unit).otherwise(F.col("__q")).alias("__q"))
 
 
+def plain_around(v: Column) -> tuple[Column, Column]:
+    """Of template words: for each place the next two plain words from it on, and the last two up to it, with their
+    places; null where there are not two. Linear in the words, however long a run of placeholders is."""
+    n = F.size(v)
+    at = F.filter(F.transform(v, lambda x, i: F.when(~x.isin(NUMBER, NAME, UNIT), F.struct(i.alias("i"), x.alias("x")))), lambda x: x.isNotNull())
+    none = F.lit(None).cast("struct<i:int,x:string>")
+    start, end = F.struct(F.lit(-1).alias("i"), F.lit("").alias("x")), F.struct(n.alias("i"), F.lit("").alias("x"))
+    steps = F.arrays_zip(F.concat(F.array(start), at).alias("a"), F.concat(at, F.array(end)).alias("b"), F.concat(F.slice(at, 2, 1 << 30), F.array(none, none)).alias("c"), F.concat(F.array(none, none), at).alias("z"))
+    after = lambda t: F.array_repeat(F.when(t["c"].isNotNull(), F.struct(t["b"].alias("p"), t["c"].alias("q"))), F.least(t["b"]["i"], n - 1) - t["a"]["i"])
+    # a and z lie one plain word apart: z is the one before a
+    before = lambda t: F.array_repeat(F.when(t["z"].isNotNull(), F.struct(t["z"].alias("p"), t["a"].alias("q"))), F.when(t["a"]["i"] < 0, t["b"]["i"]).otherwise(t["b"]["i"] - t["a"]["i"]))
+    whole = F.filter(steps, lambda t: t["a"].isNotNull() & t["b"].isNotNull())
+    return F.flatten(F.transform(whole, after)), F.flatten(F.transform(whole, before))
+
+
 def windows(rows: DataFrame, keys: list[str], text_col: str) -> DataFrame:
-    """``keys, place, h, plain5, slots5``; the last two only where the template key is used.
+    """``keys, place, h, plain5, slots5``; the last two only where there are placeholders.
 
-    A window has the hash of its plain words and, if one to three of its words are placeholders (more say too little),
-    that of its template. A text of fewer words is one window.
+    A window has the hash of its plain words and, if one to three of its words are placeholders, that of its template.
+    If more are, it has the hashes of its template with the plain words around. A text of fewer words is one window.
     """
-    d = canonical(rows, keys, text_col).select(*keys, F.split("__p", " ").alias("__w"), F.when(F.col("__p") != F.col("__q"), F.split("__q", " ")).alias("__v"))
+    d = canonical(rows, keys, text_col).select(*keys, F.split("__p", " ").alias("__w"), F.when(F.col("__p") != F.col("__q"), F.split("__q", " ")).alias("__v"), F.col("__q").rlike(DENSE).alias("__dense"))
+    after, before = plain_around(F.col("__v"))
+    nothing = F.array().cast("array<struct<p:struct<i:int,x:string>,q:struct<i:int,x:string>>>")
+    d = d.withColumn("__after", F.when(F.col("__dense"), after).otherwise(nothing)).withColumn("__before", F.when(F.col("__dense"), F.slice(before, WINDOW, 1 << 30)).otherwise(nothing))
     d = d.withColumn("__v", F.coalesce("__v", "__w"))
     shifted = [F.slice(c, i + 1, 1 << 30).alias(f"{n}{i}") if i else F.col(c).alias(f"{n}{i}") for c, n in (("__w", "p"), ("__v", "q")) for i in range(WINDOW)]
+    shifted += [F.col("__after").alias("after"), F.col("__before").alias("before")]
     w = d.select(*keys, F.posexplode(F.arrays_zip(*shifted)).alias("place", "z")).filter(F.col(f"z.p{WINDOW - 1}").isNotNull() | (F.col("place") == 0))
     p, q = ([F.col(f"z.{n}{i}") for i in range(WINDOW)] for n in "pq")
-    held = sum((F.when(x.isin(NUMBER, NAME, UNIT), 1).otherwise(0) for x in q), F.lit(0)).between(1, WINDOW - 2)
-    keyed = w.select(*keys, "place", F.xxhash64(*p).alias("hp"), F.when(held, F.xxhash64(*q)).alias("hq"), F.when(held, F.array(*p)).alias("plain5"), F.when(held, F.array(*q)).alias("slots5"))
-    return keyed.select(*keys, "place", F.explode(F.array_compact(F.array("hp", "hq"))).alias("h"), "plain5", "slots5")
+    held = sum((F.when(x.isin(NUMBER, NAME, UNIT), 1).otherwise(0) for x in q), F.lit(0))
+    few, many = held.between(1, WINDOW - 2), held > WINDOW - 2
+    around = lambda n: F.when(many & F.col(f"z.{n}").isNotNull(), F.xxhash64(F.lit(n), *q, F.col(f"z.{n}.p.i") - F.col("place"), F.col(f"z.{n}.p.x"), F.col(f"z.{n}.q.i") - F.col("place"), F.col(f"z.{n}.q.x")))
+    keyed = w.select(*keys, "place", F.xxhash64(*p).alias("hp"), F.when(few, F.xxhash64(*q)).alias("hq"), around("after").alias("ha"), around("before").alias("hb"), F.when(held > 0, F.array(*p)).alias("plain5"), F.when(held > 0, F.array(*q)).alias("slots5"))
+    return keyed.select(*keys, "place", F.explode(F.array_compact(F.array("hp", "hq", "ha", "hb"))).alias("h"), "plain5", "slots5")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:

@@ -212,6 +212,25 @@ def test_other_placeholders_in_the_document(spark):
     assert sorted((r["doc_id"], r["item_id"], r["coverage"]) for r in got) == [(1, 0, 1.0), (2, 1, 1.0), (3, 2, 1.0)]
 
 
+def test_dense_questions(spark):
+    items = ["What is 12 + 7 * 3 - 5 + 9?", "A train runs 120 km in 3 hours and then 90 km in 2 hours. What is 15 + 7 * 3 - 4 + 9?", "12 7 5 9 4 6"]
+    docs = [(1, "Before it. What is 14 + 8 * 2 - 6 + 11? After it."), (2, "A train runs 80 km in 5 hours and then 70 km in 6 hours. What is 11 + 8 * 5 - 9 + 10?"), (3, "What is 14 + 8 * 2 - 6 + 11? 5 6 7 8"), (4, "What was 14 + 8 * 2 - 6 + 11?"), (5, "1 2 3 " * 4000), (6, "see 12 7 5 9 4 6 there"), (7, "")]
+    got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench(spark, items)).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["coverage"]) for r in got) == [(1, 0, 1.0), (2, 0, 1.0), (2, 1, 1.0), (3, 0, 1.0), (6, 2, 1.0)]  # the second holds the first
+
+
+def test_plain_words_around(spark):
+    for words in (["#"], ["a"], ["a", "b"], list("#a##bc#@~"), list("ab#####"), list("####ab"), list("#####"), list("#a#")):
+        after, before = decontaminate.plain_around(F.array(*map(F.lit, words)))
+        got = spark.range(1).select(after.alias("after"), before.alias("before")).head()
+        plain = [(i, w) for i, w in enumerate(words) if w not in "#@~"]
+        for i in range(len(words)):
+            up, down = [x for x in plain if x[0] >= i][:2], [x for x in plain if x[0] <= i][-2:]
+            for have, want in ((got["after"], up), (got["before"], down)):
+                x = have[i] if i < len(have) else None
+                assert (x and [tuple(x["p"]), tuple(x["q"])]) == (want if len(want) == 2 else None), (words, i)
+
+
 def test_planted_benchmark_passages(spark):
     d = spark.read.parquet(f"{SF}/documents.parquet").toPandas()
     b = spark.read.parquet(f"{SF}/benchmark.parquet").toPandas()
