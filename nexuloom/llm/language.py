@@ -108,6 +108,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: tuple[st
                         parts = [codes(f" {t} ") for t in texts.iloc[lo:hi]]
                         starts = np.cumsum([0] + [len(p) for p in parts[:-1]])
                         for order, h in zip(ORDERS, grams(np.concatenate(parts), bits)):
+                            h = np.append(h, np.full(order - 1, 1 << bits, h.dtype))  # the last text can be shorter than a gram
                             for back in range(1, order):
                                 h[starts[1:] - back] = 1 << bits
                             sums += _summed(table, h, starts)

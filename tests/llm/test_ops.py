@@ -152,6 +152,14 @@ def test_language_against_plain_sums(docs, rows, none):
     assert {r["lang_pred"] for r in language.predict(docs, empty).collect()} == {"und"}
 
 
+def test_language_of_a_last_text_that_is_empty(spark):
+    model = language.train(spark.createDataFrame([(1, "hello there", "en"), (2, "bonjour", "fr")], "doc_id long, text string, lang string"), F.lit(True))
+    for last in ("", None):
+        d = spark.createDataFrame([(1, "hello"), (2, "bonjour"), (3, last)], "doc_id long, text string").coalesce(1)
+        got = by_id(language.predict(d, model))
+        assert [got[i]["lang_pred"] for i in (1, 2, 3)] == ["en", "fr", "und"]
+
+
 # ---- 4 --------------------------------------------------------------------------------------------------------------
 
 
