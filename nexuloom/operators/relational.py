@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -76,19 +77,24 @@ def token_blocked_match(gold: DataFrame, mentions: DataFrame, gold_text: str, me
     return pairs.filter(inside | subset).withColumn("status", F.when(F.col(gold_text) == F.col(mention_text), "exact").otherwise("partial")).drop("__gt", "__mt")
 
 
+def blocks(rows: DataFrame, keys: Sequence[str], most: int) -> list[DataFrame]:
+    """``rows`` dealt by a hash of their keys into blocks of about ``most`` rows; equal keys stay together."""
+    n = max(1, -(-rows.count() // most))
+    return [rows] if n == 1 else [rows.filter(F.pmod(F.xxhash64(*keys), F.lit(n)) == b) for b in range(n)]
+
+
 def theta_match(gold: DataFrame, mentions: DataFrame, gold_text: str, mention_text: str, most: int = 20_000) -> DataFrame:
     """J18 in full: ``status`` of pairs where one text contains the other, or all tokens of one are among the other's.
 
-    Containment within words needs every pair, so the gold list, short by nature and checked, is broadcast and only the
-    two substring tests run on pairs. A token subset is found by equi-joins: its longest token must be in the other."""
-    if gold.limit(most + 1).count() > most:
-        raise ValueError("a gold list of this size needs token_blocked_match")
+    Containment within words needs every pair, so the gold list is broadcast, in blocks of about ``most`` rows, and only
+    the two substring tests run on pairs. A token subset is found by equi-joins: its longest token must be in the other."""
     words = lambda c: F.array_distinct(F.filter(F.split(c, r"\W+"), lambda x: x != ""))
     longest = lambda c: F.array_max(F.transform(c, lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
     keys = [*mentions.columns, *gold.columns]
     g = gold.filter(F.col(gold_text) != "").withColumn("__gt", words(gold_text))
     m = mentions.filter(F.col(mention_text) != "").withColumn("__mt", words(mention_text))
-    inside = m.select(*mentions.columns).join(F.broadcast(g.select(*gold.columns)), F.col(mention_text).contains(F.col(gold_text)) | F.col(gold_text).contains(F.col(mention_text))).select(*keys)
+    hold = F.col(mention_text).contains(F.col(gold_text)) | F.col(gold_text).contains(F.col(mention_text))
+    inside = reduce(DataFrame.unionByName, [m.select(*mentions.columns).join(F.broadcast(block), hold).select(*keys) for block in blocks(g.select(*gold.columns), gold.columns, most)])
     in_mention = m.withColumn("__t", F.explode("__mt")).join(g.withColumn("__t", longest(F.col("__gt"))), "__t").filter(F.size(F.array_except("__gt", "__mt")) == 0).select(*keys)
     in_gold = g.withColumn("__t", F.explode("__gt")).join(m.withColumn("__t", longest(F.col("__mt"))), "__t").filter(F.size(F.array_except("__mt", "__gt")) == 0).select(*keys)
     pairs = inside.unionByName(in_mention).unionByName(in_gold).dropDuplicates()

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import surface_form, tokens, usable_exemplar
-from .relational import draw_key, top_k
+from .relational import blocks, draw_key, top_k
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
@@ -35,13 +37,11 @@ def squared_distance(a: Column, b: Column) -> Column:
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, most_queries: int = 10_000) -> DataFrame:
     """Exact nearest neighbours: ``id, embedding`` and ``query, embedding`` -> ``query, id, dist, rank``.
 
-    A stated set of queries (its size is checked) against all vectors, which never shuffle; the window's group limit
+    Queries in blocks of about ``most_queries`` against all vectors, which never shuffle; the window's group limit
     keeps k rows a query on the map side. Ties by id."""
-    if queries.limit(most_queries + 1).count() > most_queries:
-        raise ValueError("too many queries to broadcast: send them in blocks")
-    q = F.broadcast(queries.select("query", F.col("embedding").alias("q")))
-    d = vectors.join(q).select("query", "id", F.round(squared_distance(F.col("embedding"), F.col("q")), 6).alias("dist"))
-    return top_k(d, ["query"], ["dist", "id"], k, "rank")
+    near = lambda q: vectors.join(F.broadcast(q)).select("query", "id", F.round(squared_distance(F.col("embedding"), F.col("q")), 6).alias("dist"))
+    found = [top_k(near(q), ["query"], ["dist", "id"], k, "rank") for q in blocks(queries.select("query", F.col("embedding").alias("q")), ["query"], most_queries)]
+    return reduce(DataFrame.unionByName, found)
 
 
 def classes_by_best(hits: DataFrame, k: int) -> DataFrame:

@@ -292,3 +292,15 @@ def test_weighted_order_favours_weights(spark):
     first = relational.weighted_order(d, "id", "w").orderBy(F.desc("draw")).limit(500).filter("w = 20").count()
     assert 375 < first <= 500
     assert relational.weighted_order(d, "id", "w").count() == 2000
+
+
+def test_more_rows_than_a_block(spark):
+    from nexuloom.operators import relational, retrieval
+
+    g = spark.createDataFrame([(i, f"w{i}") for i in range(12)], "gold_id long, g string")
+    m = spark.createDataFrame([(i, f"a w{i} b") for i in range(12)], "mention_id long, m string")
+    pairs = {(r["gold_id"], r["mention_id"]) for r in relational.theta_match(g, m, "g", "m", most=5).collect()}
+    assert pairs == {(i, j) for i in range(12) for j in range(12) if f"w{i}" in f"a w{j} b"}
+    e = spark.createDataFrame([(i, [float(i), 0.0]) for i in range(12)], "id long, embedding array<double>")
+    got = retrieval.nearest(e, e.withColumnRenamed("id", "query"), 2, most_queries=5).collect()
+    assert len(got) == 24 and all(r["id"] == r["query"] for r in got if r["rank"] == 1)
