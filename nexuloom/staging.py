@@ -14,11 +14,14 @@ _LOCAL: list[str] = []
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; where unset (tests), a temporary one."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; where unset on a local master (tests), a
+    temporary one. A cluster without one is an error: each executor would write to its own disk."""
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not path:
         if sc.getCheckpointDir() is None:
+            if not sc.master.startswith("local["):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             own = tempfile.mkdtemp(prefix="nexuloom-")
             _LOCAL.append(own)
             sc.setCheckpointDir(f"file://{own}")
@@ -36,9 +39,21 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{scratch(spark)}/nexuloom/{label}-{uuid.uuid4().hex}"
 
 
+#: Bytes of input files a partition takes at least before small ones are packed together.
+PACK_BYTES = 32 << 20
+
+
+def input_bytes(df: DataFrame) -> int:
+    """Bytes of the files that ``df`` reads, as Spark's file index lists them; tables without a size count as nothing."""
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(x for x in sizes if x < 1 << 60)
+
+
 def packed(df: DataFrame) -> DataFrame:
-    """At most two partitions a core of the cluster: thousands of tiny files cost more than they spread."""
-    return df.coalesce(max(8, 2 * df.sparkSession.sparkContext.defaultParallelism))
+    """Thousands of tiny files cost more than they spread: at most two partitions a core of the cluster, or one for
+    each 32 MB that ``df`` reads if that is more. So what a task takes does not grow with the input."""
+    return df.coalesce(max(8, 2 * df.sparkSession.sparkContext.defaultParallelism, input_bytes(df) // PACK_BYTES))
 
 
 def stage(df: DataFrame, label: str, pack: bool = True) -> DataFrame:
@@ -59,7 +74,7 @@ def drop_staged(spark: SparkSession) -> None:
 
 def grow(start: DataFrame, step: Callable[[DataFrame], DataFrame], keys: list[str], label: str, most: int = 1000) -> DataFrame:
     """Semi-naive fixpoint: ``step`` maps the rows added last to candidate rows; those whose keys are new are added.
-    Ends when nothing is added. Every round is staged."""
+    Ends when nothing is added; an unfinished result is an error. Every round is staged."""
     everything = delta = stage(start, label)
     for _ in range(most):
         fresh = step(delta).dropDuplicates(keys).join(everything.select(*keys), keys, "left_anti")
@@ -67,4 +82,4 @@ def grow(start: DataFrame, step: Callable[[DataFrame], DataFrame], keys: list[st
         if delta.isEmpty():
             return everything
         everything = everything.unionByName(delta)
-    return everything
+    raise RuntimeError(f"{label} did not settle in {most} rounds")
