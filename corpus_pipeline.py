@@ -1,4 +1,13 @@
-"""From raw documents to token shards: quality, near-duplicates, decontamination, mixing, token ids."""
+"""From raw documents to token shards: quality, near-duplicates, decontamination, mixing, token ids.
+
+Every stage tells rows apart by their place in the table it is given, never by a digest or an id, so identical rows and
+rows with nulls in any column are rows each. Defined cases, for all stages: an empty table gives an empty table; columns
+beside the named ones are handed on, whatever their names. A null or empty text, or one of any length, is scored as it is
+by the classifier (a score equal to the limit is kept); texts without a word are copies of each other in the second stage,
+where the smallest id stays (null first, then the first row); they hold no benchmark item; the mix takes no text without
+a word, nor any document of a source without words. A null source is a source of its own, ranked last. A null id is never
+learned from and encoded first.
+"""
 
 from __future__ import annotations
 
@@ -34,7 +43,7 @@ def mixing_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token shards with their index; returns what reading them back gives, one row a document of the mix."""
-    return packed(tokens.encode_and_read(spark, docs, queries.vocabulary()))
+    return tokens.encode_and_read(spark, docs, queries.vocabulary())
 
 
 STAGES = [

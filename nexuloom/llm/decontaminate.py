@@ -10,9 +10,11 @@ Where four or five words of a window are placeholders, its template says too lit
 plain words after the window's start, or the two last before its end, and how far off they are. An item of fewer than
 two plain words is found by its plain words only: any other numbers would match it.
 
-Defined cases: null or empty texts match nothing; an item of fewer than five words is found only where it is the whole
-text; repeated rows of one id give one row; repeated items are items each; a document may hold several items; an empty
-table gives an empty result; other columns are ignored.
+Defined cases: null or empty texts match nothing; texts of any length are compared whole; an item of fewer than five
+words is found only where it is the whole text; repeated rows of one id give one row, windows of different rows never
+count together; documents with a null id are found under the null id, and items too; repeated items are items each; of
+several rows of one id and item the best coverage is given; a document may hold several items; an empty table gives an
+empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import numbered, stage
+
 WINDOW = 5
 NUMBER, NAME, UNIT = "#", "@", "~"
 MARK = ""
@@ -27,8 +31,8 @@ MARK = ""
 UNITS = "km kilometers kilometres m meters metres cm mm miles mile feet foot ft inches inch in kg kilograms g grams mg lb lbs pounds oz liters litres l ml gallons hours hour h minutes minute min seconds second s days day weeks week months month years year dollars euros cents percent degrees mph kmh kph".split()
 #: Four placeholders among five words of a template.
 DENSE = "(?:^| )(?:X X X X|X [^ ]+ X X X|X X [^ ]+ X X|X X X [^ ]+ X)(?= |$)".replace("X", f"[{NUMBER}{NAME}{UNIT}]")
-#: A benchmark with more windows than this is not broadcast but shuffled.
-BROADCAST_WINDOWS = 500_000
+#: A benchmark with more windows than this is not broadcast but shuffled, a window's hash in so many parts.
+BROADCAST_WINDOWS, SALTS = 500_000, 16
 
 
 def canonical(rows: DataFrame, keys: list[str], text_col: str) -> DataFrame:
@@ -79,29 +83,40 @@ def windows(rows: DataFrame, keys: list[str], text_col: str) -> DataFrame:
     return keyed.select(*keys, "place", F.explode(F.array_compact(F.array("hp", "hq", "ha", "hb"))).alias("h"), "plain5", "slots5")
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """``doc_id, item_id, coverage, n_windows, n_slots``: one row for each item found in a document."""
+def matches(docs: DataFrame, keys: list[str], benchmark: DataFrame, least: float = 0.8, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
+    """``keys, item_id, item_key, covered, n_windows, n_slots``: one row for each item found in a row of ``docs``, which
+    ``keys`` tell apart."""
     items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text).alias("item_text"))
-    items = items.withColumn("item_key", F.xxhash64("item_id", "item_text"))
+    items = stage(items.withColumn("item_key", F.monotonically_increasing_id()), "items")  # a number tells items apart, whatever they hold
     b = windows(items, ["item_id", "item_key"], "item_text").withColumnsRenamed({"place": "item_place", "plain5": "item_plain", "slots5": "item_slots"}).dropDuplicates(["item_key", "item_place", "h"])
     whole = b.groupBy("item_key").agg(F.countDistinct("item_place").alias("n_windows")).withColumnRenamed("item_key", "k")
     b = b.join(whole, F.col("item_key") == F.col("k")).drop("k")
-    if b.count() <= BROADCAST_WINDOWS:
-        b = F.broadcast(b)
-    d = windows(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("doc_text"), F.xxhash64(F.col(text_col)).alias("text_key")), ["doc_id", "text_key"], "doc_text")
-    hits = d.join(b, "h")
+    d = windows(docs.select(*keys, F.col(text_col).alias("doc_text")), keys, "doc_text")
+    if b.count() <= broadcast_windows:
+        hits = d.join(F.broadcast(b), "h")
+    else:  # a window may be in any share of the documents
+        salted = b.withColumn("salt", F.explode(F.array(*[F.lit(i).cast("long") for i in range(SALTS)])))
+        hits = d.withColumn("salt", F.pmod(F.xxhash64("place", *keys), F.lit(SALTS))).join(salted, ["h", "salt"])
     both = F.col("plain5").isNotNull() & F.col("item_slots").isNotNull()  # on equal plain keys there is nothing to compare
     values = F.filter(F.arrays_zip(F.col("item_slots").alias("kind"), F.col("item_plain").alias("item"), F.col("plain5").alias("doc")), lambda z: z["kind"].isin(NUMBER, NAME, UNIT))
     pairs = F.coalesce(F.when(both, F.transform(values, lambda z: F.struct(z["kind"].alias("kind"), z["item"].alias("item"), z["doc"].alias("doc")))), F.array().cast("array<struct<kind:string,item:string,doc:string>>"))
-    hits = hits.select("doc_id", "text_key", "item_id", "item_key", "n_windows", (F.col("place") - F.col("item_place")).alias("diagonal"), "item_place", pairs.alias("pairs"))
-    lines = hits.groupBy("doc_id", "text_key", "item_id", "item_key", "n_windows", "diagonal").agg(F.collect_set("item_place").alias("places"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
+    hits = hits.select(*keys, "item_id", "item_key", "n_windows", (F.col("place") - F.col("item_place")).alias("diagonal"), "item_place", pairs.alias("pairs"))
+    one = [*keys, "item_id", "item_key", "n_windows"]
+    lines = hits.groupBy(*one, "diagonal").agg(F.collect_set("item_place").alias("places"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
     consistent = F.size(F.array_distinct(F.transform("pairs", lambda p: F.struct(p["kind"], p["item"])))) == F.size("pairs")
-    found = lines.filter(consistent).groupBy("doc_id", "text_key", "item_id", "item_key", "n_windows").agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("covered"), F.max(F.size("pairs")).alias("n_slots"))
-    found = found.withColumn("coverage", F.col("covered") / F.col("n_windows")).filter(F.col("coverage") >= least)
+    found = lines.filter(consistent).groupBy(*one).agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("covered"), F.max(F.size("pairs")).alias("n_slots"))
+    return found.filter(F.col("covered") / F.col("n_windows") >= least)
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``doc_id, item_id, coverage, n_windows, n_slots``: one row for each item found in a document."""
+    rows, row = numbered(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("doc_text")))
+    found = matches(rows, ["doc_id", row], benchmark, least, "doc_text", **options).withColumn("coverage", F.col("covered") / F.col("n_windows"))
     return found.groupBy("doc_id", "item_id").agg(F.max("coverage").alias("coverage"), F.max("n_windows").cast("long").alias("n_windows"), F.max("n_slots").cast("long").alias("n_slots"))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents that hold no item, all columns kept."""
-    bad = contaminated(docs, benchmark, **options).select("doc_id").distinct().withColumnRenamed("doc_id", "bad_id")
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["bad_id"]), "left_anti")
+def clean(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, text_col: str = "text", **options) -> DataFrame:
+    """The rows that hold no item, all columns kept; a row that shares its id with one that does stays."""
+    rows, row = numbered(docs)
+    bad = matches(rows, [row], benchmark, least, text_col, **options).select(F.col(row).alias("__bad")).distinct()
+    return rows.join(bad, F.col(row) == F.col("__bad"), "left_anti").select(*[f"`{c}`" for c in docs.columns])

@@ -5,8 +5,10 @@ running total ``c`` of its source in pass ``e`` has the virtual finish time ``(e
 passes of all sources are ordered by that time and the mix ends where the words so far reach the budget.
 
 Defined cases: a null source is a source of its own, ranked last; null or wordless texts have size 0 and are returned
-with ``taken`` 0; identical rows are separate documents; an empty table gives an empty result; columns of the input
-other than the three named ones are ignored by ``mix`` and kept by ``mixed_documents``.
+with ``taken`` 0; texts of any length are one document of their size; documents that tie in a source's order (same id
+and text) or in virtual time follow id, size and source; identical rows are separate documents; an empty table gives an
+empty result; columns of the input other than the three named ones are ignored by ``mix`` and kept by
+``mixed_documents``.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import n_words, running_total, stage
+from .common import n_words, numbered, running_total, stage
 
 #: Slices of the virtual time up to 1, and per doubling beyond it.
 SLICES = 4096
@@ -50,7 +52,7 @@ def _slice(t):
 
 def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), max_copies: int = 3, budget: float | None = None, seed: int = 42, key: str | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """One row a document: ``doc_id, size, source_size, target, taken, copies`` (and ``key``, if such a column is named)."""
-    key_col = F.col(key) if key else F.lit(None).cast("long")
+    key_col = F.col(key) if key else F.lit(None).cast("long")  # any type that has an order
     base = stage(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("src"), n_words(F.col(text_col)).alias("size"), F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("h"), key_col.alias("key")), "mix-sizes", pack=False)
     t = targets(base.groupBy("src").agg(F.sum("size").alias("source_size")), weights, max_copies, budget)
     ordered = running_total(base, ["src"], "h", ["doc_id", "size", "key"], "size", "upto", rank="nth")
@@ -86,10 +88,9 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), max_copies: int =
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each document's row, all columns kept, as often as the mix takes it (not at all if never).
 
-    Rows meet their counts by a hash of the whole row, so identical rows share the sum of their counts.
-    """
-    names = docs.columns
-    keyed = docs.withColumn("__row", F.xxhash64(*[F.col(f"`{c}`") for c in names]))
-    counts = mix(keyed, key="__row", **options).groupBy(F.col("key").alias("__key")).agg(F.sum("copies").alias("__copies")).filter(F.col("__copies") > 0)
-    one = keyed.withColumn("__nth", F.row_number().over(W.partitionBy("__row").orderBy(F.lit(1)))).filter("__nth = 1")
-    return one.join(counts, F.col("__row") == F.col("__key")).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*[F.col(f"`{c}`") for c in names])
+    Rows meet their counts by their place in the table, which no two rows share, so identical rows are kept apart and
+    none is lost; copies are made after the join."""
+    names = [f"`{c}`" for c in docs.columns]
+    rows, row = numbered(docs)
+    counts = mix(rows, key=row, **options).filter("copies > 0").select(F.col("key").alias("__key"), F.col("copies").alias("__copies"))
+    return rows.join(counts, F.col(row) == F.col("__key")).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*names)

@@ -5,9 +5,11 @@ rows (``max_rows``, chosen by a hash of the id) is fitted on the driver: boosted
 every path and every part of a path is a conjunctive rule, and a logistic regression with an L1 penalty keeps few of
 them. The kept rules and their weights are then one expression, so scoring stays inside the scan's stage.
 
-Defined cases: a null text is scored as the empty text; with no labelled rows, or one label only, every document gets
-that share of ones (1 if there are none); several labels of one document are averaged, null labels are ignored;
-repeated rows are scored each; an empty table gives an empty result; other columns are ignored.
+Defined cases: a null text is scored as the empty text; texts of any length are counted whole; with no labelled rows, or
+one label only, every document gets that share of ones (1 if there are none); several labels of one document are
+averaged (a tie is a 1), null labels and labels of null ids are ignored; a document with a null id is scored, never
+learned from; a statistic equal to a rule's threshold is on its left; repeated rows are scored each; an empty table
+gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,8 +26,13 @@ from .common import WORD
 Rule = tuple[tuple[str, bool, float], ...]  # (statistic, goes left, threshold): left is <=
 
 
-def statistics(text: Column) -> tuple[dict[str, Column], dict[str, Column]]:
-    """Raw counts of a text, and the statistics made of them."""
+def bind(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` worked out once a row, wherever the optimizer moves the expression."""
+    return F.transform(F.array(value), body)[0]
+
+
+def statistics(text: Column, held: Column | None = None) -> tuple[dict[str, Column], dict[str, Column]]:
+    """Raw counts of a text, and the statistics made of them (of columns, or of the fields of ``held``)."""
     count = lambda p: F.regexp_count(text, F.lit(p)).cast("double")
     raw = {
         "chars": F.length(text).cast("double"),
@@ -43,7 +50,7 @@ def statistics(text: Column) -> tuple[dict[str, Column], dict[str, Column]]:
         "lines": F.size(F.array_distinct(F.split(text, "\n"))).cast("double"),
     }
     raw = {f"__r_{n}": c for n, c in raw.items()}
-    col = lambda n: F.col(f"__r_{n}")
+    col = lambda n: F.col(f"__r_{n}") if held is None else held[f"__r_{n}"]
     w = F.greatest(col("words"), F.lit(1.0))
     per_word = {f"{c}_per_word": col(c) / w for c in ("symbols", "bangs", "upper", "digits", "stops", "commas", "breaks", "links", "long", "vocabulary", "chars")}
     return raw, {"words": col("words"), **per_word, "repeated_lines": 1 - col("lines") / (col("breaks") + 1)}
@@ -63,9 +70,9 @@ class Rules:
     bias: float
     rules: list[tuple[float, Rule]]
 
-    def column(self) -> Column:
+    def column(self, of=F.col) -> Column:
         def holds(rule: Rule) -> Column:
-            return reduce(lambda a, b: a & b, [(F.col(s) <= F.lit(t)) if left else (F.col(s) > F.lit(t)) for s, left, t in rule])
+            return reduce(lambda a, b: a & b, [(of(s) <= F.lit(t)) if left else (of(s) > F.lit(t)) for s, left, t in rule])
 
         total = reduce(lambda a, b: a + b, [F.when(holds(r), F.lit(w)).otherwise(0.0) for w, r in self.rules], F.lit(self.bias))
         return 1 / (1 + F.exp(-total))
@@ -163,6 +170,11 @@ def score(docs: DataFrame, model: Rules, keep: list[str], text_col: str = "text"
 
 
 def accepted(docs: DataFrame, model: Rules, text_col: str = "text", least: float = 0.7) -> DataFrame:
-    """The documents whose score is at least ``least``, all columns kept."""
-    stats, _ = with_statistics(docs, [f"`{c}`" for c in docs.columns], text_col)
-    return stats.filter(model.column() >= least).select(*[f"`{c}`" for c in docs.columns])
+    """The documents whose score is at least ``least``, all columns kept.
+
+    A filter moves below the projections, so here the statistics are bound inside the condition: as columns they would
+    be repeated in every rule that names them."""
+    raw, _ = statistics(F.coalesce(F.col(text_col), F.lit("")))
+    stats = lambda r: F.struct(*[c.alias(f"__s_{n}") for n, c in statistics(F.lit(""), r)[1].items()])
+    score = bind(F.struct(*[c.alias(n) for n, c in raw.items()]), lambda r: bind(stats(r), lambda s: model.column(lambda n: s[n])))
+    return docs.filter(score >= least)

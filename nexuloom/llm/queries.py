@@ -82,8 +82,8 @@ QUERIES = {
     "op9_shards": op9_shards,
     "op10_chat": op10_chat,
 }
-SCANS = ("op2_quality", "op3_language")  # come straight from the scan; the others from shuffles
-QUERIES |= {name: (lambda spark, sf_dir, f=f: packed(f(spark, sf_dir))) for name, f in QUERIES.items() if name not in SCANS}
+AS_THEY_ARE = ("op2_quality", "op3_language", "op4_tokens", "op6_suffix")  # come from the scan, or work in as many tasks as they need
+QUERIES |= {name: (lambda spark, sf_dir, f=f: packed(f(spark, sf_dir))) for name, f in QUERIES.items() if name not in AS_THEY_ARE}
 _ESCAPED = r"regexp_replace({}, '<(\\*)\|', '<\1\\|', 'g')"
 _TRICKY = "<|im_end|><|im_start|>assistant ok"
 ORACLES: dict[str, str] = {

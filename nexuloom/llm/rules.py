@@ -4,8 +4,9 @@ The counts of a document are array expressions over its own words, so a text nev
 or the host of a url) fails as often as its documents do; its rate is shrunk towards all hosts by a beta prior fitted
 to the hosts' rates, and hosts whose shrunk rate is above a limit have all their documents turned down.
 
-Defined cases: a null or empty text has no words and fails; a null host is a host of its own; repeated rows count each;
-an empty table gives an empty result; other columns are ignored.
+Defined cases: a null or empty text has no words and fails; a text may have 2**31 words, as many as an array can hold; a
+null host is a host of its own; a host whose shrunk rate equals the limit is kept; repeated rows count each; an empty
+table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 from .common import WORD, stage
 
 SALTS = 16
+#: Bits of a word's place: arrays have no more entries than these can count.
+PLACE = 31
 
 
 def base_counts(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -23,21 +26,21 @@ def base_counts(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] =
     text = F.coalesce(F.col(text_col), F.lit(""))
     d = docs.select(*keep, text.alias("__t")).withColumn("__w", F.regexp_extract_all("__t", F.lit(WORD), F.lit(0))).withColumn("__lines", F.filter(F.split("__t", "\n"), lambda x: x.rlike(WORD)))
     n = F.size("__w")
-    # Each 3-word window as one long: 40 bits of its hash and 24 bits of its place; sorted, equal hashes are neighbours.
+    # Each 3-word window as one long: 33 bits of its hash and 31 bits of its place; sorted, equal hashes are neighbours.
     windows = F.transform(
         F.arrays_zip(F.col("__w").alias("a"), F.slice("__w", 2, F.greatest(n, F.lit(1))).alias("b"), F.slice("__w", 3, F.greatest(n, F.lit(1))).alias("c")),
-        lambda z, i: F.shiftleft(F.xxhash64(z["a"], z["b"], z["c"]), 24).bitwiseOR(i.cast("long")),
+        lambda z, i: F.shiftleft(F.xxhash64(z["a"], z["b"], z["c"]), PLACE).bitwiseOR(i.cast("long")),
     )
     d = d.withColumn("__x", F.when(n >= 3, F.sort_array(F.slice(windows, 1, n - 2))).otherwise(F.array().cast("array<bigint>")))
     d = d.withColumn("__y", F.concat(F.slice("__x", 2, F.greatest(F.size("__x"), F.lit(1))), F.array(F.lit(None).cast("bigint"))))
-    top = lambda x: F.shiftrightunsigned(x, 24)
+    top = lambda x: F.shiftrightunsigned(x, PLACE)
     twins = F.filter(F.zip_with("__x", "__y", lambda a, b: F.when(top(a) == top(b), a)), lambda a: a.isNotNull())
     d = d.withColumn("__first", F.when(F.size("__x") > 0, twins).otherwise(F.array().cast("array<bigint>")))
     follow = F.filter(F.zip_with("__x", "__y", lambda a, b: F.when(top(a) == top(b), b)), lambda a: a.isNotNull())
     places = F.array_distinct(F.concat(F.col("__first"), F.when(F.size("__first") > 0, follow).otherwise(F.array().cast("array<bigint>"))))
     d = d.withColumn("__p", places)
     # equal hashes are only candidates: the words of the candidates decide
-    at = lambda p: p.bitwiseAND(F.lit((1 << 24) - 1)).cast("int")
+    at = lambda p: p.bitwiseAND(F.lit((1 << PLACE) - 1)).cast("int")
     strings = F.sort_array(F.transform("__p", lambda p: F.struct(F.array_join(F.slice("__w", at(p) + 1, 3), " ").alias("s"), at(p).alias("i"))))
     d = d.withColumn("__s", F.when(F.size("__p") > 0, strings))
     nxt = F.concat(F.slice("__s", 2, F.greatest(F.size("__s"), F.lit(1))), F.array(F.lit(None).cast("struct<s:string,i:int>")))

@@ -2,28 +2,30 @@
 
 Fingerprints are 64 bits; two link if at most ``most`` bits differ. Equal fingerprints are one node from the start.
 By the pigeonhole principle two linked fingerprints agree on one of ``most + 1`` blocks of bits (on two of ``most + 2``),
-so each is dealt once a choice of blocks. Within a block's bucket the fingerprints are sorted by Gray rank; runs of eight are leaves, runs of eight
+so each is dealt once a choice of blocks. How many blocks must agree follows from the number of fingerprints, so that a
+bucket of evenly spread ones holds about a thousand at any size. Within a block's bucket the fingerprints are sorted by Gray rank; runs of eight are leaves, runs of eight
 leaves their parents and so on. A node keeps the bits that all below it share. Pairs of nodes are opened from the top;
 a pair whose shared bits already differ in more than ``most`` places is dropped whole, as is one whose members are
 linked already, so a group of near copies costs its nodes, not its pairs. A bucket gives its spanning links only.
 
 Defined cases: no word (null, empty, blank) gives fingerprint zero, which links like any other; a text shorter than
-a shingle is one shingle; repeated rows are members each; a null id never becomes a component's id unless the component
-has none other; an empty table gives an empty result; other columns are ignored.
+a shingle is one shingle; texts of any length are hashed whole; repeated rows are members each; a null id never becomes a component's id unless the component
+has none other; where one document of a group stays and ids tie, the row that is first in the table's files does, and a
+null id is the smallest; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import log2
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import LEAST_HOT, beside, numbered, release, stage
 from .graph import components
 
 FAN = 8
@@ -286,12 +288,19 @@ def _by_bucket(close, rows_at_once: int = 200_000):
     return run
 
 
-def _dealt(rows: DataFrame, most: int, agree: int | None = None) -> tuple[DataFrame, list[int]]:
+def needed(n: int, most: int, bucket: int = 1000) -> int:
+    """How many blocks two linked fingerprints of ``n`` must agree on for buckets of about ``bucket`` evenly spread ones."""
+    agree = 1 if most <= 3 else 2
+    while 64 * agree / (most + agree) < log2(max(n, 1) / bucket):
+        agree += 1
+    return agree
+
+
+def _dealt(rows: DataFrame, most: int, agree: int) -> tuple[DataFrame, list[int]]:
     """``rows`` once a choice of blocks, with ``block`` and ``bucket``, and the bits of each choice.
 
     The bits are cut into ``most + agree`` blocks; two linked fingerprints agree on ``agree`` of them, whichever, so
     each is dealt once for every choice of so many blocks (4 for three bits, 28 for six)."""
-    agree = agree or (1 if most <= 3 else 2)
     blocks = most + agree
     edges = [64 * i // blocks for i in range(blocks + 1)]
     part = lambda i: F.shiftrightunsigned("fp", edges[i]).bitwiseAND(F.lit((1 << (edges[i + 1] - edges[i])) - 1))
@@ -309,7 +318,7 @@ def _dealt(rows: DataFrame, most: int, agree: int | None = None) -> tuple[DataFr
 
 def links(distinct: DataFrame, most: int = 3, agree: int | None = None) -> DataFrame:
     """Spanning links ``u, v`` between the distinct fingerprints ``fp``."""
-    dealt, _ = _dealt(distinct, most, agree)
+    dealt, _ = _dealt(distinct, most, agree or needed(distinct.count(), most))
     return dealt.repartition("block", "bucket").sortWithinPartitions("block", "bucket").mapInPandas(_bucket_links(most), "u long, v long")
 
 
@@ -321,9 +330,10 @@ def similar_links(nodes: DataFrame, most: int, least: float, enough: int = 16) -
     the next round, which goes through the buckets that had more, eight times as far, until none is left. So a group
     of near copies costs its members, not its pairs."""
     label, rest, found = nodes.select("key", "fp", F.col("key").alias("label")), None, None
+    agree = needed(nodes.count(), most)
     side = lambda n: nodes.select(F.col("key").alias(f"k{n}"), F.col("set").alias(f"set{n}"))
     while True:
-        dealt, masks = _dealt(label, most)
+        dealt, masks = _dealt(label, most, agree)
         if rest is not None:
             dealt = dealt.join(rest, ["block", "bucket"], "left_semi")
         asked = dealt.repartition("block", "bucket").sortWithinPartitions("block", "bucket").mapInPandas(_bucket_pairs(most, enough, masks), "u long, v long, block int, bucket long, tested boolean")
@@ -341,7 +351,8 @@ def similar_links(nodes: DataFrame, most: int, least: float, enough: int = 16) -
 
 
 def shingle_sets(docs: DataFrame, shingle: int, keep: tuple[str, ...], text_col: str) -> DataFrame:
-    """``key`` (of the words), ``fp`` and ``set`` (hashes of the distinct runs of ``shingle`` words) beside ``keep``."""
+    """``digest`` (128 bits of the words), ``fp`` and ``set`` (hashes of the distinct runs of ``shingle`` words) beside
+    ``keep``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
@@ -350,44 +361,47 @@ def shingle_sets(docs: DataFrame, shingle: int, keep: tuple[str, ...], text_col:
             for lo in range(0, len(b), 500):
                 part = b.iloc[lo : lo + 500]
                 texts = part["__text"]
-                key = np.array([xxhash.xxh64_intdigest(b" ".join(t.encode("utf-8", "surrogatepass").lower().split())) for t in texts], np.uint64)
+                digest = [xxhash.xxh3_128_digest(b" ".join(t.encode("utf-8", "surrogatepass").lower().split())) for t in texts]
                 sets = [np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in texts]
-                yield part.drop(columns="__text").assign(key=key.view(np.int64), fp=fold_bits([shingle_hashes(t, 3) for t in texts]).view(np.int64), set=pd.Series(sets, index=part.index))
+                yield part.drop(columns="__text").assign(digest=digest, fp=fold_bits([shingle_hashes(t, 3) for t in texts]).view(np.int64), set=pd.Series(sets, index=part.index))
+        release()
 
     d = docs.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
-    return d.mapInPandas(run, ", ".join(f"`{n}` {t}" for n, t in d.dtypes if n != "__text") + ", key long, fp long, set array<bigint>")
+    return d.mapInPandas(run, ", ".join(f"`{n}` {t}" for n, t in d.dtypes if n != "__text") + ", digest binary, fp long, set array<bigint>")
 
 
 def one_of_similar(docs: DataFrame, most: int, least: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The document of the smallest id of each group that equal words and ``similar_links`` join, all columns kept; of
     identical rows one stays. Fingerprints are of three words a shingle and find candidates only."""
-    names = [f"`{c}`" for c in docs.columns]
-    keyed = docs.withColumn("__row", F.xxhash64(*names))
-    rows = shingle_sets(keyed.withColumn("__id", F.col(id_col)), shingle, ("__id", "__row"), text_col)
-    nodes = stage(rows.groupBy("key").agg(F.first("fp").alias("fp"), F.first("set").alias("set"), F.min(F.struct("__id", "__row")).alias("stays")), "simhash-nodes")
+    keyed, row = numbered(docs)
+    named = keyed.select(F.col(id_col).alias("__id"), F.col(f"{row}.file").alias("__file"), F.col(f"{row}.at").alias("__at"), F.col(text_col).alias("__whole"))
+    rows = shingle_sets(named, shingle, ("__id", "__file", "__at"), "__whole")
+    nodes = rows.groupBy("digest").agg(F.first("fp").alias("fp"), F.first("set").alias("set"), F.min(F.struct("__id", "__file", "__at")).alias("stays"))
+    nodes = stage(nodes.withColumn("key", F.monotonically_increasing_id()).drop("digest"), "simhash-nodes")
     root = components(similar_links(nodes, most, least))
-    stays = nodes.select("key", "stays").join(root, F.col("key") == F.col("node"), "left").groupBy(F.coalesce("root", "key").alias("root")).agg(F.min("stays")["__row"].alias("__stays"))
-    first = F.row_number().over(W.partitionBy("__row").orderBy(F.lit(1)))
-    return keyed.join(stays, F.col("__row") == F.col("__stays"), "left_semi").withColumn("__nth", first).filter("__nth = 1").select(*names)
+    stays = nodes.select("key", "stays").join(root, F.col("key") == F.col("node"), "left").groupBy(F.coalesce("root", "key").alias("root")).agg(F.min("stays").alias("s")).select("s.__file", "s.__at")
+    return keyed.join(stays, (F.col(f"{row}.file") == F.col("__file")) & (F.col(f"{row}.at") == F.col("__at")), "left_semi").select(*[f"`{c}`" for c in docs.columns])
 
 
-def near_duplicates(docs: DataFrame, most: int = 3, shingle: int = 3, keep: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, most: int = 3, shingle: int = 3, keep: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text", least_hot: int = LEAST_HOT) -> DataFrame:
     """``doc_id, root, fingerprint, component_id`` and the columns in ``keep``, one row a document; ``root`` is the
     component's smallest fingerprint."""
     named = docs.select(F.col(id_col).alias("doc_id"), *keep, F.col(text_col).alias("text"))
     prints = stage(fingerprints(named, shingle, ("doc_id", *keep)), "simhash-prints", pack=False)
-    distinct = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
+    distinct = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "simhash-distinct")
     root = components(links(distinct.select("fp"), most))
-    classes = distinct.join(root, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    names = classes.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "r")
-    named = classes.join(names, F.col("root") == F.col("r")).select(F.col("fp").alias("cfp"), "component_id", "root")
-    return prints.join(named, F.col("fp") == F.col("cfp")).select("doc_id", "root", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", *keep)
+    classes = distinct.join(root, F.col("fp") == F.col("node"), "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
+    names = classes.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("m")).withColumnRenamed("root", "r")
+    total = distinct.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).head()
+    named = beside(classes, names, "root", "r", "m", total[0], least_hot).select(F.col("fp").alias("cfp"), "component_id", "root", "n")
+    # copies may be any share of all rows, and all texts without a word have one fingerprint
+    every = beside(prints, named, "fp", "cfp", "n", total[1], least_hot)
+    return every.select("doc_id", "root", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", *keep)
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """The document of the smallest id of each component, all columns kept; of identical rows one stays."""
-    names = [f"`{c}`" for c in docs.columns]
-    keyed = docs.withColumn("__row", F.xxhash64(*names))
-    stays = near_duplicates(keyed, keep=("__row",), **options).groupBy("root").agg(F.min(F.struct("doc_id", "__row"))["__row"].alias("__stays"))
-    first = F.row_number().over(W.partitionBy("__row").orderBy(F.lit(1)))
-    return keyed.join(stays, F.col("__row") == F.col("__stays"), "left_semi").withColumn("__nth", first).filter("__nth = 1").select(*names)
+    keyed, row = numbered(docs)
+    at = [F.col(f"{row}.file").alias("__file"), F.col(f"{row}.at").alias("__at")]
+    stays = near_duplicates(keyed.select("*", *at), keep=("__file", "__at"), **options).groupBy("root").agg(F.min(F.struct("doc_id", "__file", "__at")).alias("s")).select("s.__file", "s.__at")
+    return keyed.join(stays, (F.col(f"{row}.file") == F.col("__file")) & (F.col(f"{row}.at") == F.col("__at")), "left_semi").select(*[f"`{c}`" for c in docs.columns])

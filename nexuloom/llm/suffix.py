@@ -16,8 +16,13 @@ anchors skip the count, and equal suffixes of a map task are one entry of its ru
 repeat and go to their documents at once), so no task holds a frequent gram's occurrences. The sample decides the way
 an anchor takes, never the result.
 
-Defined cases: null text is empty; texts shorter than ``length`` lose nothing; rows of one id are separate documents,
-ordered by a hash of the text, and null ids come first; an empty table gives an empty result; other columns are ignored.
+Any other gram meets its like in one task to be counted, but a map task sends at most two of its occurrences there per
+200,000 anchors; two are enough for all others of that gram to be known as repeats, so the rest go on uncounted.
+
+Defined cases: null text is empty; texts shorter than ``length`` lose nothing; texts of any length are cut into segments
+that overlap by ``length`` less one; rows of one id are separate documents, ordered by a hash of the text, and null ids
+come first; of equal strings that start at the same place of tied rows one stays; an empty table gives an empty result;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,11 +38,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import stage
+from .common import input_bytes, release, stage
 
 GRAM = 24
 BASE = 0x9E3779B97F4A7C15 | 1
 SEGMENT = 1 << 22
+#: Bytes of input files for each part of the merge, so a part's runs do not grow with the input.
+PART_BYTES = 16 << 20
 #: Ends the part of a key that lies after the anchor; UTF-8 has no such byte.
 STOP = b"\xff"
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -117,11 +124,15 @@ def _anchors(raw: bytes, length: int, shift: int, frequent: Frequent | None):
 
 
 def _emit_anchors(length: int, hashes: np.ndarray):
-    """Rows ``h, doc, at``; ``at`` packs place, offsets and, in its last bit, whether the gram is frequent. Anchors of
-    frequent grams have a key of their own in place of ``h``: they need no count."""
+    """Rows ``h, doc, at``; ``at`` packs place, offsets and, in its last bit, whether the anchor needs no count, because
+    its gram is frequent or two others of it are among these rows. Such an anchor has a key of its own in place of ``h``."""
 
     def frame(parts: list) -> pd.DataFrame:
         h, p, lo, hi, hot, doc = (np.concatenate(x) for x in zip(*parts))
+        order = np.argsort(h, kind="stable")
+        third = np.zeros(len(h), bool)
+        third[order[2:]] = h[order[2:]] == h[order[:-2]]
+        hot = hot | third
         at = p << 15 | lo << 8 | hi << 1 | hot
         return pd.DataFrame({"h": np.where(hot == 1, (doc * 0x2545F491 + at) ^ h, h), "doc": doc, "at": at})
 
@@ -252,17 +263,27 @@ def merge_runs(runs: list[Iterator]) -> Iterator[tuple[int, bytes, int, int]]:
             i //= 2
 
 
-def repeats(entries: Iterator[tuple[int, bytes, int, int]], length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Merged entries -> (documents, starts, ends) of removed bytes."""
-    shared, keys, where, rest = [], [], [], []
+def repeats(entries: Iterator[tuple[int, bytes, int, int]], length: int, at_once: int = 50_000) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Merged entries -> (documents, starts, ends) of removed bytes. Equal strings have equal grams, so what is held is
+    gone through whenever a gram ends after ``at_once`` entries."""
+    held: tuple[list, list, list, list] = ([], [], [], [])
     for n, key, d, p in entries:
+        shared, keys, where, rest = held
         if keys and n == len(key) == len(keys[-1]):  # the same key from another run: the earlier one stays
             rest.append((len(keys) - 1, *max((d, p), where[-1])))
             where[-1] = min((d, p), where[-1])
-        else:
-            shared.append(n)
-            keys.append(key)
-            where.append((d, p))
+            continue
+        if n < GRAM and len(keys) + len(rest) >= at_once:
+            yield from _repeats(*held, length)
+            held = shared, keys, where, rest = [], [], [], []
+        shared.append(n)
+        keys.append(key)
+        where.append((d, p))
+    yield from _repeats(*held, length)
+
+
+def _repeats(shared: list[int], keys: list[bytes], where: list[tuple[int, int]], rest: list[tuple[int, int, int]], length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of the entries of whole grams, in order, with what they share, and equal ones put aside in ``rest``."""
     if not keys:
         return
     right = np.array([k.index(STOP) for k in keys], np.int64)
@@ -334,6 +355,7 @@ def _build_runs(length: int, parts: int, at_once: int = 150_000):
                 held, sure, size = {}, [], 0
         if size:
             yield flush()
+        release()
 
     return run
 
@@ -358,6 +380,7 @@ def _merge_parts(length: int):
                 held.append(r)
         if held:
             yield from close(held)
+        release()
 
     return run
 
@@ -406,7 +429,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, sample: int = 2_000, shar
     else:  # number the rows in order, so that every row is a document
         d = d.repartitionByRange(F.col("id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("id").asc_nulls_first(), F.xxhash64("text"))
         d = stage(d.withColumn("doc", F.monotonically_increasing_id()), "suffix-numbered")
-    parts = int(d.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(d.sparkSession.conf.get("spark.sql.shuffle.partitions")), input_bytes(docs) // PART_BYTES)
     rows = d.select("doc", "text")
     frequent = frequent_grams(rows, sample, share)
     found = rows.filter(F.octet_length("text") >= length).mapInPandas(_emit_anchors(length, frequent), "h long, doc long, at long")

@@ -2,14 +2,17 @@
 
 A shard is two files. ``<name>.ids`` holds nothing but little-endian ids (16 bits each if the vocabulary allows, else
 32), record after record in ascending key order. ``<name>.mph`` holds the index: a minimal perfect hash of the shard's
-keys (levels of bit arrays, a key's place is the rank of its bit) and, at each place, a 32-bit fingerprint of the key,
-the record's offset and its length; then the keys in record order. A lookup hashes, compares the fingerprint and reads
-one slice. Files get a name of their own for each attempt and the manifest, a Parquet table written last by Spark,
-names those that count, so a lost executor leaves nothing wrong behind.
-
-A key is ``(doc_id, n)``, n counting rows of the same id from 0. Defined cases: null text is the empty record, only the
-end id; null ids come first; repeated rows are records each, ordered by text; an empty table gives a manifest without
-shards; other columns are ignored.
+keys (levels of bit arrays in blocks that carry their rank, a key's place is the rank of its bit) and, at each place, a
+32-bit fingerprint of the key, the record's offset and its length; then the keys in record order. A lookup reads the
+head, one block for each level it asks (two on average), one slot and one slice of the payload: never the whole index.
+Files get a name of their own for each attempt and the manifest, a Parquet table written last by Spark, names those
+that count, so a lost executor leaves nothing wrong behind.
+
+Shards are ranges of ``(doc_id, digest of the text, row)``, so neither copies of a row nor rows of one id meet in one
+task. A key is ``(doc_id, n)``, n counting the rows of the id in the shard from 0. Defined cases: null text is the empty
+record, only the end id; null ids come first; repeated rows are records each, in the order of a digest of the text;
+texts of any length are encoded whole, a few at a time; an empty table gives a manifest without shards; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -23,18 +26,21 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import new_path, stage
+from .common import input_bytes, new_path, release, stage
 
 MAGIC = b"NXMPH001"
 MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
-MANIFEST = "name string, first_id long, first_null boolean, records long, ids long, width int"
+MANIFEST = "part int, name string, first_id long, first_null boolean, records long, ids long, width int"
+#: Bytes of input files a shard is made of.
+SHARD_BYTES = 128 << 20
 #: Marks that end a word without joining it.
 MARKS = ".,;:!?"
-RECORDS = "name string, nth long, doc_id long, is_null boolean, offset long, n_tokens long, ids_crc32 long"
+RECORDS = "name string, nth long, doc_id long, is_null boolean, start long, n_tokens long, ids_crc32 long"
 
 
 # ---- encoding -------------------------------------------------------------------------------------------------------
@@ -46,10 +52,13 @@ class Encoder:
     The pre-tokenizer never joins across a single blank or line break between two characters that are not white space,
     so a text is cut before these. Distinct pieces are encoded together; the ids that open a piece are those whose
     bytes begin with a blank or a line break. Texts with other white space at a cut are encoded as they are. The cache
-    is bounded.
+    holds at most ``cache`` bytes and is emptied when it is full.
     """
 
-    def __init__(self, path: str, cache: int = 1_000_000):
+    #: Bytes of an entry beside its piece and ids: two objects and their place in the table.
+    ENTRY = 220
+
+    def __init__(self, path: str, cache: int = 48 << 20):
         from tokenizers import Tokenizer
 
         self.t = Tokenizer.from_file(path)
@@ -58,7 +67,7 @@ class Encoder:
         self.led = np.zeros(self.size, bool)
         for piece, i in self.t.get_vocab(with_added_tokens=True).items():
             self.led[i] = piece.startswith(("Ġ", "Ċ"))
-        self.most, self.cache = cache, {}
+        self.most, self.held, self.cache = cache, 0, {}
         self.marks = dict(zip(MARKS, self.whole(list(MARKS))))
 
     def whole(self, texts: list[str]) -> list[bytes]:
@@ -71,8 +80,9 @@ class Encoder:
         return bool(body) and not body[0].isspace() and not body[-1].isspace()
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        if len(self.cache) > self.most:
+        if self.held > self.most:
             self.cache.clear()
+            self.held = 0
         cut = [t.replace("\n", " \n").split(" ") for t in texts]
         new = set()
         for pieces in cut:
@@ -93,6 +103,7 @@ class Encoder:
             cache.update(zip(new, [raw[a:b] for a, b in zip((starts * w).tolist(), ends.tolist())]))
         for x in marked:
             cache[x] = cache[x[:-1]] + self.marks[x[-1]]
+        self.held += self.ENTRY * (len(new) + len(marked)) + sum(map(len, new)) + sum(map(len, marked))
         out: list[bytes | None] = []
         get, odd, heads = cache.__getitem__, [], []
         for i, pieces in enumerate(cut):
@@ -134,6 +145,11 @@ def key_hash(ids: np.ndarray, nulls: np.ndarray, nth: np.ndarray, salt: int) ->
     return mixed(mixed(ids.astype(np.int64).view(np.uint64), salt) ^ mixed(nth.astype(np.uint64) * np.uint64(2) + nulls.astype(np.uint64), salt + 1), salt + 2)
 
 
+#: Bits of a level that share one rank.
+BLOCK = 512
+BLOCKS = np.dtype([("rank", "<u8"), ("bits", "u1", BLOCK // 8)])
+
+
 class PerfectHash:
     """Places 0..n-1 of n distinct 64-bit hashes. Level by level, a key whose bit no other key wants is settled."""
 
@@ -170,16 +186,25 @@ class PerfectHash:
         return out
 
     def pack(self) -> bytes:
-        head = np.array([len(self.levels), *map(len, self.levels)], "<u8").tobytes()
-        return head + b"".join(np.packbits(x).tobytes() for x in self.levels)
+        """Number and sizes of the levels; then each level in blocks of the rank before it and ``BLOCK`` bits."""
+        out = [np.array([len(self.levels), *map(len, self.levels)], "<u8").tobytes()]
+        for bits, ranks in zip(self.levels, self.ranks):
+            blocks = np.zeros(-(-len(bits) // BLOCK), BLOCKS)
+            blocks["rank"] = ranks[::BLOCK]
+            full = np.zeros(len(blocks) * BLOCK, np.uint8)
+            full[: len(bits)] = bits
+            blocks["bits"] = np.packbits(full).reshape(-1, BLOCK // 8)
+            out.append(blocks.tobytes())
+        return b"".join(out)
 
     @classmethod
     def unpack(cls, raw: memoryview) -> tuple[PerfectHash, int]:
         n = int(np.frombuffer(raw[:8], "<u8")[0])
         sizes, at, levels = np.frombuffer(raw[8 : 8 + 8 * n], "<u8"), 8 + 8 * n, []
         for s in map(int, sizes):
-            levels.append(np.unpackbits(np.frombuffer(raw[at : at + (s + 7) // 8], np.uint8))[:s])
-            at += (s + 7) // 8
+            blocks = np.frombuffer(raw[at:], BLOCKS, -(-s // BLOCK))
+            levels.append(np.unpackbits(blocks["bits"])[:s])
+            at += blocks.nbytes
         return cls(levels), at
 
 
@@ -233,7 +258,8 @@ def file_system(folder: str) -> tuple[pafs.FileSystem, str]:
 
 
 def write_tokens(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 0, shards: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encode every whole text, write the shards into ``folder`` and return the manifest (one row a shard)."""
+    """Encode every whole text, write the shards into ``folder`` and return the manifest (one row a shard). Their number
+    follows from the bytes of the input files and is two a core at least."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = file_system(folder)
@@ -243,7 +269,7 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 0,
         keys, lengths, last, again, out = [], [], None, 0, None
         for b in batches:
             ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for lo, hi in slices(texts):
+            for lo, hi in slices(texts, 1_000_000):
                 if out is None:
                     out = fs.open_output_stream(f"{root}/{name}.ids", buffer_size=1 << 20)
                 records = enc(texts[lo:hi])
@@ -260,11 +286,16 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 0,
         size = np.array(lengths, np.int64)
         with fs.open_output_stream(f"{root}/{name}.mph") as f:
             f.write(pack_index(ids.astype(np.int64), nulls, nth, np.cumsum(size) - size, size))
-        yield pa.RecordBatch.from_pydict({"name": [name], "first_id": [int(ids[0])], "first_null": [bool(nulls[0])], "records": [len(size)], "ids": [int(size.sum())], "width": pa.array([enc.dtype.itemsize], pa.int32())})
+        release()
+        part = pa.array([TaskContext.get().partitionId()], pa.int32())
+        yield pa.RecordBatch.from_pydict({"part": part, "name": [name], "first_id": [int(ids[0])], "first_null": [bool(nulls[0])], "records": [len(size)], "ids": [int(size.sum())], "width": pa.array([enc.dtype.itemsize], pa.int32())})
 
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    ranged = d.repartitionByRange(*([shards] if shards else []), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    return stage(ranged.select("doc_id", "text").mapInArrow(encode, MANIFEST), "token-manifest")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("digest"), F.monotonically_increasing_id().alias("row"))
+    n = shards or max(2 * docs.sparkSession.sparkContext.defaultParallelism, input_bytes(docs) // SHARD_BYTES)
+    order = [F.col("doc_id").asc_nulls_first(), F.col("digest").asc(), F.col("row").asc()]
+    ranged = d.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    return stage(ranged.select("doc_id", "text").mapInArrow(encode, MANIFEST), "token-manifest", pack=False)
 
 
 def slices(texts, most: int = 2_000_000) -> Iterator[tuple[int, int]]:
@@ -280,12 +311,12 @@ def slices(texts, most: int = 2_000_000) -> Iterator[tuple[int, int]]:
 
 
 def read_records(manifest: DataFrame, folder: str) -> DataFrame:
-    """Every record of every shard, found by its key through the index and read from the payload."""
+    """Every record of every shard, found by its key through the index and read from the payload; a task a shard."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, root = file_system(folder)
         for b in batches:
-            for name, width in zip(b["name"], b["width"]):
+            for name, width, before in zip(b["name"], b["width"], b["before"]):
                 with fs.open_input_stream(f"{root}/{name}.mph") as f:
                     index = Index(f.read())
                 with fs.open_input_file(f"{root}/{name}.ids") as f:
@@ -296,25 +327,38 @@ def read_records(manifest: DataFrame, folder: str) -> DataFrame:
                         crc = np.zeros(len(k), np.int64)
                         for i, (o, n) in enumerate(zip(offset.tolist(), length.tolist())):
                             crc[i] = zlib.crc32(np.frombuffer(f.read_at(n * width, o * width), f"<u{width}").astype("<u4"))
-                        yield pd.DataFrame({"name": name, "nth": np.arange(lo, lo + len(k)), "doc_id": k["id"].astype(np.int64), "is_null": k["null"].astype(bool), "offset": offset, "n_tokens": length, "ids_crc32": crc})
+                        yield pd.DataFrame({"name": name, "nth": np.arange(lo, lo + len(k)), "doc_id": k["id"].astype(np.int64), "is_null": k["null"].astype(bool), "start": before + offset, "n_tokens": length, "ids_crc32": crc})
 
-    order = W.orderBy(F.col("first_null").desc(), "first_id").rowsBetween(W.unboundedPreceding, -1)  # one row a shard
-    before = manifest.select(F.col("name").alias("m_name"), F.coalesce(F.sum("ids").over(order), F.lit(0)).alias("before"))
-    spread = manifest.select("name", "width").repartition("name")
-    found = spread.mapInPandas(scan, RECORDS)
-    return found.join(before, found["name"] == before["m_name"]).select(F.when(~F.col("is_null"), F.col("doc_id")).alias("doc_id"), (F.col("before") + F.col("offset")).cast("long").alias("start"), "n_tokens", "ids_crc32", "name", "nth")
+    order = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # one row a shard
+    spread = manifest.select("name", "width", "part", F.coalesce(F.sum("ids").over(order), F.lit(0)).alias("before")).repartition(max(1, manifest.count()), "part")
+    return spread.mapInPandas(scan, RECORDS).withColumn("doc_id", F.when(~F.col("is_null"), F.col("doc_id"))).select("doc_id", "start", "n_tokens", "ids_crc32", "name", "nth")
 
 
 def lookup(folder: str, name: str, width: int, doc_id: int | None, nth: int = 0) -> np.ndarray | None:
-    """The ids of one record of one shard in constant time, or None."""
+    """The ids of one record of one shard, or None. It reads the head of the index, a block a level asked, a slot and
+    the record, however large the shard is."""
     fs, root = file_system(folder)
-    with fs.open_input_stream(f"{root}/{name}.mph") as f:
-        index = Index(f.read())
-    offset, length = index.find([doc_id or 0], [doc_id is None], [nth])
-    if offset[0] < 0:
+    with fs.open_input_file(f"{root}/{name}.mph") as f:
+        head = f.read_at(40, 0)
+        assert head[:8] == MAGIC, "not an index"
+        salt, _, size, levels = map(int, np.frombuffer(head, "<u8", 4, 8))
+        h = key_hash(np.array([doc_id or 0]), np.array([doc_id is None]), np.array([nth]), salt)
+        at, place = 40 + 8 * levels, None
+        for k, bits in enumerate(np.frombuffer(f.read_at(8 * levels, 40), "<u8").tolist()):
+            spot = int(mixed(h, k)[0] % np.uint64(bits))
+            block = np.frombuffer(f.read_at(BLOCKS.itemsize, at + spot // BLOCK * BLOCKS.itemsize), BLOCKS)[0]
+            held = np.unpackbits(block["bits"])
+            if held[spot % BLOCK]:
+                place = int(block["rank"]) + int(held[: spot % BLOCK].sum())
+                break
+            at += -(-bits // BLOCK) * BLOCKS.itemsize
+        if place is None:
+            return None
+        slot = np.frombuffer(f.read_at(SLOT.itemsize, 32 + size + place * SLOT.itemsize), SLOT)[0]
+    if slot["print"] != np.uint32(h[0] >> np.uint64(32)):
         return None
     with fs.open_input_file(f"{root}/{name}.ids") as f:
-        return np.frombuffer(f.read_at(int(length[0]) * width, int(offset[0]) * width), f"<u{width}").astype("<u4")
+        return np.frombuffer(f.read_at(int(slot["length"]) * width, int(slot["offset"]) * width), f"<u{width}").astype("<u4")
 
 
 def encode_and_read(spark: SparkSession, docs: DataFrame, vocabulary: str) -> DataFrame:

@@ -78,6 +78,24 @@ def test_mix(docs, rows, none):
     assert mixing.mix(none).count() == 0
 
 
+def test_what_the_mix_takes(docs, rows, spark):
+    """Which documents are taken, and how often, against a plain queue."""
+    got = by_id(mixing.mix(docs))
+    h = {r["doc_id"]: r["h"] for r in docs.select("doc_id", F.xxhash64(F.lit(42), "doc_id", "text").alias("h")).collect()}
+    line = [(r[3], (h[r[0]], r[0]), len(brute.words(r[1]))) for r in rows]
+    taken = brute.mix_taken(line, {r[3]: got[r[0]]["target"] for r in rows}, sum(x[2] for x in line))
+    assert {r[0]: n for r, n in zip(rows, taken)} == {d: r["copies"] for d, r in got.items()}
+
+
+def test_mix_loses_no_row(spark):
+    """Rows that differ only in which column is null, and identical rows."""
+    d = [(1, "one two", None, "s"), (1, None, "one two", "s")] + [(2, "three four five", None, "s")] * 3 + [(None, "six", "x", None)] * 2
+    docs = spark.createDataFrame(d, "doc_id long, text string, note string, source string")
+    copies = sum(r["copies"] for r in mixing.mix(docs).collect())
+    got = [tuple(r) for r in mixing.mixed_documents(docs).collect()]
+    assert len(got) == copies and set(got) <= set(d) and (1, "one two", None, "s") in got
+
+
 def test_mixed_documents(docs, rows, spark):
     twice = docs.unionByName(docs.filter("doc_id = 3"))
     d = mixing.mixed_documents(twice)
@@ -112,6 +130,27 @@ def test_quality_cases(docs, none, spark):
     assert quality.score(docs, blank, ["doc_id"]).filter("predicted = 0").count() == 0 and blank.rules == []
 
 
+@pytest.mark.parametrize("table", ["fixture", "sf0.01"])
+def test_quality_against_plain_rules(spark, docs, table):
+    """Every score against the same rules over plain statistics."""
+    labels = common.read(spark, "/root/testdata/sf0.01", "labels")
+    model = quality.train(common.read(spark, "/root/testdata/sf0.01", "documents"), labels, ~queries.held_out())
+    assert model.rules
+    d = docs if table == "fixture" else common.read(spark, "/root/testdata/sf0.01", "documents")
+    plain = [(w, tuple((n.removeprefix("__s_"), left, t) for n, left, t in rule)) for w, rule in model.rules]
+    want = {r["doc_id"]: brute.quality_score(r["text"], model.bias, plain) for r in d.select("doc_id", "text").collect()}
+    got = by_id(quality.score(d, model, ["doc_id"]))
+    assert all(got[k]["score"] == pytest.approx(v, abs=1e-9) and got[k]["predicted"] == (v >= 0.7) for k, v in want.items()) and len(got) == len(want)
+    assert sorted(r["doc_id"] for r in quality.accepted(d, model).collect()) == sorted(k for k, v in want.items() if v >= 0.7)
+
+
+def test_quality_of_a_null_id(spark):
+    d = spark.createDataFrame([(None, "a b"), (1, None)], "doc_id long, text string").withColumn("held_out", queries.held_out())
+    labels = spark.createDataFrame([(None, 1), (1, 0)], "doc_id long, quality int")
+    model = quality.train(d, labels, F.lit(True))
+    assert quality.score(d, model, ["doc_id", "held_out"]).count() == 2 and quality.accepted(d, model).count() == 0
+
+
 def test_rules_say_what_the_trees_say(spark):
     rng = np.random.default_rng(0)
     x = rng.random((600, 2))
@@ -152,6 +191,19 @@ def test_language_against_plain_sums(docs, rows, none):
     assert {r["lang_pred"] for r in language.predict(docs, empty).collect()} == {"und"}
 
 
+def test_language_of_short_texts_at_every_place(spark):
+    model = language.train(spark.createDataFrame([(1, "hello there", "en"), (2, "bonjour", "fr")], "doc_id long, text string, lang string"), F.lit(True))
+    r = random.Random(3)
+    for _ in range(5):
+        texts = [r.choice(["", None, "a", " ", "\n", "é", "hello", "bonjour", "ab"]) for _ in range(r.randint(1, 7))]
+        d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+        got = by_id(language.predict(d, model))
+        for i, t in enumerate(texts):
+            assert (got[i]["lang_pred"] == "und") == (not any(c.isalpha() for c in t or "")), texts
+            alone = language.predict(d.filter(F.col("doc_id") == i), model).head()
+            assert alone["lang_pred"] == got[i]["lang_pred"] and alone["score"] == pytest.approx(got[i]["score"])
+
+
 def test_language_of_a_last_text_that_is_empty(spark):
     model = language.train(spark.createDataFrame([(1, "hello there", "en"), (2, "bonjour", "fr")], "doc_id long, text string, lang string"), F.lit(True))
     for last in ("", None):
@@ -164,6 +216,7 @@ def test_language_of_a_last_text_that_is_empty(spark):
 
 
 def test_tokens_round_trip(spark, docs, rows, tmp_path):
+    import xxhash
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(queries.vocabulary())
@@ -172,7 +225,8 @@ def test_tokens_round_trip(spark, docs, rows, tmp_path):
     m = tokens.write_tokens(table, f"file://{tmp_path}/t", queries.vocabulary(), shards=5)
     got = tokens.read_records(m, f"file://{tmp_path}/t").collect()
     want, at = [], 0
-    every = sorted([(r[0], r[1] or "") for r in rows] + [(x[0], x[1] or "") for x in more], key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+    digest = lambda t: (h := xxhash.xxh64_intdigest(t.encode(), 42)) - (h >> 63 << 64)
+    every = sorted([(r[0], r[1] or "") for r in rows] + [(x[0], x[1] or "") for x in more], key=lambda x: (x[0] is not None, x[0] or 0, digest(x[1])))
     for d, text in every:
         ids = [*t.encode(text, add_special_tokens=False).ids, 0]
         want.append((d, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
@@ -186,6 +240,56 @@ def test_tokens_round_trip(spark, docs, rows, tmp_path):
     assert tokens.encode_and_read(spark, table.limit(0), queries.vocabulary()).count() == 0
 
 
+def test_one_id_in_many_shards(spark, tmp_path):
+    d = spark.createDataFrame([(7, f"text {i % 40}") for i in range(400)] + [(None, "x")] * 100, "doc_id long, text string")
+    m = tokens.write_tokens(d, f"file://{tmp_path}/t", queries.vocabulary(), shards=6)
+    got = sorted(tokens.read_records(m, f"file://{tmp_path}/t").collect(), key=lambda r: r["start"])
+    assert m.count() > 3 and [r["doc_id"] for r in got] == [None] * 100 + [7] * 400
+    assert got[0]["start"] == 0 and all(b["start"] == a["start"] + a["n_tokens"] for a, b in zip(got, got[1:]))
+
+
+def test_a_lookup_reads_little(tmp_path, monkeypatch):
+    """The bytes read do not grow with the shard."""
+    read = {}
+    for n in (2_000, 60_000):
+        ids, zero = np.arange(n) * 3, np.zeros(n, np.int64)
+        (tmp_path / "s.mph").write_bytes(tokens.pack_index(ids, zero.astype(bool), zero, np.arange(n), zero + 1))
+        (tmp_path / "s.ids").write_bytes(np.arange(n).astype("<u2").tobytes())
+        fs, counted = tokens.pafs.LocalFileSystem(), []
+
+        class Files:
+            def open_input_file(self, path):
+                f = fs.open_input_file(path)
+
+                class Counted:
+                    def __enter__(self):
+                        return self
+
+                    def __exit__(self, *x):
+                        f.close()
+
+                    def read_at(self, size, at):
+                        counted.append(size)
+                        return f.read_at(size, at)
+
+                return Counted()
+
+        monkeypatch.setattr(tokens, "file_system", lambda folder: (Files(), folder))
+        for i in (0, n // 2, n - 1):
+            assert tokens.lookup(str(tmp_path), "s", 2, int(ids[i]))[0] == i % (1 << 16)
+        assert tokens.lookup(str(tmp_path), "s", 2, 1) is None
+        read[n] = sum(counted)
+    assert read[60_000] < read[2_000] + 2_000
+
+
+def test_the_piece_cache_is_bounded():
+    e = tokens.Encoder(queries.vocabulary(), cache=10_000)
+    r = random.Random(1)
+    for k in range(30):
+        text = " ".join(f"{r.choice('abcdef')}{r.randint(0, 9999)}," for _ in range(60))
+        assert e([text]) == e.whole([text]) and len(e.cache) <= 10_000 // e.ENTRY + 121
+
+
 def test_perfect_hash():
     for n in (0, 1, 2, 1000, 30000):
         h = tokens.key_hash(np.arange(n) * 7, np.zeros(n, bool), np.zeros(n, int), 0)
@@ -239,6 +343,42 @@ def test_plain_words_around(spark):
                 assert (x and [tuple(x["p"]), tuple(x["q"])]) == (want if len(want) == 2 else None), (words, i)
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_contamination_against_plain_windows(spark, seed):
+    """Random items, their parameters changed or cut, in random documents, against plain Python."""
+    r = random.Random(seed)
+    pool = "the old man sold walked to market and how many apples left river long went Peter Maria London 3 12 7 450 km hours dollars x2 after before".split()
+    items = {i: " ".join(r.choice(pool) for _ in range(r.choice([2, 4, 6, 12, 25]))) for i in range(14)}
+    docs = {}
+    for d in range(120):
+        parts = [" ".join(r.choice(pool) for _ in range(r.randint(0, 12)))]
+        for i in r.sample(sorted(items), r.randint(0, 2)):
+            w = items[i].split()
+            swap = {x: r.choice(["5", "88", "Anna", "miles", x]) for x in ("3", "12", "Peter", "Maria", "km")} if r.random() < 0.6 else {}
+            w = [swap.get(x, x) if r.random() < 0.97 else r.choice(pool) for x in w]
+            parts += [r.choice([" ".join, lambda w: " ".join(w).lower()])(w), r.choice([". ", ", ", " and ", ""])]
+        docs[d] = " ".join(parts)
+    docs |= {200: None, 201: "", 202: "...", 203: items[0]}
+    got = decontaminate.contaminated(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), spark.createDataFrame(list(items.items()), "item_id long, text string"))
+    want = brute.contaminated(docs, items, set(decontaminate.UNITS))
+    assert len(want) > 20 and {(x["doc_id"], x["item_id"]): pytest.approx(x["coverage"]) for x in got.collect()} == want
+
+
+def test_contamination_beyond_a_broadcast(spark):
+    item = "A train leaves the station at 12 and travels 340 km in 5 hours"
+    d = spark.createDataFrame([(1, item), (None, f"x {item.replace('340', '2')}"), (3, "no")], "doc_id long, text string")
+    rows, row = common.numbered(d)
+    for most in (0, 500_000):
+        assert {r["doc_id"] for r in decontaminate.matches(rows, ["doc_id", row], bench(spark, [item]), broadcast_windows=most).collect()} == {1, None}
+
+
+def test_rows_of_one_id_are_judged_apart(spark):
+    item = "What is the name of the river that runs through the old town"
+    d = [(1, item, None), (1, "nothing of it", "x"), (None, item, "y"), (None, None, "z"), (1, "nothing of it", "x")]
+    left = decontaminate.clean(spark.createDataFrame(d, "doc_id long, text string, item_id string"), bench(spark, [item, item]))
+    assert sorted(map(str, map(tuple, left.collect()))) == sorted(map(str, (d[1], d[3], d[4])))
+
+
 def test_planted_benchmark_passages(spark):
     d = spark.read.parquet(f"{SF}/documents.parquet").toPandas()
     b = spark.read.parquet(f"{SF}/benchmark.parquet").toPandas()
@@ -302,11 +442,13 @@ def test_simhash(docs, rows, none):
     prints = {r[0]: brute.simhash(r[1]) for r in rows}
     assert {d: r["fingerprint"] for d, r in got.items()} == {d: format(x, "016x") for d, x in prints.items()}
     assert {d: r["component_id"] for d, r in got.items()} == brute.link_components(prints)
+    apart = by_id(simhash.near_duplicates(docs, least_hot=0))  # hot fingerprints joined apart
+    assert {d: (r["fingerprint"], r["component_id"]) for d, r in apart.items()} == {d: (r["fingerprint"], r["component_id"]) for d, r in got.items()}
     assert simhash.near_duplicates(none).count() == 0
 
 
-@pytest.mark.parametrize(("seed", "most"), [(0, 3), (1, 3), (2, 6), (3, 6)])
-def test_links_of_close_fingerprints(spark, seed, most):
+@pytest.mark.parametrize(("seed", "most", "agree", "least_hot"), [(0, 3, None, 0), (1, 3, 2, 10**6), (2, 6, None, 10**6), (3, 6, 3, 0)])
+def test_links_of_close_fingerprints(spark, seed, most, agree, least_hot):
     r = random.Random(seed)
     prints = []
     for _ in range(12):
@@ -317,7 +459,7 @@ def test_links_of_close_fingerprints(spark, seed, most):
             prints.append(x)
     prints = sorted(set(prints))
     d = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in prints], "fp long")
-    root = {r["node"]: r["root"] for r in graph.components(simhash.links(d, most)).collect()}
+    root = {r["node"]: r["root"] for r in graph.components(simhash.links(d, most, agree), least_hot=least_hot).collect()}
     want = brute.link_components(dict(enumerate(prints)), most)
     signed = [x - (1 << 64) if x >> 63 else x for x in prints]
     groups = {}
@@ -326,31 +468,23 @@ def test_links_of_close_fingerprints(spark, seed, most):
     assert {frozenset(g) for g in groups.values()} == {frozenset(j for j in want if want[j] == c) for c in set(want.values())}
 
 
-def test_one_of_each(docs, rows):
-    keep = {r["doc_id"] for r in simhash.one_of_each(docs.unionByName(docs.limit(5))).collect()}
-    assert keep == set(brute.link_components({r[0]: brute.simhash(r[1]) for r in rows}).values())
+def test_blocks_that_must_agree():
+    assert [simhash.needed(n, 3) for n in (0, 1000, 60 << 20, 1 << 27, 5 * 10**10, 10**13)] == [1, 1, 1, 2, 2, 4]
+    assert simhash.needed(10**6, 6) == 2 and simhash.needed(5 * 10**10, 6) == 4
 
 
-def similar_roots(rows, least=0.8, most=6):
-    """Smallest id of each group joined by equal words and by candidates that are similar enough."""
-    prints = {d: brute.simhash(t) for d, t in rows.items()}
-    sets = {d: set(simhash.shingle_hashes(t or "", 5).tolist()) for d, t in rows.items()}
-    text = {d: b" ".join((t or "").encode().lower().split()) for d, t in rows.items()}
-    root = {d: d for d in rows}
+def test_no_row_is_lost_by_its_nulls(spark):
+    """Rows whose values are the same but for where a null stands are rows each."""
+    d = [(1, "one two", None), (1, None, "one two"), (2, "ONE  two", None), (3, None, "x"), (3, None, "x")]
+    docs = spark.createDataFrame(d, "doc_id long, text string, note string")
+    for one in (simhash.one_of_each, lambda x: simhash.one_of_similar(x, most=6)):
+        got = sorted(map(str, map(tuple, one(docs).collect())))
+        assert got == sorted(map(str, (d[0], d[1])))
 
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
 
-    ids = sorted(rows)
-    for k, a in enumerate(ids):
-        for b in ids[k + 1 :]:
-            near = (prints[a] ^ prints[b]).bit_count() <= most and len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b]) > 0
-            if near or text[a] == text[b]:
-                x, y = find(a), find(b)
-                root[max(x, y)] = min(x, y)
-    return {find(d) for d in ids}
+def test_one_of_each(docs, rows):
+    keep = {r["doc_id"] for r in simhash.one_of_each(docs.unionByName(docs.limit(5))).collect()}
+    assert keep == set(brute.link_components({r[0]: brute.simhash(r[1]) for r in rows}).values())
 
 
 @pytest.mark.parametrize("enough", [1, 16])
@@ -368,7 +502,7 @@ def test_one_of_similar(spark, enough, monkeypatch):
             at += 1
     rows |= {at: None, at + 1: "", at + 2: " \n", at + 3: "a b c", at + 4: "A  b c", at + 5: "a b d"}
     prints = {d: brute.simhash(t) for d, t in rows.items()}
-    want = similar_roots(rows)
+    want = brute.similar_roots(rows)
     assert len(want) > len(set(brute.link_components(prints, 6).values()))  # candidates alone would drop more
     links = simhash.similar_links
     monkeypatch.setattr(simhash, "similar_links", lambda n, most, least: links(n, most, least, enough))
@@ -430,6 +564,38 @@ def test_copies_stay_together_and_huge_groups_are_split(spark):
     assert got.loc[2000:2399, "shard"].nunique() <= 3
 
 
+def test_labels_against_plain_propagation(spark):
+    """The same labels as a plain loop over the parts."""
+    r = random.Random(4)
+    d = []
+    for t in range(60):
+        for p in range(r.choice([1, 1, 2, 3, 9])):
+            d += [(r.randint(1, 30), f"text {t}", p, r.randrange(5)) for _ in range(r.randint(1, 4))]
+    d += [(20, "huge", p, r.randrange(5)) for p in range(40)]
+    chunked = spark.createDataFrame(d, "size long, g string, part long, label int")
+    total = sum(x[0] for x in d)
+    h = chunked.select("g", "part", F.xxhash64("g").alias("gh"), F.xxhash64("g", "part").alias("ph")).distinct().collect()
+    free = {(x["g"], k): x["f"] for k in range(30) for x in chunked.select("g", F.xxhash64("g", F.lit(k)).alias("f")).distinct().collect()}
+    for quota in (total / 5 * 1.1, total / 5):
+        spots, left = sharding.propagate(chunked, 5, quota)
+        want, room = brute.propagate(d, 5, quota, {x["g"]: x["gh"] for x in h}, {(x["g"], x["part"]): x["ph"] for x in h}, lambda g, k: free[g, k])
+        assert {(x["pg"], x["pp"]): x["shard"] for x in spots.collect()} == {k: v for k, v in want.items() if v is not None}
+        assert [left[s] for s in range(5)] == pytest.approx(room)
+
+
+def test_cut_links_fall_and_sizes_stay_even(spark):
+    r = random.Random(6)
+    texts = [f"{t} " + "x" * r.randint(20, 60) for t in range(150)]
+    d = [(i, r.choice(texts[:100]) if i % 2 else f"alone {i}" + "y" * r.randint(10, 60)) for i in range(1500)] + [(5000 + i, "copy " * 9) for i in range(700)]
+    docs = spark.createDataFrame(d, "doc_id long, text string").withColumn("size", F.lit("clash")).withColumn("g", F.lit(1))
+    got = sharding.shard(docs, shards=6).toPandas().merge(docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(6)).alias("dealt")).toPandas(), on="doc_id")
+    before, after = (sharding.cut_links(spark.createDataFrame(got[["text", c]]), "text", c).head() for c in ("dealt", "shard"))
+    huge = got[got["text"] == d[-1][1]].groupby("shard").size()
+    assert before["links"] == after["links"] and before["cut"] > 1000 and after["cut"] <= 700 - huge.max() + 30
+    size = got.groupby("shard")["size"].sum()
+    assert len(size) == 6 and size.max() - size.min() < 0.02 * size.mean() + 2 * got["size"].max()
+
+
 # ---- 10 -------------------------------------------------------------------------------------------------------------
 
 
@@ -472,31 +638,59 @@ def test_running_total(spark):
             assert (r["upto"], r["r"]) == (at, k + 1)
 
 
+def stages(spark, docs, sf):
+    import corpus_pipeline as p
+
+    tables = [docs]
+    for _, f in p.STAGES:
+        tables.append(common.stage(f(spark, tables[-1], sf), "test"))
+    return tables
+
+
 def test_pipeline(spark):
+    """Each stage on what the one before kept, against plain Python."""
     import corpus_pipeline as p
+    from tokenizers import Tokenizer
 
     assert [n for n, _ in p.STAGES] == ["quality classifier", "simhash near-dedup", "benchmark decontamination", "mixing to target weights", "token ids"]
     docs = common.read(spark, SF, "documents")
-    tables = [docs]
-    for _, f in p.STAGES:
-        tables.append(common.stage(f(spark, tables[-1], SF), "test"))
-    good, single, clean, mixed, out = tables[1:]
-    assert all(t.columns == docs.columns for t in tables[1:5])
-    labels = common.read(spark, SF, "labels").toPandas().set_index("doc_id")["quality"]
-    kept = {r["doc_id"] for r in good.collect()}
-    assert np.mean([(d in kept) == (q == 1) for d, q in labels.items()]) > 0.9
-    text = {r["doc_id"]: r["text"] for r in good.collect()}
-    assert {r["doc_id"] for r in single.collect()} == set(brute.link_components({d: brute.simhash(t) for d, t in text.items()}, p.NEAR_BITS).values())
-    items = [r["text"] for r in common.read(spark, SF, "benchmark").collect()]
-    assert {r["doc_id"] for r in clean.collect()} == {r["doc_id"] for r in single.collect() if not any(i in r["text"] for i in items)}
+    good, single, clean, mixed, out = stages(spark, docs, SF)[1:]
+    assert all(t.columns == docs.columns for t in (good, single, clean, mixed))
+    labels = common.read(spark, SF, "labels")
+    model = quality.train(docs, labels, ~queries.held_out())
+    plain = [(w, tuple((n.removeprefix("__s_"), left, t) for n, left, t in rule)) for w, rule in model.rules]
+    kept = {r["doc_id"]: (r["text"], r["source"]) for r in docs.collect() if brute.quality_score(r["text"], model.bias, plain) >= 0.7}
+    marked = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    assert np.mean([(d in kept) == (q == 1) for d, q in marked.items()]) > 0.9
+    assert sorted(r["doc_id"] for r in good.collect()) == sorted(kept)
+    stay = brute.similar_roots({d: t for d, (t, _) in kept.items()}, most=p.NEAR_BITS)
+    assert sorted(r["doc_id"] for r in single.collect()) == sorted(stay)
+    items = {r["item_id"]: r["text"] for r in common.read(spark, SF, "benchmark").collect()}
+    bad = {d for d, _ in brute.contaminated({d: kept[d][0] for d in stay}, items, set(decontaminate.UNITS))}
+    stay -= bad
+    assert sorted(r["doc_id"] for r in clean.collect()) == sorted(stay)
+    h = {r["doc_id"]: r["h"] for r in clean.select("doc_id", F.xxhash64(F.lit(42), "doc_id", "text").alias("h")).collect()}
+    ids = sorted(stay)
+    line = [(kept[d][1], (h[d], d), len(brute.words(kept[d][0]))) for d in ids]
     sizes = {}
-    for r in clean.collect():
-        sizes[r["source"]] = sizes.get(r["source"], 0) + len(brute.words(r["text"]))
-    got = dict.fromkeys(sizes, 0)
-    for r in mixed.collect():
-        got[r["source"]] += len(brute.words(r["text"]))
-    longest = max(len(brute.words(r["text"])) for r in clean.collect())
-    assert all(abs(got[s] - t) <= longest for s, t in brute.mix_targets(sizes).items())
-    assert out.count() == mixed.count() == p.run(spark, SF).count()
-    first = out.orderBy("start").collect()
-    assert first[0]["start"] == 0 and all(b["start"] == a["start"] + a["n_tokens"] for a, b in zip(first, first[1:]))
+    for s, _, n in line:
+        sizes[s] = sizes.get(s, 0) + n
+    taken = brute.mix_taken(line, brute.mix_targets(sizes), sum(sizes.values()))
+    want = sorted(d for d, n in zip(ids, taken) for _ in range(n))
+    assert sorted(r["doc_id"] for r in mixed.collect()) == want
+    t, at, lines = Tokenizer.from_file(queries.vocabulary()), 0, []
+    for d in want:
+        raw = np.array([*t.encode(kept[d][0], add_special_tokens=False).ids, 0], "<u4")
+        lines.append((d, at, len(raw), zlib.crc32(raw.tobytes())))
+        at += len(raw)
+    assert sorted(tuple(r) for r in out.collect()) == lines == sorted(tuple(r) for r in p.run(spark, SF).collect())
+
+
+def test_pipeline_cases(spark, docs, none):
+    """Nulls, empty and repeated rows, clashing columns and empty tables through every stage."""
+    more = spark.createDataFrame([(None, None, None, None, None, "1", None, None, None, None, None)] * 2 + [(9000, "", None, "a", 0, None, 2, "k", "s", "f", "p"), (9000, None, "", "a", 0, None, 2, "k", "s", "f", "p")], SCHEMA)
+    good, single, clean, mixed, out = stages(spark, docs.unionByName(docs.limit(5)).unionByName(more), SF)[1:]
+    for before, after in ((docs, good), (good, single), (single, clean), (clean, mixed)):
+        assert after.columns == docs.columns
+    assert good.count() >= single.count() >= clean.count() and out.count() == mixed.count()
+    assert [t.count() for t in stages(spark, none, SF)] == [0] * 6
