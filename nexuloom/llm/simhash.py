@@ -16,7 +16,7 @@ null id is the smallest; an empty table gives an empty result; other columns are
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 from math import log2
 
@@ -322,22 +322,26 @@ def links(distinct: DataFrame, most: int = 3, agree: int | None = None) -> DataF
     return dealt.repartition("block", "bucket").sortWithinPartitions("block", "bucket").mapInPandas(_bucket_links(most), "u long, v long")
 
 
-def similar_links(nodes: DataFrame, most: int, least: float, enough: int = 16) -> DataFrame:
-    """``key, fp, set`` -> links ``u, v`` of keys that join what pairs within ``most`` bits whose sets have a Jaccard
-    similarity of ``least`` or more join.
+def similar_links(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame], most: int, least: float, enough: int = 16) -> DataFrame:
+    """``key, fp`` -> links ``u, v`` of keys that join what pairs within ``most`` bits whose sets have a Jaccard
+    similarity of ``least`` or more join. ``sets`` gives ``key, set`` for a table of keys; only keys of candidates are asked
+    for, each once.
 
     Rounds: a member is compared with ``enough`` others of each of its buckets at most; members joined by then are not compared in
     the next round, which goes through the buckets that had more, eight times as far, until none is left. So a group
     of near copies costs its members, not its pairs."""
-    label, rest, found = nodes.select("key", "fp", F.col("key").alias("label")), None, None
+    label, rest, found, have = nodes.select("key", "fp", F.col("key").alias("label")), None, None, None
     agree = needed(nodes.count(), most)
-    side = lambda n: nodes.select(F.col("key").alias(f"k{n}"), F.col("set").alias(f"set{n}"))
     while True:
         dealt, masks = _dealt(label, most, agree)
         if rest is not None:
             dealt = dealt.join(rest, ["block", "bucket"], "left_semi")
         asked = dealt.repartition("block", "bucket").sortWithinPartitions("block", "bucket").mapInPandas(_bucket_pairs(most, enough, masks), "u long, v long, block int, bucket long, tested boolean")
         asked = stage(asked, "simhash-asked")
+        ends = asked.filter("tested").select(F.explode(F.array("u", "v")).alias("key")).distinct()
+        fresh = stage(sets(stage(ends if have is None else ends.join(have.select("key"), "key", "left_anti"), "simhash-keys")), "simhash-sets")
+        have = fresh if have is None else have.unionByName(fresh)
+        side = lambda n: have.select(F.col("key").alias(f"k{n}"), F.col("set").alias(f"set{n}"))  # noqa: B023, E731
         both = asked.filter("tested").join(side(1), F.col("u") == F.col("k1")).join(side(2), F.col("v") == F.col("k2"))
         shared = both.select("u", "v", F.size(F.array_intersect("set1", "set2")).alias("n"), (F.size("set1") + F.size("set2")).alias("m"))
         now = stage(shared.filter(F.col("n") >= least * (F.col("m") - F.col("n"))).filter("n > 0").select("u", "v"), "simhash-similar")
@@ -350,9 +354,8 @@ def similar_links(nodes: DataFrame, most: int, least: float, enough: int = 16) -
         enough *= 8
 
 
-def shingle_sets(docs: DataFrame, shingle: int, keep: tuple[str, ...], text_col: str) -> DataFrame:
-    """``digest`` (128 bits of the words), ``fp`` and ``set`` (hashes of the distinct runs of ``shingle`` words) beside
-    ``keep``."""
+def word_digests(docs: DataFrame, keep: tuple[str, ...], text_col: str) -> DataFrame:
+    """``digest`` (128 bits of the words) and ``fp`` beside ``keep``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
@@ -360,25 +363,47 @@ def shingle_sets(docs: DataFrame, shingle: int, keep: tuple[str, ...], text_col:
         for b in batches:
             for lo in range(0, len(b), 500):
                 part = b.iloc[lo : lo + 500]
-                texts = part["__text"]
-                digest = [xxhash.xxh3_128_digest(b" ".join(t.encode("utf-8", "surrogatepass").lower().split())) for t in texts]
-                sets = [np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in texts]
-                yield part.drop(columns="__text").assign(digest=digest, fp=fold_bits([shingle_hashes(t, 3) for t in texts]).view(np.int64), set=pd.Series(sets, index=part.index))
+                digest = [xxhash.xxh3_128_digest(b" ".join(t.encode("utf-8", "surrogatepass").lower().split())) for t in part["__text"]]
+                yield part.drop(columns="__text").assign(digest=digest, fp=fold_bits([shingle_hashes(t, 3) for t in part["__text"]]).view(np.int64))
         release()
 
     d = docs.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
-    return d.mapInPandas(run, ", ".join(f"`{n}` {t}" for n, t in d.dtypes if n != "__text") + ", digest binary, fp long, set array<bigint>")
+    return d.mapInPandas(run, ", ".join(f"`{n}` {t}" for n, t in d.dtypes if n != "__text") + ", digest binary, fp long")
 
 
-def one_of_similar(docs: DataFrame, most: int, least: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _shingle_sets(shingle: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for lo in range(0, len(b), 500):
+                part = b.iloc[lo : lo + 500]
+                yield pd.DataFrame({"key": part["key"].to_numpy(), "set": [np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in part["text"]]})
+        release()
+
+    return run
+
+
+#: Rows whose places are broadcast to the texts; more are joined by a shuffle.
+BROADCAST_ROWS = 200_000
+
+
+def one_of_similar(docs: DataFrame, most: int, least: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text", enough: int = 16, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """The document of the smallest id of each group that equal words and ``similar_links`` join, all columns kept; of
-    identical rows one stays. Fingerprints are of three words a shingle and find candidates only."""
+    identical rows one stays. Fingerprints are of three words a shingle and find candidates only; sets of ``shingle``
+    words are made of one row for each text that is a candidate."""
     keyed, row = numbered(docs)
-    named = keyed.select(F.col(id_col).alias("__id"), F.col(f"{row}.file").alias("__file"), F.col(f"{row}.at").alias("__at"), F.col(text_col).alias("__whole"))
-    rows = shingle_sets(named, shingle, ("__id", "__file", "__at"), "__whole")
-    nodes = rows.groupBy("digest").agg(F.first("fp").alias("fp"), F.first("set").alias("set"), F.min(F.struct("__id", "__file", "__at")).alias("stays"))
+    at = [F.col(f"{row}.file").alias("__file"), F.col(f"{row}.at").alias("__at")]
+    rows = word_digests(keyed.select(F.col(id_col).alias("__id"), *at, F.col(text_col).alias("__whole")), ("__id", "__file", "__at"), "__whole")
+    nodes = rows.groupBy("digest").agg(F.first("fp").alias("fp"), F.min(F.struct("__id", "__file", "__at")).alias("stays"))
     nodes = stage(nodes.withColumn("key", F.monotonically_increasing_id()).drop("digest"), "simhash-nodes")
-    root = components(similar_links(nodes, most, least))
+
+    def sets(keys: DataFrame) -> DataFrame:
+        places = nodes.join(keys, "key", "left_semi").select("key", F.col("stays.__file").alias("k_file"), F.col("stays.__at").alias("k_at"))
+        if keys.count() <= broadcast_rows:
+            places = F.broadcast(places)
+        texts = keyed.select(*at, F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(places, (F.col("__file") == F.col("k_file")) & (F.col("__at") == F.col("k_at")))
+        return texts.select("key", "text").mapInPandas(_shingle_sets(shingle), "key long, set array<bigint>")
+
+    root = components(similar_links(nodes, sets, most, least, enough))
     stays = nodes.select("key", "stays").join(root, F.col("key") == F.col("node"), "left").groupBy(F.coalesce("root", "key").alias("root")).agg(F.min("stays").alias("s")).select("s.__file", "s.__at")
     return keyed.join(stays, (F.col(f"{row}.file") == F.col("__file")) & (F.col(f"{row}.at") == F.col("__at")), "left_semi").select(*[f"`{c}`" for c in docs.columns])
 

@@ -487,8 +487,8 @@ def test_one_of_each(docs, rows):
     assert keep == set(brute.link_components({r[0]: brute.simhash(r[1]) for r in rows}).values())
 
 
-@pytest.mark.parametrize("enough", [1, 16])
-def test_one_of_similar(spark, enough, monkeypatch):
+@pytest.mark.parametrize(("enough", "broadcast_rows"), [(1, 0), (16, 200_000)])
+def test_one_of_similar(spark, enough, broadcast_rows):
     r = random.Random(4)
     words = [f"w{i}" for i in range(400)]
     rows, at = {}, 0
@@ -504,9 +504,7 @@ def test_one_of_similar(spark, enough, monkeypatch):
     prints = {d: brute.simhash(t) for d, t in rows.items()}
     want = brute.similar_roots(rows)
     assert len(want) > len(set(brute.link_components(prints, 6).values()))  # candidates alone would drop more
-    links = simhash.similar_links
-    monkeypatch.setattr(simhash, "similar_links", lambda n, most, least: links(n, most, least, enough))
-    got = simhash.one_of_similar(spark.createDataFrame(list(rows.items()), "doc_id long, text string"), most=6)
+    got = simhash.one_of_similar(spark.createDataFrame(list(rows.items()), "doc_id long, text string"), most=6, enough=enough, broadcast_rows=broadcast_rows)
     assert got.columns == ["doc_id", "text"] and sorted(x["doc_id"] for x in got.collect()) == sorted(want)
     assert simhash.one_of_similar(got.limit(0), most=6).count() == 0
 
