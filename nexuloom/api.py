@@ -157,26 +157,37 @@ def search(index: SearchIndex, queries: DataFrame, k: int = 10, exemplar_weight:
     return retrieval.fuse(every, k)
 
 
-def resolve_terms(mentions: DataFrame, services: list, equivalents: DataFrame, nodes: DataFrame, k: int = 10) -> DataFrame:
-    """Distinct terms are asked of each service once (private ones of none but the local tables); candidates are
-    merged, ranked and canonicalised. A service maps ``term`` to ``term, curie, label, source, rank``."""
+def resolve_terms(mentions: DataFrame, services: list, equivalents: DataFrame, nodes: DataFrame, k: int = 10, typed=None) -> DataFrame:
+    """Distinct terms are asked of each service once (private ones of none but the local tables), then, where
+    ``typed`` is given, of that service once more for each type of the term; candidates are merged, ranked and
+    canonicalised. A service maps ``term`` to ``term, curie, label, source, rank``; ``typed`` maps ``term, type`` to those
+    and ``type``. Types are class names in the order of their ids; none, empty and NONE are no types."""
     terms = mentions.groupBy("term").agg(F.array_distinct(F.flatten(F.collect_list("types"))).alias("types")).withColumn("private", text.is_private(F.col("term"), F.col("types")))
+    terms = stage(terms, "terms")
     local = retrieval.local_lookup(terms.select("term"), nodes, k).select("term", F.col("id").alias("curie"), F.col("name").alias("label"), F.lit("local").alias("source"), F.lit(0).alias("list_no"), (F.col("rank") - 1).alias("rank"))
-    every, public = local, terms.filter(~F.col("private")).select("term")
+    every, public = local, terms.filter(~F.col("private"))
     for i, ask in enumerate(services):
-        every = every.unionByName(ask(public).select("term", "curie", "label", "source", F.lit(i + 1).alias("list_no"), "rank"))
+        every = every.unionByName(ask(public.select("term")).select("term", "curie", "label", "source", F.lit(i + 1).alias("list_no"), "rank"))
+    if typed is not None:
+        of = retrieval.typed_passes(public)
+        found = typed(of.select("term", "type")).join(of, ["term", "type"])
+        every = every.unionByName(found.select("term", "curie", "label", "source", (F.lit(len(services)) + F.col("nth")).alias("list_no"), "rank"))
     merged = retrieval.merge_candidates(every).filter(F.col("rank") < k)
     return merged.join(retrieval.canonicalize(merged.select("curie"), equivalents, nodes), "curie", "left").select("term", "curie", "label", "source", "rank", "canonical_id")
 
 
-def enrich(spark: SparkSession, kg_dir: str, genes: list[str], **options) -> DataFrame:
-    """Annotations from the gene-term table if it is there, else from the edges of genes to terms."""
+def annotations(spark: SparkSession, kg_dir: str) -> DataFrame:
+    """``gene, term`` from the gene-term table if it is there, else from the edges of genes to terms."""
     path = f"{kg_dir}/gene_go.parquet"
     if readers.has_table(spark, path):
-        a = spark.read.parquet(path).select("gene", F.col("go").alias("term"))
-    else:
-        a = stored_edges(spark, kg_dir).filter(F.col("object").startswith("GO:") & F.col("subject").startswith("NCBIGene:")).select(F.col("subject").alias("gene"), F.col("object").alias("term"))
-    return stats.enrich(a, readers.literal(spark, [(g,) for g in genes], "gene string"), **options)
+        return spark.read.parquet(path).select("gene", F.col("go").alias("term"))
+    e = stored_edges(spark, kg_dir).filter(F.col("object").startswith("GO:") & F.col("subject").startswith("NCBIGene:"))
+    return e.select(F.col("subject").alias("gene"), F.col("object").alias("term"))
+
+
+def enrich(spark: SparkSession, kg_dir: str, genes: list[str], **options) -> DataFrame:
+    """E03, E04"""
+    return stats.enrich(annotations(spark, kg_dir), readers.literal(spark, [(g,) for g in genes], "gene string"), **options)
 
 
 def viewer_graph(nodes: DataFrame, edges: DataFrame, max_nodes: int | None = None, min_score: float = 0.0, hops: int | None = None) -> DataFrame:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from .plans import analytics, kg, ontology, search
+from .plans import analytics, building, files, kg, linking, ontology, search
 
 FLAGSHIP = "ctx_kept"
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _m in (kg, ontology, analytics, search):
+for _m in (kg, ontology, analytics, search, files, building, linking):
     QUERIES |= _m.QUERIES
     ORACLES |= _m.ORACLES

@@ -16,7 +16,13 @@ KEYWORDS = ("ACTION:", "FINAL_VERDICT:", "OBSERVATION:")
 IDENTIFIERS = (r"\b\d{1,2}[/.-]\d{1,2}[/.-]\d{2,4}\b", r"\b[\w.+-]+@[\w-]+\.[\w.]+\b", r"\b(?:\+?\d[\d\s().-]{7,}\d)\b", r"\b(?:MRN|NHS|SSN|patient|pt|id)\s*[:#]?\s*\d{3,}\b")
 PERSONAL_TYPES = ("case", "individual organism", "cohort", "study population", "population of individual organisms", "agent")
 NONE_WORDS = ("none", "null", "n/a", "not applicable")
-MAX_INPUT = 5000
+MAX_INPUT, MAX_ARGUMENT = 5000, 300
+#: Marks of a verdict, of what must not stand in one and of a choice: fixed values, as replies are written that way.
+VERDICT_MARK = r"(?i)FINAL[_ ]VERDICT\**\s*[:\-]?\s*\**\s*([^\n]+)"
+SCRIPT_MARK = r"(?i)<script>|\$\{|\{\{|\$\("
+CHOICE_MARK = r"""(?i)"?choice"?\s*[:=]\s*(-?\d+)"""
+#: Tools that look terms up, and the one that takes a class: fixed values.
+TERM_TOOLS, CLASS_TOOL = ("lookup_exact_term", "semantic_context_search"), "get_class_hierarchy"
 
 
 def sentences(c: Column) -> Column:
@@ -59,12 +65,12 @@ def sanitize(term: Column, sentence: Column) -> Column:
 
 
 def is_private(term: Column, types: Column | None = None) -> Column:
-    """A personal type, or the look of an identifier."""
+    """A personal type, in any case, or the look of an identifier."""
     hit = F.lit(False)
     for p in IDENTIFIERS:
         hit = hit | term.rlike(f"(?i){p}")
     if types is not None:
-        hit = hit | F.coalesce(F.arrays_overlap(types, F.array(*[F.lit(t) for t in PERSONAL_TYPES])), F.lit(False))
+        hit = hit | F.coalesce(F.exists(types, lambda t: F.lower(t).isin(*PERSONAL_TYPES)), F.lit(False))
     return hit
 
 
@@ -86,14 +92,14 @@ def tokens(c: Column) -> Column:
 
 def verdict(reply: Column) -> Column:
     """The text after the last verdict mark, stripped; null without one."""
-    every = F.regexp_extract_all(reply, F.lit(r"(?i)FINAL[_ ]VERDICT\**\s*[:\-]?\s*\**\s*([^\n]+)"), F.lit(1))
+    every = F.regexp_extract_all(reply, F.lit(VERDICT_MARK), F.lit(1))
     return F.regexp_replace(F.try_element_at(every, F.lit(-1)), r"""^['"`*.:;,()\[\] \t]+|['"`*.:;,()\[\] \t]+$""", "")
 
 
 def parse_verdicts(replies: DataFrame, classes: DataFrame) -> DataFrame:
     """Adds ``ok`` and ``class_name`` (NONE for a refusal); unknown names and suspicious lines are not ok."""
     r = replies.withColumn("__raw", verdict(F.col("reply")))
-    bad = F.col("__raw").rlike(r"(?i)<script>|\$\{|\{\{|\$\(")
+    bad = F.col("__raw").rlike(SCRIPT_MARK)
     none = F.lower("__raw").isin(*NONE_WORDS)
     names = classes.select(F.col("name").alias("__name"), type_key(F.col("name")).alias("__key")).dropDuplicates(["__key"])
     j = r.withColumn("__key", type_key(F.col("__raw"))).join(names, "__key", "left")
@@ -112,7 +118,7 @@ def choice(reply: Column) -> Column:
     """The JSON object's choice, else a field named choice, else the last integer, else null."""
     block = F.nullif(F.regexp_extract(reply, r"(?s)(\{.*\})", 1), F.lit(""))
     from_json = F.get_json_object(block, "$.choice").try_cast("int")
-    field = F.nullif(F.regexp_extract(reply, r"""(?i)"?choice"?\s*[:=]\s*(-?\d+)""", 1), F.lit("")).try_cast("int")
+    field = F.nullif(F.regexp_extract(reply, CHOICE_MARK, 1), F.lit("")).try_cast("int")
     last = F.try_element_at(F.regexp_extract_all(reply, F.lit(r"(-?\d+)"), F.lit(1)), F.lit(-1)).try_cast("int")
     return F.coalesce(from_json, field, last)
 
@@ -123,8 +129,27 @@ def unknown_list(reply: Column, batch: Column) -> Column:
 
 
 def tool_argument(c: Column) -> Column:
-    """An argument out of quotes, brackets and ``name=``."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.trim(c), r"^\w+\s*=\s*", ""), r"""^['"\[({`]+|['"\])}`]+$""", ""))
+    """An argument out of quotes and ``name=``; brackets are part of it."""
+    c = F.regexp_replace(F.regexp_replace(c, r"^\s*\w+\s*=\s*", ""), r"^\s+|\s+$", "")
+    return F.regexp_replace(F.regexp_replace(c, r"""^['"]+|['"]+$""", ""), r"^\s+|\s+$", "")
+
+
+def checked_arguments(calls: DataFrame, classes: DataFrame) -> DataFrame:
+    """``tool, argument`` -> adds ``ok``, ``clean`` (for the class tool the class's own spelling) and ``message``.
+    ``classes``: name."""
+    c = calls.withColumn("clean", tool_argument(F.coalesce(F.col("argument"), F.lit(""))))
+    names = classes.select(F.col("name").alias("__name"), type_key(F.col("name")).alias("__key")).dropDuplicates(["__key"])
+    j = c.withColumn("__key", type_key(F.col("clean"))).join(names, "__key", "left")
+    short, of_class = F.length("clean").between(1, MAX_ARGUMENT), F.col("tool") == CLASS_TOOL
+    message = (
+        F.when(~short, "Empty or oversized argument.")
+        .when(F.col("tool").isin(*TERM_TOOLS), "")
+        .when(of_class & F.col("__name").isNull(), F.concat(F.lit("Unknown class '"), F.col("clean"), F.lit("': search for candidate classes first.")))
+        .when(of_class, "")
+        .otherwise(F.concat(F.lit("Unknown tool: "), F.coalesce("tool", F.lit(""))))
+    )
+    j = j.withColumn("message", message).withColumn("ok", F.col("message") == "")
+    return j.withColumn("clean", F.when(F.col("ok") & of_class, F.col("__name")).otherwise(F.col("clean"))).drop("__key", "__name")
 
 
 def gloss(description: Column, synonyms: Column, most: int = 180) -> Column:

@@ -79,7 +79,7 @@ def build(node_dump: DataFrame, edge_dump: DataFrame, rules: BuildRules) -> Tabl
     kept = e.filter("reason IS NULL")
     # codes by name: joins are by code, so their order has no meaning; one row a predicate
     predicates = kept.groupBy("predicate").agg(F.count(F.lit(1)).alias("n_edges_kept")).withColumn("predicate_code", (F.row_number().over(W.orderBy("predicate")) - 1).cast("smallint")).select("predicate_code", "predicate", "n_edges_kept")
-    coded = kept.join(F.broadcast(predicates.select("predicate", "predicate_code")), "predicate").select("subject", "object", "predicate_code", "knowledge_level", "agent_type", "primary_knowledge_source")  # a few hundred predicates
+    coded = kept.join(predicates.select("predicate", "predicate_code"), "predicate").select("subject", "object", "predicate_code", "knowledge_level", "agent_type", "primary_knowledge_source")  # a few hundred predicates
     n = node_dump.filter(F.col("category").isin(*rules.classes))
     nodes = kept_nodes(n.select("id", blank("name").alias("name"), "category", "all_categories", "equivalent_curies"), kept)
     equivalents = nodes.select(F.explode("equivalent_curies").alias("curie"), F.col("id").alias("canonical_id")).distinct()
@@ -89,7 +89,7 @@ def build(node_dump: DataFrame, edge_dump: DataFrame, rules: BuildRules) -> Tabl
 def extras(node_dump: DataFrame, edge_dump: DataFrame, nodes: DataFrame, predicates: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Details of kept nodes, publications of kept triples (predicates folded first) and gene terms."""
     details = node_dump.join(nodes.select("id"), "id", "left_semi").select("id", F.substring(F.coalesce("description", F.lit("")), 1, 2000).alias("description"), F.coalesce("iri", F.lit("")).alias("iri"), F.slice(F.coalesce("all_names", F.array().cast("array<string>")), 1, 30).alias("synonyms"), F.slice(F.coalesce("publications", F.array().cast("array<string>")), 1, 100).alias("publications"))
-    e = edge_dump.withColumn("predicate", normal_predicate(F.col("predicate"))).join(F.broadcast(predicates.select("predicate")), "predicate", "left_semi")
+    e = edge_dump.withColumn("predicate", normal_predicate(F.col("predicate"))).join(predicates.select("predicate"), "predicate", "left_semi")
     ids = nodes.select("id")
     e = e.join(ids.withColumnRenamed("id", "subject"), "subject", "left_semi").join(ids.withColumnRenamed("id", "object"), "object", "left_semi")
     pubs = e.filter(F.size("publications") > 0).select("subject", "predicate", "object", F.slice("publications", 1, 100).alias("publications"))

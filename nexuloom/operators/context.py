@@ -36,8 +36,8 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 
 def decode(edges: DataFrame, predicates: DataFrame) -> DataFrame:
-    """Predicate codes to names; the vocabulary has a few hundred rows."""
-    return edges.join(F.broadcast(predicates.select("predicate_code", "predicate")), "predicate_code")
+    """Predicate codes to names; the vocabulary has a few hundred rows, so Spark broadcasts it by its size."""
+    return edges.join(predicates.select("predicate_code", "predicate"), "predicate_code")
 
 
 def edge_weight(is_representation: Column, predicate_w: Column, source_w: Column, level_w: Column) -> tuple[Column, Column]:
@@ -136,10 +136,26 @@ def score(reach: DataFrame, nodes: DataFrame, deg: DataFrame, seeds: DataFrame,
     return d.select("node", "name", "category", "hop", "coverage", (s if params.score_digits is None else F.round(s, params.score_digits)).alias("score"), "degree", "seeds")
 
 
+def quantiles(rows: DataFrame, by: str, value: str, p: float) -> DataFrame:
+    """``by, thr``: exact continuous quantile of each group, without a group in one buffer.
+
+    Equal values are one row with a count. Values are cut into cells of a 256th of a doubling; the counts of the cells
+    say which one or two of a group hold the quantile, and only these are sorted."""
+    cell = F.when(F.col(value) > 0, F.floor(F.log2(value) * 256)).when(F.col(value) == 0, F.lit(-(1 << 40))).otherwise(-(1 << 41) - F.floor(F.log2(-F.col(value)) * 256))
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(by, value).agg(F.count(F.lit(1)).alias("n")).withColumn("cell", cell)
+    w = W.partitionBy(by)
+    cells = counts.groupBy(by, "cell").agg(F.sum("n").alias("m")).withColumn("upto", F.sum("m").over(w.orderBy("cell"))).withColumn("at", (F.sum("m").over(w) - 1) * p)
+    first = F.col("upto") - F.col("m")
+    here = cells.filter((F.floor("at") < F.col("upto")) & (F.ceil("at") >= first)).select(F.col(by).alias("__by"), F.col("cell").alias("__cell"), first.alias("first"), "at")
+    inside = counts.join(here, F.col(by).eqNullSafe(F.col("__by")) & (F.col("cell") == F.col("__cell"))).withColumn("upto", F.col("first") + F.sum("n").over(W.partitionBy(by, "cell").orderBy(value)))
+    reach = lambda k: F.min(F.when(F.col("upto") > k, F.col(value)))
+    ends = inside.groupBy(by).agg(reach(F.floor("at")).alias("a"), reach(F.ceil("at")).alias("b"), F.first("at").alias("at"))
+    return ends.select(by, (F.col("a") + (F.col("b") - F.col("a")) * (F.col("at") - F.floor("at"))).alias("thr"))
+
+
 def score_floor(scored: DataFrame, params: Params = Params()) -> DataFrame:
     """Exact percentile of the score of each hop."""
-    p = min(1.0, max(0.0, params.score_floor_percentile))
-    return scored.groupBy("hop").agg(F.expr(f"percentile(score, {p})").alias("thr"))
+    return quantiles(scored, "hop", "score", min(1.0, max(0.0, params.score_floor_percentile)))
 
 
 def by_rank() -> list[Column]:
@@ -199,9 +215,13 @@ def provenance(kept: DataFrame, seed_pages: DataFrame) -> DataFrame:
 
 
 def presence(scored: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rank and size within the category over all scored nodes for the wanted ids, reached or not."""
-    ranked = scored.withColumn("rank", F.rank().over(W.partitionBy("category").orderBy(F.col("score").desc()))).withColumn("of", F.count(F.lit(1)).over(W.partitionBy("category")))
-    return ids.join(ranked.select(F.col("node").alias("id"), "category", "hop", "score", "rank", "of"), "id", "left").withColumn("reached", F.col("rank").isNotNull())
+    """Rank and size within the category over all scored nodes for the wanted ids, reached or not. Better
+    nodes are counted for each wanted score; no category is sorted."""
+    mine = ids.join(scored.select(F.col("node").alias("id"), "category", "hop", "score"), "id", "left")
+    marks = mine.filter("score IS NOT NULL").select(F.col("category").alias("c"), F.col("score").alias("mark")).distinct()
+    better = scored.select("category", "score").join(marks, F.col("category") == F.col("c"))
+    better = better.groupBy("c", "mark").agg((F.count_if(F.col("score") > F.col("mark")) + 1).alias("rank"), F.count(F.lit(1)).alias("of"))
+    return mine.join(better, (F.col("category") == F.col("c")) & (F.col("score") == F.col("mark")), "left").select("id", "category", "hop", "score", "rank", "of", F.col("rank").isNotNull().alias("reached"))
 
 
 def category_counts(kept: DataFrame) -> DataFrame:
@@ -226,7 +246,7 @@ def run(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, profile: Profile,
     """The whole query. ``seeds``: seed, seed_weight; ``edges``: subject, object, predicate, source, level."""
     deg = stage(degrees(edges), "degrees") if deg is None else deg
     e = stage(traversable(edges, nodes, seeds, profile, params, representation), "traversable")
-    und, links = both_ways(e, profile, params), representation_links(e)
+    und, links = stage(both_ways(e, profile, params), "und"), stage(representation_links(e), "identity")
     reach = expand(seeds, nodes, und, links, deg, params)
     scored = stage(score(reach, nodes, deg, seeds, params), "scored")
     floor = score_floor(scored, params)

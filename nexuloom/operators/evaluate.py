@@ -166,4 +166,4 @@ def mechanism_ranks(kept: DataFrame, ids: DataFrame) -> DataFrame:
     """Rank and size within the category, among kept nodes that are no seeds, of the wanted ids in each graph."""
     w = W.partitionBy("graph", "category")
     ranked = kept.filter(~F.col("is_seed")).withColumn("rank", F.row_number().over(w.orderBy(F.desc("score"), "node"))).withColumn("size", F.count(F.lit(1)).over(w))
-    return ranked.join(F.broadcast(ids.select(F.col("id").alias("node"))), "node", "left_semi").select("graph", "node", "category", "rank", "size")
+    return ranked.join(ids.select(F.col("id").alias("node")), "node", "left_semi").select("graph", "node", "category", "rank", "size")

@@ -107,7 +107,7 @@ def branches(tree: DataFrame, root: str, split: tuple[str, ...] = ()) -> DataFra
 
 def branch_of(closed: DataFrame, branch: DataFrame) -> DataFrame:
     """The nearest ancestor that is a branch."""
-    return closed.join(F.broadcast(branch.select(F.col("name").alias("ancestor"))), "ancestor").groupBy("name").agg(F.min_by("ancestor", "dist").alias("branch"))
+    return closed.join(branch.select(F.col("name").alias("ancestor")), "ancestor").groupBy("name").agg(F.min_by("ancestor", "dist").alias("branch"))
 
 
 def snap(w: Column) -> Column:
@@ -116,10 +116,18 @@ def snap(w: Column) -> Column:
 
 
 def branch_weights(raw: DataFrame, branch: DataFrame) -> DataFrame:
-    """``name, weight`` (strings allowed) of known branches, snapped; what is no number is 0."""
+    """``name, weight`` (strings allowed) of known branches, snapped; what is no number is 0."""
     return raw.join(branch, "name", "left_semi").select("name", snap(F.coalesce(F.col("weight").try_cast("double"), F.lit(0.0))).alias("weight"))
 
 
+def default_weights(closed: DataFrame, branch: DataFrame, members: DataFrame, angle_weight: float = 1.0) -> DataFrame:
+    """``name, weight`` of each branch for a stratum: 1 with a core class of the stratum in it, ``angle_weight`` if its
+    classes only enter the stratum under an angle, else 0. ``members``: name, status."""
+    inside = closed.join(members.select("name", (F.col("status") == "core").alias("core")), "name").groupBy(F.col("ancestor").alias("name")).agg(F.max("core").alias("core"))
+    weight = F.when(F.col("core"), 1.0).when(F.col("core").isNotNull(), angle_weight).otherwise(0.0)
+    return branch.select("name").distinct().join(inside, "name", "left").select("name", weight.alias("weight"))
+
+
 def class_weights(tree: DataFrame, closed: DataFrame, branch: DataFrame, weights: DataFrame, mixin_members: DataFrame | None = None) -> DataFrame:
     """A class has its branch's weight; above the branches the largest below; a mixin the largest of its members."""
     own = branch_of(closed, branch).join(weights.select(F.col("name").alias("branch"), "weight"), "branch", "left").select("name", F.coalesce("weight", F.lit(0.0)).alias("weight"))
@@ -158,7 +166,7 @@ def predicate_lineage(tree: DataFrame) -> DataFrame:
 def derive(predicates: DataFrame, scope: DataFrame, alpha: float = 0.7, min_weight: float = 0.0, rule: str = "max", counted: bool = True) -> DataFrame:
     """``predicate, branch, depth, domain, range, n_edges[, kg_only]`` and scope weights -> weights with the reason of each
     exclusion. Within a branch a weight is W * e * exp(alpha * depth) / sum, with W the largest e, so they sum to W."""
-    s = F.broadcast(scope)
+    s = scope
     p = predicates.join(s.select(F.col("name").alias("domain"), F.col("weight").alias("w_domain")), "domain", "left").join(s.select(F.col("name").alias("range"), F.col("weight").alias("w_range")), "range", "left")
     p = p.withColumn("w_domain", F.coalesce("w_domain", F.lit(1.0))).withColumn("w_range", F.coalesce("w_range", F.lit(1.0))).withColumn("priority", priority(F.col("w_domain"), F.col("w_range"), rule))
     kg_only = F.coalesce(F.col("kg_only"), F.lit(False)) if "kg_only" in predicates.columns else F.lit(False)
@@ -173,7 +181,7 @@ def derive(predicates: DataFrame, scope: DataFrame, alpha: float = 0.7, min_weig
     p = p.withColumn("note", note)
     raw = F.when(F.col("note") == "", F.col("priority") * F.exp(alpha * F.col("depth")))
     per = p.filter("note = ''").groupBy("branch").agg(F.sum(raw).alias("total"), F.max("priority").alias("w_branch"))
-    p = p.join(F.broadcast(per), "branch", "left")  # one row a branch
+    p = p.join(per, "branch", "left")
     w = F.when(F.col("note") == "representation", 1.0).when(F.col("note") == "", F.col("w_branch") * raw / F.col("total"))
     p = p.withColumn("weight", F.when(w >= min_weight, F.round(w, 6)))
     return p.withColumn("note", F.when((F.col("note") == "") & F.col("weight").isNull(), "below minimum").otherwise(F.col("note"))).select("predicate", "branch", "depth", "domain", "range", "w_domain", "w_range", "priority", "n_edges", "weight", "note")

@@ -24,8 +24,8 @@ def components(edges: DataFrame, nodes: DataFrame, most: int = 60) -> DataFrame:
         moved = new.filter("component <> old").limit(1).count()
         label = new.select("node", "component")
         if not moved:
-            break
-    return label
+            return label
+    raise RuntimeError(f"components did not settle in {most} rounds")
 
 
 def seed_pairs(component: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -43,15 +43,18 @@ def distances(edges: DataFrame, sources: DataFrame, most: int = 100) -> DataFram
         step = last.join(pairs, F.col("node") == F.col("a")).select("source", F.col("b").alias("node")).distinct().join(seen, ["source", "node"], "left_anti")
         last = stage(step.select("source", "node", F.lit(d).alias("dist")), "dist")
         if last.isEmpty():
-            break
+            return seen
         seen = seen.unionByName(last)
-    return seen
+    raise RuntimeError(f"some nodes are {most} steps or more apart")
 
 
-def diameter(component: DataFrame, edges: DataFrame) -> DataFrame:
-    """Longest shortest path of the largest component (smallest label on ties); for bounded kept graphs."""
+def diameter(component: DataFrame, edges: DataFrame, most: int = 50_000) -> DataFrame:
+    """Longest shortest path of the largest component (smallest label on ties). Every member is a source, so this is
+    for kept graphs, whose size is bounded by the caps and checked here."""
     big = component.groupBy("component").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "component").limit(1)
     members = component.join(big, "component", "left_semi").select(F.col("node").alias("source"))
+    if members.count() > most:
+        raise ValueError(f"more than {most} nodes in the component: the diameter is for kept graphs")
     return distances(edges, members).agg(F.max("dist").alias("diameter"))
 
 
@@ -111,5 +114,8 @@ def rank_within(nodes: DataFrame, group: str, order: str, key: str) -> DataFrame
 def signature_recovery(ranked: DataFrame, patterns: DataFrame) -> DataFrame:
     """Best place of each pattern (a substring, or ``=name`` exactly); patterns are a short list."""
     hit = F.when(F.col("pattern").startswith("="), F.lower("name") == F.lower(F.expr("substring(pattern, 2)"))).otherwise(F.lower("name").contains(F.lower("pattern")))
-    j = F.broadcast(patterns).join(ranked, hit, "left")
+    if patterns.count() > 1000:
+        raise ValueError("patterns are a short list: each is looked for in every name")
+    found = ranked.join(F.broadcast(patterns), hit).select("pattern", "name", "rank", "size")
+    j = patterns.select("pattern").distinct().join(found, "pattern", "left")
     return j.groupBy("pattern").agg(F.min_by(F.struct("name", "rank", "size"), F.struct(F.col("rank") / F.col("size"), F.col("name"))).alias("m")).select("pattern", "m.*", (F.col("m.rank") / F.col("m.size")).alias("share"))

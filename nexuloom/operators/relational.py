@@ -83,18 +83,34 @@ def blocks(rows: DataFrame, keys: Sequence[str], most: int) -> list[DataFrame]:
     return [rows] if n == 1 else [rows.filter(F.pmod(F.xxhash64(*keys), F.lit(n)) == b) for b in range(n)]
 
 
-def theta_match(gold: DataFrame, mentions: DataFrame, gold_text: str, mention_text: str, most: int = 20_000) -> DataFrame:
+def held_in(inner: DataFrame, outer: DataFrame, inner_text: str, outer_text: str, size: int = 3) -> DataFrame:
+    """Pairs where the text of ``inner`` is a part of that of ``outer``, without looking at every pair.
+
+    A text is a part of another only if its rarest piece of ``size`` letters is (or the whole of it, if it is shorter), so
+    pieces meet by an equi-join and only those pairs are tested. Pieces are counted on the outer side; one that is not
+    there has no pair. The key columns of the two sides must differ in name."""
+    pieces = lambda c, n: F.transform(F.sequence(F.lit(1), F.length(c) - (n - 1)), lambda i: F.substr(c, i, F.lit(n)))
+    none = F.array().cast("array<string>")
+    every = F.array_distinct(F.concat(*[F.when(F.length(outer_text) >= n, pieces(F.col(outer_text), n)).otherwise(none) for n in range(1, size + 1)]))
+    o = outer.withColumn("__p", F.explode(every))
+    count = o.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
+    own = F.when(F.length("__t") >= size, F.array_distinct(pieces(F.col("__t"), size))).otherwise(F.array("__t"))
+    texts = inner.select(F.col(inner_text).alias("__t")).distinct()
+    rare = texts.select("__t", F.explode(own).alias("__p")).join(count, "__p", "left").groupBy("__t").agg(F.min_by("__p", F.struct(F.coalesce("__n", F.lit(0)), F.col("__p"))).alias("__p"))
+    return inner.join(rare, F.col(inner_text) == F.col("__t")).drop("__t").join(o, "__p").filter(F.col(outer_text).contains(F.col(inner_text))).drop("__p")
+
+
+def theta_match(gold: DataFrame, mentions: DataFrame, gold_text: str, mention_text: str) -> DataFrame:
     """J18 in full: ``status`` of pairs where one text contains the other, or all tokens of one are among the other's.
 
-    Containment within words needs every pair, so the gold list is broadcast, in blocks of about ``most`` rows, and only
-    the two substring tests run on pairs. A token subset is found by equi-joins: its longest token must be in the other."""
+    Containment is found by rare pieces (``held_in``), a token subset by its longest token, which must be in the other:
+    equi-joins all, so no side is broadcast and no pair is looked at that shares nothing."""
     words = lambda c: F.array_distinct(F.filter(F.split(c, r"\W+"), lambda x: x != ""))
     longest = lambda c: F.array_max(F.transform(c, lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
     keys = [*mentions.columns, *gold.columns]
-    g = gold.filter(F.col(gold_text) != "").withColumn("__gt", words(gold_text))
-    m = mentions.filter(F.col(mention_text) != "").withColumn("__mt", words(mention_text))
-    hold = F.col(mention_text).contains(F.col(gold_text)) | F.col(gold_text).contains(F.col(mention_text))
-    inside = reduce(DataFrame.unionByName, [m.select(*mentions.columns).join(F.broadcast(block), hold).select(*keys) for block in blocks(g.select(*gold.columns), gold.columns, most)])
+    g0, m0 = gold.filter(F.col(gold_text) != ""), mentions.filter(F.col(mention_text) != "")
+    g, m = g0.withColumn("__gt", words(gold_text)), m0.withColumn("__mt", words(mention_text))
+    inside = held_in(g0, m0, gold_text, mention_text).select(*keys).unionByName(held_in(m0, g0, mention_text, gold_text).select(*keys))
     in_mention = m.withColumn("__t", F.explode("__mt")).join(g.withColumn("__t", longest(F.col("__gt"))), "__t").filter(F.size(F.array_except("__gt", "__mt")) == 0).select(*keys)
     in_gold = g.withColumn("__t", F.explode("__gt")).join(m.withColumn("__t", longest(F.col("__mt"))), "__t").filter(F.size(F.array_except("__mt", "__gt")) == 0).select(*keys)
     pairs = inside.unionByName(in_mention).unionByName(in_gold).dropDuplicates()
@@ -120,12 +136,16 @@ def regions(members: DataFrame, sets: Sequence[str]) -> DataFrame:
     return held.groupBy("region").agg(F.count(F.lit(1)).alias("n"))
 
 
-def jaccard(members: DataFrame) -> DataFrame:
-    """Jaccard of each pair of sets. Items are joined on themselves, so only pairs that share one are made;
-    the rest are 0 and come from the short list of sets."""
+def jaccard(members: DataFrame, most: int = 1000) -> DataFrame:
+    """Jaccard of each pair of sets, of which there are few (at most ``most``, checked). The sets of an item are
+    one short list, from which its pairs are taken, so no item is joined with itself."""
     m = members.select("set_name", "item").distinct()
     n = m.groupBy("set_name").agg(F.count(F.lit(1)).alias("n"))
-    both = m.join(m.withColumnRenamed("set_name", "other"), "item").filter("set_name < other").groupBy("set_name", "other").agg(F.count(F.lit(1)).alias("both"))
+    if n.count() > most:
+        raise ValueError(f"more than {most} sets: their pairs are a matrix for reading")
+    held = m.groupBy("item").agg(F.array_sort(F.collect_list("set_name")).alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("k"))
+    pair = F.flatten(F.transform("s", lambda a: F.transform(F.filter("s", lambda b: b > a), lambda b: F.struct(a.alias("set_name"), b.alias("other")))))
+    both = held.select("k", F.explode(pair).alias("p")).groupBy("p.set_name", "p.other").agg(F.sum("k").alias("both"))
     pairs = n.join(F.broadcast(n.select(F.col("set_name").alias("other"), F.col("n").alias("n2"))), F.col("set_name") < F.col("other"))
     j = pairs.join(both, ["set_name", "other"], "left").withColumn("both", F.coalesce("both", F.lit(0)))
     return j.select("set_name", "other", "both", (F.col("both") / (F.col("n") + F.col("n2") - F.col("both"))).alias("jaccard"))
@@ -193,8 +213,9 @@ def heat_matrix(rows: DataFrame, row: str, column: str, value: str, columns: lis
 
 
 def wanted(ids: DataFrame, table: DataFrame, key: str = "id") -> DataFrame:
-    """Attributes of a short list of ids from a large table, which is filtered by the list, not indexed."""
-    return table.join(F.broadcast(ids.select(key).distinct()), key)
+    """Attributes of a short list of ids from a large table, which is filtered by the list, not
+    indexed; Spark broadcasts the list if it is as short as it should be."""
+    return table.join(ids.select(key).distinct(), key)
 
 
 def export_order(kept: DataFrame) -> DataFrame:

@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.scalars import camel
 from ..functions.text import surface_form, tokens, usable_exemplar
+from ..staging import stage
 from .relational import blocks, draw_key, top_k
 
 
@@ -17,7 +19,7 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, k1: float = 1.5, b: float
 
     Tokens are sets, so a term's frequency is 1 wherever it occurs. A negative idf is replaced by epsilon times the
     mean idf. Postings meet query tokens by an equi-join; only matching postings are scored."""
-    t = docs.select("doc", tokens(F.col("text")).alias("t")).withColumn("len", F.size("t"))
+    t = stage(docs.select("doc", tokens(F.col("text")).alias("t")).withColumn("len", F.size("t")), "tokens", pack=False)  # read three times
     corpus = t.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"))
     postings = t.select("doc", "len", F.explode("t").alias("term"))
     df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(corpus))  # one row
@@ -120,6 +122,14 @@ def local_lookup(terms: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     return top_k(terms.select("term", F.lower("term").alias("key")).join(nodes.withColumn("key", F.lower("name")), "key"), ["term"], ["id"], k, "rank").select("term", "id", "name", "rank")
 
 
+def typed_passes(terms: DataFrame) -> DataFrame:
+    """``term, types`` -> ``term, type, nth``: the class ids of a term's types in order, each once, from 1; empty types
+    and NONE are left out."""
+    t = terms.select("term", F.explode("types").alias("t")).filter((F.trim("t") != "") & (F.upper(F.trim("t")) != "NONE"))
+    t = t.select("term", F.when(F.col("t").startswith("biolink:"), F.col("t")).otherwise(camel(F.col("t"))).alias("type")).distinct()
+    return t.withColumn("nth", F.row_number().over(W.partitionBy("term").orderBy("type")))
+
+
 def once_per(mentions: DataFrame, keys: list[str], provider) -> DataFrame:
     """The provider (a function of a table of distinct keys) is asked once a key; its answer goes to
     every mention."""

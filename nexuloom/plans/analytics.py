@@ -208,11 +208,27 @@ def viewer_legend(spark, sf):
     return package.legend(table(spark, sf, "part").select(F.col("p_brand").alias("category"))).select("category", "n", F.col("colour").cast("long").alias("colour"))
 
 
-def node_budget_quota(spark, sf):
-    """Suppliers are seeds, customers are nodes clustered by segment."""
+def _nodes(spark, sf):
+    """Five suppliers are seeds, customers are nodes clustered by segment."""
     c = table(spark, sf, "customer").select(F.concat(F.lit("C:"), F.col("c_custkey").cast("string")).alias("id"), F.col("c_mktsegment").alias("cluster"), F.col("c_acctbal").alias("score"), F.lit(False).alias("is_seed"), F.lit(1).alias("hop"))
-    s = table(spark, sf, "supplier").filter("s_suppkey < 5").select(F.concat(F.lit("S:"), F.col("s_suppkey").cast("string")).alias("id"), F.lit("seed").alias("cluster"), F.lit(0.0).alias("score"), F.lit(True).alias("is_seed"), F.lit(0).alias("hop"))
-    return package.node_budget(c.unionByName(s), 100).select("id", "cluster", "is_seed")
+    s = table(spark, sf, "supplier").orderBy("s_suppkey").limit(5).select(F.concat(F.lit("S:"), F.col("s_suppkey").cast("string")).alias("id"), F.lit("seed").alias("cluster"), F.lit(0.0).alias("score"), F.lit(True).alias("is_seed"), F.lit(0).alias("hop"))
+    return c.unionByName(s)
+
+
+def node_budget_quota(spark, sf):
+    """O05"""
+    return package.node_budget(_nodes(spark, sf), 100).select("id", "cluster", "is_seed")
+
+
+def node_budget_small(spark, sf):
+    """O05 with fewer places than three a cluster: the best scores."""
+    return package.node_budget(_nodes(spark, sf), 15).select("id", "cluster", "is_seed")
+
+
+def node_budget_rest(spark, sf):
+    """O05 with a floor that leaves small clusters, so that what their quotas leave goes to the largest."""
+    n = _nodes(spark, sf).withColumn("cluster", F.when(F.col("cluster").isin("MACHINERY", "HOUSEHOLD") & (F.col("score") < 9500), "BUILDING").otherwise(F.col("cluster")))
+    return package.node_budget(n, 61, 0.0, 1).select("id", "cluster", "is_seed")
 
 
 def hash_sample(spark, sf):
@@ -229,7 +245,7 @@ def weighted_sample(spark, sf):
 def stage_maxima(spark, sf):
     """A16"""
     order = spark.createDataFrame([("signup",), ("view",), ("never",)], "event_type string")
-    r = evaluate.stage_maxima(table(spark, sf, "events").filter("user_id < 50"), order, "event_type", ["value"])
+    r = evaluate.stage_maxima(table(spark, sf, "events"), order, "event_type", ["value"])
     return r.select("event_type", F.coalesce("value", F.lit(-1.0)).alias("value"))
 
 
@@ -271,8 +287,19 @@ def _sig(x: str) -> str:
     return f"CASE WHEN {x} = 0 THEN 0 ELSE round({x} * power(10.0, 2 - floor(log10(abs({x}))))) / power(10.0, 2 - floor(log10(abs({x})))) END"
 
 
+def _budget(cluster: str, budget: int, floor: str = "true") -> str:
+    """The same quotas, worked out cluster by cluster in the order of the rule."""
+    return f"""WITH c AS (SELECT 'C:' || c_custkey AS id, {cluster} AS cluster, c_acctbal AS score FROM customer WHERE {floor}), n AS (SELECT cluster, count(*) AS n FROM c GROUP BY 1), q AS (SELECT cluster, n, CASE WHEN (SELECT count(*) FROM n) * 3 <= {budget} THEN least(n, greatest(3, round_even({budget}.0::DOUBLE * n / (SELECT sum(n) FROM n), 0))) ELSE 0 END AS q FROM n),
+r AS (SELECT c.*, n, q, row_number() OVER (PARTITION BY c.cluster ORDER BY score DESC, id) AS r FROM c JOIN q USING (cluster)), w AS (SELECT *, CASE WHEN r <= q THEN 0 ELSE 1 END AS late FROM r),
+o AS (SELECT *, row_number() OVER (ORDER BY late, CASE WHEN late = 1 AND q > 0 THEN n END DESC, CASE WHEN late = 1 AND q > 0 THEN cluster END, CASE WHEN late = 0 OR q = 0 THEN score END DESC, cluster DESC, r) AS k FROM w)
+SELECT id, cluster, false AS is_seed FROM o WHERE k <= {budget} UNION ALL SELECT 'S:' || s_suppkey, 'seed', true FROM (SELECT s_suppkey FROM supplier ORDER BY s_suppkey LIMIT 5)"""
+
+
 ORACLES = {
-    "stage_maxima": "SELECT t AS event_type, coalesce((SELECT max(value) FROM events WHERE event_type = t AND user_id < 50), -1.0) AS value FROM (VALUES ('signup'), ('view'), ('never')) v(t)",
+    "node_budget_quota": _budget("c_mktsegment", 95, "c_acctbal >= 0"),
+    "node_budget_small": _budget("c_mktsegment", 10, "c_acctbal >= 0"),
+    "node_budget_rest": _budget("CASE WHEN c_mktsegment IN ('MACHINERY', 'HOUSEHOLD') AND c_acctbal < 9500 THEN 'BUILDING' ELSE c_mktsegment END", 56, "c_acctbal >= 0"),
+    "stage_maxima": "SELECT t AS event_type, coalesce((SELECT max(value) FROM events WHERE event_type = t), -1.0) AS value FROM (VALUES ('signup'), ('view'), ('never')) v(t)",
     "top_values": "SELECT p_name, count(*) AS n FROM part GROUP BY 1 ORDER BY n DESC, p_name LIMIT 10",
     "distinct_counts": "SELECT count(DISTINCT p_brand) AS p_brand, count(DISTINCT p_type) AS p_type, count(DISTINCT p_name) AS p_name, (SELECT count(*) FROM (SELECT DISTINCT p_brand, p_type, p_name FROM part)) AS rows FROM part",
     "group_sizes": "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY 1, 2",
@@ -310,4 +337,4 @@ ORACLES = {
     "heat_matrix": "SELECT p_brand, e AS \"ECONOMY\", l AS \"LARGE\", p AS \"PROMO\", e + l + p AS total FROM (SELECT p_brand, count(*) FILTER (WHERE p_type = 'ECONOMY') AS e, count(*) FILTER (WHERE p_type = 'LARGE') AS l, count(*) FILTER (WHERE p_type = 'PROMO') AS p FROM part GROUP BY 1) WHERE e + l + p >= 25 AND NOT (e >= 12 AND l >= 12 AND p >= 12)",
     "viewer_legend": "SELECT category, n, (row_number() OVER (ORDER BY n DESC, category) - 1) % 34 AS colour FROM (SELECT p_brand AS category, count(*) AS n FROM part GROUP BY 1)",
 }
-QUERIES = {f.__name__: f for f in (presence_matrix, venn_regions, jaccard_matrix, set_coverage, first_wins_dedup, ordered_collect, map_max_merge, top_orders, rank_within, numbered_names, custom_order, carried_over, reconcile_cells, stage_windows, stage_peaks, bucketed_intervals, rolling_cost_model, energy_estimate, enrich_hypergeom, enrich_bh, label_accuracy_ci, macro_accuracy, gate_confusion, verdict_changes, run_agreement, element_matrix, not_done, category_shares, heat_matrix, viewer_legend, node_budget_quota, hash_sample, weighted_sample, stage_maxima, top_values, distinct_counts, group_sizes, column_union)}
+QUERIES = {f.__name__: f for f in (presence_matrix, venn_regions, jaccard_matrix, set_coverage, first_wins_dedup, ordered_collect, map_max_merge, top_orders, rank_within, numbered_names, custom_order, carried_over, reconcile_cells, stage_windows, stage_peaks, bucketed_intervals, rolling_cost_model, energy_estimate, enrich_hypergeom, enrich_bh, label_accuracy_ci, macro_accuracy, gate_confusion, verdict_changes, run_agreement, element_matrix, not_done, category_shares, heat_matrix, viewer_legend, node_budget_quota, node_budget_small, node_budget_rest, hash_sample, weighted_sample, stage_maxima, top_values, distinct_counts, group_sizes, column_union)}

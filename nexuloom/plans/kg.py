@@ -61,7 +61,8 @@ def _run(spark: SparkSession, sf: str, params: Params = PARAMS) -> context.Conte
 def _und(spark, sf, staged=False):
     e = context.traversable(edges(spark, sf), nodes(spark, sf), seeds(spark, sf), PROFILE, PARAMS, SAME)
     e = context.stage(e, "traversable") if staged else e
-    return e, context.both_ways(e, PROFILE, PARAMS)
+    und = context.both_ways(e, PROFILE, PARAMS)
+    return e, context.stage(und, "und") if staged else und
 
 
 def kg_degree(spark, sf):
@@ -117,7 +118,7 @@ def _reach(spark, sf, hops, neutral=True, deg=None):
     e, und = _und(spark, sf, True)
     p = Params(hops=hops, representation_hop_neutral=neutral)
     deg = context.stage(context.degrees(edges(spark, sf)), "degrees") if deg is None else deg
-    return context.expand(seeds(spark, sf), nodes(spark, sf), und, context.representation_links(e), deg, p)
+    return context.expand(seeds(spark, sf), nodes(spark, sf), und, context.stage(context.representation_links(e), "identity"), deg, p)
 
 
 def ctx_hop2_reach(spark, sf):

@@ -44,11 +44,12 @@ def hier_neighbours(spark, sf):
 
 
 def hier_distance(spark, sf):
-    """H27 between all suppliers of the first hundred and each nation."""
+    """H27 between each supplier and the nations of those who ordered from it."""
     c = h.chains(h.closure(tree(spark, sf)))
-    s = c.filter("name LIKE 'S:%'").select(F.col("name").alias("a"), F.col("chain").alias("ca"))
-    n = F.broadcast(c.filter("name LIKE 'N:%'").select(F.col("name").alias("b"), F.col("chain").alias("cb")))  # 25 nations
-    return s.join(n).select("a", "b", h.distance(F.col("ca"), F.col("cb")).alias("dist"))
+    side = lambda n, k: c.select(F.col("name").alias(n), F.col("chain").alias(k))
+    o = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", F.concat(F.lit("N:"), F.col("c_nationkey").cast("string")).alias("b"))
+    pairs = table(spark, sf, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(F.concat(F.lit("S:"), F.col("l_suppkey").cast("string")).alias("a"), "b").distinct()
+    return pairs.join(side("a", "ca"), "a").join(side("b", "cb"), "b").select("a", "b", h.distance(F.col("ca"), F.col("cb")).alias("dist"))
 
 
 def _weights(spark, sf):
@@ -117,7 +118,7 @@ ORACLES = {
     "hier_depth": f"WITH RECURSIVE {_CLOSED} SELECT name, max(dist) AS depth FROM closed GROUP BY name",
     "hier_chain": f"WITH RECURSIVE {_CLOSED} SELECT name, string_agg(ancestor, '>' ORDER BY dist DESC) AS chain FROM closed GROUP BY name",
     "hier_neighbours": f"WITH RECURSIVE {_TREE}, t AS (SELECT * FROM tree WHERE name NOT LIKE 'S:%') SELECT parent AS name, name AS other, 0 AS kind FROM t WHERE parent IS NOT NULL UNION ALL SELECT a.name, b.name, 1 FROM t a JOIN t b ON a.parent = b.parent AND a.name <> b.name UNION ALL SELECT name, parent, 2 FROM t WHERE parent IS NOT NULL",
-    "hier_distance": "SELECT 'S:' || s_suppkey AS a, 'N:' || b.n_nationkey AS b, CASE WHEN s_nationkey = b.n_nationkey THEN 1 WHEN a.n_regionkey = b.n_regionkey THEN 3 ELSE 5 END AS dist FROM supplier JOIN nation a ON a.n_nationkey = s_nationkey CROSS JOIN nation b",
+    "hier_distance": "SELECT DISTINCT 'S:' || s_suppkey AS a, 'N:' || b.n_nationkey AS b, CASE WHEN s_nationkey = b.n_nationkey THEN 1 WHEN a.n_regionkey = b.n_regionkey THEN 3 ELSE 5 END AS dist FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation b ON b.n_nationkey = c_nationkey JOIN supplier ON s_suppkey = l_suppkey JOIN nation a ON a.n_nationkey = s_nationkey",
     "branch_list": f"WITH RECURSIVE {_BRANCH}, n AS (SELECT 'N:' || c_nationkey AS name, count(*) AS n FROM customer GROUP BY 1) SELECT branch, count(*) AS n_classes, sum(coalesce(n.n, 0))::BIGINT AS n_nodes FROM bo LEFT JOIN n USING (name) GROUP BY branch",
     "branch_weights": f"WITH RECURSIVE {_BRANCH} SELECT * FROM bw",
     "class_weights": f"WITH RECURSIVE {_BRANCH} SELECT name, weight FROM cw",

@@ -274,7 +274,8 @@ def test_small_helpers(spark, tree):
     assert json.loads(ontology.nested(tree))[0]["children"][0]["name"] == "biological entity"
     t = {r["name"]: r["text"] for r in ontology.lookup_text(tree, tree.select("name", F.lit("about").alias("description"))).collect()}
     assert t["gene"] == "gene: about\nsiblings: protein\nparent: biological entity"
-    assert package.ring_order({("a", "b"): 1, ("b", "c"): 5, ("a", "d"): 2}, list("abcd")) == ["b", "c", "a", "d"]
+    near = {"a": {"1", "2"}, "b": {"1", "3", "4", "5"}, "c": {"3", "6"}, "d": {"9"}}
+    assert package.ring_order(near, list("abcd")) == ["b", "a", "c", "d"] and package.ring_order({}, []) == []
     assert text.markdown_html("# T\n- **a** <b>\n- c\n\nend `x`") == "<h1>T</h1>\n<ul>\n<li><b>a</b> &lt;b&gt;</li>\n<li>c</li>\n</ul>\n<p>end <code>x</code></p>"
     assert one(spark, text.prompt("Is {a} a {b}?", a=F.lit("x"), b=F.lit(None).cast("string"))) == ("Is x a ?",)
     k = spark.createDataFrame([("g", "n1", "c", 2.0, False), ("g", "n2", "c", 1.0, False), ("g", "s", "c", 9.0, True)], "graph string, node string, category string, score double, is_seed boolean")
@@ -299,7 +300,7 @@ def test_more_rows_than_a_block(spark):
 
     g = spark.createDataFrame([(i, f"w{i}") for i in range(12)], "gold_id long, g string")
     m = spark.createDataFrame([(i, f"a w{i} b") for i in range(12)], "mention_id long, m string")
-    pairs = {(r["gold_id"], r["mention_id"]) for r in relational.theta_match(g, m, "g", "m", most=5).collect()}
+    pairs = {(r["gold_id"], r["mention_id"]) for r in relational.theta_match(g, m, "g", "m").collect()}
     assert pairs == {(i, j) for i in range(12) for j in range(12) if f"w{i}" in f"a w{j} b"}
     e = spark.createDataFrame([(i, [float(i), 0.0]) for i in range(12)], "id long, embedding array<double>")
     got = retrieval.nearest(e, e.withColumnRenamed("id", "query"), 2, most_queries=5).collect()
