@@ -71,20 +71,29 @@ def traversable(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, profile: P
     return e.select("subject", "object", "predicate", "weight", "source", "level", "is_repr")
 
 
-def both_ways(e: DataFrame, profile: Profile, params: Params = Params()) -> DataFrame:
-    """``a, b, weight``. Reverse edges take the factor unless symmetric and vanish at weight 0; forward edges of
-    weight 0 stay. One scan of the edges."""
+def traversal(e: DataFrame, profile: Profile, params: Params = Params()) -> DataFrame:
+    """Every edge both ways, from one scan: ``a, b, weight`` (as it is walked), ``full`` (as it is stored),
+    ``is_repr`` and ``walked``. Reverse edges take the factor unless symmetric and are not walked at weight 0; forward
+    edges of weight 0 are. Stage it: what is walked and what only changes an identifier are read from it hop by hop."""
     mode, factor = effective_direction(profile, params.directionality, params.inverse_factor)
     back = F.col("weight") if mode == "off" else F.col("weight") * F.when(F.col("predicate").isin(*profile.symmetric) if profile.symmetric else F.lit(False), 1.0).otherwise(factor)
-    leg = lambda a, b, w, forward: F.struct(F.col(a).alias("a"), F.col(b).alias("b"), w.alias("weight"), F.lit(forward).alias("forward"))
-    legs = e.select(F.explode(F.array(leg("subject", "object", F.col("weight"), True), leg("object", "subject", back, False))).alias("x")).select("x.*")
-    return legs.filter(F.col("forward") | (F.col("weight") > 0)).drop("forward")
+    leg = lambda a, b, w, forward: F.struct(F.col(a).alias("a"), F.col(b).alias("b"), w.alias("weight"), F.col("weight").alias("full"), "is_repr", (F.lit(forward) | (w > 0)).alias("walked"))
+    return e.select(F.explode(F.array(leg("subject", "object", F.col("weight"), True), leg("object", "subject", back, False))).alias("x")).select("x.*").filter("walked OR is_repr")
+
+
+def walked(links: DataFrame) -> DataFrame:
+    """``a, b, weight`` of a traversal."""
+    return links.filter("walked").select("a", "b", "weight")
 
 
-def representation_links(e: DataFrame) -> DataFrame:
-    """Identity edges both ways at full weight."""
-    leg = lambda a, b: F.struct(F.col(a).alias("a"), F.col(b).alias("b"), F.col("weight"))
-    return e.filter("is_repr").select(F.explode(F.array(leg("subject", "object"), leg("object", "subject"))).alias("x")).select("x.*")
+def identity(links: DataFrame) -> DataFrame:
+    """Identity edges of a traversal, both ways at full weight."""
+    return links.filter("is_repr").select("a", "b", F.col("full").alias("weight"))
+
+
+def both_ways(e: DataFrame, profile: Profile, params: Params = Params()) -> DataFrame:
+    """G05"""
+    return walked(traversal(e, profile, params))
 
 
 def seed_split(seeds: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -246,7 +255,8 @@ def run(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, profile: Profile,
     """The whole query. ``seeds``: seed, seed_weight; ``edges``: subject, object, predicate, source, level."""
     deg = stage(degrees(edges), "degrees") if deg is None else deg
     e = stage(traversable(edges, nodes, seeds, profile, params, representation), "traversable")
-    und, links = stage(both_ways(e, profile, params), "und"), stage(representation_links(e), "identity")
+    both = stage(traversal(e, profile, params), "traversal")
+    und, links = walked(both), identity(both)
     reach = expand(seeds, nodes, und, links, deg, params)
     scored = stage(score(reach, nodes, deg, seeds, params), "scored")
     floor = score_floor(scored, params)

@@ -168,8 +168,7 @@ def _viewed(spark, sf):
 
 
 def _links(spark, sf):
-    e, _ = kg._und(spark, sf)
-    return e.select(F.col("subject").alias("source"), F.col("object").alias("target"), "predicate", F.round("weight", 6).alias("weight"))
+    return kg._edges(spark, sf).select(F.col("subject").alias("source"), F.col("object").alias("target"), "predicate", F.round("weight", 6).alias("weight"))
 
 
 def viewer_elements(spark, sf):

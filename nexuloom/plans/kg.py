@@ -58,11 +58,13 @@ def _run(spark: SparkSession, sf: str, params: Params = PARAMS) -> context.Conte
     return context.run(seeds(spark, sf), nodes(spark, sf), edges(spark, sf), PROFILE, params, SAME)
 
 
-def _und(spark, sf, staged=False):
-    e = context.traversable(edges(spark, sf), nodes(spark, sf), seeds(spark, sf), PROFILE, PARAMS, SAME)
-    e = context.stage(e, "traversable") if staged else e
-    und = context.both_ways(e, PROFILE, PARAMS)
-    return e, context.stage(und, "und") if staged else und
+def _edges(spark, sf):
+    return context.traversable(edges(spark, sf), nodes(spark, sf), seeds(spark, sf), PROFILE, PARAMS, SAME)
+
+
+def _links(spark, sf):
+    """The traversal relation, staged."""
+    return context.stage(context.traversal(_edges(spark, sf), PROFILE, PARAMS), "traversal")
 
 
 def kg_degree(spark, sf):
@@ -81,12 +83,11 @@ def kg_top_hubs(spark, sf):
 
 
 def kg_edge_weights(spark, sf):
-    e, _ = _und(spark, sf)
-    return e.groupBy("predicate", "source", "level").agg(F.count(F.lit(1)).alias("n"), F.round(F.min("weight"), 6).alias("weight"))
+    return _edges(spark, sf).groupBy("predicate", "source", "level").agg(F.count(F.lit(1)).alias("n"), F.round(F.min("weight"), 6).alias("weight"))
 
 
 def kg_traversal_view(spark, sf):
-    _, und = _und(spark, sf)
+    und = context.both_ways(_edges(spark, sf), PROFILE, PARAMS)
     return und.groupBy(F.substring("a", 1, 1).alias("from_kind"), F.substring("b", 1, 1).alias("to_kind"), F.round("weight", 6).alias("weight")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -115,10 +116,10 @@ def ctx_hop1(spark, sf):
 
 
 def _reach(spark, sf, hops, neutral=True, deg=None):
-    e, und = _und(spark, sf, True)
+    both = _links(spark, sf)
     p = Params(hops=hops, representation_hop_neutral=neutral)
     deg = context.stage(context.degrees(edges(spark, sf)), "degrees") if deg is None else deg
-    return context.expand(seeds(spark, sf), nodes(spark, sf), und, context.stage(context.representation_links(e), "identity"), deg, p)
+    return context.expand(seeds(spark, sf), nodes(spark, sf), context.walked(both), context.identity(both), deg, p)
 
 
 def ctx_hop2_reach(spark, sf):
@@ -178,14 +179,14 @@ def _kept_parts(spark, sf):
 def ctx_connected(spark, sf):
     """G17 on the first kept set."""
     _, kept, present = _kept_parts(spark, sf)
-    _, und = _und(spark, sf, True)
+    und = context.walked(_links(spark, sf))
     ids = kept.select(F.col("node").alias("id")).unionByName(present.select(F.col("seed").alias("id"))).distinct()
     return context.connected(ids, present, und)
 
 
 def ctx_induced_edges(spark, sf):
     _, kept, present = _kept_parts(spark, sf)
-    e, _ = _und(spark, sf)
+    e = _edges(spark, sf)
     return context.induced(e, kept, present).groupBy("subject", "predicate", "object").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("weight"), 6).alias("weight"))
 
 
@@ -218,7 +219,7 @@ def ctx_category_counts(spark, sf):
 def _small(spark, sf):
     """The kept graph of the first connectivity state, as subject-object pairs with the kept nodes."""
     _, kept, present = _kept_parts(spark, sf)
-    e, _ = _und(spark, sf)
+    e = _edges(spark, sf)
     ids = context.stage(kept.select("node").unionByName(present.select(F.col("seed").alias("node"))).distinct(), "ids")
     return context.stage(context.induced(e, kept, present), "induced"), ids, present
 

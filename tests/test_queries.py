@@ -1,5 +1,6 @@
 """Every registered query against its SQL on the smallest tables."""
 
+import functools
 import math
 import os
 
@@ -8,10 +9,23 @@ import pandas as pd
 import pytest
 
 from nexuloom import catalogue
+from nexuloom.plans import kg
+from nexuloom.staging import stage
 
 SF = "/root/testdata/sf0.001"
 
 
+@pytest.fixture(scope="module", autouse=True)
+def one_kept_graph():
+    """Here the queries over the kept graph share one; elsewhere each makes its own."""
+    own = {n: getattr(kg, n) for n in ("_scored", "_kept_parts", "_small")}
+    kg._scored = functools.cache(lambda spark, sf: stage(own["_scored"](spark, sf), "scored"))
+    kg._kept_parts, kg._small = functools.cache(own["_kept_parts"]), functools.cache(own["_small"])
+    yield
+    for n, f in own.items():
+        setattr(kg, n, f)
+
+
 @pytest.fixture(scope="module")
 def con():
     c = duckdb.connect()
