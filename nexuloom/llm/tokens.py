@@ -58,7 +58,7 @@ class Encoder:
     #: Bytes of an entry beside its piece and ids: two objects and their place in the table.
     ENTRY = 220
 
-    def __init__(self, path: str, cache: int = 48 << 20):
+    def __init__(self, path: str, cache: int = 112 << 20):
         from tokenizers import Tokenizer
 
         self.t = Tokenizer.from_file(path)
@@ -269,7 +269,7 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str, end_id: int = 0,
         keys, lengths, last, again, out = [], [], None, 0, None
         for b in batches:
             ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for lo, hi in slices(texts, 1_000_000):
+            for lo, hi in slices(texts, 1_500_000):
                 if out is None:
                     out = fs.open_output_stream(f"{root}/{name}.ids", buffer_size=1 << 20)
                 records = enc(texts[lo:hi])

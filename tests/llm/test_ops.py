@@ -194,7 +194,7 @@ def test_language_against_plain_sums(docs, rows, none):
 def test_language_of_short_texts_at_every_place(spark):
     model = language.train(spark.createDataFrame([(1, "hello there", "en"), (2, "bonjour", "fr")], "doc_id long, text string, lang string"), F.lit(True))
     r = random.Random(3)
-    for _ in range(5):
+    for _ in range(3):
         texts = [r.choice(["", None, "a", " ", "\n", "é", "hello", "bonjour", "ab"]) for _ in range(r.randint(1, 7))]
         d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
         got = by_id(language.predict(d, model))
