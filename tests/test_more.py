@@ -70,7 +70,7 @@ def test_packing(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(staging, "PACK_BYTES", input_bytes(d) // 30)
     assert packed(d).rdd.getNumPartitions() >= 30
     with pytest.raises(RuntimeError, match="did not settle"):
-        grow(spark.range(1), lambda d: d.select(F.col("id") + 1), ["id"], "endless", 3)
+        grow(spark.range(1), lambda d: d.select((F.col("id") + 1).alias("id")), ["id"], "endless", 3)
 
 
 @pytest.mark.parametrize("p", [0.0, 0.3, 0.5, 0.99, 1.0])
