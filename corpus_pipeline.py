@@ -27,7 +27,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: the one of the smallest id. Fingerprints within six bits are
-    candidates; a link is a pair that shares 80 % of its five-word shingles."""
+    candidates, further ones of a common bucket too if a second fingerprint agrees; a link is a pair that shares 80 % of
+    its five-word shingles."""
     return packed(simhash.one_of_similar(docs, most=NEAR_BITS))
 
 

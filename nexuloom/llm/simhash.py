@@ -92,6 +92,13 @@ def fingerprints(docs: DataFrame, shingle: int = 3, keep: tuple[str, ...] = ("do
     return d.mapInPandas(run, ", ".join(f"`{n}` {t}" for n, t in d.dtypes if n != "__text") + ", fp long")
 
 
+def remixed(h: np.ndarray) -> np.ndarray:
+    """The hashes through the finaliser of SplitMix64: their fingerprint is as good as one of another seed."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
 def gray_rank(x: np.ndarray) -> np.ndarray:
     """Place of a 64-bit pattern in the Gray sequence."""
     x = x.copy()
@@ -167,8 +174,9 @@ def linked(fp: np.ndarray, group: np.ndarray, most: int, pairs_at_once: int = 40
     return root
 
 
-def near_pairs(fp: np.ndarray, group: np.ndarray, label: np.ndarray, most: int, enough: int, pairs_at_once: int = 4_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of places of one group and two labels that differ in at most ``most`` bits, and the groups not gone through.
+def near_pairs(fp: np.ndarray, second: np.ndarray, group: np.ndarray, label: np.ndarray, most: int, enough: int, reach: int, both: int, pairs_at_once: int = 4_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of places of one group and two labels that differ in at most ``most`` bits, or in at most ``reach`` and, with
+    the bits of the second fingerprints, ``both``; and the groups not gone through.
 
     A member that has ``enough`` pairs takes no more of them; its group is then among the last, to be asked again with
     the labels that the pairs gave."""
@@ -193,10 +201,13 @@ def near_pairs(fp: np.ndarray, group: np.ndarray, label: np.ndarray, most: int,
         ok = (i < start[a + 1][:, None]) & (j < start[b + 1][:, None]) & ((i < j) if level == 1 else (i <= j))
         i, j = i[ok], j[ok]
         low, high = spans[below]
-        near = np.bitwise_count((common[below][i] ^ common[below][j]) & mask[below][i] & mask[below][j]) <= most
+        near = np.bitwise_count((common[below][i] ^ common[below][j]) & mask[below][i] & mask[below][j]) <= reach
         near &= ~((low[i] == high[i]) & (low[j] == high[j]) & (low[i] == low[j]))
         i, j = i[near], j[near]
         if below == 0:
+            bits = np.bitwise_count(fp[i] ^ fp[j])
+            near = (bits <= most) | (bits + np.bitwise_count(second[i] ^ second[j]) <= both)
+            i, j = i[near], j[near]
             free = (count[i] + _nth(i) < enough) & (count[j] + _nth(j) < enough)
             unfinished.append(np.unique(group[i[~free]]))
             i, j = i[free], j[free]
@@ -248,14 +259,14 @@ def _bucket_links(most: int):
     return _by_bucket(close)
 
 
-def _bucket_pairs(most: int, enough: int, masks: list[int]):
+def _bucket_pairs(most: int, enough: int, reach: int, both: int, masks: list[int]):
     """Each pair in the first of the buckets it shares; a bucket not gone through is a row without a pair."""
     masks = np.array(masks, np.uint64)
 
     def close(held: list[pd.DataFrame]) -> pd.DataFrame:
         d, fp, group = _grouped(held)
         block, bucket, key = (d[c].to_numpy() for c in ("block", "bucket", "key"))
-        i, j, rest = near_pairs(fp, group, d["label"].to_numpy(), most, enough)
+        i, j, rest = near_pairs(fp, d["second"].to_numpy().view(np.uint64), group, d["label"].to_numpy(), most, enough, reach, both)
         own = np.ones(len(i), bool)
         for k, m in enumerate(masks):
             own &= (block[i] <= k) | ((fp[i] ^ fp[j]) & m != 0)
@@ -322,40 +333,47 @@ def links(distinct: DataFrame, most: int = 3, agree: int | None = None) -> DataF
     return dealt.repartition("block", "bucket").sortWithinPartitions("block", "bucket").mapInPandas(_bucket_links(most), "u long, v long")
 
 
-def similar_links(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame], most: int, least: float, enough: int = 16) -> DataFrame:
-    """``key, fp`` -> links ``u, v`` of keys that join what pairs within ``most`` bits whose sets have a Jaccard
-    similarity of ``least`` or more join. ``sets`` gives ``key, set`` for a table of keys; only keys of candidates are asked
+#: Pairs beyond the bits that are dealt for are candidates up to so many bits of the first and of both fingerprints: texts
+#: that share 80 % of their five-word shingles differ in some 8 and 15 bits, evenly spread fingerprints of 5e10 others
+#: hold one so near to 1 % of the texts.
+REACH, BOTH = 12, 24
+
+
+def similar_links(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame], most: int, least: float, enough: int = 16, reach: int = REACH, both: int = BOTH) -> DataFrame:
+    """``key, fp, second`` -> links ``u, v`` of keys that join what candidate pairs whose sets have a Jaccard
+    similarity of ``least`` or more join. Candidates are all pairs within ``most`` bits, and those of a common bucket
+    within ``reach`` bits of the first fingerprint and ``both`` of the two together. ``sets`` gives ``key, set`` for a table of keys; only keys of candidates are asked
     for, each once.
 
     Rounds: a member is compared with ``enough`` others of each of its buckets at most; members joined by then are not compared in
     the next round, which goes through the buckets that had more, eight times as far, until none is left. So a group
     of near copies costs its members, not its pairs."""
-    label, rest, found, have = nodes.select("key", "fp", F.col("key").alias("label")), None, None, None
+    label, rest, found, have = nodes.select("key", "fp", "second", F.col("key").alias("label")), None, None, None
     agree = needed(nodes.count(), most)
     while True:
         dealt, masks = _dealt(label, most, agree)
         if rest is not None:
             dealt = dealt.join(rest, ["block", "bucket"], "left_semi")
-        asked = dealt.repartition("block", "bucket").sortWithinPartitions("block", "bucket").mapInPandas(_bucket_pairs(most, enough, masks), "u long, v long, block int, bucket long, tested boolean")
+        asked = dealt.repartition("block", "bucket").sortWithinPartitions("block", "bucket").mapInPandas(_bucket_pairs(most, enough, reach, both, masks), "u long, v long, block int, bucket long, tested boolean")
         asked = stage(asked, "simhash-asked")
         ends = asked.filter("tested").select(F.explode(F.array("u", "v")).alias("key")).distinct()
         fresh = stage(sets(stage(ends if have is None else ends.join(have.select("key"), "key", "left_anti"), "simhash-keys")), "simhash-sets")
         have = fresh if have is None else have.unionByName(fresh)
         side = lambda n: have.select(F.col("key").alias(f"k{n}"), F.col("set").alias(f"set{n}"))  # noqa: B023, E731
-        both = asked.filter("tested").join(side(1), F.col("u") == F.col("k1")).join(side(2), F.col("v") == F.col("k2"))
-        shared = both.select("u", "v", F.size(F.array_intersect("set1", "set2")).alias("n"), (F.size("set1") + F.size("set2")).alias("m"))
+        couples = asked.filter("tested").join(side(1), F.col("u") == F.col("k1")).join(side(2), F.col("v") == F.col("k2"))
+        shared = couples.select("u", "v", F.size(F.array_intersect("set1", "set2")).alias("n"), (F.size("set1") + F.size("set2")).alias("m"))
         now = stage(shared.filter(F.col("n") >= least * (F.col("m") - F.col("n"))).filter("n > 0").select("u", "v"), "simhash-similar")
         found = now if found is None else found.unionByName(now)
         rest = asked.filter("NOT tested").select("block", "bucket").distinct()
         if rest.isEmpty():
             return found
         root = components(found)
-        label = stage(nodes.select("key", "fp").join(root, F.col("key") == F.col("node"), "left").select("key", "fp", F.coalesce("root", "key").alias("label")), "simhash-labels")
+        label = stage(nodes.select("key", "fp", "second").join(root, F.col("key") == F.col("node"), "left").select("key", "fp", "second", F.coalesce("root", "key").alias("label")), "simhash-labels")
         enough *= 8
 
 
 def word_digests(docs: DataFrame, keep: tuple[str, ...], text_col: str) -> DataFrame:
-    """``digest`` (128 bits of the words) and ``fp`` beside ``keep``."""
+    """``digest`` (128 bits of the words) and two fingerprints, ``fp`` and ``second``, beside ``keep``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import xxhash
@@ -364,11 +382,13 @@ def word_digests(docs: DataFrame, keep: tuple[str, ...], text_col: str) -> DataF
             for lo in range(0, len(b), 500):
                 part = b.iloc[lo : lo + 500]
                 digest = [xxhash.xxh3_128_digest(b" ".join(t.encode("utf-8", "surrogatepass").lower().split())) for t in part["__text"]]
-                yield part.drop(columns="__text").assign(digest=digest, fp=fold_bits([shingle_hashes(t, 3) for t in part["__text"]]).view(np.int64))
+                hashes = [shingle_hashes(t, 3) for t in part["__text"]]
+                two = {"fp": fold_bits(hashes).view(np.int64), "second": fold_bits([remixed(h) for h in hashes]).view(np.int64)}
+                yield part.drop(columns="__text").assign(digest=digest, **two)
         release()
 
     d = docs.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
-    return d.mapInPandas(run, ", ".join(f"`{n}` {t}" for n, t in d.dtypes if n != "__text") + ", digest binary, fp long")
+    return d.mapInPandas(run, ", ".join(f"`{n}` {t}" for n, t in d.dtypes if n != "__text") + ", digest binary, fp long, second long")
 
 
 def _shingle_sets(shingle: int):
@@ -388,12 +408,12 @@ BROADCAST_ROWS = 200_000
 
 def one_of_similar(docs: DataFrame, most: int, least: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text", enough: int = 16, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """The document of the smallest id of each group that equal words and ``similar_links`` join, all columns kept; of
-    identical rows one stays. Fingerprints are of three words a shingle and find candidates only; sets of ``shingle``
+    identical rows one stays. Two fingerprints of three words a shingle find candidates only; sets of ``shingle``
     words are made of one row for each text that is a candidate."""
     keyed, row = numbered(docs)
     at = [F.col(f"{row}.file").alias("__file"), F.col(f"{row}.at").alias("__at")]
     rows = word_digests(keyed.select(F.col(id_col).alias("__id"), *at, F.col(text_col).alias("__whole")), ("__id", "__file", "__at"), "__whole")
-    nodes = rows.groupBy("digest").agg(F.first("fp").alias("fp"), F.min(F.struct("__id", "__file", "__at")).alias("stays"))
+    nodes = rows.groupBy("digest").agg(F.first("fp").alias("fp"), F.first("second").alias("second"), F.min(F.struct("__id", "__file", "__at")).alias("stays"))
     nodes = stage(nodes.withColumn("key", F.monotonically_increasing_id()).drop("digest"), "simhash-nodes")
 
     def sets(keys: DataFrame) -> DataFrame:

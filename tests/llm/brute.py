@@ -73,7 +73,13 @@ def removed_bytes(docs, length=100):
     return out
 
 
-def simhash(text, shingle=3):
+def splitmix(h):
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+        h = (h ^ h >> shift) * factor % 2**64
+    return h
+
+
+def simhash(text, shingle=3, mix=lambda h: h):
     import xxhash
 
     w = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
@@ -83,7 +89,7 @@ def simhash(text, shingle=3):
     s = [" ".join(w[i : i + shingle]) for i in range(len(w) - shingle + 1)] or [" ".join(w)]
     ones = Counter()
     for x in s:
-        h = xxhash.xxh64_intdigest(x.encode(), 42)
+        h = mix(xxhash.xxh64_intdigest(x.encode(), 42))
         for b in range(64):
             ones[b] += h >> b & 1
     return sum(1 << b for b in range(64) if 2 * ones[b] > len(s))
@@ -243,15 +249,26 @@ def propagate(docs, shards, quota, gh, ph, free):
         r += 1
 
 
-def similar_roots(rows, least=0.8, most=6):
-    """Smallest id of each group joined by equal words and by candidates that are similar enough."""
+def similar_roots(rows, least=0.8, most=6, reach=12, both=24, agree=2):
+    """Smallest id of each group joined by equal words and by candidates that are similar enough: all within ``most`` bits,
+    and those within ``reach`` and ``both`` that have ``agree`` of ``most + agree`` blocks of bits in common."""
     import xxhash
 
+    cut = [64 * i // (most + agree) for i in range(most + agree + 1)]
+
+    def candidate(a, b):
+        x = prints[a] ^ prints[b]
+        if x.bit_count() <= most:
+            return True
+        same = sum(x >> lo & ((1 << (hi - lo)) - 1) == 0 for lo, hi in zip(cut, cut[1:]))
+        return same >= agree and x.bit_count() <= reach and x.bit_count() + (seconds[a] ^ seconds[b]).bit_count() <= both
+
     def shingles(t):
         w = t.split()
         return {xxhash.xxh64_intdigest(b" ".join(w[i : i + 5]), 42) for i in range(max(1, len(w) - 4))} if w else set()
 
     prints = {d: simhash(t) for d, t in rows.items()}
+    seconds = {d: simhash(t, mix=splitmix) for d, t in rows.items()}
     text = {d: b" ".join((t or "").encode().lower().split()) for d, t in rows.items()}
     sets = {d: shingles(t) for d, t in text.items()}
     root = {d: d for d in rows}
@@ -264,7 +281,7 @@ def similar_roots(rows, least=0.8, most=6):
     ids = sorted(rows)
     for k, a in enumerate(ids):
         for b in ids[k + 1 :]:
-            near = (prints[a] ^ prints[b]).bit_count() <= most and len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b]) > 0
+            near = candidate(a, b) and len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b]) > 0
             if near or text[a] == text[b]:
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
