@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from .common import release, stage
 
-ORDER, STRENGTH = 2, 4.0
+ORDER, STRENGTH = 2, 64.0
 #: Tokens of a block, tokens for each slice of the keys, keys merged at once.
 BLOCK_TOKENS, SLICE_TOKENS, MERGE_KEYS = 500_000, 2_000_000, 4_000_000
 KEY_BITS = 20
