@@ -27,6 +27,7 @@ are ignored, whatever their names.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 from math import ceil, log2
 from typing import NamedTuple
@@ -87,6 +88,13 @@ def joined(history: np.ndarray, word: np.ndarray) -> np.ndarray:
 BLOCKS = "block long, words binary, tokens binary, doc_id array<bigint>, no_id array<boolean>, held array<boolean>, owner array<bigint>, lead array<int>, length array<int>"
 
 
+def numbers() -> defaultdict:
+    """A dictionary that numbers what it is asked for, from 0 on."""
+    out: defaultdict = defaultdict()
+    out.default_factory = out.__len__
+    return out
+
+
 def token_blocks(docs: DataFrame, learn: Column, order: int, block_tokens: int, id_col: str, text_col: str) -> DataFrame:
     """A row a block: the keys of its words, its tokens as places in them, and the pieces of texts they are. A piece
     begins with ``lead`` tokens that are history only."""
@@ -95,15 +103,14 @@ def token_blocks(docs: DataFrame, learn: Column, order: int, block_tokens: int,
         import xxhash
 
         part, n, owner = TaskContext.get().partitionId(), 0, 0
-        place: dict[bytes, int] = {}
-        tokens, pieces, size = [], [], 0
+        place, tokens, pieces, size = numbers(), [], [], 0
 
         def close() -> pd.DataFrame:
             nonlocal place, tokens, pieces, size, n
             keys = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in place), U, len(place))
             names = ("doc_id", "no_id", "held", "owner", "lead", "length")
             block = {"block": part << 32 | n, "words": pack(keys), "tokens": pack(np.concatenate(tokens))} | dict(zip(names, map(list, zip(*pieces))))
-            place, tokens, pieces, size, n = {}, [], [], 0, n + 1
+            place, tokens, pieces, size, n = numbers(), [], [], 0, n + 1
             return pd.DataFrame([block])
 
         for b in batches:
@@ -115,7 +122,7 @@ def token_blocks(docs: DataFrame, learn: Column, order: int, block_tokens: int,
                     piece = before + words[lo : lo + block_tokens]
                     if size and size + len(piece) > block_tokens:
                         yield close()
-                    tokens.append(np.fromiter((place.setdefault(w, len(place)) for w in piece), np.uint32, len(piece)))
+                    tokens.append(np.fromiter(map(place.__getitem__, piece), np.uint32, len(piece)))
                     pieces.append((int(key), bool(null), bool(held), part << 40 | owner, len(before), len(piece)))
                     size += len(piece)
                 owner += 1
@@ -167,7 +174,9 @@ class Grams:
     def questions(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """Sorted keys of single tokens (0) and of longer n-grams (1), with the places that sort them: each key once."""
         yield 0, self.keys[0], np.arange(len(self.keys[0]))
-        if len(self.keys) > 1:
+        if len(self.keys) == 2:
+            yield 1, self.keys[1], np.arange(len(self.keys[1]))
+        elif len(self.keys) > 2:
             keys, inverse = np.unique(np.concatenate(self.keys[1:]), return_inverse=True)
             yield 1, keys, inverse
 
@@ -220,15 +229,29 @@ def count_grams(blocks: DataFrame, order: int, key_bits: int, slice_bits: int, m
     """The counts of all n-grams of the learned texts, a row a slice."""
 
     def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        held, size = {0: ([], []), 1: ([], [])}, 0
+
+        def close() -> pd.DataFrame:
+            nonlocal held, size
+            out = []
+            for kind, (keys, counts) in held.items():
+                if keys:
+                    k, c = _sum_by(keys, counts)
+                    out += [(kind, s, 0, pack_keys(k[lo:hi]), pack(c[lo:hi])) for s, lo, hi in sliced(k, slice_bits)]
+            held, size = {0: ([], []), 1: ([], [])}, 0
+            return pd.DataFrame(out, columns=["kind", "slice", "block", "keys", "counts"])
+
+        for b in batches:  # the blocks of a task are added up before they move
             for row in _records(b):
-                grams, out = Grams(row, order, key_bits), []
-                counts = [grams.counts(k) for k in range(order)]
-                for kind, keys, inverse in grams.questions():
-                    n = np.bincount(inverse, np.concatenate(counts[kind : kind + 1] if kind == 0 else counts[1:]), len(keys)).astype(np.uint64)
-                    keys, n = keys[n > 0], n[n > 0]
-                    out += [(kind, s, row["block"], pack_keys(keys[lo:hi]), pack(n[lo:hi])) for s, lo, hi in sliced(keys, slice_bits)]
-                yield pd.DataFrame(out, columns=["kind", "slice", "block", "keys", "counts"])
+                grams = Grams(row, order, key_bits)
+                for k in range(order):
+                    n = grams.counts(k).astype(U)
+                    held[min(k, 1)][0].append(grams.keys[k][n > 0])
+                    held[min(k, 1)][1].append(n[n > 0])
+                    size += int((n > 0).sum())
+                if size > merge_keys:
+                    yield close()
+        yield close()
         release()
 
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
