@@ -15,7 +15,7 @@ The counts grow with the corpus, so no machine ever holds them all. Texts are ga
 tokens; a block counts its n-grams, sorted by a 64-bit key, and sends a compressed run of them to each slice of the
 keys. A slice is merged in a stream, holding its distinct keys only. To score, blocks ask the slices for the
 counts of what they hold, slices answer in the order of the question, and a block builds the part of the automaton
-that its own texts can reach. A text of many tokens is walked in pieces, each from the state where the one before ends.
+that its own texts can reach. Blocks are staged in buckets, so only answers move to them. A text of many tokens is walked in pieces, each from the state where the one before ends.
 
 Keys of n-grams of two and more tokens keep ``KEY_BITS`` more bits than it takes to number all n-grams, so one of them is
 taken for another with a chance of 2 ** -``KEY_BITS``; keys of single tokens keep all 64.
@@ -27,6 +27,7 @@ are ignored, whatever their names.
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 from math import ceil, log2
@@ -38,12 +39,14 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, stage
+from .common import input_bytes, new_path, release, stage
 
 ORDER, STRENGTH = 2, 64.0
 #: Tokens of a block, tokens for each slice of the keys, keys merged at once.
 BLOCK_TOKENS, SLICE_TOKENS, MERGE_KEYS = 500_000, 2_000_000, 4_000_000
 KEY_BITS = 20
+#: Bytes of input a bucket of blocks, and the most buckets Spark should be asked for.
+BUCKET_BYTES, MOST_BUCKETS = 8 << 20, 50_000
 #: No word holds a line break.
 END, START = b"\n/", b"\n"
 U = np.uint64
@@ -95,7 +98,7 @@ def numbers() -> defaultdict:
     return out
 
 
-def token_blocks(docs: DataFrame, learn: Column, order: int, block_tokens: int, id_col: str, text_col: str) -> DataFrame:
+def token_blocks(docs: DataFrame, learn: Column, order: int, block_tokens: int, id_col: str, text_col: str, buckets: int) -> DataFrame:
     """A row a block: the keys of its words, its tokens as places in them, and the pieces of texts they are. A piece
     begins with ``lead`` tokens that are history only."""
 
@@ -131,7 +134,17 @@ def token_blocks(docs: DataFrame, learn: Column, order: int, block_tokens: int,
         release()
 
     d = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("id"), F.col(id_col).isNull().alias("no_id"), (~F.coalesce(learn, F.lit(False))).alias("held"), F.coalesce(F.col(text_col), F.lit("")).alias("whole"))
-    return stage(d.mapInPandas(run, BLOCKS), "lm-blocks", pack=False)
+    return bucketed(d.mapInPandas(run, BLOCKS), "block", buckets)
+
+
+def bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
+    """``df`` staged in buckets of ``key``, so that a join by it doesn't move these rows. The table's name is dropped at
+    once; its files stay in the shared folder."""
+    spark, name = df.sparkSession, f"nexuloom_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, key).option("path", new_path(spark, "buckets")).format("parquet").saveAsTable(name)
+    out = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return out
 
 
 class Grams:
@@ -357,7 +370,7 @@ def _records(b: pd.DataFrame) -> Iterator[dict]:
         yield dict(zip(b.columns, row))
 
 
-def walk_texts(blocks: DataFrame, model: Model) -> DataFrame:
+def walk_texts(blocks: DataFrame, model: Model, buckets: int) -> DataFrame:
     """Every piece of every text with the logarithms of its probabilities."""
     order, strength, bits, slice_bits, total, types = model.order, model.strength, model.key_bits, model.slice_bits, model.total, model.types
 
@@ -391,29 +404,21 @@ def walk_texts(blocks: DataFrame, model: Model) -> DataFrame:
         release()
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        row, answers = None, {0: [], 1: []}
-        for b in batches:  # a block's texts come before its answers
-            for r in _records(b):
-                if r["kind"] < 0:
-                    if row is not None:
-                        yield _piece_scores(row, answers, order, strength, bits, total, types)
-                    row, answers = r, {0: [], 1: []}
-                else:
-                    answers[int(r["kind"])].append(unpack(r["counts"], U))
-        if row is not None:
-            yield _piece_scores(row, answers, order, strength, bits, total, types)
+        for b in batches:
+            for row in _records(b):
+                answers: dict[int, list] = {0: [], 1: []}
+                for kind, raw in zip(row["kinds"], row["answers"]):
+                    answers[kind].append(unpack(raw, U))
+                yield _piece_scores(row, answers, order, strength, bits, total, types)
         release()
 
     asked = blocks.mapInPandas(ask, RUN)
     held = model.table.select("kind", "slice", F.lit(-1).cast("long").alias("block"), "keys", "counts")
     both = held.unionByName(asked).repartition("kind", "slice").sortWithinPartitions("kind", "slice", "block")
     answers = both.mapInPandas(answer, "block long, kind int, slice long, counts binary")
-    names = [c for c in blocks.columns if c != "block"]
-    kinds = dict(blocks.dtypes)
-    none = lambda c: F.lit(None).cast(kinds[c]).alias(c)
-    texts = blocks.select("block", F.lit(-1).alias("kind"), F.lit(-1).cast("long").alias("slice"), *names, F.lit(None).cast("binary").alias("counts"))
-    parts = texts.unionByName(answers.select("block", "kind", "slice", *map(none, names), "counts"))
-    return parts.repartition("block").sortWithinPartitions("block", "kind", "slice").mapInPandas(score, PIECES)
+    by = answers.repartition(buckets, "block").groupBy(F.col("block").alias("answered")).agg(F.array_sort(F.collect_list(F.struct("kind", "slice", "counts"))).alias("a"))
+    by = by.select("answered", F.col("a.kind").alias("kinds"), F.col("a.counts").alias("answers"))
+    return blocks.join(by.hint("shuffle_hash"), F.col("block") == F.col("answered")).drop("answered").mapInPandas(score, PIECES)
 
 
 # ---- the operator ---------------------------------------------------------------------------------------------------
@@ -432,8 +437,9 @@ def train(blocks: DataFrame, order: int = ORDER, strength: float = STRENGTH, key
 def score(docs: DataFrame, learn: Column, order: int = ORDER, strength: float = STRENGTH, block_tokens: int = BLOCK_TOKENS, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` for every row; the texts where ``learn``
     holds are learned from."""
-    blocks = token_blocks(docs, learn, order, block_tokens, id_col, text_col)
+    buckets = min(MOST_BUCKETS, max(2 * docs.sparkSession.sparkContext.defaultParallelism, input_bytes(docs) // BUCKET_BYTES))
+    blocks = token_blocks(docs, learn, order, block_tokens, id_col, text_col, buckets)
     model = train(blocks, order, strength, **options)
-    pieces = walk_texts(blocks, model)
+    pieces = walk_texts(blocks, model, buckets)
     whole = pieces.groupBy("owner").agg(F.min("doc_id").alias("id"), F.first("no_id").alias("no_id"), F.first("held_out").alias("held_out"), F.sum("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("walked").alias("score"))
     return whole.select(F.when(~F.col("no_id"), F.col("id")).alias("doc_id"), "held_out", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")

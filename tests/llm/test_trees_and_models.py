@@ -166,7 +166,7 @@ def test_scores_of_nothing_and_of_nothing_learned(spark, docs):
 def test_the_model_adds_up_to_one(spark):
     """The probabilities of all tokens and of one unknown after a history add up to one."""
     text = "a b a c a b d . a b c d e a"
-    grams = scoring.Grams(next(scoring._records(scoring.token_blocks(spark.createDataFrame([(1, text + " " + "unknown", True), (2, text, False)], "doc_id long, text string, held boolean").coalesce(1), ~F.col("held"), 3, 10_000, "doc_id", "text").toPandas())), 3, 64)
+    grams = scoring.Grams(next(scoring._records(scoring.token_blocks(spark.createDataFrame([(1, text + " " + "unknown", True), (2, text, False)], "doc_id long, text string, held boolean").coalesce(1), ~F.col("held"), 3, 10_000, "doc_id", "text", 1).toPandas())), 3, 64)
     counts = [grams.counts(k) for k in range(3)]
     start = int(np.flatnonzero(grams.keys[0] == scoring.start_key())[0])
     total, types = int(counts[0].sum() - counts[0][start]), int((counts[0] > 0).sum() - 1)
