@@ -6,7 +6,7 @@ and ``h'`` the same without its first token, the model is
     p(w)     = (c(w) + 0.1) / (N + 0.1 (V + 1))
     p(w | h) = (c(hw) + strength p(w | h')) / (c(h) + strength)
 
-Every n-gram seen is an arc from the state of its history, weighted by the logarithm of p; every history seen is a state
+Every n-gram seen is an arc from the state of its history, weighted by the logarithm of p; every history seen is a state,
 with a failure arc to the state of its shorter one, weighted by the logarithm of strength / (c(h) + strength). A text
 is one walk from the state of the text's beginning: it takes the arc of the next token, or fails until a state has
 one (the root has them all), and adds up what it passes.
@@ -293,51 +293,43 @@ def count_grams(blocks: DataFrame, order: int, key_bits: int, slice_bits: int, m
 
 
 class Automaton:
-    """The states and arcs that the texts of a block can reach. ``counts``: those of its n-grams, by order."""
+    """The states and arcs that the texts of a block can reach. ``counts``: those of its n-grams, by order.
+
+    A state is a history seen, ``k`` tokens long; every token of the block stands beside the weights of the arcs that
+    read it from the states before it (None where a state has none) and of those states' failure arcs."""
 
     def __init__(self, grams: Grams, counts: list[np.ndarray], strength: float, total: int, types: int):
-        order = len(counts)
+        self.order, at = len(counts), grams.which[0]
         p = [(counts[0] + 0.1) / (total + 0.1 * (types + 1))]
-        sizes = [int((c > 0).sum()) for c in counts[: max(1, order - 1)]]
-        base = 1 + np.cumsum([0, *sizes])
-        #: state of each n-gram seen that is a history; the root is 0
-        state = [np.where(c > 0, base[k] + np.cumsum(c > 0) - 1, 0) for k, c in enumerate(counts[: max(1, order - 1)])] if order > 1 else [np.zeros(len(counts[0]), np.int64)]
-        self.words = len(grams.keys[0])
-        froms, words, weights, nexts = [np.zeros(self.words, np.int64)], [np.arange(self.words)], [np.log10(p[0])], [state[0]]
-        fails, fail_weights = [np.zeros(1, np.int64)], [np.zeros(1)]
-        if order > 1:
-            seen = counts[0] > 0
-            fails.append(np.zeros(int(seen.sum()), np.int64))
-            fail_weights.append(np.log10(strength / (counts[0][seen] + strength)))
-        for k in range(1, order):
+        self.known = counts[0][at] > 0
+        self.base = np.log10(p[0])[at]
+        self.seen, self.arcs, self.fails = self.known.tolist(), [self.base.tolist()], [[]]
+        for k in range(1, self.order):
             end = grams.first[k]
             shorter, history = grams.which[k - 1][end], grams.which[k - 1][end - 1]
             p.append((counts[k] + strength * p[k - 1][shorter]) / (counts[k - 1][history] + strength))
-            seen = counts[k] > 0
-            froms.append(state[k - 1][history[seen]])
-            words.append(grams.which[0][end[seen]])
-            weights.append(np.log10(p[k][seen]))
-            nexts.append(state[k][seen] if k < order - 1 else state[k - 1][shorter[seen]])
-            if k < order - 1:
-                fails.append(state[k - 1][shorter[seen]])
-                fail_weights.append(np.log10(strength / (counts[k][seen] + strength)))
-        key = np.concatenate(froms) * self.words + np.concatenate(words)
-        self.arcs = dict(zip(key.tolist(), range(len(key))))
-        self.weight, self.next = np.concatenate(weights).tolist(), np.concatenate(nexts).tolist()
-        self.fail, self.fail_weight = np.concatenate(fails).tolist(), np.concatenate(fail_weights).tolist()
-
-    def walk(self, tokens: list[int], state: int = 0) -> tuple[float, int]:
-        """The log-probability of the tokens from a state on, and the state they end in."""
-        arcs, n, weight, follow, fail, fail_weight, total = self.arcs.get, self.words, self.weight, self.next, self.fail, self.fail_weight, 0.0
-        for w in tokens:
-            arc = arcs(state * n + w)
-            while arc is None:
-                total += fail_weight[state]
-                state = fail[state]
-                arc = arcs(state * n + w)
-            total += weight[arc]
-            state = follow[arc]
-        return total, state
+            weight = np.log10(p[k]).astype(object)
+            weight[counts[k] == 0] = None
+            self.arcs.append(np.append(weight, None)[grams.which[k]].tolist())  # none where no n-gram ends
+            failure = np.log10(strength / (counts[k - 1] + strength))
+            self.fails.append(np.append(0.0, failure[grams.which[k - 1][:-1]]).tolist())
+
+    def walk(self, lo: int, hi: int, k: int = 0) -> tuple[float, int]:
+        """The log-probability of the tokens from ``lo`` up to ``hi``, from a state of ``k`` tokens on, and how many
+        tokens the state has that they end in."""
+        arcs, fails, seen, most, total = self.arcs, self.fails, self.seen, self.order - 1, 0.0
+        for i in range(lo, hi):
+            weight = arcs[k][i]
+            while weight is None:
+                total += fails[k][i]
+                k -= 1
+                weight = arcs[k][i]
+            total += weight
+            if k:
+                k = k + 1 if k < most else most
+            elif most and seen[i]:
+                k = 1
+        return total, k
 
 
 PIECES = "owner long, doc_id long, no_id boolean, held_out boolean, n_tokens long, n_known long, base double, walked double"
@@ -351,15 +343,12 @@ def _piece_scores(row: dict, answers: dict[int, list[np.ndarray]], order: int, s
         found = found[inverse]
         cuts = np.cumsum([len(x) for x in (grams.keys[:1] if kind == 0 else grams.keys[1:])])[:-1]
         counts += np.split(found, cuts)
-    ranks = grams.which[0]
-    auto = Automaton(grams, counts, strength, total, types)
-    base = np.log10((counts[0] + 0.1) / (total + 0.1 * (types + 1)))
-    known, tokens, at, out = counts[0][ranks] > 0, ranks.tolist(), 0, []
+    auto, at, out = Automaton(grams, counts, strength, total, types), 0, []
     for doc, null, held, owner, lead, length in zip(*(row[c] for c in ("doc_id", "no_id", "held", "owner", "lead", "length"))):
-        _, state = auto.walk(tokens[at : at + lead])
-        score, _ = auto.walk(tokens[at + lead : at + length], state)
+        _, state = auto.walk(at, at + lead)
+        walked, _ = auto.walk(at + lead, at + length, state)
         mine = slice(at + lead, at + length)
-        out.append((owner, doc, null, held, length - lead, int(known[mine].sum()), float(base[ranks[mine]].sum()), score))
+        out.append((owner, doc, null, held, length - lead, int(auto.known[mine].sum()), float(auto.base[mine].sum()), walked))
         at += length
     return pd.DataFrame(out, columns=["owner", "doc_id", "no_id", "held_out", "n_tokens", "n_known", "base", "walked"])
 

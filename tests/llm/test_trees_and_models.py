@@ -163,21 +163,6 @@ def test_scores_of_nothing_and_of_nothing_learned(spark, docs):
     assert sorted((r["doc_id"] or 0, r["held_out"], r["n_tokens"], r["n_known"]) for r in got) == [(0, True, 3, 3)] * 2 + [(7, False, 1, 1)] + [(7, False, 3, 3)] * 2
 
 
-def test_the_model_adds_up_to_one(spark):
-    """The probabilities of all tokens and of one unknown after a history add up to one."""
-    text = "a b a c a b d . a b c d e a"
-    grams = scoring.Grams(next(scoring._records(scoring.token_blocks(spark.createDataFrame([(1, text + " " + "unknown", True), (2, text, False)], "doc_id long, text string, held boolean").coalesce(1), ~F.col("held"), 3, 10_000, "doc_id", "text", 1).toPandas())), 3, 64)
-    counts = [grams.counts(k) for k in range(3)]
-    start = int(np.flatnonzero(grams.keys[0] == scoring.start_key())[0])
-    total, types = int(counts[0].sum() - counts[0][start]), int((counts[0] > 0).sum() - 1)
-    auto = scoring.Automaton(grams, counts, 2.0, total, types)
-    words = [w for w in range(len(grams.keys[0])) if w != start]
-    tokens = grams.which[0].tolist()
-    for upto in range(2, 12):
-        _, state = auto.walk(tokens[max(0, upto - 2) : upto])
-        assert sum(10 ** auto.walk([w], state)[0] for w in words) == pytest.approx(1)
-
-
 def test_longer_histories_say_more_of_held_out_texts(spark):
     """On the test tables, two tokens are better than one on texts that were not learned from."""
     got = queries.op12_score(spark, "/root/testdata/sf0.01").filter("held_out").agg(F.sum("score"), F.sum("base_score")).head()
