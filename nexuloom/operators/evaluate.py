@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import fold
 from ..functions.stats import rate, wald
 from .ontology import distance
-from .relational import theta_match
+from .relational import text_pairs, texts_of
 
 
 def included(status: Column) -> Column:
@@ -24,36 +24,68 @@ def row_kind(term: Column, note: Column) -> Column:
 
 
 def gold_matches(gold: DataFrame, mentions: DataFrame) -> DataFrame:
-    """``gold_id, status, mention_id``: exact beats partial beats missed; then the smallest mention."""
+    """``gold_id, status, mention_id``: exact beats partial beats missed; then the smallest mention. Texts are
+    matched once each; the smallest mention of a text stands for it."""
     g = gold.select("gold_id", fold(F.col("term")).alias("g"))
     m = mentions.select("mention_id", fold(F.col("text")).alias("m"))
-    best = theta_match(g, m, "g", "m").withColumn("o", F.when(F.col("status") == "exact", 0).otherwise(1)).groupBy("gold_id").agg(F.min(F.struct("o", "mention_id")).alias("x"))
-    return gold.select("gold_id").join(best, "gold_id", "left").select("gold_id", F.when(F.col("x").isNull(), "missed").when(F.col("x.o") == 0, "exact").otherwise("partial").alias("status"), F.col("x.mention_id").alias("mention_id"))
+    first = m.groupBy("m").agg(F.min("mention_id").alias("mention_id"))
+    pairs = text_pairs(texts_of(g, "g"), texts_of(first, "m")).join(first, F.col("y") == F.col("m"))
+    best = pairs.groupBy("x").agg(F.min(F.struct(F.when(F.col("status") == "exact", 0).otherwise(1).alias("o"), "mention_id")).alias("b"))
+    return g.join(best, F.col("g") == F.col("x"), "left").select("gold_id", F.when(F.col("b").isNull(), "missed").when(F.col("b.o") == 0, "exact").otherwise("partial").alias("status"), F.col("b.mention_id").alias("mention_id"))
 
 
-def gold_scores(matches: DataFrame, gold: DataFrame, mentions: DataFrame, chains: DataFrame) -> DataFrame:
+def gold_scores(matches: DataFrame, gold: DataFrame, mentions: DataFrame, chains: DataFrame, canonical: DataFrame | None = None, cliques: DataFrame | None = None) -> DataFrame:
     """One row of recall, typing and linking rates. ``gold``: gold_id, class_name, curie, linkable; ``mentions``:
-    mention_id, type, curie; ``chains``: name, chain. Linking counts linkable gold only."""
-    j = matches.join(gold, "gold_id").join(mentions.select("mention_id", F.col("type").alias("m_type"), F.col("curie").alias("m_curie")), "mention_id", "left")
+    mention_id, type, curie and, where known, kg_id; ``chains``: name, chain; ``canonical`` and ``cliques``: curie, id.
+
+    Gold without a class counts for recall and linking only. A link is right by the curie itself, whatever its case, by the
+    canonical id (the mention's own kg_id first) or by the clique; those rates are over what was found, and the
+    linkable ones over found and linkable gold."""
+    own = F.col("kg_id") if "kg_id" in mentions.columns else F.lit(None).cast("string")
+    j = matches.join(gold, "gold_id").join(mentions.select("mention_id", F.col("type").alias("m_type"), F.col("curie").alias("m_curie"), own.alias("m_kg")), "mention_id", "left")
     c = lambda side: chains.select(F.col("name").alias(side), F.col("chain").alias(f"{side}_chain"))
     j = j.join(c("class_name"), "class_name", "left").join(c("m_type"), "m_type", "left").withColumn("dist", distance(F.col("class_name_chain"), F.col("m_type_chain")))
-    found, linkable = F.col("status") != "missed", F.coalesce(F.col("linkable"), F.lit(True))
+    for name, ids in (("canon", canonical), ("clique", cliques)):
+        for curie in ("curie", "m_curie"):
+            if ids is None:
+                j = j.withColumn(f"{curie}_{name}", F.lit(None).cast("string"))
+            else:
+                one = ids.groupBy(F.col("curie").alias("c")).agg(F.min("id").alias(f"{curie}_{name}"))
+                j = j.join(one, F.col(curie) == F.col("c"), "left").drop("c")
+    found, linkable, typed = F.col("status") != "missed", F.coalesce(F.col("linkable"), F.lit(True)), F.coalesce("class_name", F.lit("")) != ""
+    plain = lambda x: F.lower(F.trim(x))
+    exact = F.coalesce((plain("curie") == plain("m_curie")) & (F.trim("curie") != ""), F.lit(False))
+    canon = F.coalesce(F.col("curie_canon") == F.coalesce("m_kg", "m_curie_canon"), F.lit(False)) | exact
+    clique = F.coalesce(F.col("curie_clique") == F.col("m_curie_clique"), F.lit(False)) | exact
     return j.agg(
         F.count(F.lit(1)).alias("n_gold"),
         rate(F.col("status") == "exact").alias("recall_exact"),
         rate(found).alias("recall_any"),
-        rate(F.when(found, F.coalesce(F.col("class_name") == F.col("m_type"), F.lit(False)))).alias("typing_accuracy"),
-        F.avg(F.when(found, F.col("dist"))).alias("mean_distance"),
-        rate(F.when(found & linkable, F.coalesce(F.col("curie") == F.col("m_curie"), F.lit(False)))).alias("linking_exact"),
+        F.count_if(found & typed).alias("n_typed"),
+        rate(F.when(found & typed, F.coalesce(F.col("class_name") == F.col("m_type"), F.lit(False)))).alias("typing_accuracy"),
+        F.avg(F.when(found & typed, F.col("dist"))).alias("mean_distance"),
+        rate(F.when(found, exact)).alias("linking_found_exact"),
+        rate(F.when(found, canon)).alias("linking_found_canonical"),
+        rate(F.when(found, clique)).alias("linking_found_clique"),
+        F.count_if(found & linkable).alias("n_found_linkable"),
+        rate(F.when(found & linkable, exact)).alias("linking_exact"),
+        rate(F.when(found & linkable, clique)).alias("linking_clique"),
     )
 
 
+def gold_precision(mentions: DataFrame, gold: DataFrame) -> DataFrame:
+    """How many mentions (``text, page``), and how many distinct ones, match some gold term."""
+    m = mentions.select(fold(F.col("text")).alias("m"), "page")
+    hit = text_pairs(texts_of(m, "m"), texts_of(gold.select(fold(F.col("term")).alias("g")), "g")).select(F.col("x").alias("m")).distinct().withColumn("hit", F.lit(True))
+    each = m.join(hit, "m", "left").groupBy("m", "page").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.first("hit"), F.lit(False)).alias("hit"))
+    return each.agg(F.sum("n").alias("n_mentions"), (F.sum(F.when(F.col("hit"), F.col("n")).otherwise(0)) / F.sum("n")).alias("precision"), F.count(F.lit(1)).alias("n_distinct"), rate(F.col("hit")).alias("precision_distinct"))
+
+
 def creativity(mentions: DataFrame, gold: DataFrame) -> DataFrame:
     """Mentions that match no gold term, each spelling once (the smallest id)."""
-    m = mentions.select("mention_id", fold(F.col("text")).alias("m"))
-    hit = theta_match(gold.select("gold_id", fold(F.col("term")).alias("g")), m, "g", "m").select("mention_id").distinct()
-    rest = m.filter("m <> ''").join(hit, "mention_id", "left_anti")
-    return rest.groupBy("m").agg(F.min("mention_id").alias("mention_id"))
+    m = mentions.select("mention_id", fold(F.col("text")).alias("m")).filter("m <> ''").groupBy("m").agg(F.min("mention_id").alias("mention_id"))
+    hit = text_pairs(texts_of(m, "m"), texts_of(gold.select(fold(F.col("term")).alias("g")), "g")).select(F.col("x").alias("m")).distinct()
+    return m.join(hit, "m", "left_anti")
 
 
 def adversarial_rates(rows: DataFrame) -> DataFrame:

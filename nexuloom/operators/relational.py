@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..staging import stage
+
 
 def first_wins(rows: DataFrame, keys: Sequence[Column | str], order: Sequence[Column | str]) -> DataFrame:
     """The first row of each key in a stated order."""
@@ -62,59 +64,98 @@ def stage_peaks(samples: DataFrame, stages: DataFrame, t: str, value: str, on: S
     return j.groupBy(*on, name).agg(F.max(value).alias("peak"), F.count(F.lit(1)).alias("n"))
 
 
-def token_blocked_match(gold: DataFrame, mentions: DataFrame, gold_text: str, mention_text: str) -> DataFrame:
-    """Pairs where one text contains the other, or all tokens of one are among the other's.
-
-    ``norm`` columns are expected folded. Pairs are found by a shared token, then tested: containment of a text within
-    a word is found through the words that hold it only if a whole token is shared, so the short list of gold terms is
-    also matched as it is against the distinct tokens."""
-    g = gold.withColumn("__gt", F.array_distinct(F.filter(F.split(gold_text, r"\W+"), lambda x: x != "")))
-    m = mentions.withColumn("__mt", F.array_distinct(F.filter(F.split(mention_text, r"\W+"), lambda x: x != "")))
-    gk, mk = [c for c in gold.columns], [c for c in mentions.columns]
-    pairs = g.withColumn("__t", F.explode("__gt")).join(m.withColumn("__t", F.explode("__mt")), "__t").drop("__t").dropDuplicates(gk + mk)
-    inside = F.col(mention_text).contains(F.col(gold_text)) | F.col(gold_text).contains(F.col(mention_text))
-    subset = (F.size(F.array_except("__gt", "__mt")) == 0) | (F.size(F.array_except("__mt", "__gt")) == 0)
-    return pairs.filter(inside | subset).withColumn("status", F.when(F.col(gold_text) == F.col(mention_text), "exact").otherwise("partial")).drop("__gt", "__mt")
-
-
-def blocks(rows: DataFrame, keys: Sequence[str], most: int) -> list[DataFrame]:
-    """``rows`` dealt by a hash of their keys into blocks of about ``most`` rows; equal keys stay together."""
-    n = max(1, -(-rows.count() // most))
-    return [rows] if n == 1 else [rows.filter(F.pmod(F.xxhash64(*keys), F.lit(n)) == b) for b in range(n)]
-
-
 def held_in(inner: DataFrame, outer: DataFrame, inner_text: str, outer_text: str, size: int = 3) -> DataFrame:
     """Pairs where the text of ``inner`` is a part of that of ``outer``, without looking at every pair.
 
     A text is a part of another only if its rarest piece of ``size`` letters is (or the whole of it, if it is shorter), so
-    pieces meet by an equi-join and only those pairs are tested. Pieces are counted on the outer side; one that is not
-    there has no pair. The key columns of the two sides must differ in name."""
+    pieces meet by an equi-join and only those pairs are tested. Of the outer texts only pieces that an inner one has are
+    counted and joined. The key columns of the two sides must differ in name."""
     pieces = lambda c, n: F.transform(F.sequence(F.lit(1), F.length(c) - (n - 1)), lambda i: F.substr(c, i, F.lit(n)))
     none = F.array().cast("array<string>")
     every = F.array_distinct(F.concat(*[F.when(F.length(outer_text) >= n, pieces(F.col(outer_text), n)).otherwise(none) for n in range(1, size + 1)]))
-    o = outer.withColumn("__p", F.explode(every))
-    count = o.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
     own = F.when(F.length("__t") >= size, F.array_distinct(pieces(F.col("__t"), size))).otherwise(F.array("__t"))
-    texts = inner.select(F.col(inner_text).alias("__t")).distinct()
-    rare = texts.select("__t", F.explode(own).alias("__p")).join(count, "__p", "left").groupBy("__t").agg(F.min_by("__p", F.struct(F.coalesce("__n", F.lit(0)), F.col("__p"))).alias("__p"))
+    texts = inner.select(F.col(inner_text).alias("__t")).distinct().select("__t", F.explode(own).alias("__p"))
+    o = outer.withColumn("__p", F.explode(every)).join(texts.select("__p").distinct(), "__p", "left_semi")
+    count = o.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
+    rare = texts.join(count, "__p", "left").groupBy("__t").agg(F.min_by("__p", F.struct(F.coalesce("__n", F.lit(0)), F.col("__p"))).alias("__p"))
     return inner.join(rare, F.col(inner_text) == F.col("__t")).drop("__t").join(o, "__p").filter(F.col(outer_text).contains(F.col(inner_text))).drop("__p")
 
 
+#: Rows of a key from which it is split, and the share of all rows that a key split has at least.
+SPLIT_ROWS, SPLIT_SHARE = 100_000, 2000
+
+
+def split_join(many: DataFrame, few: DataFrame, key: str, split: int = SPLIT_ROWS) -> DataFrame:
+    """Inner join by ``key``, of which ``many`` may hold any number of rows: those of a hot key are dealt to several
+    tasks, each of which gets the rows of ``few``. A hot key has more than ``split`` rows and a 2,000th of all, so the list
+    of them that is broadcast has fewer than 2,000 entries."""
+    counts = stage(many.groupBy(key).agg(F.count(F.lit(1)).alias("__n")), "key-counts")
+    least = max(split, (counts.agg(F.sum("__n")).head()[0] or 0) // SPLIT_SHARE)
+    hot = F.broadcast(counts.filter(F.col("__n") > least).select(F.col(key).alias("__k"), F.ceil(F.col("__n") / least).cast("int").alias("__parts")))
+    parts = F.coalesce("__parts", F.lit(1))
+    left = many.join(hot, F.col(key) == F.col("__k"), "left").withColumn("__salt", F.pmod(F.xxhash64(*many.columns), parts).cast("int")).drop("__k", "__parts")
+    right = few.join(hot, F.col(key) == F.col("__k"), "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__k", "__parts")
+    return left.join(right, [key, "__salt"]).drop("__salt")
+
+
+def token_set(text: Column) -> Column:
+    return F.array_distinct(F.filter(F.split(text, r"\W+"), lambda x: x != ""))
+
+
+def _contained(inner: DataFrame, outer: DataFrame, split: int) -> DataFrame:
+    """``x, y``: texts of ``inner`` that may be a part of texts of ``outer``.
+
+    Each token of a text is within one token of any text that holds it, so the two vocabularies are matched
+    first, each token once; a text then meets others through the one of its tokens that fewest of them have within theirs."""
+    it, ot = inner.select(F.col("text").alias("x"), F.size("words").alias("size"), F.explode("words").alias("t")), stage(outer.select(F.col("text").alias("y"), F.explode("words").alias("u")), "outer-tokens")
+    known = ot.groupBy("u").agg(F.count(F.lit(1)).alias("n"))
+    within = stage(held_in(it.select("t").distinct(), known, "t", "u", 6), "within")
+    reach = within.groupBy("t").agg(F.sum("n").alias("n"))
+    anchor = it.join(reach, "t").groupBy("x").agg(F.min_by("t", F.struct("n", "t")).alias("t"), F.count(F.lit(1)).alias("found"), F.first("size").alias("size")).filter("found = size")
+    return split_join(ot, anchor.select("x", "t").join(within.select("t", "u"), "t").select("x", "u"), "u", split).select("x", "y")
+
+
+def _subset(inner: DataFrame, outer: DataFrame, split: int) -> DataFrame:
+    """``x, y``: texts of ``inner`` all of whose tokens may be among those of texts of ``outer``: by the token that fewest
+    of these have."""
+    it, ot = inner.select(F.col("text").alias("x"), F.size("words").alias("size"), F.explode("words").alias("u")), stage(outer.select(F.col("text").alias("y"), F.explode("words").alias("u")), "outer-tokens")
+    known = ot.groupBy("u").agg(F.count(F.lit(1)).alias("n"))
+    rare = it.join(known, "u").groupBy("x").agg(F.min_by("u", F.struct("n", "u")).alias("u"), F.count(F.lit(1)).alias("found"), F.first("size").alias("size")).filter("found = size")
+    return split_join(ot, rare.select("x", "u"), "u", split).select("x", "y")
+
+
+def candidate_pairs(left: DataFrame, right: DataFrame, split: int = SPLIT_ROWS) -> DataFrame:
+    """``x, y``: pairs of distinct texts (``text``, ``words``) that ``text_pairs`` has to test, each once."""
+    flip = lambda d: d.select(F.col("y").alias("x"), F.col("x").alias("y"))
+    legs = _contained(left, right, split).unionByName(flip(_contained(right, left, split))).unionByName(_subset(left, right, split)).unionByName(flip(_subset(right, left, split)))
+    bare = lambda d, name: d.filter(F.size("words") == 0).select(F.col("text").alias(name))  # noqa: E731  nothing but signs
+    if not bare(left, "x").isEmpty():
+        legs = legs.unionByName(held_in(bare(left, "x"), right.select(F.col("text").alias("y")), "x", "y").select("x", "y"))
+    if not bare(right, "y").isEmpty():
+        legs = legs.unionByName(held_in(bare(right, "y"), left.select(F.col("text").alias("x")), "y", "x").select("x", "y"))
+    return legs.distinct()
+
+
+def texts_of(rows: DataFrame, column: str) -> DataFrame:
+    """The distinct texts of a column that are not empty, with their tokens, staged."""
+    return stage(rows.select(F.col(column).alias("text")).filter("text <> ''").distinct().withColumn("words", token_set(F.col("text"))), "texts")
+
+
+def text_pairs(left: DataFrame, right: DataFrame, split: int = SPLIT_ROWS) -> DataFrame:
+    """``x, y, status`` of pairs of distinct texts (from ``texts_of``) where one contains the other, or all tokens of one
+    are among the other's. Each text is joined once, however many rows have it."""
+    xt, yt = token_set(F.col("x")), token_set(F.col("y"))
+    inside = F.col("x").contains(F.col("y")) | F.col("y").contains(F.col("x"))
+    subset = (F.size(F.array_except(xt, yt)) == 0) & (F.size(xt) > 0) | (F.size(F.array_except(yt, xt)) == 0) & (F.size(yt) > 0)
+    pairs = candidate_pairs(left, right, split).filter(inside | subset)
+    return pairs.withColumn("status", F.when(F.col("x") == F.col("y"), "exact").otherwise("partial"))
+
+
 def theta_match(gold: DataFrame, mentions: DataFrame, gold_text: str, mention_text: str) -> DataFrame:
-    """J18 in full: ``status`` of pairs where one text contains the other, or all tokens of one are among the other's.
-
-    Containment is found by rare pieces (``held_in``), a token subset by its longest token, which must be in the other:
-    equi-joins all, so no side is broadcast and no pair is looked at that shares nothing."""
-    words = lambda c: F.array_distinct(F.filter(F.split(c, r"\W+"), lambda x: x != ""))
-    longest = lambda c: F.array_max(F.transform(c, lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
-    keys = [*mentions.columns, *gold.columns]
-    g0, m0 = gold.filter(F.col(gold_text) != ""), mentions.filter(F.col(mention_text) != "")
-    g, m = g0.withColumn("__gt", words(gold_text)), m0.withColumn("__mt", words(mention_text))
-    inside = held_in(g0, m0, gold_text, mention_text).select(*keys).unionByName(held_in(m0, g0, mention_text, gold_text).select(*keys))
-    in_mention = m.withColumn("__t", F.explode("__mt")).join(g.withColumn("__t", longest(F.col("__gt"))), "__t").filter(F.size(F.array_except("__gt", "__mt")) == 0).select(*keys)
-    in_gold = g.withColumn("__t", F.explode("__gt")).join(m.withColumn("__t", longest(F.col("__mt"))), "__t").filter(F.size(F.array_except("__mt", "__gt")) == 0).select(*keys)
-    pairs = inside.unionByName(in_mention).unionByName(in_gold).dropDuplicates()
-    return pairs.withColumn("status", F.when(F.col(gold_text) == F.col(mention_text), "exact").otherwise("partial"))
+    """``status`` of pairs where one text contains the other, or all tokens of one are among the other's, for every
+    row of either side. Equi-joins all: no side is broadcast, no pair is looked at that shares no rare token."""
+    pairs = text_pairs(texts_of(gold, gold_text), texts_of(mentions, mention_text))
+    return mentions.join(pairs, F.col(mention_text) == F.col("y")).join(gold, F.col("x") == F.col(gold_text)).select(*mentions.columns, *gold.columns, "status")
 
 
 def cognate_match(forms: Column, tokens: Column) -> Column:

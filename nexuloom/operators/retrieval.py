@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import camel
 from ..functions.text import surface_form, tokens, usable_exemplar
 from ..staging import stage
-from .relational import blocks, draw_key, top_k
+from .relational import draw_key, split_join, top_k
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
@@ -36,14 +36,101 @@ def squared_distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)), F.lit(0.0), lambda acc, x: acc + x)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int, most_queries: int = 10_000) -> DataFrame:
-    """Exact nearest neighbours: ``id, embedding`` and ``query, embedding`` -> ``query, id, dist, rank``.
-
-    Queries in blocks of about ``most_queries`` against all vectors, which never shuffle; the window's group limit
-    keeps k rows a query on the map side. Ties by id."""
-    near = lambda q: vectors.join(F.broadcast(q)).select("query", "id", F.round(squared_distance(F.col("embedding"), F.col("q")), 6).alias("dist"))
-    found = [top_k(near(q), ["query"], ["dist", "id"], k, "rank") for q in blocks(queries.select("query", F.col("embedding").alias("q")), ["query"], most_queries)]
-    return reduce(DataFrame.unionByName, found)
+#: Cells of the vectors at most: their centres go to every task.
+MOST_PIVOTS = 256
+
+
+class Cells:
+    """Vectors dealt to the nearest of some of them (pivots), and what that says about distances to a query."""
+
+    def __init__(self, pivots: np.ndarray, stats: list):
+        self.pivots, self.apart = pivots, np.sqrt(np.maximum(self.squares(pivots, pivots), 0))
+        self.n, self.near, self.far = np.zeros(len(pivots), np.int64), np.zeros(len(pivots)), np.zeros(len(pivots))
+        for cell, n, near, far in stats:
+            self.n[cell], self.near[cell], self.far[cell] = n, near, far
+
+    @staticmethod
+    def squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return (x**2).sum(axis=1)[:, None] + (y**2).sum(axis=1)[None, :] - 2 * x @ y.T
+
+    def to_all(self, x: np.ndarray) -> np.ndarray:
+        return np.sqrt(np.maximum(self.squares(x, self.pivots), 0))
+
+    def first(self, d: np.ndarray, k: int) -> np.ndarray:
+        """For each query the nearest cells that hold ``k`` vectors together (queries x cells)."""
+        d = np.where(self.n > 0, d, np.inf)
+        order = np.argsort(d, axis=1, kind="stable")
+        held = self.n[order]
+        taken = np.zeros(d.shape, bool)
+        np.put_along_axis(taken, order, (np.cumsum(held, axis=1) - held < k) & (held > 0), axis=1)
+        return taken
+
+    def within(self, d: np.ndarray, reach: np.ndarray) -> np.ndarray:
+        """Cells that can hold a vector no further than ``reach``: by their shell around the pivot, and by the plane between
+        the pivot and the one nearest to the query."""
+        reach, own = reach[:, None], d.argmin(axis=1)
+        shell = (d - self.far <= reach) & (self.near - d <= reach)
+        between = self.apart[own]
+        plane = np.divide(d**2 - d.min(axis=1)[:, None] ** 2, 2 * between, out=np.zeros_like(d), where=between > 0)
+        return shell & (plane - 1e-6 <= reach) & (self.n > 0)
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, most_pivots: int = MOST_PIVOTS, report: dict | None = None) -> DataFrame:
+    """Exact nearest neighbours: ``id, embedding`` and ``query, embedding`` -> ``query, id, dist, rank``. Ties by id.
+
+    Vectors are dealt to the cells of pivots (the square root of their number). A query first meets the cells next to it
+    that hold k vectors; its k-th distance so far then leaves out cells by the triangle inequality, and vectors in the
+    others by their distance to the pivot. Queries meet cells by equi-joins, in which a cell of very many vectors is split.
+    ``report``, if given, gets the numbers of distances computed and of all pairs."""
+    held = stage(vectors.select("id", "embedding").filter(F.col("embedding").isNotNull()), "vectors", pack=False)
+    n = held.count()
+    some = held.select("embedding").orderBy(F.xxhash64("embedding"), "id").limit(min(most_pivots, max(1, int(n**0.5)))).collect()
+    width = len(some[0][0]) if some else 0
+    pivots = np.unique(np.array([r[0] for r in some], np.float64).reshape(len(some), width), axis=0)
+    bare = Cells(pivots, [])
+
+    def assign(batches):
+        for b in batches:
+            x = np.stack(b["embedding"].to_list()).astype(np.float64)
+            cell = bare.squares(x, bare.pivots).argmin(axis=1)
+            yield b.assign(cell=cell.astype(np.int32), away=np.sqrt(((x - bare.pivots[cell]) ** 2).sum(axis=1)))
+
+    named = dict(held.dtypes)
+    dealt = stage(held.mapInPandas(assign, f"id {named['id']}, embedding {named['embedding']}, cell int, away double"), "vector-cells", pack=False)
+    cells = Cells(pivots, [tuple(r) for r in dealt.groupBy("cell").agg(F.count(F.lit(1)), F.min("away"), F.max("away")).collect()])  # a row a pivot
+    asked = stage(queries.select("query", F.col("embedding").alias("q")).filter(F.col("q").isNotNull()), "queries")
+    kinds = dict(asked.dtypes)
+
+    def visits(second: bool):
+        def run(batches):
+            for b in batches:
+                d = cells.to_all(np.stack(b["q"].to_list()).astype(np.float64))
+                take = cells.first(d, k)
+                reach = np.full(len(b), np.inf)
+                if second:
+                    reach = np.where(b["kth"].isna(), np.inf, np.sqrt(b["kth"].fillna(0) + 2e-6) + 1e-6)
+                    take = cells.within(d, reach) & ~take
+                i, j = np.nonzero(take)
+                yield pd.DataFrame({"query": b["query"].to_numpy()[i], "q": b["q"].to_numpy()[i], "near": j.astype(np.int32), "to": d[i, j], "reach": reach[i]})
+
+        return run
+
+    ddl = f"query {kinds['query']}, q {kinds['q']}, near int, to double, reach double"
+
+    def met(visited):
+        pairs = split_join(dealt.withColumnRenamed("cell", "near"), visited, "near").filter(F.abs(F.col("to") - F.col("away")) <= F.col("reach"))
+        if report is not None:
+            report["pairs"] = report.get("pairs", 0) + pairs.count()
+        return pairs.select("query", "id", F.round(squared_distance(F.col("embedding"), F.col("q")), 6).alias("dist"))
+
+    if not n:
+        return asked.limit(0).select("query", F.lit(None).cast(named["id"]).alias("id"), F.lit(0.0).alias("dist"), F.lit(0).alias("rank"))
+    one = stage(top_k(met(asked.mapInPandas(visits(False), ddl)), ["query"], ["dist", "id"], k), "nearest")
+    kth = one.groupBy("query").agg(F.count(F.lit(1)).alias("n"), F.max("dist").alias("kth")).select(F.col("query").alias("of"), F.when(F.col("n") >= k, F.col("kth")).alias("kth"))
+    two = met(asked.join(kth, F.col("query") == F.col("of"), "left").drop("of").mapInPandas(visits(True), ddl))
+    if report is not None:
+        report["all_pairs"] = n * asked.count()
+    return top_k(one.unionByName(two), ["query"], ["dist", "id"], k, "rank")
 
 
 def classes_by_best(hits: DataFrame, k: int) -> DataFrame:

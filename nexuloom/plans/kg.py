@@ -247,12 +247,36 @@ def graph_simple_edges(spark, sf):
     return s.select("a", "b", "weight", "predicate", "subject", "object")
 
 
+def _costs(spark, sf):
+    e, _, present = _small(spark, sf)
+    simple = context.stage(paths.simple_graph(e, "source", "level"), "simple")
+    return simple, context.stage(paths.path_cost(simple, context.degrees(edges(spark, sf))), "costs"), present
+
+
+def graph_set_path(spark, sf):
+    """From the first two seeds to the others: fewest steps, and the cheapest way's cost."""
+    _, cost, present = _costs(spark, sf)
+    ids = sorted(r["seed"] for r in present.collect())  # five at most
+    a, b = (spark.createDataFrame([(x,) for x in part], "node string") for part in (ids[:2], ids[2:]))
+    least, cheap = paths.set_path(cost.withColumn("cost", F.lit(1.0)), a, b), paths.set_path(cost, a, b)
+    return spark.range(1).select(F.lit(int(least[0]) if least else None).cast("long").alias("distance"), F.round(F.lit(cheap[0] if cheap else None).cast("double"), 6).alias("cost"))
+
+
+def graph_set_path_steps(spark, sf):
+    """The cheapest way from the first two seeds to the others, with the edge of each step."""
+    simple, cost, present = _costs(spark, sf)
+    ids = sorted(r["seed"] for r in present.collect())
+    a, b = (spark.createDataFrame([(x,) for x in part], "node string") for part in (ids[:2], ids[2:]))
+    found = paths.set_path(cost, a, b)
+    return paths.annotated(simple, found[1] if found else [])
+
+
 def graph_shortest_path_cost(spark, sf):
-    """Cheapest cost from the first seed within four steps."""
+    """Cheapest cost from the first seed to all it is connected with."""
     e, _, present = _small(spark, sf)
     cost = paths.path_cost(paths.simple_graph(e), context.degrees(edges(spark, sf)))
     start = present.orderBy("seed").limit(1).select(F.col("seed").alias("node"))
-    return paths.cheapest_paths(cost, start, 4).select("node", F.round("dist", 6).alias("dist"))
+    return paths.cheapest_paths(cost, start).select("node", F.round("dist", 6).alias("dist"))
 
 
 # ---- the same in SQL ------------------------------------------------------------------------------------------------
@@ -313,8 +337,14 @@ CTES: list[tuple[str, str]] = [
     ("cost2", "SELECT a, b, cost FROM costs UNION ALL SELECT b, a, cost FROM costs"),
     ("p0", "SELECT min(seed) AS node, 0.0::DOUBLE AS dist FROM present"),
 ]
-for _i in range(1, 5):
+#: Steps after which no cost falls any more on the test tables.
+_STEPS = 10
+for _i in range(1, _STEPS + 1):
     CTES.append((f"p{_i}", f"SELECT node, min(dist) AS dist FROM (SELECT node, dist FROM p{_i - 1} UNION ALL SELECT c.b, p.dist + c.cost FROM p{_i - 1} p JOIN cost2 c ON c.a = p.node) GROUP BY node"))
+_ENDS = "(SELECT seed, row_number() OVER (ORDER BY seed) AS r FROM present)"
+CTES.append(("sp0", f"SELECT seed AS node, 0.0::DOUBLE AS dist FROM {_ENDS} WHERE r <= 2"))
+for _i in range(1, _STEPS + 1):
+    CTES.append((f"sp{_i}", f"SELECT node, min(dist) AS dist FROM (SELECT node, dist FROM sp{_i - 1} UNION ALL SELECT c.b, p.dist + c.cost FROM sp{_i - 1} p JOIN cost2 c ON c.a = p.node) GROUP BY node"))
 NAMES = [n for n, _ in CTES]
 
 
@@ -354,6 +384,7 @@ ORACLES = {
     "graph_seed_pairs": sql("SELECT (SELECT coalesce(sum(n * (n - 1) // 2), 0) FROM (SELECT count(*) AS n FROM comp WHERE node IN (SELECT seed FROM present) GROUP BY component))::BIGINT AS connected, (SELECT count(*) * (count(*) - 1) // 2 FROM present)::BIGINT AS pairs", "comp"),
     "graph_distances": sql("SELECT source, node, min(dist) AS dist FROM bfs GROUP BY source, node", "bfs"),
     "graph_simple_edges": sql("SELECT a, b, weight, predicate, subject, object FROM simple", "simple"),
-    "graph_shortest_path_cost": sql("SELECT node, round(dist, 6) AS dist FROM p4", "p4"),
+    "graph_shortest_path_cost": sql(f"SELECT node, round(dist, 6) AS dist FROM p{_STEPS}", f"p{_STEPS}"),
+    "graph_set_path": sql(f"SELECT (SELECT min(b.dist) FROM bfs b JOIN {_ENDS} s ON s.seed = b.source AND s.r <= 2 JOIN {_ENDS} t ON t.seed = b.node AND t.r > 2)::BIGINT AS distance, (SELECT round(min(p.dist), 6) FROM sp{_STEPS} p JOIN {_ENDS} t ON t.seed = p.node AND t.r > 2) AS cost", f"sp{_STEPS}"),
 }
-QUERIES = {f.__name__: f for f in (kg_degree, kg_degree_stats, kg_top_hubs, kg_edge_weights, kg_traversal_view, kg_filter_reasons, kg_filtered_edges, kg_kept_nodes, ctx_hop1, ctx_hop2_reach, ctx_repr_closure, ctx_hop_counts, ctx_scored, ctx_score_floor, ctx_kept, ctx_connected, ctx_refilled, ctx_repair_info, ctx_induced_edges, ctx_presence_ranks, ctx_provenance, ctx_missing_seeds, ctx_category_counts, graph_components, graph_seed_pairs, graph_distances, graph_simple_edges, graph_shortest_path_cost)}
+QUERIES = {f.__name__: f for f in (kg_degree, kg_degree_stats, kg_top_hubs, kg_edge_weights, kg_traversal_view, kg_filter_reasons, kg_filtered_edges, kg_kept_nodes, ctx_hop1, ctx_hop2_reach, ctx_repr_closure, ctx_hop_counts, ctx_scored, ctx_score_floor, ctx_kept, ctx_connected, ctx_refilled, ctx_repair_info, ctx_induced_edges, ctx_presence_ranks, ctx_provenance, ctx_missing_seeds, ctx_category_counts, graph_components, graph_seed_pairs, graph_distances, graph_simple_edges, graph_shortest_path_cost, graph_set_path, graph_set_path_steps)}

@@ -2,6 +2,7 @@
 
 import json
 import random
+import re
 from decimal import Decimal
 
 import numpy as np
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from nexuloom.functions import text
 from nexuloom.operators import agent, context, package, paths, relational, retrieval
+from nexuloom.plans import search
 from nexuloom.sources import readers, writers
 from nexuloom.staging import grow, input_bytes, packed
 
@@ -144,9 +146,107 @@ def test_budget_loses_the_weakest(spark):
     assert json.loads("[]") == [] and package.node_budget(d, 0).count() == 1
 
 
-def test_limits_are_errors(spark):
-    chain = spark.createDataFrame([(f"{i:03}", f"{i + 1:03}") for i in range(12)], "subject string, object string")
-    with pytest.raises(RuntimeError, match="steps or more apart"):
-        paths.distances(chain, spark.createDataFrame([("000",)], "source string"), 5)
-    with pytest.raises(ValueError, match="nodes in the component"):
-        paths.diameter(spark.createDataFrame([("a", "a"), ("b", "a")], "node string, component string"), chain, 1)
+def test_chains_of_one_round_a_link(spark):
+    """Nothing limits the rounds: distances and the diameter of a chain; a node of its own has diameter 0."""
+    chain = spark.createDataFrame([(f"{i:03}", f"{i + 1:03}") for i in range(9)], "subject string, object string")
+    d = paths.distances(chain, spark.createDataFrame([("000",)], "source string"))
+    assert d.agg(F.max("dist"), F.count("*")).head() == (9, 10)
+    members = chain.select(F.col("subject").alias("node")).union(chain.select("object")).distinct().withColumn("component", F.lit("000"))
+    assert paths.diameter(members, chain).head()[0] == 9
+    assert paths.diameter(spark.createDataFrame([("a", "a")], "node string, component string"), chain.limit(1)).head()[0] == 0
+    assert paths.diameter(members.limit(0), chain).head()[0] is None
+
+
+def test_searches_against_plain_ones(spark):
+    """Bits of 70 sources, eccentricity bounds and two-sided ways against breadth-first search and relaxation."""
+    r = random.Random(3)
+    links = {(f"n{i:02}", f"n{r.randrange(90):02}"): round(r.random(), 3) for i in range(90) for _ in range(2)}
+    links |= {("x1", "x2"): 0.5}
+    around = {}
+    for (a, b), w in links.items():
+        for x, y in ((a, b), (b, a)):
+            if x != y:
+                around.setdefault(x, {})[y] = min(w, around.get(x, {}).get(y, 9))
+    edges = spark.createDataFrame([(a, b) for a, b in links], "subject string, object string")
+
+    def far(start, unit):
+        best = dict.fromkeys(start, 0.0)
+        todo = list(start)
+        while todo:
+            x = todo.pop(0)
+            for y, w in around.get(x, {}).items():
+                c = best[x] + (1 if unit else w)
+                if c < best.get(y, 1e9) - 1e-12:
+                    best[y] = c
+                    todo.append(y)
+        return best
+
+    sources = sorted(around)[:70]
+    want = {(s, n, int(d)) for s in sources for n, d in far([s], True).items()}
+    got = paths.distances(edges, spark.createDataFrame([(s,) for s in sources], "source string"))
+    assert {tuple(x) for x in got.collect()} == want
+    nodes = spark.createDataFrame([(n,) for n in around], "node string")
+    for at_once in (8,):
+        members = nodes.withColumn("component", F.when(F.col("node").startswith("x"), "x").otherwise("n"))
+        assert paths.diameter(members, edges, at_once).head()[0] == max(max(far([s], True).values()) for s in around if s[0] == "n")
+    cost = spark.createDataFrame([(a, b, w) for a, near in around.items() for b, w in near.items() if a < b], "a string, b string, cost double")
+    one = lambda *names: spark.createDataFrame([(n,) for n in names], "node string")
+    for a, b in ((["n01", "n02"], ["n70", "n80"]), (["n05"], ["n05", "n06"]), (["n11"], ["x1"])):
+        for unit in (False, True):
+            found = paths.set_path(cost.withColumn("cost", F.lit(1.0)) if unit else cost, one(*a), one(*b))
+            best = min((d for n, d in far(a, unit).items() if n in b), default=None)
+            if best is None:
+                assert found is None
+                continue
+            assert found[0] == pytest.approx(best) and found[1][0] in a and found[1][-1] in b
+            assert sum(1 if unit else around[x][y] for x, y in zip(found[1], found[1][1:])) == pytest.approx(best)
+
+
+def test_containment_against_every_pair(spark):
+    """Parts of words, signs alone, tokens in another order, texts that many rows share; hot tokens split or not."""
+    r = random.Random(8)
+    words = ["gold", "golden", "old", "ring", "a", "x1", "x12", "supplier000001", "supplier000002", "é", "r"]
+    make = lambda: {" ".join(r.choice(words) for _ in range(r.randint(1, 4))) for _ in range(60)} | {"--", "a-ring", "ring, a", "- -", "old r", "ld ri", "supplier00000"}
+    left, right = sorted(make()), sorted(make())
+    tokens = lambda t: set(re.findall(r"[A-Za-z0-9_]+", t))
+    hit = lambda x, y: x in y or y in x or (tokens(x) and tokens(x) <= tokens(y)) or (tokens(y) and tokens(y) <= tokens(x))
+    g = spark.createDataFrame([(i, t) for i, t in enumerate(left * 2)] + [(-1, "")], "gold_id long, g string")
+    m = spark.createDataFrame([(i, t) for i, t in enumerate(right)] + [(-1, None)], "mention_id long, m string")
+    want = {(x, y) for x in left for y in right if hit(x, y)}
+    for split in (1, 100_000):
+        got = relational.text_pairs(relational.texts_of(g, "g"), relational.texts_of(m, "m"), split).collect()
+        assert {(p["x"], p["y"]) for p in got} == want and len(got) == len(want)
+        assert all((p["status"] == "exact") == (p["x"] == p["y"]) for p in got)
+    every = relational.theta_match(g, m, "g", "m").select("gold_id", "mention_id").collect()
+    assert sorted(map(tuple, every)) == sorted((i, j) for i, x in enumerate(left * 2) for j, y in enumerate(right) if hit(x, y))
+
+
+def test_candidates_grow_with_the_rows(spark):
+    """Ten times the parts: no more than about ten times the pairs that are tested."""
+    n = []
+    for sf in ("0.01", "0.1"):
+        g, m = search._gold(spark, f"/root/testdata/sf{sf}")
+        n.append(relational.candidate_pairs(relational.texts_of(g.select(F.lower("term").alias("t")), "t"), relational.texts_of(m.select(F.lower("text").alias("t")), "t")).count())
+    assert 0 < n[1] <= 12 * n[0], n
+
+
+def test_neighbours_by_pivots(spark):
+    """The same as every distance, for clusters, copies and few vectors; far fewer distances than pairs."""
+    r = np.random.default_rng(2)
+    middle = r.normal(0, 10, (30, 8))
+    x = middle[r.integers(0, 30, 3000)] + r.normal(0, 0.5, (3000, 8))
+    x[100:160] = x[100]
+    v = spark.createDataFrame([(i, y.tolist()) for i, y in enumerate(x)] + [(9999, None)], "id long, embedding array<double>")
+    q = v.filter("id % 100 = 0").withColumnRenamed("id", "query")
+    report = {}
+    got = retrieval.nearest(v, q, 10, report=report).collect()
+    want = []
+    for i in range(0, 3000, 100):
+        d = np.round(((x - x[i]) ** 2).sum(axis=1), 6)
+        want += [(i, int(j)) for j in np.lexsort((np.arange(3000), d))[:10]]
+    assert sorted((p["query"], p["id"]) for p in got) == sorted(want)
+    assert report["pairs"] < 0.3 * report["all_pairs"], report
+    few = retrieval.nearest(v.limit(3), q, 10).groupBy("query").count().collect()
+    assert len(few) == 30 and all(p["count"] == 3 for p in few)
+    assert retrieval.nearest(v.limit(0), q, 10).count() == 0
+    assert "NestedLoop" not in retrieval.nearest(v, q, 10)._jdf.queryExecution().toString()

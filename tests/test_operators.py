@@ -303,5 +303,5 @@ def test_more_rows_than_a_block(spark):
     pairs = {(r["gold_id"], r["mention_id"]) for r in relational.theta_match(g, m, "g", "m").collect()}
     assert pairs == {(i, j) for i in range(12) for j in range(12) if f"w{i}" in f"a w{j} b"}
     e = spark.createDataFrame([(i, [float(i), 0.0]) for i in range(12)], "id long, embedding array<double>")
-    got = retrieval.nearest(e, e.withColumnRenamed("id", "query"), 2, most_queries=5).collect()
+    got = retrieval.nearest(e, e.withColumnRenamed("id", "query"), 2, most_pivots=5).collect()
     assert len(got) == 24 and all(r["id"] == r["query"] for r in got if r["rank"] == 1)
