@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..staging import drop_staged, input_bytes, new_path, packed, scratch, stage
 
-__all__ = ["WORD", "beside", "drop_staged", "input_bytes", "n_words", "new_path", "numbered", "packed", "read", "release", "running_total", "scratch", "stage"]
+__all__ = ["WORD", "beside", "drop_staged", "input_bytes", "n_words", "new_path", "numbered", "packed", "read", "release", "running_total", "scratch", "stage", "unused"]
 
 #: Plans that hand on the rows of a file as they are, some left out.
 ROW_BY_ROW = ("LogicalRelation", "Project", "Filter", "SubqueryAlias")
@@ -25,12 +25,18 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def unused(name: str, *tables: DataFrame) -> str:
+    """``name``, with underscores after it until no table has such a column, in whatever case."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
     """``docs`` with a column that tells its rows apart, identical ones too, and that column's name: the file of a row
     and its place in it. What is not read straight from files is staged first."""
-    name = "__row"
-    while name in docs.columns:
-        name += "_"
+    name = unused("__row", docs)
     plan = docs._jdf.queryExecution().analyzed()
     while plan.children().size() == 1 and plan.nodeName() in ROW_BY_ROW:
         plan = plan.children().head()

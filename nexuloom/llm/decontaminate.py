@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import numbered, stage
+from .common import numbered, stage, unused
 
 WINDOW = 5
 NUMBER, NAME, UNIT = "#", "@", "~"
@@ -118,5 +118,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, id_c
 def clean(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, text_col: str = "text", **options) -> DataFrame:
     """The rows that hold no item, all columns kept; a row that shares its id with one that does stays."""
     rows, row = numbered(docs)
-    bad = matches(rows, [row], benchmark, least, text_col, **options).select(F.col(row).alias("__bad")).distinct()
-    return rows.join(bad, F.col(row) == F.col("__bad"), "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    bad = unused("__bad", rows)
+    named = rows.select(row, F.col(text_col).alias("doc_text"))
+    found = matches(named, [row], benchmark, least, "doc_text", **options).select(F.col(row).alias(bad)).distinct()
+    return rows.join(found, F.col(row) == F.col(bad), "left_anti").select(*[f"`{c}`" for c in docs.columns])

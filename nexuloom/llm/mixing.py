@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import n_words, numbered, running_total, stage
+from .common import n_words, numbered, running_total, stage, unused
 
 #: Slices of the virtual time up to 1, and per doubling beyond it.
 SLICES = 4096
@@ -92,5 +92,6 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     none is lost; copies are made after the join."""
     names = [f"`{c}`" for c in docs.columns]
     rows, row = numbered(docs)
-    counts = mix(rows, key=row, **options).filter("copies > 0").select(F.col("key").alias("__key"), F.col("copies").alias("__copies"))
-    return rows.join(counts, F.col(row) == F.col("__key")).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*names)
+    key, copies, copy = (unused(c, rows) for c in ("__key", "__copies", "__copy"))
+    counts = mix(rows, key=row, **options).filter("copies > 0").select(F.col("key").alias(key), F.col("copies").alias(copies))
+    return rows.join(counts, F.col(row) == F.col(key)).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*names)

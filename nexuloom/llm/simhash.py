@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LEAST_HOT, beside, numbered, release, stage
+from .common import LEAST_HOT, beside, numbered, release, stage, unused
 from .graph import components
 
 FAN = 8
@@ -269,10 +269,10 @@ def _bucket_pairs(most: int, enough: int, reach: int, both: int, masks: list[int
         i, j, rest = near_pairs(fp, d["second"].to_numpy().view(np.uint64), group, d["label"].to_numpy(), most, enough, reach, both)
         own = np.ones(len(i), bool)
         for k, m in enumerate(masks):
-            own &= (block[i] <= k) | ((fp[i] ^ fp[j]) & m != 0)
+            own &= (block[i] % len(masks) <= k) | ((fp[i] ^ fp[j]) & m != 0)
         i, j = i[own], j[own]
         at = np.searchsorted(group, rest)
-        pairs = pd.DataFrame({"u": key[i], "v": key[j], "block": block[i], "bucket": bucket[i], "tested": True})
+        pairs = pd.DataFrame({"u": np.minimum(key[i], key[j]), "v": np.maximum(key[i], key[j]), "block": block[i], "bucket": bucket[i], "tested": True})
         return pd.concat([pairs, pd.DataFrame({"u": 0, "v": 0, "block": block[at], "bucket": bucket[at], "tested": False})])
 
     return _by_bucket(close)
@@ -339,7 +339,13 @@ def links(distinct: DataFrame, most: int = 3, agree: int | None = None) -> DataF
 REACH, BOTH = 12, 24
 
 
-def similar_links(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame], most: int, least: float, enough: int = 16, reach: int = REACH, both: int = BOTH) -> DataFrame:
+def sketches(agree: int) -> int:
+    """How many fingerprints of a text are dealt: where buckets need keys of more than two blocks, fewer of the pairs beyond
+    ``most`` bits share one, and the second fingerprint, which is as good as another seed's, finds those the first misses."""
+    return 1 if agree <= 2 else 2
+
+
+def similar_links(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame], most: int, least: float, enough: int = 16, reach: int = REACH, both: int = BOTH, agree: int | None = None) -> DataFrame:
     """``key, fp, second`` -> links ``u, v`` of keys that join what candidate pairs whose sets have a Jaccard
     similarity of ``least`` or more join. Candidates are all pairs within ``most`` bits, and those of a common bucket
     within ``reach`` bits of the first fingerprint and ``both`` of the two together. ``sets`` gives ``key, set`` for a table of keys; only keys of candidates are asked
@@ -349,9 +355,12 @@ def similar_links(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame], most
     the next round, which goes through the buckets that had more, eight times as far, until none is left. So a group
     of near copies costs its members, not its pairs."""
     label, rest, found, have = nodes.select("key", "fp", "second", F.col("key").alias("label")), None, None, None
-    agree = needed(nodes.count(), most)
+    agree = agree or needed(nodes.count(), most)
     while True:
         dealt, masks = _dealt(label, most, agree)
+        if sketches(agree) == 2:
+            other, _ = _dealt(label.select("key", F.col("second").alias("fp"), F.col("fp").alias("second"), "label"), most, agree)
+            dealt = dealt.unionByName(other.withColumn("block", F.col("block") + len(masks)))
         if rest is not None:
             dealt = dealt.join(rest, ["block", "bucket"], "left_semi")
         asked = dealt.repartition("block", "bucket").sortWithinPartitions("block", "bucket").mapInPandas(_bucket_pairs(most, enough, reach, both, masks), "u long, v long, block int, bucket long, tested boolean")
@@ -360,7 +369,8 @@ def similar_links(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame], most
         fresh = stage(sets(stage(ends if have is None else ends.join(have.select("key"), "key", "left_anti"), "simhash-keys")), "simhash-sets")
         have = fresh if have is None else have.unionByName(fresh)
         side = lambda n: have.select(F.col("key").alias(f"k{n}"), F.col("set").alias(f"set{n}"))  # noqa: B023, E731
-        couples = asked.filter("tested").join(side(1), F.col("u") == F.col("k1")).join(side(2), F.col("v") == F.col("k2"))
+        tested = asked.filter("tested").select("u", "v")
+        couples = (tested.distinct() if sketches(agree) == 2 else tested).join(side(1), F.col("u") == F.col("k1")).join(side(2), F.col("v") == F.col("k2"))
         shared = couples.select("u", "v", F.size(F.array_intersect("set1", "set2")).alias("n"), (F.size("set1") + F.size("set2")).alias("m"))
         now = stage(shared.filter(F.col("n") >= least * (F.col("m") - F.col("n"))).filter("n > 0").select("u", "v"), "simhash-similar")
         found = now if found is None else found.unionByName(now)
@@ -406,7 +416,7 @@ def _shingle_sets(shingle: int):
 BROADCAST_ROWS = 200_000
 
 
-def one_of_similar(docs: DataFrame, most: int, least: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text", enough: int = 16, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def one_of_similar(docs: DataFrame, most: int, least: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text", enough: int = 16, broadcast_rows: int = BROADCAST_ROWS, agree: int | None = None) -> DataFrame:
     """The document of the smallest id of each group that equal words and ``similar_links`` join, all columns kept; of
     identical rows one stays. Two fingerprints of three words a shingle find candidates only; sets of ``shingle``
     words are made of one row for each text that is a candidate."""
@@ -423,9 +433,16 @@ def one_of_similar(docs: DataFrame, most: int, least: float = 0.8, shingle: int
         texts = keyed.select(*at, F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(places, (F.col("__file") == F.col("k_file")) & (F.col("__at") == F.col("k_at")))
         return texts.select("key", "text").mapInPandas(_shingle_sets(shingle), "key long, set array<bigint>")
 
-    root = components(similar_links(nodes, sets, most, least, enough))
-    stays = nodes.select("key", "stays").join(root, F.col("key") == F.col("node"), "left").groupBy(F.coalesce("root", "key").alias("root")).agg(F.min("stays").alias("s")).select("s.__file", "s.__at")
-    return keyed.join(stays, (F.col(f"{row}.file") == F.col("__file")) & (F.col(f"{row}.at") == F.col("__at")), "left_semi").select(*[f"`{c}`" for c in docs.columns])
+    root = components(similar_links(nodes, sets, most, least, enough, agree=agree))
+    stays = nodes.select("key", "stays").join(root, F.col("key") == F.col("node"), "left").groupBy(F.coalesce("root", "key").alias("root")).agg(F.min("stays").alias("s"))
+    return _staying(docs, keyed, row, stays.select("s.__file", "s.__at"))
+
+
+def _staying(docs: DataFrame, keyed: DataFrame, row: str, places: DataFrame) -> DataFrame:
+    """The rows of ``docs`` at the ``places`` (file and place), all their columns and no more."""
+    file, at = (unused(c, keyed) for c in ("__stays_file", "__stays_at"))
+    named = places.select(F.col("__file").alias(file), F.col("__at").alias(at))
+    return keyed.join(named, (F.col(f"{row}.file") == F.col(file)) & (F.col(f"{row}.at") == F.col(at)), "left_semi").select(*[f"`{c}`" for c in docs.columns])
 
 
 def near_duplicates(docs: DataFrame, most: int = 3, shingle: int = 3, keep: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text", least_hot: int = LEAST_HOT) -> DataFrame:
@@ -448,5 +465,7 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """The document of the smallest id of each component, all columns kept; of identical rows one stays."""
     keyed, row = numbered(docs)
     at = [F.col(f"{row}.file").alias("__file"), F.col(f"{row}.at").alias("__at")]
-    stays = near_duplicates(keyed.select("*", *at), keep=("__file", "__at"), **options).groupBy("root").agg(F.min(F.struct("doc_id", "__file", "__at")).alias("s")).select("s.__file", "s.__at")
-    return keyed.join(stays, (F.col(f"{row}.file") == F.col("__file")) & (F.col(f"{row}.at") == F.col("__at")), "left_semi").select(*[f"`{c}`" for c in docs.columns])
+    id_col, text_col = options.pop("id_col", "doc_id"), options.pop("text_col", "text")
+    named = keyed.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *at)
+    stays = near_duplicates(named, keep=("__file", "__at"), **options).groupBy("root").agg(F.min(F.struct("doc_id", "__file", "__at")).alias("s"))
+    return _staying(docs, keyed, row, stays.select("s.__file", "s.__at"))

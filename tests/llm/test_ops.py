@@ -487,8 +487,8 @@ def test_one_of_each(docs, rows):
     assert keep == set(brute.link_components({r[0]: brute.simhash(r[1]) for r in rows}).values())
 
 
-@pytest.mark.parametrize(("enough", "broadcast_rows"), [(1, 0), (16, 200_000)])
-def test_one_of_similar(spark, enough, broadcast_rows):
+@pytest.mark.parametrize(("enough", "broadcast_rows", "agree"), [(1, 0, None), (16, 200_000, 3)])
+def test_one_of_similar(spark, enough, broadcast_rows, agree):
     r = random.Random(4)
     words = [f"w{i}" for i in range(400)]
     rows, at = {}, 0
@@ -504,11 +504,59 @@ def test_one_of_similar(spark, enough, broadcast_rows):
     prints = {d: brute.simhash(t) for d, t in rows.items()}
     want = brute.similar_roots(rows)
     assert len(want) > len(set(brute.link_components(prints, 6).values()))  # candidates alone would drop more
-    got = simhash.one_of_similar(spark.createDataFrame(list(rows.items()), "doc_id long, text string"), most=6, enough=enough, broadcast_rows=broadcast_rows)
+    got = simhash.one_of_similar(spark.createDataFrame(list(rows.items()), "doc_id long, text string"), most=6, enough=enough, broadcast_rows=broadcast_rows, agree=agree)
     assert got.columns == ["doc_id", "text"] and sorted(x["doc_id"] for x in got.collect()) == sorted(want)
     assert simhash.one_of_similar(got.limit(0), most=6).count() == 0
 
 
+NAMES = ("__key", "__copies", "__copy", "__bad", "__file", "__at", "__id", "__whole", "__row", "__stays_file", "__stays_at", "__text", "doc_text", "item_id", "digest", "fp", "second", "stays", "place", "h", "salt", "copies", "taken", "src", "upto", "t", "rank", "e")
+
+
+def test_any_column_may_be_there(spark):
+    """Every name that a stage of the pipeline gives a helper, as a column of its input."""
+    rows = [(1, "one two three four five six seven", "a"), (2, "ONE two three four five six seven", "a"), (3, None, None), (4, "what is 12 plus 7 apples then", "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for c in NAMES:
+        docs = docs.withColumn(c, F.lit("x"))
+    items = spark.createDataFrame([(9, "what is 12 plus 7 apples then")], "item_id long, text string")
+    ids = lambda d: sorted(r["doc_id"] for r in d.collect())
+    for one in (simhash.one_of_each(docs), simhash.one_of_similar(docs, most=6)):
+        assert one.columns == docs.columns and ids(one) == [1, 3, 4]
+    assert ids(decontaminate.clean(docs, items)) == [1, 2, 3] and decontaminate.clean(docs, items).columns == docs.columns
+    mixed = mixing.mixed_documents(docs)
+    assert mixed.columns == docs.columns and set(ids(mixed)) <= {1, 2, 4}
+
+
+@pytest.mark.parametrize("agree", [2, 3, 4, 5])
+def test_candidates_found_whatever_the_size(spark, agree):
+    """For every number of blocks that ``needed`` may ask for: 0.9 or more of the pairs that share 80 % of their shingles,
+    by a replay of the buckets over pairs whose texts differ in a few words."""
+    r = random.Random(11)
+    most, found, total = 6, 0, 0
+    while total < 150:
+        base = [f"w{r.randrange(3000)}" for _ in range(r.randint(60, 400))]
+        other = base[:]
+        for _ in range(r.randint(1, 8)):
+            other[r.randrange(len(other))] = f"w{r.randrange(3000)}"
+        a, b = ({" ".join(w[i : i + 5]) for i in range(len(w) - 4)} for w in (base, other))
+        if not 0.8 <= len(a & b) / len(a | b) < 1:
+            continue
+        total += 1
+        hashes = [simhash.shingle_hashes(" ".join(w), 3) for w in (base, other)]
+        one, two = simhash.fold_bits(hashes), simhash.fold_bits([simhash.remixed(h) for h in hashes])
+        apart = [int(one[0] ^ one[1]), int(two[0] ^ two[1])]
+        blocks = most + agree
+        edges = [64 * i // blocks for i in range(blocks + 1)]
+        for d in apart[: simhash.sketches(agree)]:
+            shared = sum(not d >> lo & ((1 << hi - lo) - 1) for lo, hi in zip(edges, edges[1:]))
+            near = d.bit_count() <= most or d.bit_count() <= simhash.REACH and sum(x.bit_count() for x in apart) <= simhash.BOTH
+            if shared >= agree and near:
+                found += 1
+                break
+    print(f"agree {agree}: {found} of {total}")
+    assert found >= 0.9 * total
+
+
 def test_components_of_a_chain(spark):
     e = spark.range(60).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"))
     got = graph.components(e).collect()
