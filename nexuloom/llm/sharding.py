@@ -8,7 +8,7 @@ in the next round, and rounds go on until nobody moves. Documents that are not l
 for, then fill every shard up to the same size along one running total.
 
 A text of one part has no neighbours once it is placed, so only parts of long stars stay in the rounds. These are few at
-any size of the table: a part has a ``parts_a_shard``-th of a shard's bytes, all but the last of a text.
+any size of the table: a part has a ``parts_a_shard``-th of a shard's bytes or rows, all but the last of a text.
 
 Defined cases: a null text has size 1 and CRC 0 and is not linked; empty texts are linked; texts of any length are one
 document of their size; ties of a vote go to a shard by the text's hash; null ids and repeated rows are ordinary
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import running_total, stage
+from .common import HOT, running_total, stage
 
 
 def _votes(parts: DataFrame, chunked: DataFrame, shards: int) -> DataFrame:
@@ -82,6 +82,17 @@ def cut_links(placed: DataFrame, group: str, shard: str) -> DataFrame:
     return n.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("links"), F.coalesce(F.sum(F.col("n") - F.col("most")), F.lit(0)).alias("cut"))
 
 
+def linked_and_rest(base: DataFrame, groups: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``base`` whose ``g`` is one of ``groups`` (``gg, n``: its texts and their counts), and the others. A text
+    with more than ``HOT`` of the rows, of which there are fewer than 1 / HOT, meets a broadcast list; only the others
+    are dealt by their text, so no task takes a large group of copies."""
+    on = F.col("g") == F.col("gg")
+    hot = F.broadcast(groups.filter(F.col("n") > F.lit(HOT * total)).select("gg"))
+    cold = base.join(hot, on, "left_anti")
+    few = groups.filter(F.col("n") <= F.lit(HOT * total)).select("gg").hint("merge")
+    return base.join(hot, on, "left_semi").unionByName(cold.join(few, on, "left_semi")), cold.join(few, on, "left_anti")
+
+
 def shard(docs: DataFrame, shards: int = 16, parts_a_shard: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, size, text_crc32, law, shard, slot, grown_shard`` for every document."""
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -95,19 +106,23 @@ def shard(docs: DataFrame, shards: int = 16, parts_a_shard: int = 64, id_col: st
         "shard-sizes",
         pack=False,
     )
-    total = base.agg(F.sum("size").alias("s")).head()["s"] or 0
-    quota, part = total / shards, max(1.0, total / shards / parts_a_shard)
-    groups = base.filter(F.col("g").isNotNull()).groupBy("g").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("g").alias("gg"))
-    linked = base.join(groups.hint("merge"), F.col("g") == F.col("gg"), "left_semi")
+    sums = base.agg(F.sum("size").alias("s"), F.count(F.lit(1)).alias("n")).head()
+    total = sums["s"] or 0
+    quota, part, rows = total / shards, max(1.0, total / shards / parts_a_shard), max(1.0, sums["n"] / shards / parts_a_shard)
+    groups = base.filter(F.col("g").isNotNull()).groupBy("g").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    groups = stage(groups.select(F.col("g").alias("gg"), "n"), "shard-groups")
+    linked, alone = linked_and_rest(base, groups, sums["n"])
     linked = stage(linked.withColumn("label", F.pmod(F.col("h"), F.lit(shards)).cast("int")), "shard-linked")
-    chunked = running_total(linked, ["g"], "h", ["doc_id"], "size", "upto").withColumn("part", F.floor((F.col("upto") - F.col("size")) / F.lit(part)))
+    # a part ends where its bytes or its rows are full: copies of a short text are many rows and few bytes
+    chunked = running_total(linked, ["g"], "h", ["doc_id"], "size", "upto", rank="nth")
+    chunked = chunked.withColumn("part", F.floor((F.col("upto") - F.col("size")) / F.lit(part)) + F.floor((F.col("nth") - 1) / F.lit(rows)))
     chunked = stage(chunked.select("doc_id", "size", "g", "h", "part", "label"), "shard-chunks")
     spots, left = propagate(chunked, shards, quota)
     where = chunked.join(spots, (F.col("g") == F.col("pg")) & (F.col("part") == F.col("pp")), "left")
     where = stage(where.select("doc_id", "size", "g", "h", "shard"), "shard-where")
 
     settled = where.filter(F.col("shard").isNotNull()).select("doc_id", "size", "g", "h", "shard")
-    rest = base.join(groups.hint("merge"), F.col("g") == F.col("gg"), "left_anti").select("doc_id", "size", "g", "h").unionByName(where.filter(F.col("shard").isNull()).select("doc_id", "size", "g", "h"))
+    rest = alone.select("doc_id", "size", "g", "h").unionByName(where.filter(F.col("shard").isNull()).select("doc_id", "size", "g", "h"))
     rest = stage(rest, "shard-rest")
     ends, at = [], 0.0
     for s in range(shards):
