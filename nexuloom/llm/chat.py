@@ -20,7 +20,8 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 START, END = "<|im_start|>", "<|im_end|>"
@@ -112,6 +113,41 @@ def conversation_events(conversations: DataFrame) -> DataFrame:
     return conversations.select("conv_id", "turn", F.lit(None).cast("long").alias("seq"), F.lit("message").alias("kind"), "role", "text")
 
 
+#: Code points of a delta at least, and deltas of a message at most.
+DELTA, MOST_DELTAS = 200, 64
+
+
+def _deltas(text: Column) -> Column:
+    """``text`` in order, cut into up to ``MOST_DELTAS`` events; none for an empty one."""
+    n = F.length(text)
+    width = F.greatest(F.lit(DELTA), F.ceil(n / MOST_DELTAS).cast("int"))
+    cuts = F.when(n > 0, F.sequence(F.lit(1), n, width)).otherwise(F.array().cast("array<int>"))
+    return F.transform(cuts, lambda at: F.struct(F.lit("delta").alias("kind"), F.substring(text, at, width).alias("text")))
+
+
+def streamed_events(conversations: DataFrame) -> DataFrame:
+    """The same messages as the log that a chat service keeps of them. By a hash of the row a message comes whole; as a
+    stream of deltas; as a draft that is edited; as a draft that is regenerated and streamed anew; or after one that
+    is deleted. Messages of one turn are numbered by role and text; null texts are empty ones."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    c = conversations.select("conv_id", "turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), text.alias("text"))
+    order = W.partitionBy("conv_id", "turn").orderBy("role", "text")
+    c = c.withColumn("nth", F.row_number().over(order)).withColumn("way", F.pmod(F.xxhash64("conv_id", "turn", "role", "text"), F.lit(5)))
+    event = lambda kind, t: F.array(F.struct(F.lit(kind).alias("kind"), t.alias("text")))
+    text, empty = F.col("text"), F.lit("")
+    draft = F.concat(F.lit("draft: "), F.left(text, F.lit(2 * DELTA)))
+    events = (
+        F.when(F.col("way") == 0, event("message", text))
+        .when(F.col("way") == 1, F.concat(event("message", empty), _deltas(text)))
+        .when(F.col("way") == 2, F.concat(event("message", draft), event("edit", text)))
+        .when(F.col("way") == 3, F.concat(event("message", empty), _deltas(draft), event("regenerate", empty), _deltas(text)))
+        .otherwise(F.concat(event("message", draft), event("delete", empty), event("message", text)))
+    )
+    step = F.posexplode(events).alias("step", "event")
+    log = c.select("conv_id", "turn", "role", "nth", step)
+    return log.select("conv_id", "turn", (F.col("nth").cast("long") * 1000 + F.col("step")).alias("seq"), "event.kind", "role", "event.text")
+
+
 def _digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     rows, at, state = [], object(), None
 
