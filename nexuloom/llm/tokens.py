@@ -310,6 +310,24 @@ def slices(texts, most: int = 2_000_000) -> Iterator[tuple[int, int]]:
         yield lo, len(texts)
 
 
+#: Bytes of payload read at a time; a record longer than that is a read of its own.
+RUN_BYTES = 4 << 20
+
+
+def in_runs(f, offset: np.ndarray, length: np.ndarray, width: int) -> Iterator[tuple[int, np.ndarray]]:
+    """The place in ``offset`` and the ids of every record, in the order of the payload: neighbouring records come with
+    one read, cut by what the index says of each."""
+    order = np.argsort(offset, kind="stable")
+    start, end = offset[order].astype(np.int64) * width, (offset + length)[order].astype(np.int64) * width
+    lo = 0
+    while lo < len(order):
+        hi = max(lo + 1, int(np.searchsorted(end, start[lo] + RUN_BYTES, side="right")))
+        run = f.read_at(int(end[lo:hi].max() - start[lo]), int(start[lo]))
+        for j in range(lo, hi):
+            yield int(order[j]), np.frombuffer(run, f"<u{width}", int(end[j] - start[j]) // width, int(start[j] - start[lo]))
+        lo = hi
+
+
 def read_records(manifest: DataFrame, folder: str) -> DataFrame:
     """Every record of every shard, found by its key through the index and read from the payload; a task a shard."""
 
@@ -325,8 +343,8 @@ def read_records(manifest: DataFrame, folder: str) -> DataFrame:
                         offset, length = index.find(k["id"], k["null"], k["nth"])
                         assert (offset >= 0).all(), "a key is missing from its index"
                         crc = np.zeros(len(k), np.int64)
-                        for i, (o, n) in enumerate(zip(offset.tolist(), length.tolist())):
-                            crc[i] = zlib.crc32(np.frombuffer(f.read_at(n * width, o * width), f"<u{width}").astype("<u4"))
+                        for i, ids in in_runs(f, offset, length, width):
+                            crc[i] = zlib.crc32(ids.astype("<u4"))
                         yield pd.DataFrame({"name": name, "nth": np.arange(lo, lo + len(k)), "doc_id": k["id"].astype(np.int64), "is_null": k["null"].astype(bool), "start": before + offset, "n_tokens": length, "ids_crc32": crc})
 
     order = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # one row a shard
