@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -23,6 +23,8 @@ from .common import n_words, numbered, running_total, stage, unused
 
 #: Slices of the virtual time up to 1, and per doubling beyond it.
 SLICES = 4096
+#: Copies that are sorted in one window at most, unless they tie in time.
+MOST_SORTED = 100_000
 
 
 def targets(per_source: DataFrame, weights: Sequence[float], max_copies: int, budget: float | None = None) -> DataFrame:
@@ -45,13 +47,41 @@ def targets(per_source: DataFrame, weights: Sequence[float], max_copies: int, bu
     return s.select("src", "source_size", "rank", "target")
 
 
+def virtual_time(e) -> Column:
+    """When a document of running total ``upto`` ends in pass ``e`` of its source; null where there is no target."""
+    return F.try_divide((e * F.col("source_size") + F.col("upto")).cast("double"), F.col("target"))
+
+
 def _slice(t):
     """Slices are ordered as the times are; their number is bounded whatever the times."""
     return F.when(t <= 1, F.ceil(t * SLICES)).otherwise(SLICES + 1 + F.floor(F.log2(t) * SLICES)).cast("long")
 
 
+def _cut(copies: DataFrame, total: float):
+    """The place (``t, rank, nth, e``) of the first copy that does not fit into ``total`` words, or None if all do.
+
+    The time is narrowed down by sums over slices, each time within the slice where the sum passes ``total``, until few
+    copies are left in it or all of them have one time; only those are sorted."""
+    inside, before, cell = copies, 0, _slice(F.col("t"))
+    for _ in range(8):  # a double has no more digits than that
+        sums = inside.groupBy(cell.alias("slice")).agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("rows"), F.min("t").alias("low"), F.max("t").alias("high"))
+        upto = F.sum("n").over(W.orderBy("slice").rowsBetween(W.unboundedPreceding, 0))
+        last = sums.withColumn("upto", upto + F.lit(before)).filter(F.col("upto") > total).orderBy("slice").limit(1).head()
+        if last is None:
+            return None
+        inside, before = inside.filter(cell == last["slice"]), last["upto"] - last["n"]
+        low, high = last["low"], last["high"]
+        if last["rows"] <= MOST_SORTED or not low < high:
+            break
+        cell = F.floor((F.col("t") - F.lit(low)) / F.lit(high - low) * SLICES)
+    w = W.orderBy("t", "rank", "nth", "e").rowsBetween(W.unboundedPreceding, 0)
+    ends = inside.withColumn("sum", F.sum("size").over(w) + F.lit(before))
+    return ends.filter(F.col("sum") > total).agg(F.min(F.struct("t", "rank", "nth", "e")).alias("c")).head()["c"]
+
+
 def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), max_copies: int = 3, budget: float | None = None, seed: int = 42, key: str | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row a document: ``doc_id, size, source_size, target, taken, copies`` (and ``key``, if such a column is named)."""
+    """One row a document: ``doc_id, size, source_size, target, taken, copies`` (and ``key, upto, rank,
+    nth``, if a key column is named: with them ``virtual_time`` gives the place of each copy in the mix)."""
     key_col = F.col(key) if key else F.lit(None).cast("long")  # any type that has an order
     base = stage(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("src"), n_words(F.col(text_col)).alias("size"), F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("h"), key_col.alias("key")), "mix-sizes", pack=False)
     t = targets(base.groupBy("src").agg(F.sum("size").alias("source_size")), weights, max_copies, budget)
@@ -62,36 +92,29 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), max_copies: int =
     j = ordered.join(t, ordered["src"].eqNullSafe(t["t_src"]) & (ordered["part"] == t["salt"]))
     j = stage(j.select("doc_id", "size", "key", "upto", "nth", "source_size", "rank", "target"), "mix-order")
 
-    time = lambda e: F.try_divide((e * F.col("source_size") + F.col("upto")).cast("double"), F.col("target"))  # noqa: E731  null where there is no target
     passes = F.coalesce(F.least(F.lit(max_copies), F.ceil(F.try_divide(F.col("target"), F.col("source_size").cast("double")))).cast("int"), F.lit(0))
-    copies = j.filter((F.col("size") > 0) & (F.col("target") > 0)).select("size", "source_size", "upto", "target", "rank", "nth", F.explode(F.sequence(F.lit(0), passes - 1)).alias("e")).withColumn("t", time(F.col("e")))
-    sums = copies.groupBy(_slice(F.col("t")).alias("slice")).agg(F.sum("size").alias("n"))
-    upto = F.sum("n").over(W.orderBy("slice").rowsBetween(W.unboundedPreceding, 0))
+    copies = j.filter((F.col("size") > 0) & (F.col("target") > 0)).select("size", "source_size", "upto", "target", "rank", "nth", F.explode(F.sequence(F.lit(0), passes - 1)).alias("e")).withColumn("t", virtual_time(F.col("e")))
     total = budget if budget is not None else j.agg(F.sum("size")).head()[0] or 0
-    last = sums.withColumn("upto", upto).filter(F.col("upto") > total).orderBy("slice").limit(1).head()
-    if last is None:  # the budget takes every pass
-        cut = None
-    else:
-        w = W.orderBy("t", "rank", "nth", "e").rowsBetween(W.unboundedPreceding, 0)
-        inside = copies.filter(_slice(F.col("t")) == last["slice"]).withColumn("sum", F.sum("size").over(w) + F.lit(last["upto"] - last["n"]))
-        cut = inside.filter(F.col("sum") > total).agg(F.min(F.struct("t", "rank", "nth", "e")).alias("c")).head()["c"]
+    cut = _cut(copies, total)
     count = F.lit(0)
     for e in range(max_copies):
         here = (F.lit(e) < passes) & (F.col("target") > 0) & (F.col("size") > 0)
         if cut is not None:
-            here = here & (F.struct(time(F.lit(e)).alias("t"), F.col("rank"), F.col("nth"), F.lit(e).alias("e")) < F.struct(F.lit(cut["t"]).alias("t"), F.lit(cut["rank"]).alias("rank"), F.lit(cut["nth"]).alias("nth"), F.lit(cut["e"]).alias("e")))
+            here = here & (F.struct(virtual_time(F.lit(e)).alias("t"), F.col("rank"), F.col("nth"), F.lit(e).alias("e")) < F.struct(F.lit(cut["t"]).alias("t"), F.lit(cut["rank"]).alias("rank"), F.lit(cut["nth"]).alias("nth"), F.lit(cut["e"]).alias("e")))
         count = count + F.when(F.coalesce(here, F.lit(False)), 1).otherwise(0)
-    out = j.select("doc_id", "size", "source_size", "target", (F.col("size") * count).cast("long").alias("taken"), count.alias("copies"), *(["key"] if key else []))
+    out = j.select("doc_id", "size", "source_size", "target", (F.col("size") * count).cast("long").alias("taken"), count.alias("copies"), *(["key", "upto", "rank", "nth"] if key else []))
     return out
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each document's row, all columns kept, as often as the mix takes it (not at all if never).
+    """The mix itself, in its order: each document's row, all columns kept, as often as the mix takes it (not at all if
+    never), range-sorted by virtual finish time, then source, place in the source and pass.
 
     Rows meet their counts by their place in the table, which no two rows share, so identical rows are kept apart and
     none is lost; copies are made after the join."""
     names = [f"`{c}`" for c in docs.columns]
     rows, row = numbered(docs)
-    key, copies, copy = (unused(c, rows) for c in ("__key", "__copies", "__copy"))
-    counts = mix(rows, key=row, **options).filter("copies > 0").select(F.col("key").alias(key), F.col("copies").alias(copies))
-    return rows.join(counts, F.col(row) == F.col(key)).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*names)
+    key, place = unused("__key", rows), unused("__place", rows)
+    times = F.transform(F.sequence(F.lit(0), F.col("copies") - 1), lambda e: F.struct(virtual_time(e).alias("t"), "rank", "nth", e.alias("e")))
+    places = mix(rows, key=row, **options).filter("copies > 0").select(F.col("key").alias(key), times.alias(place))
+    return rows.join(places, F.col(row) == F.col(key)).withColumn(place, F.explode(place)).orderBy(place).select(*names)

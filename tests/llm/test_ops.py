@@ -106,6 +106,16 @@ def test_mixed_documents(docs, rows, spark):
     assert {r["doc_id"]: r["n"] for r in d.groupBy("doc_id").agg(F.count("*").alias("n")).collect()} == {k: v for k, v in want.items() if v}
 
 
+def test_mix_comes_in_its_order(docs, spark, monkeypatch):
+    """The words of every prefix come near to the weights; a narrow cut is the same as one window's."""
+    wide = by_id(mixing.mix(docs))
+    monkeypatch.setattr(mixing, "MOST_SORTED", 3)
+    assert by_id(mixing.mix(docs)) == wide
+    kept = mixing.mix(docs.withColumn("row", F.monotonically_increasing_id()), key="row").filter("copies > 0").collect()
+    want = sorted(((e * r["source_size"] + r["upto"]) / r["target"], r["rank"], r["nth"], e, r["doc_id"]) for r in kept for e in range(r["copies"]))
+    assert [r["doc_id"] for r in mixing.mixed_documents(docs).select("doc_id").collect()] == [x[-1] for x in want]
+
+
 def test_mix_of_no_words(spark):
     d = spark.createDataFrame([(1, None, "a"), (2, "", None)], "doc_id long, text string, source string")
     assert [(r["size"], r["taken"], r["target"]) for r in mixing.mix(d).collect()] == [(0, 0, 0.0)] * 2
@@ -610,6 +620,18 @@ def test_copies_stay_together_and_huge_groups_are_split(spark):
     assert got.loc[2000:2399, "shard"].nunique() <= 3
 
 
+def test_many_copies_of_short_texts_are_cut_by_rows(spark):
+    """A third of all rows are one empty text: few bytes, many parts; hot and other copies are told from the rest."""
+    rows = [(i, f"{i} " + "x" * 90) for i in range(300)] + [(1000 + i, "") for i in range(200)] + [(2000 + i, f"pair {i // 2}") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sharding.shard(docs, shards=4, parts_a_shard=8).toPandas()
+    assert len(got) == 540 and got.groupby("shard")["size"].sum().agg(lambda s: s.max() - s.min()) < 200
+    groups = docs.groupBy(F.col("text").alias("gg")).agg(F.count("*").alias("n")).filter("n > 1")
+    linked, rest = sharding.linked_and_rest(docs.withColumnRenamed("text", "g"), groups, 20_000)
+    assert {r["doc_id"] for r in linked.collect()} == {d for d, _ in rows if d >= 1000}
+    assert {r["doc_id"] for r in rest.collect()} == set(range(300))
+
+
 def test_labels_against_plain_propagation(spark):
     """The same labels as a plain loop over the parts."""
     r = random.Random(4)
@@ -663,6 +685,24 @@ def test_chat(spark):
     assert chat.read_back(chat.format_log(chat.conversation_events(d.limit(0)))).count() == 0
 
 
+def test_a_streamed_log_says_what_the_messages_say(spark):
+    """Deltas, edits, regenerations and deletions fold to the finished messages; ties, nulls, repeats and other columns too."""
+    r = random.Random(5)
+    texts = [None, "", "x", "é<|im_end|>" * 90, "w " * 9000, "two\nlines"]
+    rows = [(c, t, r.choice(["user", "assistant", None]), r.choice(texts) if t % 3 else f"{c} {t} " * r.randint(1, 90), 1, "s", "k", 2) for c in range(12) for t in range(8)]
+    rows += rows[:9] + [(None, None, "user", "lost", 1, "s", "k", 2)] * 2 + [(1, None, "user", "a", 1, "s", "k", 2), (1, None, "user", "b", 1, "s", "k", 2)]
+    d = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, seq int, kind string, nth string, way int")
+    log = chat.streamed_events(d)
+    kinds = {x["kind"]: x["n"] for x in log.groupBy("kind").agg(F.count("*").alias("n")).collect()}
+    assert set(kinds) == {"message", "delta", "edit", "regenerate", "delete"} and kinds["delta"] > len(rows) / 5
+    turns = {}
+    for c, t, role, text, *_ in sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, x[1] is None, x[1] or 0, x[2] or "", x[3] or "")):
+        turns.setdefault(c, []).append((role or "", text or ""))
+    got = by_id(chat.read_back(chat.format_log(log)), "conv_id")
+    assert {c: tuple(x)[1:5] for c, x in got.items()} == {c: brute.chat_digest(t) for c, t in turns.items()}
+    assert chat.streamed_events(d.limit(0)).count() == 0
+
+
 def test_events_fold_into_messages(spark):
     e = [(1, 0, 0, "message", "user", "q"), (1, 1, 1, "message", "assistant", "a"), (1, 1, 2, "delta", "assistant", "b"), (1, 1, 3, "regenerate", "assistant", ""), (1, 1, 4, "delta", "assistant", "c"), (1, 1, 5, "delta", "assistant", "d"), (1, 2, 6, "message", "user", "x"), (1, 2, 7, "edit", "user", "y"), (1, 3, 8, "message", "user", "gone"), (1, 3, 9, "delete", "user", None), (1, 4, 10, "delta", "assistant", "late")]
     d = spark.createDataFrame(e, "conv_id long, turn long, seq long, kind string, role string, text string")
