@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..staging import grow, stage
+from ..staging import cached, grow, stage
 from .profile import Profile, Representation, effective_direction, lookup
 
 
@@ -263,3 +263,9 @@ def run(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, profile: Profile,
     kept, info = repair(keep(scored, floor, params), scored, floor, seeds, nodes, und, params)
     present, missing = seed_split(seeds, nodes)
     return ContextGraph(e, und, reach, scored, floor, kept, induced(e, kept, present), missing, info)
+
+
+def cached_kept(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, profile: Profile, params: Params = Params(), representation: Representation | None = None, folder: str | None = None) -> DataFrame:
+    """The kept nodes of ``run``, expanded once for each content of the tables, the profile and the parameters."""
+    parts = [asdict(profile), asdict(params), asdict(representation) if representation else None]
+    return cached(seeds.sparkSession, "kept", [seeds, nodes, edges], parts, lambda: run(seeds, nodes, edges, profile, params, representation).kept, folder)

@@ -164,6 +164,13 @@ def ctx_refilled(spark, sf):
     return _cols(_run(spark, sf).kept)
 
 
+def ctx_cached(spark, sf):
+    """The same, found by the digest of its inputs the second time."""
+    args = (seeds(spark, sf), nodes(spark, sf), edges(spark, sf), PROFILE, PARAMS, SAME)
+    context.cached_kept(*args)
+    return _cols(context.cached_kept(*args))
+
+
 def ctx_repair_info(spark, sf):
     i = _run(spark, sf).info
     return spark.range(1).select(F.lit(i["passes"]).alias("passes"), F.lit(i["converged"]).alias("converged"), F.lit(i["nodes_removed"]).alias("nodes_removed"))
@@ -387,4 +394,5 @@ ORACLES = {
     "graph_shortest_path_cost": sql(f"SELECT node, round(dist, 6) AS dist FROM p{_STEPS}", f"p{_STEPS}"),
     "graph_set_path": sql(f"SELECT (SELECT min(b.dist) FROM bfs b JOIN {_ENDS} s ON s.seed = b.source AND s.r <= 2 JOIN {_ENDS} t ON t.seed = b.node AND t.r > 2)::BIGINT AS distance, (SELECT round(min(p.dist), 6) FROM sp{_STEPS} p JOIN {_ENDS} t ON t.seed = p.node AND t.r > 2) AS cost", f"sp{_STEPS}"),
 }
-QUERIES = {f.__name__: f for f in (kg_degree, kg_degree_stats, kg_top_hubs, kg_edge_weights, kg_traversal_view, kg_filter_reasons, kg_filtered_edges, kg_kept_nodes, ctx_hop1, ctx_hop2_reach, ctx_repr_closure, ctx_hop_counts, ctx_scored, ctx_score_floor, ctx_kept, ctx_connected, ctx_refilled, ctx_repair_info, ctx_induced_edges, ctx_presence_ranks, ctx_provenance, ctx_missing_seeds, ctx_category_counts, graph_components, graph_seed_pairs, graph_distances, graph_simple_edges, graph_shortest_path_cost, graph_set_path, graph_set_path_steps)}
+QUERIES = {f.__name__: f for f in (kg_degree, kg_degree_stats, kg_top_hubs, kg_edge_weights, kg_traversal_view, kg_filter_reasons, kg_filtered_edges, kg_kept_nodes, ctx_hop1, ctx_hop2_reach, ctx_repr_closure, ctx_hop_counts, ctx_scored, ctx_score_floor, ctx_kept, ctx_connected, ctx_refilled, ctx_cached, ctx_repair_info, ctx_induced_edges, ctx_presence_ranks, ctx_provenance, ctx_missing_seeds, ctx_category_counts, graph_components, graph_seed_pairs, graph_distances, graph_simple_edges, graph_shortest_path_cost, graph_set_path, graph_set_path_steps)}
+ORACLES["ctx_cached"] = ORACLES["ctx_refilled"]

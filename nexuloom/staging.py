@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import hashlib
+import json
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL: list[str] = []
 
@@ -72,6 +75,49 @@ def drop_staged(spark: SparkSession) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def content_digest(df: DataFrame) -> str:
+    """What ``df`` holds, whatever the order of its rows: names, types, the number of rows and two sums of 64-bit hashes of
+    them. Null columns count by their place. One scan, summed before anything moves; columns of maps have no hash."""
+    each = [x for c in df.columns for x in (F.col(f"`{c}`"), F.col(f"`{c}`").isNull())]
+    sums = [F.sum(F.xxhash64(F.lit(seed), *each).cast("decimal(28,0)")) for seed in (1, 2)]
+    found = df.agg(F.count(F.lit(1)), *sums).head()
+    return hashlib.sha256(json.dumps([df.schema.json(), *map(str, found)]).encode()).hexdigest()
+
+
+def _folder(spark: SparkSession, path: str):
+    """The file system of ``path``, the path, and what lies in it."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs, p, list(fs.listStatus(p)) if fs.exists(p) else []
+
+
+def cached(spark: SparkSession, label: str, inputs: Sequence[DataFrame], parts: object, build: Callable[[], DataFrame], folder: str | None = None) -> DataFrame:
+    """What ``build`` makes of ``inputs`` and the parameters ``parts`` (anything JSON takes), made once for each content
+    of them. An entry is named by their digest and lies in ``folder`` (of the shared scratch folder if not given).
+
+    Each writer has a folder of its own inside the entry, which counts once Spark has left its success mark, so a lost
+    driver leaves nothing that is read, two writers do no harm, and no file is renamed."""
+    key = hashlib.sha256(json.dumps([label, parts, *map(content_digest, inputs)], sort_keys=True).encode()).hexdigest()
+    entry = f"{(folder or scratch(spark) + '/nexuloom-cache').rstrip('/')}/{label}-{key}"
+    fs, _, attempts = _folder(spark, entry)
+    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    done = sorted(str(a.getPath()) for a in attempts if fs.exists(hadoop_path(a.getPath(), "_SUCCESS")))
+    if done:
+        return spark.read.parquet(done[0])
+    made, path = build(), f"{entry}/{uuid.uuid4().hex}"
+    packed(made).write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true").parquet(path)
+    return spark.read.schema(made.schema).parquet(path)
+
+
+def evict(spark: SparkSession, keep: int, folder: str | None = None) -> int:
+    """Drops all but the ``keep`` entries of a cache that were made last; returns how many went."""
+    fs, _, entries = _folder(spark, folder or f"{scratch(spark)}/nexuloom-cache")
+    old = sorted(entries, key=lambda e: (e.getModificationTime(), str(e.getPath())), reverse=True)[keep:]
+    for e in old:
+        fs.delete(e.getPath(), True)
+    return len(old)
+
+
 def grow(start: DataFrame, step: Callable[[DataFrame], DataFrame], keys: list[str], label: str, most: int = 1000) -> DataFrame:
     """Semi-naive fixpoint: ``step`` maps the rows added last to candidate rows; those whose keys are new are added.
     Ends when nothing is added; an unfinished result is an error. Every round is staged."""

@@ -2,6 +2,7 @@
 
 import pytest
 
+from nexuloom import staging
 from nexuloom.operators import context, paths
 from nexuloom.operators.context import Params
 from nexuloom.operators.profile import Profile
@@ -120,3 +121,26 @@ def test_paths(spark):
     assert best["c"] == ["a", "b", "c"]
     p = spark.createDataFrame([(1, ["b", "a"])], "path_id int, path array<string>")
     assert paths.path_edges(p, simple).head()["forward"] is False
+
+
+def test_a_graph_is_expanded_once_for_each_content(g1, spark, monkeypatch, tmp_path):
+    seeds, nodes, edges = g1
+    calls, folder, run = [], f"file://{tmp_path}/cache", context.run
+    monkeypatch.setattr(context, "run", lambda *a: calls.append(a) or run(*a))
+    ask = lambda e=edges, params=Params(): {r["node"] for r in context.cached_kept(seeds, nodes, e, PROFILE, params, folder=folder).collect()}
+    first = ask()
+    assert first == {IDS["P"], IDS["M"]} and len(calls) == 1
+    assert ask() == first and ask(edges.repartition(3)) == first and len(calls) == 1  # read; the order of rows is no content
+    ask(params=Params(per_category_cap=1))
+    assert len(calls) == 2
+    for unfinished in tmp_path.glob("cache/*/*/_SUCCESS"):
+        unfinished.unlink()
+    assert ask() == first and len(calls) == 3
+    assert staging.evict(spark, 1, folder) == 1 and staging.evict(spark, 1, folder) == 0
+
+
+def test_digests_of_contents(spark):
+    make = lambda rows: staging.content_digest(spark.createDataFrame(rows, "a string, b string"))
+    tables = [[], [("x", None)], [(None, "x")], [("x", None)] * 2, [("x", "y"), ("z", None)], [("x", None), ("z", "y")], [(None, None)], [("", None)]]
+    assert len({make(t) for t in tables}) == len(tables)
+    assert make([("x", "y"), ("z", None)]) == make([("z", None), ("x", "y")])
