@@ -8,7 +8,7 @@ from xml.etree import ElementTree
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources import readers, writers
+from ..sources import readers, services, writers
 from ..staging import new_path
 from .kg import table
 
@@ -126,6 +126,20 @@ def provider_answers(spark, sf):
     return readers.with_provider(names, replies, ["term"]).select("term", F.coalesce("answer", F.lit("(none)")).alias("answer"))
 
 
+def _spelt(question: str) -> str | None:
+    """A service that cannot be reached for names from a to g and has no answer from h to m."""
+    if question[:1] < "h":
+        raise OSError(question)
+    return question.upper() if question[:1] > "m" else None
+
+
+def service_answers(spark, sf):
+    """The name of every part, each name asked once, by calls from the tasks."""
+    names = table(spark, sf, "part").select(F.col("p_partkey").alias("key"), F.col("p_name").alias("prompt"))
+    answers = services.Service(_spelt, new_path(spark, "replies"), wait=0.0)(names)
+    return answers.select("key", F.coalesce("reply", F.lit("(none)")).alias("reply"))
+
+
 def literal_list(spark, sf):
     """A list of parameters as a relation."""
     wanted = readers.literal(spark, [("1-URGENT", 2), ("5-LOW", 1), ("unheard of", 9)], "o_orderpriority string, weight int")
@@ -215,6 +229,7 @@ ORACLES = {
     "discover_runs": _RUNS.format(""),
     "file_digests": _RUNS.format(", sha256('run of ' || r_name || chr(10)) AS sha256"),
     "page_batches": "SELECT host, (n // 4) AS batch, string_agg(page_id::VARCHAR, ',' ORDER BY page_id) AS pages FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY page_id) - 1 AS n FROM (SELECT regexp_extract(url, '^https?://([^/]+)', 1) AS host, page_id FROM pages)) GROUP BY 1, 2",
+    "service_answers": "SELECT p_partkey AS key, CASE WHEN substr(p_name, 1, 1) > 'm' THEN upper(p_name) ELSE '(none)' END AS reply FROM part",
     "provider_answers": "SELECT p_name AS term, coalesce(min(p_brand) FILTER (WHERE p_size > 30), '(none)') AS answer FROM part GROUP BY 1",
     "literal_list": "SELECT o_orderpriority, CASE o_orderpriority WHEN '1-URGENT' THEN 2 ELSE 1 END AS weight, count(*) AS n FROM orders WHERE o_orderpriority IN ('1-URGENT', '5-LOW') GROUP BY 1",
     "edge_counts_stats": "SELECT o_orderstatus AS predicate, count(*) + 1000000 AS n FROM orders GROUP BY 1",
@@ -225,4 +240,4 @@ ORACLES = {
     "report_tables": "WITH l AS (SELECT 0 AS o, '# Regions' AS value UNION ALL SELECT 1, '## all' UNION ALL SELECT 2, '| r_regionkey | r_name |' UNION ALL SELECT 3, '|---|---|' UNION ALL SELECT 4 + r_regionkey, '| ' || r_regionkey || ' | ' || r_name || ' |' FROM region UNION ALL SELECT 1000, '<h1>Regions</h1>' UNION ALL SELECT 1001, '<h2>all</h2>') SELECT row_number() OVER (ORDER BY o) - 1 AS line, value FROM l",
     "profile_layouts": "SELECT 'predicate' AS kind, n_name AS name, round(greatest(n_nationkey / 50, 0.5::DOUBLE - n_nationkey / 50), 6) AS weight FROM nation UNION ALL SELECT 'branch', n_name, round(n_nationkey / 50, 6) FROM nation UNION ALL SELECT 'source', 'x', 1.0 UNION ALL SELECT 'factor', 'off', 1.0",
 }
-QUERIES = {f.__name__: f for f in (scan_all, scan_columns, jsonl_lines, jsonl_broken, json_documents, ontology_classes, csv_round_trip, workbook_sheets, log_first_matches, discover_runs, file_digests, page_batches, provider_answers, literal_list, edge_counts_stats, edge_counts_table, parquet_round_trip, json_export, graphml_export, report_tables, profile_layouts)}
+QUERIES = {f.__name__: f for f in (scan_all, scan_columns, jsonl_lines, jsonl_broken, json_documents, ontology_classes, csv_round_trip, workbook_sheets, log_first_matches, discover_runs, file_digests, page_batches, provider_answers, service_answers, literal_list, edge_counts_stats, edge_counts_table, parquet_round_trip, json_export, graphml_export, report_tables, profile_layouts)}

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars, text
-from ..operators import evaluate, relational, retrieval
+from ..operators import evaluate, postings, relational, retrieval
 from .kg import table
 
 
@@ -24,6 +24,12 @@ def bm25_search(spark, sf):
     return r.select("query", "doc", F.round("score", 6).alias("score"))
 
 
+def bm25_indexed(spark, sf):
+    """The same from posting blocks on disk, scored where their bounds reach the tenth score."""
+    r = postings.Index.over(_docs(spark, sf)).search(_items(spark, sf), 10)
+    return r.select("query", "doc", F.round("score", 6).alias("score"))
+
+
 def knn_exact(spark, sf):
     """Every vector whose id is divisible by 100 against all vectors."""
     e = table(spark, sf, "embeddings")
@@ -277,4 +283,5 @@ ORACLES = {
     "usable_names": r"SELECT doc_id AS doc, length(trim(text)) <= 60 AND trim(text) <> '' AND len(regexp_split_to_array(trim(text), '\s+')) BETWEEN 1 AND 6 AS usable FROM documents",
     "class_names": f"WITH p AS (SELECT p_partkey, p_name || ' RNA ' || p_brand AS n, p_partkey * 1.2345::DOUBLE AS x FROM part) SELECT p_partkey, 'biolink:' || list_reduce(list_transform(string_split(n, ' '), lambda w: upper(w[1]) || w[2:]), lambda a, b: a || b) AS camel, lower(regexp_replace(n, '[\\s_\\-]', '', 'g')) AS key, regexp_replace(regexp_replace(lower(n), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS slug, CASE WHEN x = 0 THEN 0 ELSE round(x * power(10.0, 2 - floor(log10(abs(x))))) / power(10.0, 2 - floor(log10(abs(x)))) END AS significant FROM p",
 }
-QUERIES = {f.__name__: f for f in (bm25_search, knn_exact, knn_label_exemplar, rrf_fusion, lexical_lookup, name_categories, candidate_merge, canonicalize, local_lookup, decide_candidates, stratified_sample, fuzzy_gold_match, gold_scores, gold_linking, gold_precision, creativity_candidates, privacy_filter, sanitize_text, verdict_parse, choice_parse, verdict_recover, existence_gate, doc_counts, sentence_counts, page_tag_strip, token_sets, usable_names, class_names)}
+ORACLES["bm25_indexed"] = ORACLES["bm25_search"]
+QUERIES = {f.__name__: f for f in (bm25_search, bm25_indexed, knn_exact, knn_label_exemplar, rrf_fusion, lexical_lookup, name_categories, candidate_merge, canonicalize, local_lookup, decide_candidates, stratified_sample, fuzzy_gold_match, gold_scores, gold_linking, gold_precision, creativity_candidates, privacy_filter, sanitize_text, verdict_parse, choice_parse, verdict_recover, existence_gate, doc_counts, sentence_counts, page_tag_strip, token_sets, usable_names, class_names)}
