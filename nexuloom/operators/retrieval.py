@@ -148,10 +148,21 @@ def surface_table(classes: DataFrame, exemplars: DataFrame | None = None) -> Dat
     return s.groupBy("surface", "class").agg(F.min("order").alias("order"))
 
 
+def best_by_key(queries: DataFrame, table: DataFrame, key: str, order: list[Column | str], k: int) -> DataFrame:
+    """``query`` and ``key`` against the rows of ``table`` with that key -> the first ``k`` in ``order`` of each query, with ``rank``.
+
+    Only a key's first k rows can be among those of a query, so they are found once a key, however many queries have it.
+    Queries of one key are dealt to several tasks and put in order where all rows of a query are."""
+    rest = [c for c in table.columns if c != key]
+    best = stage(top_k(table, [key], order, k).groupBy(key).agg(F.collect_list(F.struct(*rest)).alias("__best")), "best")
+    j = split_join(queries.select("query", key), best, key).select("query", "__best").repartition("query")
+    return top_k(j.select("query", F.explode("__best").alias("__b")).select("query", "__b.*"), ["query"], order, k, "rank")
+
+
 def lexical(queries: DataFrame, table: DataFrame, k: int) -> DataFrame:
     """Ranked classes of an exact surface match."""
-    j = queries.select("query", F.lower(F.trim("text")).alias("surface")).join(table, "surface")
-    return top_k(j, ["query"], ["order", "class"], k, "rank").select("query", "class", "rank")
+    q = queries.select("query", F.lower(F.trim("text")).alias("surface"))
+    return best_by_key(q, table, "surface", ["order", "class"], k).select("query", "class", "rank")
 
 
 def name_counts(nodes: DataFrame, details: DataFrame | None = None) -> DataFrame:
@@ -164,7 +175,8 @@ def name_counts(nodes: DataFrame, details: DataFrame | None = None) -> DataFrame
 
 def by_name(queries: DataFrame, counts: DataFrame, k: int = 5) -> DataFrame:
     """Categories of the nodes of that name, most frequent first."""
-    return top_k(queries.select("query", F.lower("text").alias("name_lc")).join(counts, "name_lc"), ["query"], [F.desc("n"), "category"], k, "rank").select("query", F.col("category").alias("class"), "n", "rank")
+    q = queries.select("query", F.lower("text").alias("name_lc"))
+    return best_by_key(q, counts, "name_lc", [F.desc("n"), "category"], k).select("query", F.col("category").alias("class"), "n", "rank")
 
 
 def fuse(legs: DataFrame, k: int, constant: int = 60) -> DataFrame:

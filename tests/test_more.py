@@ -250,3 +250,18 @@ def test_neighbours_by_pivots(spark):
     assert len(few) == 30 and all(p["count"] == 3 for p in few)
     assert retrieval.nearest(v.limit(0), q, 10).count() == 0
     assert "NestedLoop" not in retrieval.nearest(v, q, 10)._jdf.queryExecution().toString()
+
+
+def test_ranked_lookup_limits_each_key_once(spark):
+    """Queries that share a key meet its first rows only; a query that stands twice is ranked over all its rows."""
+    t = spark.createDataFrame([("a", f"c{i}", i % 7) for i in range(50)] + [("b", "z", 0), (None, "n", 0)], "surface string, class string, order int")
+    q = spark.createDataFrame([(i, " A") for i in range(300)] + [(300, "b"), (300, "a"), (301, "none"), (302, None)], "query long, text string")
+    found = retrieval.lexical(q, t, 5)
+    got = sorted((r["query"], r["rank"], r["class"]) for r in found.collect())
+    first = sorted((o, c) for s, c, o in [("a", f"c{i}", i % 7) for i in range(50)])
+    want = [(i, k + 1, c) for i in range(300) for k, (_, c) in enumerate(first[:5])]
+    want += [(300, k + 1, c) for k, (_, c) in enumerate(sorted([*first, (0, "z")])[:5])]
+    assert got == sorted(want)
+    keyed = retrieval.best_by_key(q.select("query", F.lower(F.trim("text")).alias("surface")), t, "surface", ["order", "class"], 5)
+    plan = keyed._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode(__best") < plan.index("Join Inner"), plan  # rows are multiplied behind the join, by k at most
