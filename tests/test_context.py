@@ -144,3 +144,29 @@ def test_digests_of_contents(spark):
     tables = [[], [("x", None)], [(None, "x")], [("x", None)] * 2, [("x", "y"), ("z", None)], [("x", None), ("z", "y")], [(None, None)], [("", None)]]
     assert len({make(t) for t in tables}) == len(tables)
     assert make([("x", "y"), ("z", None)]) == make([("z", None), ("x", "y")])
+
+
+def test_only_what_is_reached_is_staged(spark, monkeypatch):
+    """Edges far from the seeds are scanned, never written: what is staged follows the reach, not the graph."""
+    far = [(f"f{i}", f"g{i % 700}") for i in range(3000)]
+    close = [("S", "K"), ("S", "K2"), ("K", "L"), ("K2", "L2"), ("L", "f0")]
+    nodes = spark.createDataFrame([(n, n, "c") for n in sorted({x for e in far + close for x in e})], "id string, name string, category string")
+    edges = spark.createDataFrame([(a, "p", b, "s", "l") for a, b in far + close], "subject string, predicate string, object string, source string, level string")
+    seeds = spark.createDataFrame([("S", 1.0), ("none", 1.0)], "seed string, seed_weight double")
+    rows, own = {}, context.stage
+
+    def counted(df, label, *more):
+        out = own(df, label, *more)
+        rows[label] = max(rows.get(label, 0), out.count())
+        return out
+
+    monkeypatch.setattr(context, "stage", counted)
+    args = (seeds, nodes, edges, Profile(predicates={"p": 1.0}), Params(score_floor_percentile=0))
+    g = context.run(*args)
+    assert max(rows.values()) < 20, rows
+    assert {(r["node"], r["hop"], r["degree"]) for r in g.kept.collect()} == {("K", 1, 2), ("K2", 1, 2), ("L", 2, 2), ("L2", 2, 1)}
+    assert {r["seed"] for r in g.missing_seeds.collect()} == {"none"}
+    stored = context.run(*args, deg=context.degrees(edges))  # a table of degrees gives the same
+    assert sorted(g.scored.collect()) == sorted(stored.scored.collect()) and sorted(g.kept.collect()) == sorted(stored.kept.collect())
+    some = spark.createDataFrame([("L",), ("L",), ("g1",), ("x",)], "node string")
+    assert {tuple(r) for r in context.degrees(edges, some).collect()} == {("L", 2), ("g1", 5)}
