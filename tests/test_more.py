@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from nexuloom.functions import text
-from nexuloom.operators import agent, context, package, paths, relational, retrieval
+from nexuloom.operators import agent, build, context, package, paths, relational, retrieval
 from nexuloom.plans import search
 from nexuloom.sources import readers, writers
 from nexuloom.staging import grow, input_bytes, packed
@@ -265,3 +265,23 @@ def test_ranked_lookup_limits_each_key_once(spark):
     keyed = retrieval.best_by_key(q.select("query", F.lower(F.trim("text")).alias("surface")), t, "surface", ["order", "class"], 5)
     plan = keyed._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Generate explode(__best") < plan.index("Join Inner"), plan  # rows are multiplied behind the join, by k at most
+
+
+def test_builds_move_neither_long_texts_nor_predicates(spark):
+    from nexuloom.plans import building
+
+    sf = "/root/testdata/sf0.001"
+    t = building._built(spark, sf)
+    plan = t.edges._jdf.queryExecution().executedPlan().toString()
+    assert "Join [predicate" in plan and "SortMergeJoin [predicate" not in plan, plan  # two predicates would be two tasks
+    d = building.extra_details(spark, sf)
+    join = next(x for x in d._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join LeftSemi" in x)
+    plan = d._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index(join) < plan.index("md5("), plan  # digests are made below the join
+    n = spark.createDataFrame([("a", "x" * 3000, None, ["s"] * 40, None), ("b", None, "i", None, ["p"] * 120), ("c", "y", None, None, None)], "id string, description string, iri string, all_names array<string>, publications array<string>")
+    e = spark.createDataFrame([], "subject string, object string, predicate string, publications array<string>")
+    ids, predicates = spark.createDataFrame([("a",), ("b",)], "id string"), spark.createDataFrame([("p",)], "predicate string")
+    got = {r["id"]: (len(r["description"]), r["iri"], len(r["synonyms"]), len(r["publications"])) for r in build.extras(n, e, ids, predicates)[0].collect()}
+    assert got == {"a": (2000, "", 30, 0), "b": (0, "i", 0, 100)}
+    some = build.extras(n, e, ids, predicates, [F.length("description").alias("n")])[0]
+    assert {tuple(r) for r in some.collect()} == {("a", 2000), ("b", 0)}
