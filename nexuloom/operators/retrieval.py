@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import ROUND_HALF_UP, Decimal
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -36,8 +38,9 @@ def squared_distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)), F.lit(0.0), lambda acc, x: acc + x)
 
 
-#: Cells of the vectors at most: their centres go to every task.
-MOST_PIVOTS = 256
+#: Cells of the vectors at most: their centres go to every task. Vectors of a piece of a cell, and bytes of the queries of a
+#: chunk, that one group takes.
+MOST_PIVOTS, PIECE, CHUNK_BYTES = 256, 8192, 16 << 20
 
 
 class Cells:
@@ -80,7 +83,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, most_pivots: int = M
 
     Vectors are dealt to the cells of pivots (the square root of their number). A query first meets the cells next to it
     that hold k vectors; its k-th distance so far then leaves out cells by the triangle inequality, and vectors in the
-    others by their distance to the pivot. Queries meet cells by equi-joins, in which a cell of very many vectors is split.
+    others by their distance to the pivot. Queries meet cells by their number; a cell of very many vectors is cut into pieces,
+    very many queries into chunks. A group's distances are bounded by one product of matrices, those that may be among the
+    k least are computed exactly, and the k least of the group go on.
     ``report``, if given, gets the numbers of distances computed and of all pairs."""
     held = stage(vectors.select("id", "embedding").filter(F.col("embedding").isNotNull()), "vectors", pack=False)
     n = held.count()
@@ -117,11 +122,18 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, most_pivots: int = M
 
     ddl = f"query {kinds['query']}, q {kinds['q']}, near int, to double, reach double"
 
+    pieces = F.element_at(F.array(*[F.lit(int(-(-m // PIECE)) or 1) for m in cells.n]), F.col("near") + 1) if n else F.lit(1)
+    chunks = -(-(asked.count() * width * 8) // CHUNK_BYTES) or 1
+    keys = ["near", "piece", "chunk"]
+
     def met(visited):
-        pairs = split_join(dealt.withColumnRenamed("cell", "near"), visited, "near").filter(F.abs(F.col("to") - F.col("away")) <= F.col("reach"))
+        own = dealt.withColumnRenamed("cell", "near")
         if report is not None:
+            pairs = split_join(own, visited, "near").filter(F.abs(F.col("to") - F.col("away")) <= F.col("reach"))
             report["pairs"] = report.get("pairs", 0) + pairs.count()
-        return pairs.select("query", "id", F.round(squared_distance(F.col("embedding"), F.col("q")), 6).alias("dist"))
+        own = own.withColumn("piece", F.pmod(F.xxhash64("id"), pieces).cast("int")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+        asking = visited.withColumn("chunk", F.pmod(F.xxhash64("query"), F.lit(chunks)).cast("int")).withColumn("piece", F.explode(F.sequence(F.lit(0), pieces - 1)))
+        return asking.groupBy(*keys).cogroup(own.groupBy(*keys)).applyInPandas(_nearest_of(k), f"query {kinds['query']}, id {named['id']}, dist double")
 
     if not n:
         return asked.limit(0).select("query", F.lit(None).cast(named["id"]).alias("id"), F.lit(0.0).alias("dist"), F.lit(0).alias("rank"))
@@ -133,6 +145,47 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, most_pivots: int = M
     return top_k(one.unionByName(two), ["query"], ["dist", "id"], k, "rank")
 
 
+def rounded(v: np.ndarray, digits: int = 6) -> np.ndarray:
+    """As Spark's ``round``: half up on the shortest decimal."""
+    at = v * 10.0**digits
+    out = np.rint(at) / 10.0**digits
+    for i in np.flatnonzero((np.abs(at - np.floor(at) - 0.5) < 1e-3) | (v > 1e6)):
+        out[i] = float(Decimal(repr(float(v[i]))).quantize(Decimal(1).scaleb(-digits), ROUND_HALF_UP))
+    return out
+
+
+def _nearest_of(k: int, cells_at_once: int = 2_000_000, pairs_at_once: int = 100_000):
+    """Of a group of queries and vectors: for each query its k nearest vectors within its reach, ties by id."""
+
+    def run(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({"query": asked["query"][:0], "id": held["id"][:0], "dist": np.zeros(0)})
+        if not len(asked) or not len(held):
+            return none
+        x, away = np.stack(held["embedding"].to_list()).astype(np.float64), held["away"].to_numpy()
+        place = np.unique(held["id"].to_numpy(), return_inverse=True)[1]
+        xx, out, step = (x**2).sum(axis=1), [none], max(1, cells_at_once // len(x))
+        for lo in range(0, len(asked), step):
+            part = asked.iloc[lo : lo + step]
+            q, reach = np.stack(part["q"].to_list()).astype(np.float64), part["reach"].to_numpy()
+            qq = (q**2).sum(axis=1)
+            d = qq[:, None] + xx - 2 * q @ x.T
+            slack = 1e-9 * (qq + xx.max()) + 2e-6
+            d[~(np.abs(part["to"].to_numpy()[:, None] - away) <= reach[:, None])] = np.inf
+            most = np.partition(d, k - 1, axis=1)[:, k - 1] if len(x) > k else np.full(len(q), np.inf)
+            i, j = np.nonzero((d <= np.minimum(most, reach**2)[:, None] + slack[:, None]) & (d < np.inf))
+            exact = [np.cumsum((x[j[a : a + pairs_at_once]] - q[i[a : a + pairs_at_once]]) ** 2, axis=1)[:, -1] for a in range(0, len(i), pairs_at_once)]
+            dist = rounded(np.concatenate([np.zeros(0), *exact]))
+            order = np.lexsort((place[j], dist, i))
+            i, j, dist = i[order], j[order], dist[order]
+            first = np.flatnonzero(np.r_[True, i[1:] != i[:-1]][: len(i)])
+            nth = np.arange(len(i)) - np.repeat(first, np.diff(np.r_[first, len(i)]))
+            keep = nth < k
+            out.append(pd.DataFrame({"query": part["query"].to_numpy()[i[keep]], "id": held["id"].to_numpy()[j[keep]], "dist": dist[keep]}))
+        return pd.concat(out, ignore_index=True)
+
+    return run
+
+
 def classes_by_best(hits: DataFrame, k: int) -> DataFrame:
     """``query, class, rank`` of exemplars -> classes in the order of their best exemplar."""
     best = hits.groupBy("query", "class").agg(F.min("rank").alias("best"))

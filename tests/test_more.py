@@ -285,3 +285,24 @@ def test_builds_move_neither_long_texts_nor_predicates(spark):
     assert got == {"a": (2000, "", 30, 0), "b": (0, "i", 0, 100)}
     some = build.extras(n, e, ids, predicates, [F.length("description").alias("n")])[0]
     assert {tuple(r) for r in some.collect()} == {("a", 2000), ("b", 0)}
+
+
+def test_neighbours_in_pieces_and_chunks(spark, monkeypatch):
+    """A cell cut into pieces, queries in chunks, many ties: the same as every distance; no pair is a row of a join."""
+    monkeypatch.setattr(retrieval, "PIECE", 50)
+    monkeypatch.setattr(retrieval, "CHUNK_BYTES", 16 * 8 * 10)
+    r = np.random.default_rng(5)
+    x = r.normal(0, 1, (600, 16)).astype(np.float32)
+    x[200:500] = x[7]
+    v = spark.createDataFrame([(i, y.tolist()) for i, y in enumerate(x)], "id long, embedding array<float>")
+    q = v.filter("id % 25 = 0").withColumnRenamed("id", "query")
+    found = retrieval.nearest(v, q, 10, most_pivots=3)
+    got = sorted((p["query"], p["rank"], p["id"], p["dist"]) for p in found.collect())
+    want, z = [], x.astype(float)
+    for i in range(0, 600, 25):
+        d = np.round(((z - z[i]) ** 2).sum(axis=1), 6)
+        want += [(i, n + 1, int(j), float(d[j])) for n, j in enumerate(np.lexsort((np.arange(600), d))[:10])]
+    assert got == sorted(want)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroups" in plan and "zip_with" not in plan, plan
+    assert retrieval.rounded(np.array([0.0000005, 1.0000025, 2.1234564, 0.0])).tolist() == [0.000001, 1.000003, 2.123456, 0.0]
