@@ -16,11 +16,60 @@ from ..staging import stage
 from .relational import draw_key, split_join, top_k
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
+#: Query tokens that are sent to all tasks at most.
+MOST_ASKED = 100_000
+
+
+def _scored_batches(asked, k: int, k1: float, b: float, cells_at_once: int = 2_000_000):
+    """Batches of ``doc, len, t`` -> ``query, doc, score``: the k best documents of a batch for each query, ties by doc.
+    ``asked``: an Arrow table ``query, term, idf, avg_len``."""
+
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        if not len(asked):
+            return
+        coded = lambda c: pa.concat_arrays(asked[c].chunks).dictionary_encode("encode")
+        query, term = coded("query"), coded("term")
+        of, order = term.indices.to_numpy(), np.argsort(term.indices.to_numpy(), kind="stable")
+        ptr = np.r_[0, np.cumsum(np.bincount(of, minlength=len(term.dictionary)))]
+        to, idf, avg = query.indices.to_numpy()[order], asked["idf"].to_numpy()[order], asked["avg_len"][0].as_py()
+        n = len(query.dictionary)
+        for whole in batches:
+            for lo in range(0, len(whole), max(1, cells_at_once // n)):
+                batch = whole.slice(lo, max(1, cells_at_once // n))
+                lists, doc = batch.column(2), batch.column(0)
+                sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+                hit = pc.fill_null(pc.index_in(pc.list_flatten(lists), value_set=term.dictionary), -1).to_numpy()
+                at = np.repeat(np.arange(len(batch)), sizes)[hit >= 0]
+                hit = hit[hit >= 0]
+                many = ptr[hit + 1] - ptr[hit]
+                each = np.repeat(ptr[hit] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+                at = np.repeat(at, many)
+                length = pc.fill_null(batch.column(1), 0).to_numpy()[at]
+                gain = idf[each] * (k1 + 1) / (1 + k1 * (1 - b + b * length / avg))
+                score = np.bincount(at * n + to[each], weights=gain, minlength=len(batch) * n).reshape(-1, n)
+                least = np.partition(score, len(batch) - k, axis=0)[len(batch) - k] if len(batch) > k else np.zeros(n)
+                i, j = np.nonzero((score > 0) & (score >= least - 1e-8))
+                value, place = rounded(score[i, j], 9), np.empty(len(batch), np.int64)
+                place[pc.sort_indices(doc, null_placement="at_start").to_numpy()] = np.arange(len(batch))
+                first = np.lexsort((place[i], -value, j))
+                i, j, value = i[first], j[first], value[first]
+                edge = np.flatnonzero(np.r_[True, j[1:] != j[:-1]][: len(j)])
+                keep = np.arange(len(j)) - np.repeat(edge, np.diff(np.r_[edge, len(j)])) < k
+                yield pa.RecordBatch.from_arrays([query.dictionary.take(pa.array(j[keep])), doc.take(pa.array(i[keep])), pa.array(value[keep])], names=["query", "doc", "score"])
+
+    return run
+
+
+def bm25(docs: DataFrame, queries: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25, most_asked: int = MOST_ASKED) -> DataFrame:
     """``doc, text`` and ``query, text`` -> ``query, doc, score, rank``; scores above 0, ties by doc.
 
     Tokens are sets, so a term's frequency is 1 wherever it occurs. A negative idf is replaced by epsilon times the
-    mean idf. Postings meet query tokens by an equi-join; only matching postings are scored."""
+    mean idf. A list of up to ``MOST_ASKED`` query tokens goes to the documents: each batch of them is scored where it is
+    read and sends on the k best of each query. A longer one, or ids that several rows have (their scores are added),
+    meets postings by an equi-join; only matching postings are scored."""
     t = stage(docs.select("doc", tokens(F.col("text")).alias("t")).withColumn("len", F.size("t")), "tokens", pack=False)  # read three times
     corpus = t.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"))
     postings = t.select("doc", "len", F.explode("t").alias("term"))
@@ -29,6 +78,11 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, k1: float = 1.5, b: float
     mean = idf.agg(F.avg("raw").alias("mean_idf"))
     idf = idf.join(F.broadcast(mean)).select("term", "avg_len", F.when(F.col("raw") < 0, epsilon * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
     q = queries.select("query", F.explode(tokens(F.col("text"))).alias("term")).join(idf, "term")
+    q = stage(q.select("query", "term", "idf", "avg_len"), "asked")
+    if q.count() <= most_asked and t.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
+        asked, kinds = q.toArrow().combine_chunks(), {**dict(q.dtypes), **dict(t.dtypes)}
+        best = t.select("doc", "len", "t").mapInArrow(_scored_batches(asked, k, k1, b), f"query {kinds['query']}, doc {kinds['doc']}, score double")
+        return top_k(best, ["query"], [F.desc("score"), "doc"], k, "rank")
     tf = F.col("idf") * (k1 + 1) / (1 + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
     s = q.join(postings, "term").groupBy("query", "doc").agg(F.sum(tf).alias("score")).filter("score > 0").withColumn("score", F.round("score", 9))
     return top_k(s, ["query"], [F.desc("score"), "doc"], k, "rank")

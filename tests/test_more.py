@@ -306,3 +306,19 @@ def test_neighbours_in_pieces_and_chunks(spark, monkeypatch):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "FlatMapCoGroups" in plan and "zip_with" not in plan, plan
     assert retrieval.rounded(np.array([0.0000005, 1.0000025, 2.1234564, 0.0])).tolist() == [0.000001, 1.000003, 2.123456, 0.0]
+
+
+def test_bm25_scores_where_documents_are_read(spark):
+    """The same by batches and by joins: copies that tie, rows without text, ids of several rows, more queries than ``k``."""
+    rnd = random.Random(8)
+    words = [f"w{i}" for i in range(80)]
+    docs = [(i, " ".join(rnd.choices(words, k=rnd.choice((1, 6, 40))))) for i in range(400)] + [(1000 - i, "w1 w2 w3") for i in range(60)] + [(2000, None), (2001, ""), (None, "w5 w6")]
+    q = spark.createDataFrame([(i, " ".join(rnd.choices(words, k=5))) for i in range(12)] + [(50, "w1 w2 w3"), (51, "absent"), (52, None)], "query long, text string")
+    d = spark.createDataFrame(docs, "doc long, text string").repartition(3)
+    key = lambda r: sorted((p["query"], p["rank"], p["doc"] or -1, round(p["score"], 6)) for p in r.collect())
+    found = retrieval.bm25(d, q, 7)
+    assert key(found) == key(retrieval.bm25(d, q, 7, most_asked=0))
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    twice = d.unionByName(spark.createDataFrame([(3, "w1 w9"), (3, "w7")], "doc long, text string"))
+    assert key(retrieval.bm25(twice, q, 7)) == key(retrieval.bm25(twice, q, 7, most_asked=0))
+    assert retrieval.bm25(d, q.limit(0), 7).count() == 0 and retrieval.bm25(d.limit(0), q, 7).count() == 0
