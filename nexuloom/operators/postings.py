@@ -33,7 +33,16 @@ def posting_blocks(docs: DataFrame, k1: float = 1.5, b: float = 0.75, epsilon: f
     raw = df.withColumn("raw", F.log(F.col("docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw").alias("mean_idf"))
     idf = raw.join(F.broadcast(mean)).select("term", F.when(F.col("raw") < 0, epsilon * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
-    return split_join(rows, idf, "term").select("term", "block", "idf", F.greatest(F.col("idf") * F.col("top"), F.lit(0.0)).alias("most"), "n", "entries")
+    return _by_term(rows, stage(idf, "idf")).select("term", "block", "idf", F.greatest(F.col("idf") * F.col("top"), F.lit(0.0)).alias("most"), "n", "entries")
+
+
+#: Terms of a list that is broadcast at most.
+MOST_TERMS = 100_000
+
+
+def _by_term(many: DataFrame, few: DataFrame) -> DataFrame:
+    """Inner join by term; a short list is broadcast, so that rows with their entries stay where they are."""
+    return many.join(F.broadcast(few), "term") if few.count() <= MOST_TERMS else split_join(many, few, "term")
 
 
 class Index:
@@ -54,14 +63,16 @@ class Index:
         first; their k-th score is a floor, and of the others only blocks whose sum reaches it are scored. Bounds are
         read without the entries. ``report`` gets the postings scored and those that hold a term of the query."""
         asked = stage(queries.select("query", F.explode(tokens(F.col("text"))).alias("term")), "asked")
-        bounds = split_join(self.table.select("term", "block", "most", "n"), asked, "term")
+        bounds = _by_term(self.table.select("term", "block", "most", "n"), asked)
         reach = stage(bounds.groupBy("query", "block").agg(F.sum("most").alias("reach"), F.sum("n").alias("n")).filter("reach > 0"), "reach")
 
         def scored(blocks: DataFrame) -> DataFrame:
-            need = blocks.select("query", "block").join(asked, "query").join(self.table.select("term", "block", "idf", "entries"), ["term", "block"])
-            each = need.select("query", "idf", F.explode("entries").alias("e"))
-            s = each.groupBy("query", F.col("e.doc").alias("doc")).agg(F.round(F.sum(F.col("idf") * F.col("e.norm")), 9).alias("score"))
-            return s.filter("score > 0")
+            # entries move once, to their block, not once a query; a document lies in one block, so sums are made there
+            need = blocks.groupBy("block").agg(F.collect_set("query").alias("by"))
+            held = self.table.select("term", "block", "idf", "entries").join(asked.select("term").distinct(), "term", "left_semi").join(need, "block")
+            each = _by_term(held, asked).filter(F.array_contains("by", F.col("query"))).select("query", "block", "idf", F.explode("entries").alias("e"))
+            s = each.groupBy("query", "block", F.col("e.doc").alias("doc")).agg(F.round(F.sum(F.col("idf") * F.col("e.norm")), 9).alias("score"))
+            return s.filter("score > 0").drop("block")
 
         head = stage(top_k(reach, ["query"], [F.desc("reach"), "block"], FIRST, "place").select("query", "block", "n"), "head")
         one = stage(top_k(scored(head), ["query"], [F.desc("score"), "doc"], k, "place").select("query", "doc", "score"), "first")

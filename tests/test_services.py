@@ -1,6 +1,7 @@
 """Calls of a server that is busy, down or without an answer; the stored index against the plain search."""
 
 import random
+import re
 import threading
 import time
 from collections import Counter
@@ -102,3 +103,20 @@ def test_stored_index_like_the_plain_search(spark, tmp_path):
     assert postings.Index.over(d, b=0.5, folder=folder).search(q, 1).count() > 0 and len(list((tmp_path / "index").iterdir())) == 2
     empty = postings.Index.over(d.filter(F.lit(False)), folder=folder)
     assert empty.search(q, 3).count() == 0 and postings.Index.over(d, folder=folder).search(q.limit(0), 3).count() == 0
+
+
+def test_entries_move_once_for_all_queries(spark, tmp_path):
+    """Scores are summed where a block lies: entries are not shuffled again by query and document."""
+    d = spark.createDataFrame([(i, f"w{i % 7} w{i % 11} w{i % 13}") for i in range(700)], "doc long, text string")
+    q = spark.createDataFrame([(i, f"w{i} w{i + 1} w{i + 3}") for i in range(9)], "query long, text string")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for an index of any size
+    try:
+        found = postings.Index.over(d, folder=str(tmp_path / "index")).search(q, 5)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert "hashpartitioning(query" in plan and "hashpartitioning(block" in plan
+    assert not re.search(r"hashpartitioning\(query#\d+L?, (block#\d+L?, )?_groupingexpression", plan), plan
+    key = lambda rows: sorted((r["query"], r["rank"], r["doc"], round(r["score"], 6)) for r in rows)
+    assert key(found.collect()) == key(retrieval.bm25(d, q, 5).collect())
