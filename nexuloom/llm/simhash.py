@@ -174,9 +174,9 @@ def linked(fp: np.ndarray, group: np.ndarray, most: int, pairs_at_once: int = 40
     return root
 
 
-def near_pairs(fp: np.ndarray, second: np.ndarray, group: np.ndarray, label: np.ndarray, most: int, enough: int, reach: int, both: int, pairs_at_once: int = 4_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def near_pairs(fp: np.ndarray, second: np.ndarray, group: np.ndarray, label: np.ndarray, most: int, enough: int, reach: int, both: int, keep: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None, pairs_at_once: int = 4_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs of places of one group and two labels that differ in at most ``most`` bits, or in at most ``reach`` and, with
-    the bits of the second fingerprints, ``both``; and the groups not gone through.
+    the bits of the second fingerprints, ``both``; and the groups not gone through. What ``keep`` refuses is no pair.
 
     A member that has ``enough`` pairs takes no more of them; its group is then among the last, to be asked again with
     the labels that the pairs gave."""
@@ -208,6 +208,9 @@ def near_pairs(fp: np.ndarray, second: np.ndarray, group: np.ndarray, label: np.
             bits = np.bitwise_count(fp[i] ^ fp[j])
             near = (bits <= most) | (bits + np.bitwise_count(second[i] ^ second[j]) <= both)
             i, j = i[near], j[near]
+            if keep is not None:
+                near = keep(i, j)
+                i, j = i[near], j[near]
             free = (count[i] + _nth(i) < enough) & (count[j] + _nth(j) < enough)
             unfinished.append(np.unique(group[i[~free]]))
             i, j = i[free], j[free]
@@ -259,18 +262,33 @@ def _bucket_links(most: int):
     return _by_bucket(close)
 
 
-def _bucket_pairs(most: int, enough: int, reach: int, both: int, masks: list[int]):
-    """Each pair in the first of the buckets it shares; a bucket not gone through is a row without a pair."""
+def _bucket_pairs(most: int, enough: int, reach: int, both: int, masks: list[int], least: float):
+    """Each pair in the first of the buckets it shares; a bucket not gone through is a row without a pair. Rows with a
+    ``sketch`` are paired only where those leave a similarity of ``least`` possible, and only such pairs are counted."""
     masks = np.array(masks, np.uint64)
 
     def close(held: list[pd.DataFrame]) -> pd.DataFrame:
         d, fp, group = _grouped(held)
         block, bucket, key = (d[c].to_numpy() for c in ("block", "bucket", "key"))
-        i, j, rest = near_pairs(fp, d["second"].to_numpy().view(np.uint64), group, d["label"].to_numpy(), most, enough, reach, both)
-        own = np.ones(len(i), bool)
-        for k, m in enumerate(masks):
-            own &= (block[i] % len(masks) <= k) | ((fp[i] ^ fp[j]) & m != 0)
-        i, j = i[own], j[own]
+
+        def own(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            out = np.ones(len(i), bool)
+            for k, m in enumerate(masks):
+                out &= (block[i] % len(masks) <= k) | ((fp[i] ^ fp[j]) & m != 0)
+            return out
+
+        keep = None
+        if "sketch" in d:
+            possible = _possible(d["sketch"], d["size"], least)
+
+            def keep(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+                out = own(i, j)
+                out[out] = possible(i[out], j[out])
+                return out
+
+        i, j, rest = near_pairs(fp, d["second"].to_numpy().view(np.uint64), group, d["label"].to_numpy(), most, enough, reach, both, keep)
+        mine = own(i, j)
+        i, j = i[mine], j[mine]
         at = np.searchsorted(group, rest)
         pairs = pd.DataFrame({"u": np.minimum(key[i], key[j]), "v": np.maximum(key[i], key[j]), "block": block[i], "bucket": bucket[i], "tested": True})
         return pd.concat([pairs, pd.DataFrame({"u": 0, "v": 0, "block": block[at], "bucket": bucket[at], "tested": False})])
@@ -278,19 +296,69 @@ def _bucket_pairs(most: int, enough: int, reach: int, both: int, masks: list[int
     return _by_bucket(close)
 
 
+#: Bits of a sketch an element of its set, and the most bits of one.
+SKETCH_BITS, MOST_SKETCH_BITS = 16, 1 << 15
+
+
+def sketch(elements: np.ndarray) -> bytes:
+    """Bit c: the parity of the number of elements that are c modulo the number of bits. Two sketches differ in no more
+    bits than their sets in elements, whatever these have in common."""
+    bits = min(MOST_SKETCH_BITS, max(512, 1 << int(SKETCH_BITS * len(elements) - 1).bit_length()))
+    odd = np.bincount((elements.astype(np.int64) & (bits - 1)), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        yield pd.DataFrame({"key": b["key"].to_numpy(), "sketch": [sketch(np.asarray(x)) for x in b["set"]], "size": [len(x) for x in b["set"]]})
+
+
+def _possible(sketches: pd.Series, sizes: pd.Series, least: float, words_at_once: int = 1 << 21):
+    """Whether the sets of places i and j may have a Jaccard similarity of ``least``. Their sketches and sizes give
+    the fewest elements that only one of them has, so none that has it is refused; one without a sketch may be anything."""
+    none = sketches.isna().to_numpy()
+    held = [b"" if no else x for x, no in zip(sketches, none)]
+    width = np.fromiter((len(x) // 8 for x in held), np.int64, len(held))
+    start, flat = np.cumsum(width) - width, np.frombuffer(b"".join(held), "<u8")
+    size = sizes.fillna(0).to_numpy().astype(np.int64)
+
+    def folded(at: np.ndarray, w: int, to: int) -> np.ndarray:
+        return np.bitwise_xor.reduce(flat[start[at][:, None] + np.arange(w)].reshape(len(at), w // to, to), axis=1)
+
+    def run(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        total, apart = size[i] + size[j], np.abs(size[i] - size[j])
+        fits = lambda x: (total - x) / 2 >= least * (total - (total - x) / 2)
+        ok = none[i] | none[j] | fits(apart)
+        ask = np.flatnonzero(ok & ~none[i] & ~none[j])
+        kinds, kind = np.unique(np.stack([width[i[ask]], width[j[ask]]]), axis=1, return_inverse=True)
+        for k, (a, b) in enumerate(kinds.T.tolist()):
+            of, to = ask[kind.ravel() == k], min(a, b)
+            step = max(1, words_at_once // max(a, b))
+            for lo in range(0, len(of), step):
+                part = of[lo : lo + step]
+                bits = np.bitwise_count(folded(i[part], a, to) ^ folded(j[part], b, to)).sum(axis=1, dtype=np.int64)
+                apart[part] = np.maximum(apart[part], bits)
+        return none[i] | none[j] | fits(apart)
+
+    return run
+
+
 def _by_bucket(close, rows_at_once: int = 200_000):
+    def rows(d: pd.DataFrame) -> int:  # a sketch weighs as much as so many rows
+        return len(d) + (sum(map(len, d["sketch"].dropna())) // 128 if "sketch" in d else 0)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size = [], 0
         for b in batches:  # sorted by bucket: whole buckets go together
             held.append(b)
-            size += len(b)
+            size += rows(b)
             if size >= rows_at_once:
                 d = pd.concat(held)
                 last = (d["block"] == d["block"].iloc[-1]) & (d["bucket"] == d["bucket"].iloc[-1])
                 if not last.all():
                     yield close([d[~last]])
                     held = [d[last]]
-                    size = len(held[0])
+                    size = rows(held[0])
                 else:
                     held = [d]
         if size:
@@ -352,8 +420,10 @@ def similar_links(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame], most
     for, each once.
 
     Rounds: a member is compared with ``enough`` others of each of its buckets at most; members joined by then are not compared in
-    the next round, which goes through the buckets that had more, eight times as far, until none is left. So a group
-    of near copies costs its members, not its pairs."""
+    the next round, which goes through the buckets that had more, eight times as far, until none is left. From the
+    second round on the members bring sketches of their sets, and pairs that these show to be less similar than
+    ``least`` are left out in the bucket. So a group of near copies costs rows for its members and links, not for its
+    pairs, also where many of its members are candidates of each other and yet not similar."""
     label, rest, found, have = nodes.select("key", "fp", "second", F.col("key").alias("label")), None, None, None
     agree = agree or needed(nodes.count(), most)
     while True:
@@ -362,8 +432,8 @@ def similar_links(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame], most
             other, _ = _dealt(label.select("key", F.col("second").alias("fp"), F.col("fp").alias("second"), "label"), most, agree)
             dealt = dealt.unionByName(other.withColumn("block", F.col("block") + len(masks)))
         if rest is not None:
-            dealt = dealt.join(rest, ["block", "bucket"], "left_semi")
-        asked = dealt.repartition("block", "bucket").sortWithinPartitions("block", "bucket").mapInPandas(_bucket_pairs(most, enough, reach, both, masks), "u long, v long, block int, bucket long, tested boolean")
+            dealt = dealt.join(rest, ["block", "bucket"], "left_semi").join(have.mapInPandas(_sketches, "key long, sketch binary, size int"), "key", "left")
+        asked = dealt.repartition("block", "bucket").sortWithinPartitions("block", "bucket").mapInPandas(_bucket_pairs(most, enough, reach, both, masks, least), "u long, v long, block int, bucket long, tested boolean")
         asked = stage(asked, "simhash-asked")
         ends = asked.filter("tested").select(F.explode(F.array("u", "v")).alias("key")).distinct()
         fresh = stage(sets(stage(ends if have is None else ends.join(have.select("key"), "key", "left_anti"), "simhash-keys")), "simhash-sets")

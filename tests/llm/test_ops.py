@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -519,6 +520,59 @@ def test_one_of_similar(spark, enough, broadcast_rows, agree):
     assert simhash.one_of_similar(got.limit(0), most=6).count() == 0
 
 
+def test_a_group_of_near_copies_costs_no_pairs(spark, tmp_path, monkeypatch):
+    """Copies of one text with more and fewer words changed: most are candidates of each other, half are similar to none.
+    Pairs asked for grow with the group, and no link is lost."""
+    r = random.Random(7)
+    base = [f"w{r.randrange(4000)}" for _ in range(150)]
+    rows = {}
+    for at in range(480):
+        w = base[:]
+        for _ in range(r.randint(0, 7)):
+            w[r.randrange(150)] = f"x{r.randrange(10**9)}"
+        rows[at] = " ".join(w)
+    asked, real = [], simhash.stage
+
+    def staged(d, name, *a, **k):
+        out = real(d, name, *a, **k)
+        if name == "simhash-asked":
+            asked.append(out.filter("tested").count())
+        return out
+
+    monkeypatch.setattr(simhash, "stage", staged)
+    cost = []
+    for n in (240, 480):
+        part = {k: t for k, t in rows.items() if k < n}
+        spark.createDataFrame(list(part.items()), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/{n}")
+        got = simhash.one_of_similar(spark.read.parquet(f"{tmp_path}/{n}"), most=6, enough=2)
+        assert sorted(x["doc_id"] for x in got.collect()) == sorted(brute.similar_roots(part))
+        cost.append(sum(asked))
+        asked.clear()
+    print("pairs asked for", cost)
+    assert cost[1] < 3.3 * cost[0] and cost[1] < 20 * 480
+
+
+def test_sketches_refuse_no_similar_pair():
+    r = random.Random(3)
+    sets = []
+    for n in (0, 1, 4, 9, 40, 90, 150, 600, 2500, 20_000):
+        base = [r.getrandbits(64) for _ in range(n)]
+        for share in (0, 0, 0.02, 0.1, 0.12, 0.3, 1):
+            k = int(share * n)
+            sets += [base[k:] + [r.getrandbits(64) for _ in range(k)], base[k:]]
+    sets = [np.unique(np.array(x, np.uint64)).view(np.int64) for x in sets]
+    made = [simhash.sketch(x) for x in sets]
+    none = [True, *[False] * (len(sets) - 1)]
+    i, j = np.triu_indices(len(sets), 1)
+    m = np.array([len(sets[a]) + len(sets[b]) for a, b in zip(i, j)])
+    both = np.array([len(np.intersect1d(sets[a], sets[b])) for a, b in zip(i, j)])
+    similar = both >= 0.8 * (m - both)
+    possible = simhash._possible(pd.Series([None if no else x for no, x in zip(none, made)]), pd.Series([len(x) for x in sets]), 0.8, words_at_once=1000)(i, j)
+    assert possible[similar].all() and possible[i == 0].all()
+    far = (both < 0.7 * (m - both)) & (i > 0)
+    assert far.any() and not possible[far].any()
+
+
 NAMES = ("__key", "__copies", "__copy", "__bad", "__file", "__at", "__id", "__whole", "__row", "__stays_file", "__stays_at", "__text", "doc_text", "item_id", "digest", "fp", "second", "stays", "place", "h", "salt", "copies", "taken", "src", "upto", "t", "rank", "e")
 
 
