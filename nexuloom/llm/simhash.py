@@ -166,7 +166,7 @@ def linked(fp: np.ndarray, group: np.ndarray, most: int, pairs_at_once: int = 40
             continue
         # nodes whose members are all in one set already, and in the same one, have nothing left to say
         low, high = _span(root, first, below)
-        done = (low[i] == high[i]) & (low[j] == high[j]) & (low[i] == low[j])
+        done = _one_set(low, high, i, j)
         i, j = i[~done], j[~done]
         same = i == j
         for x, y in ((i[~same], j[~same]), (i[same], j[same])):  # close kin are opened first
@@ -200,9 +200,8 @@ def near_pairs(fp: np.ndarray, second: np.ndarray, group: np.ndarray, label: np.
         i, j = start[a][:, None] + grid_a, start[b][:, None] + grid_b
         ok = (i < start[a + 1][:, None]) & (j < start[b + 1][:, None]) & ((i < j) if level == 1 else (i <= j))
         i, j = i[ok], j[ok]
-        low, high = spans[below]
         near = np.bitwise_count((common[below][i] ^ common[below][j]) & mask[below][i] & mask[below][j]) <= reach
-        near &= ~((low[i] == high[i]) & (low[j] == high[j]) & (low[i] == low[j]))
+        near &= ~_one_set(*spans[below], i, j)
         i, j = i[near], j[near]
         if below == 0:
             bits = np.bitwise_count(fp[i] ^ fp[j])
@@ -225,6 +224,74 @@ def near_pairs(fp: np.ndarray, second: np.ndarray, group: np.ndarray, label: np.
     return np.concatenate([none, *(x for x, _ in out)]), np.concatenate([none, *(y for _, y in out)]), np.unique(np.concatenate(unfinished))
 
 
+def spanning_pairs(fp: np.ndarray, second: np.ndarray, group: np.ndarray, label: np.ndarray, most: int, reach: int, both: int, own: Callable[[np.ndarray, np.ndarray], np.ndarray], keep: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None, pairs_at_once: int = 4_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the pairs of ``near_pairs`` those that join what neither equal labels nor pairs before them join, as if each
+    were a link: a group gives fewer than it has members. Groups that had others are the last, to be asked again with the
+    labels that the pairs gave. A pair that is not its group's ``own`` joins like one, and its own group gives it."""
+    common, mask, first, nodes = _tree(fp, group)
+    grid_a, grid_b = (x.ravel() for x in np.meshgrid(np.arange(FAN), np.arange(FAN), indexing="ij"))
+    order = np.lexsort((label, group))
+    edge = np.flatnonzero(np.r_[True, (label[order][1:] != label[order][:-1]) | (group[order][1:] != group[order][:-1])][: len(fp)])
+    known = np.empty(len(fp), np.int64)
+    known[order] = np.repeat(order[edge], np.diff(np.r_[edge, len(fp)]))
+    root = known.copy()
+    spans = [_span(known, first, k) for k in range(len(first) + 1)]
+    places = [np.arange(len(fp))]
+    for f in first:
+        places.append(places[-1][f[:-1]])
+    unfinished, out = [np.zeros(0, group.dtype)], []
+    todo = [(len(first), nodes[i : i + pairs_at_once], nodes[i : i + pairs_at_once]) for i in range(0, len(nodes), pairs_at_once)]
+    while todo:
+        level, a, b = todo.pop()
+        start, below = first[level - 1], level - 1
+        i, j = start[a][:, None] + grid_a, start[b][:, None] + grid_b
+        ok = (i < start[a + 1][:, None]) & (j < start[b + 1][:, None]) & ((i < j) if level == 1 else (i <= j))
+        i, j = i[ok], j[ok]
+        near = np.bitwise_count((common[below][i] ^ common[below][j]) & mask[below][i] & mask[below][j]) <= reach
+        near &= ~_one_set(*spans[below], i, j)
+        i, j = i[near], j[near]
+        if below:
+            done = _one_set(*_span(root, first, below), i, j)
+            unfinished.append(np.unique(group[places[below][i[done]]]))
+            i, j = i[~done], j[~done]
+            same = i == j
+            for x, y in ((i[~same], j[~same]), (i[same], j[same])):  # close kin are opened first
+                todo += [(below, x[k : k + pairs_at_once], y[k : k + pairs_at_once]) for k in range(0, len(x), pairs_at_once)]
+            continue
+        bits = np.bitwise_count(fp[i] ^ fp[j])
+        near = (bits <= most) | (bits + np.bitwise_count(second[i] ^ second[j]) <= both)
+        i, j = i[near], j[near]
+        mine = own(i, j)
+        joined = root[i] == root[j]
+        unfinished.append(np.unique(group[i[joined & mine]]))
+        i, j, mine = i[~joined], j[~joined], mine[~joined]
+        if keep is not None:
+            near = keep(i, j)
+            i, j, mine = i[near], j[near], mine[near]
+        order = np.argsort(mine, kind="stable")  # what another group gives comes first
+        i, j, mine = i[order], j[order], mine[order]
+        while len(i):
+            low, high = np.minimum(root[i], root[j]), np.maximum(root[i], root[j])
+            _, at = np.unique(high, return_index=True)  # a set joins one with a smaller root, so no circle closes
+            given = at[mine[at]]
+            out.append((i[given], j[given]))
+            root[high[at]] = low[at]
+            while not ((up := root[root]) == root).all():
+                root = up
+            rest = np.ones(len(i), bool)
+            rest[at] = False
+            joined = root[i] == root[j]
+            unfinished.append(np.unique(group[i[rest & joined & mine]]))
+            i, j, mine = i[~joined], j[~joined], mine[~joined]
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *(x for x, _ in out)]), np.concatenate([none, *(y for _, y in out)]), np.unique(np.concatenate(unfinished))
+
+
+def _one_set(low: np.ndarray, high: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether the members of the nodes i and j are all in one set, given each node's least and largest root."""
+    return (low[i] == high[i]) & (low[j] == high[j]) & (low[i] == low[j])
+
+
 def _nth(x: np.ndarray) -> np.ndarray:
     """How many equal entries stand before each."""
     order = np.argsort(x, kind="stable")
@@ -262,9 +329,10 @@ def _bucket_links(most: int):
     return _by_bucket(close)
 
 
-def _bucket_pairs(most: int, enough: int, reach: int, both: int, masks: list[int], least: float):
+def _bucket_pairs(most: int, enough: int | None, reach: int, both: int, masks: list[int], least: float):
     """Each pair in the first of the buckets it shares; a bucket not gone through is a row without a pair. Rows with a
-    ``sketch`` are paired only where those leave a similarity of ``least`` possible, and only such pairs are counted."""
+    ``sketch`` are paired only where those leave a similarity of ``least`` possible, and only such pairs are counted.
+    Without ``enough`` only spanning pairs are given."""
     masks = np.array(masks, np.uint64)
 
     def close(held: list[pd.DataFrame]) -> pd.DataFrame:
@@ -277,18 +345,19 @@ def _bucket_pairs(most: int, enough: int, reach: int, both: int, masks: list[int
                 out &= (block[i] % len(masks) <= k) | ((fp[i] ^ fp[j]) & m != 0)
             return out
 
-        keep = None
-        if "sketch" in d:
-            possible = _possible(d["sketch"], d["size"], least)
+        possible = _possible(d["sketch"], d["size"], least) if "sketch" in d else None
 
-            def keep(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-                out = own(i, j)
+        def keep(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            out = own(i, j)
+            if possible is not None:
                 out[out] = possible(i[out], j[out])
-                return out
+            return out
 
-        i, j, rest = near_pairs(fp, d["second"].to_numpy().view(np.uint64), group, d["label"].to_numpy(), most, enough, reach, both, keep)
-        mine = own(i, j)
-        i, j = i[mine], j[mine]
+        second, label = d["second"].to_numpy().view(np.uint64), d["label"].to_numpy()
+        if enough is None:
+            i, j, rest = spanning_pairs(fp, second, group, label, most, reach, both, own, possible)
+        else:
+            i, j, rest = near_pairs(fp, second, group, label, most, enough, reach, both, keep)
         at = np.searchsorted(group, rest)
         pairs = pd.DataFrame({"u": np.minimum(key[i], key[j]), "v": np.maximum(key[i], key[j]), "block": block[i], "bucket": bucket[i], "tested": True})
         return pd.concat([pairs, pd.DataFrame({"u": 0, "v": 0, "block": block[at], "bucket": bucket[at], "tested": False})])
@@ -419,25 +488,30 @@ def similar_links(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame], most
     within ``reach`` bits of the first fingerprint and ``both`` of the two together. ``sets`` gives ``key, set`` for a table of keys; only keys of candidates are asked
     for, each once.
 
-    Rounds: a member is compared with ``enough`` others of each of its buckets at most; members joined by then are not compared in
-    the next round, which goes through the buckets that had more, eight times as far, until none is left. From the
-    second round on the members bring sketches of their sets, and pairs that these show to be less similar than
-    ``least`` are left out in the bucket. So a group of near copies costs rows for its members and links, not for its
+    Rounds: the first two ask of a bucket only for pairs that span its candidates, fewer than it has members. Members
+    joined by then are not compared in the next round, which goes through the buckets that had more: from the third on
+    each member with ``enough`` others of each of its buckets at most, then eight times as far, until none is left. Every
+    member that has a candidate is in a pair of the first round, so from the second on it brings a sketch of its set, and
+    pairs that these show to be less similar than ``least`` are left out in the bucket. So a group of near copies costs rows for its members and links, not for its
     pairs, also where many of its members are candidates of each other and yet not similar."""
     label, rest, found, have = nodes.select("key", "fp", "second", F.col("key").alias("label")), None, None, None
     agree = agree or needed(nodes.count(), most)
+    rounds = 0
     while True:
+        farther = None if rounds < 2 else enough * 8 ** (rounds - 2)
         dealt, masks = _dealt(label, most, agree)
         if sketches(agree) == 2:
             other, _ = _dealt(label.select("key", F.col("second").alias("fp"), F.col("fp").alias("second"), "label"), most, agree)
             dealt = dealt.unionByName(other.withColumn("block", F.col("block") + len(masks)))
         if rest is not None:
             dealt = dealt.join(rest, ["block", "bucket"], "left_semi").join(have.mapInPandas(_sketches, "key long, sketch binary, size int"), "key", "left")
-        asked = dealt.repartition("block", "bucket").sortWithinPartitions("block", "bucket").mapInPandas(_bucket_pairs(most, enough, reach, both, masks, least), "u long, v long, block int, bucket long, tested boolean")
+        asked = dealt.repartition("block", "bucket").sortWithinPartitions("block", "bucket").mapInPandas(_bucket_pairs(most, farther, reach, both, masks, least), "u long, v long, block int, bucket long, tested boolean")
         asked = stage(asked, "simhash-asked")
         ends = asked.filter("tested").select(F.explode(F.array("u", "v")).alias("key")).distinct()
-        fresh = stage(sets(stage(ends if have is None else ends.join(have.select("key"), "key", "left_anti"), "simhash-keys")), "simhash-sets")
-        have = fresh if have is None else have.unionByName(fresh)
+        new = stage(ends if have is None else ends.join(have.select("key"), "key", "left_anti"), "simhash-keys")
+        if have is None or not new.isEmpty():
+            fresh = stage(sets(new), "simhash-sets")
+            have = fresh if have is None else have.unionByName(fresh)
         side = lambda n: have.select(F.col("key").alias(f"k{n}"), F.col("set").alias(f"set{n}"))  # noqa: B023, E731
         tested = asked.filter("tested").select("u", "v")
         couples = (tested.distinct() if sketches(agree) == 2 else tested).join(side(1), F.col("u") == F.col("k1")).join(side(2), F.col("v") == F.col("k2"))
@@ -449,7 +523,7 @@ def similar_links(nodes: DataFrame, sets: Callable[[DataFrame], DataFrame], most
             return found
         root = components(found)
         label = stage(nodes.select("key", "fp", "second").join(root, F.col("key") == F.col("node"), "left").select("key", "fp", "second", F.coalesce("root", "key").alias("label")), "simhash-labels")
-        enough *= 8
+        rounds += 1
 
 
 def word_digests(docs: DataFrame, keep: tuple[str, ...], text_col: str) -> DataFrame:

@@ -552,6 +552,65 @@ def test_a_group_of_near_copies_costs_no_pairs(spark, tmp_path, monkeypatch):
     assert cost[1] < 3.3 * cost[0] and cost[1] < 20 * 480
 
 
+def test_near_copies_are_asked_for_a_few_times_each(spark, tmp_path, monkeypatch):
+    """With as many pairs a member as the pipeline allows, a group of near copies costs a few pairs a copy in all rounds
+    together, and no link is lost."""
+    r = random.Random(7)
+    base, rows = [f"w{r.randrange(4000)}" for _ in range(150)], {}
+    for at in range(300):
+        w = base[:]
+        for _ in range(r.randint(0, 7)):
+            w[r.randrange(150)] = f"x{r.randrange(10**9)}"
+        rows[at] = " ".join(w)
+    asked, real = [], simhash.stage
+
+    def staged(d, name, *a, **k):
+        out = real(d, name, *a, **k)
+        if name == "simhash-asked":
+            asked.append(out.filter("tested").count())
+        return out
+
+    monkeypatch.setattr(simhash, "stage", staged)
+    spark.createDataFrame(list(rows.items()), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/docs")
+    got = simhash.one_of_similar(spark.read.parquet(f"{tmp_path}/docs"), most=6)
+    assert sorted(x["doc_id"] for x in got.collect()) == sorted(brute.similar_roots(rows))
+    print("pairs asked for", asked)
+    assert sum(asked) < 5 * 300
+
+
+def test_spanning_pairs_join_what_all_pairs_join():
+    """With and without a bucket's own pairs, labels and refusals: pairs given, equal labels and pairs of another bucket
+    join what all pairs would, no two given pairs say the same, and a group with nothing left out is not asked again."""
+    r = np.random.default_rng(5)
+    for n, flips in ((1, 0), (60, 3), (700, 5), (700, 0)):
+        group = np.sort(r.integers(0, 3, n))
+        fp = np.array([1 << 40, 77, ~np.uint64(5)], np.uint64)[group]
+        for _ in range(flips):
+            fp = fp ^ (np.uint64(1) << r.integers(0, 64, n).astype(np.uint64))
+        order = np.lexsort((simhash.gray_rank(fp), group))
+        fp, group, label = fp[order], group[order], r.integers(0, max(1, n), n) if n < 700 else np.arange(n)
+        for own, keep in ((lambda i, j: i >= 0, None), (lambda i, j: (i + j) % 3 > 0, lambda i, j: (i * j) % 2 == 0)):
+            i, j, rest = simhash.spanning_pairs(fp, fp, group, label, 6, 12, 0, own, keep, pairs_at_once=50)
+            a, b = np.triu_indices(n, 1)
+            near = (group[a] == group[b]) & (np.bitwise_count(fp[a] ^ fp[b]) <= 6) & (label[a] != label[b])
+            near[near] &= keep is None or keep(a[near], b[near])
+            a, b = a[near], b[near]
+            same = [np.flatnonzero(np.isin(label, label[k]) & (group == group[k]))[0] for k in range(n)]
+            want, got = np.arange(n), np.arange(n)
+            for root in (want, got):
+                simhash.unite(root, np.arange(n), np.array(same, np.int64))
+            sets = len(np.unique(got))
+            elsewhere = ~own(a, b)
+            simhash.unite(want, a, b)
+            simhash.unite(got, i, j)
+            assert len(np.unique(got)) == sets - len(i) and own(i, j).all() and (label[i] != label[j]).all()
+            simhash.unite(got, a[elsewhere], b[elsewhere])
+            assert (got == want).all()
+            given = set(zip(i.tolist(), j.tolist()))
+            left = {int(group[x]) for x, y, e in zip(a.tolist(), b.tolist(), elsewhere) if not e and (x, y) not in given}
+            assert left <= set(rest.tolist())
+
+
 def test_sketches_refuse_no_similar_pair():
     r = random.Random(3)
     sets = []
