@@ -140,17 +140,16 @@ def prove(nodes: DataFrame, carried: list[str], finish: Callable, schema: pa.Sch
     spark, whole = nodes.sparkSession, False
     table = stage(blocks(nodes, carried), "merkle-blocks")
     tables = [(table, whole)]
-    up = stage(reduced(table), "merkle-nodes")
-    while up.count() > top:
-        if up.filter("total > 1").isEmpty():  # a subroot each: they are one tree from here on
+    while table.count() > top:  # a row is a block, so a node of the next level
+        up = reduced(table)
+        if table.filter(F.col("total") > BLOCK).isEmpty():  # a subroot each: they are one tree from here on
             subroots = up.select(F.lit(None).cast("string").alias("g"), "node", F.col("g").alias("name"))
             whole, table = True, blocks(placed(subroots, ["name"], partitions), ["name"])
         else:
             table = blocks(up, [])
         table = stage(table, "merkle-blocks")
         tables.append((table, whole))
-        up = stage(reduced(table), "merkle-nodes")
-    paths, root = top_tree(spark, up.collect(), whole)  # at most ``top`` rows
+    paths, root = top_tree(spark, reduced(table).collect(), whole)  # at most ``top`` rows
     for table, of_subroots in reversed(tables[1:]):
         named = "name" in table.columns
 
@@ -178,7 +177,7 @@ def manifest(docs: DataFrame, fields: list[str], group: str, key: str, tampered:
     other values of some fields for rows where ``when`` holds; what is folded is then the leaf of those."""
     other = leaf(*[(tampered or {}).get(c, F.col(c)) for c in fields])
     spoilt = F.when(F.coalesce(when, F.lit(False)), other) if when is not None else F.lit(None).cast("string")
-    leaves = stage(docs.select(F.col(group).cast("string").alias("g"), F.col(key).cast("long").alias("id"), leaf(*map(F.col, fields)).alias("node"), spoilt.alias("tampered")), "merkle-leaves", pack=False)
+    leaves = stage(docs.select(F.col(group).cast("string").alias("g"), F.col(key).cast("long").alias("id"), leaf(*map(F.col, fields)).alias("node"), spoilt.alias("tampered")), "merkle-leaves")
     partitions = max(2 * docs.sparkSession.sparkContext.defaultParallelism, input_bytes(leaves) // SORT_BYTES)
     nodes = placed(leaves, ["id", "node"], partitions).withColumn("key", F.col("id").cast("string"))
     proofs = prove(nodes, ["key", "tampered"], _proved, PROOF, "doc_id string, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean", partitions, top)

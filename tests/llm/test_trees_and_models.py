@@ -250,3 +250,15 @@ def test_proof_of_nothing_and_of_one_row(spark):
     one = proved(spark, [(3, None, None, None, "x")])
     assert one == proofs([(3, None, None, None, "x")], lambda d: False)
     assert one[0][1] == one[0][2] == one[0][3] and one[0][6]
+
+
+@pytest.mark.parametrize("top,written", [(1024, ["leaves", "sorted", "blocks"]), (3, ["leaves", "sorted", "blocks", "blocks", "sorted", "blocks", "paths", "paths"])])
+def test_nodes_of_a_level_are_not_written_beside_its_blocks(spark, monkeypatch, top, written):
+    """A row of a table of blocks is a node of the next level: it is counted there."""
+    monkeypatch.setattr(merkle, "HEIGHT", 1)
+    monkeypatch.setattr(merkle, "BLOCK", 16)
+    labels, whole = [], merkle.stage
+    monkeypatch.setattr(merkle, "stage", lambda df, label, **options: labels.append(label) or whole(df, label, **options))
+    rows = [(i, f"s{i % 16}", "en", 1, "Some Text") for i in range(400)]
+    assert proved(spark, rows, top) == proofs(rows, lambda d: zlib.crc32(str(d).encode()) % 5 == 0)
+    assert labels == [f"merkle-{x}" for x in written]
