@@ -19,7 +19,11 @@ empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import json
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import numbered, stage, unused
@@ -33,6 +37,8 @@ UNITS = "km kilometers kilometres m meters metres cm mm miles mile feet foot ft
 DENSE = "(?:^| )(?:X X X X|X [^ ]+ X X X|X X [^ ]+ X X|X X X [^ ]+ X)(?= |$)".replace("X", f"[{NUMBER}{NAME}{UNIT}]")
 #: A benchmark with more windows than this is not broadcast but shuffled, a window's hash in so many parts.
 BROADCAST_WINDOWS, SALTS = 500_000, 16
+#: Groups of words that tell of an item; words that documents are asked for at most, a benchmark with more meets them all.
+GROUPS, TELLING_WORDS = 3, 5_000
 
 
 def canonical(rows: DataFrame, keys: list[str], text_col: str) -> DataFrame:
@@ -62,7 +68,8 @@ def plain_around(v: Column) -> tuple[Column, Column]:
 
 
 def windows(rows: DataFrame, keys: list[str], text_col: str) -> DataFrame:
-    """``keys, place, h, plain5, slots5``; the last two only where there are placeholders.
+    """``keys, place, h, plain5, slots5, told5``: ``plain5, slots5`` only where there are placeholders; ``told5`` are the
+    plain words that are none.
 
     A window has the hash of its plain words and, if one to three of its words are placeholders, that of its template.
     If more are, it has the hashes of its template with the plain words around. A text of fewer words is one window.
@@ -79,8 +86,48 @@ def windows(rows: DataFrame, keys: list[str], text_col: str) -> DataFrame:
     held = sum((F.when(x.isin(NUMBER, NAME, UNIT), 1).otherwise(0) for x in q), F.lit(0))
     few, many = held.between(1, WINDOW - 2), held > WINDOW - 2
     around = lambda n: F.when(many & F.col(f"z.{n}").isNotNull(), F.xxhash64(F.lit(n), *q, F.col(f"z.{n}.p.i") - F.col("place"), F.col(f"z.{n}.p.x"), F.col(f"z.{n}.q.i") - F.col("place"), F.col(f"z.{n}.q.x")))
-    keyed = w.select(*keys, "place", F.xxhash64(*p).alias("hp"), F.when(few, F.xxhash64(*q)).alias("hq"), around("after").alias("ha"), around("before").alias("hb"), F.when(held > 0, F.array(*p)).alias("plain5"), F.when(held > 0, F.array(*q)).alias("slots5"))
-    return keyed.select(*keys, "place", F.explode(F.array_compact(F.array("hp", "hq", "ha", "hb"))).alias("h"), "plain5", "slots5")
+    keyed = w.select(*keys, "place", F.xxhash64(*p).alias("hp"), F.when(few, F.xxhash64(*q)).alias("hq"), around("after").alias("ha"), around("before").alias("hb"), F.when(held > 0, F.array(*p)).alias("plain5"), F.when(held > 0, F.array(*q)).alias("slots5"), F.array_compact(F.array(*[F.when(~y.isin(NUMBER, NAME, UNIT), x) for x, y in zip(p, q)])).alias("told5"))
+    return keyed.select(*keys, "place", F.explode(F.array_compact(F.array("hp", "hq", "ha", "hb"))).alias("h"), "plain5", "slots5", "told5")
+
+
+def telling_words(b: DataFrame, least: float) -> dict[str, list[int]] | None:
+    """Words that a text with an item must have: ``b`` has windows of items and ``n_windows``. Item ``i`` has ``GROUPS``
+    groups of words, and a text that holds it has a word of each; a word comes with the numbers ``i * GROUPS + group`` of
+    its groups. None if there are too many, or an item has no such group.
+
+    An item needs ``least`` of its windows, so one of any ``n_windows * (1 - least) + 1`` of them is in the text, and with
+    it, by whichever key, the window's plain words; the longest one stands for it. Windows of longer words go to earlier
+    groups. Placeholders tell nothing, nor do words that lower case spells by what stands around."""
+    told = F.array_max(F.transform(F.filter("told5", lambda x: x.rlike(r"^[\p{L}\p{N}&&[^σς]]+$")), lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))
+    each = b.dropDuplicates(["item_key", "item_place"]).select("item_key", "item_place", "n_windows", told.alias("told"))
+    w = W.partitionBy("item_key").orderBy(F.col("told.n").desc_nulls_last(), "told.x", "item_place")
+    size = F.floor(F.col("n_windows") * (1 - least)) + 2  # one more than needed: quotients are rounded
+    each = each.withColumn("group", F.floor((F.row_number().over(w) - 1) / size))
+    each = each.filter(F.col("group") < F.greatest(F.lit(1), F.least(F.lit(GROUPS), F.floor(F.col("n_windows") / size))))
+    found = each.select("item_key", "group", "told.x").distinct().limit(TELLING_WORDS + 1).collect()
+    if len(found) > TELLING_WORDS:
+        return None
+    items: dict[int, dict[int, set]] = {}
+    for r in found:
+        items.setdefault(r["item_key"], {}).setdefault(r["group"], set()).add(r["x"])
+    out: dict[str, list[int]] = {}
+    for i, groups in enumerate(items.values()):
+        whole = [words for words in groups.values() if None not in words]
+        if not whole:
+            return None
+        for k in range(GROUPS):  # where there are fewer, one counts again
+            for word in whole[min(k, len(whole) - 1)]:
+                out.setdefault(word, []).append(i * GROUPS + k)
+    return out
+
+
+def having(docs: DataFrame, text_col: str, words: dict[str, list[int]]) -> DataFrame:
+    """The rows whose text has, for some item, a word of each group; its words are told apart as in ``canonical``."""
+    split = F.split(F.lower(F.replace(F.col(text_col), F.lit(MARK), F.lit(""))), r"[^\p{L}\p{N}]+")
+    table = F.from_json(F.lit(json.dumps(words)), "map<string,array<int>>")  # a literal to the plan
+    met = F.flatten(F.transform(F.array_distinct(F.filter(split, lambda x: x.isin(list(words)))), lambda x: table[x]))
+    every = lambda c, m: reduce(lambda a, k: a & F.array_contains(m, c + k), range(1, GROUPS), c % GROUPS == 0)
+    return docs.filter(F.exists(F.array(met), lambda m: F.exists(m, lambda c: every(c, m))))
 
 
 def matches(docs: DataFrame, keys: list[str], benchmark: DataFrame, least: float = 0.8, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
@@ -91,8 +138,10 @@ def matches(docs: DataFrame, keys: list[str], benchmark: DataFrame, least: float
     b = windows(items, ["item_id", "item_key"], "item_text").withColumnsRenamed({"place": "item_place", "plain5": "item_plain", "slots5": "item_slots"}).dropDuplicates(["item_key", "item_place", "h"])
     whole = b.groupBy("item_key").agg(F.countDistinct("item_place").alias("n_windows")).withColumnRenamed("item_key", "k")
     b = b.join(whole, F.col("item_key") == F.col("k")).drop("k")
-    d = windows(docs.select(*keys, F.col(text_col).alias("doc_text")), keys, "doc_text")
-    if b.count() <= broadcast_windows:
+    d, few = docs.select(*keys, F.col(text_col).alias("doc_text")), b.count() <= broadcast_windows
+    words, b = telling_words(b, least) if few else None, b.drop("told5")
+    d = windows(d if words is None else having(d, "doc_text", words), keys, "doc_text").drop("told5")
+    if few:
         hits = d.join(F.broadcast(b), "h")
     else:  # a window may be in any share of the documents
         salted = b.withColumn("salt", F.explode(F.array(*[F.lit(i).cast("long") for i in range(SALTS)])))

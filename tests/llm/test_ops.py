@@ -354,6 +354,28 @@ def test_plain_words_around(spark):
                 assert (x and [tuple(x["p"]), tuple(x["q"])]) == (want if len(want) == 2 else None), (words, i)
 
 
+def test_windows_are_made_of_texts_with_telling_words(spark, monkeypatch):
+    """Texts that lack an item's telling words are left out before their windows are made; results are the same."""
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdefg") for _ in range(r.randint(5, 9)))
+    items = {i: " ".join(word() for _ in range(r.choice([1, 3, 6, 20, 45]))) for i in range(30)} | {90: "Σας ΑΣ.Β ΟΔΟΣ", 91: "It cost 30 dollars", 92: "5 6 7 8 9"}
+    docs = {i: " ".join(word() for _ in range(200)) for i in range(400)}
+    for i in range(60):
+        t = items[r.choice(list(items))].split()
+        if len(t) > 30:
+            t[r.randrange(len(t))] = "another"
+        docs[1000 + i] = r.choice([" ", ", ", " \ue000 "]).join(t if i % 2 else [docs[i], *t, "end"])
+    d, b = spark.createDataFrame(list(docs.items()), "doc_id long, text string"), spark.createDataFrame(list(items.items()), "item_id long, text string")
+    made, whole = [], decontaminate.windows
+    monkeypatch.setattr(decontaminate, "windows", lambda rows, *a: made.append(rows) or whole(rows, *a))
+    got = sorted(map(tuple, decontaminate.contaminated(d, b.filter("item_id < 90")).collect()))
+    assert len(got) > 25 and made[-1].count() < 150
+    every = sorted(map(tuple, decontaminate.contaminated(d, b).collect()))
+    monkeypatch.setattr(decontaminate, "TELLING_WORDS", 0)
+    assert sorted(map(tuple, decontaminate.contaminated(d, b.filter("item_id < 90")).collect())) == got and made[-1].count() == len(docs)
+    assert sorted(map(tuple, decontaminate.contaminated(d, b).collect())) == every
+
+
 @pytest.mark.parametrize("seed", range(2))
 def test_contamination_against_plain_windows(spark, seed):
     """Random items, their parameters changed or cut, in random documents, against plain Python."""
