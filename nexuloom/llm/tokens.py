@@ -17,6 +17,7 @@ are ignored.
 
 from __future__ import annotations
 
+import json
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -40,6 +41,8 @@ MANIFEST = "part int, name string, first_id long, first_null boolean, records lo
 SHARD_BYTES = 128 << 20
 #: Marks that end a word without joining it.
 MARKS = ".,;:!?"
+#: How byte-level vocabularies show bytes that are no visible Latin-1 character.
+BYTES = {b: chr(256 + i) for i, b in enumerate([*range(33), *range(127, 161), 173])}
 RECORDS = "name string, nth long, doc_id long, is_null boolean, start long, n_tokens long, ids_crc32 long"
 
 
@@ -62,6 +65,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.t = Tokenizer.from_file(path)
+        bare = json.loads(self.t.to_str())
+        level = bare["pre_tokenizer"] or {}
+        #: The merges alone, for words that the pre-tokenizer leaves whole; none if it does more than cut at such words.
+        self.bare = Tokenizer.from_str(json.dumps(bare | {"pre_tokenizer": None, "post_processor": None})) if level.get("type") == "ByteLevel" and level.get("use_regex") and not level.get("add_prefix_space") and bare["normalizer"] is None else None
         self.size = self.t.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
         self.led = np.zeros(self.size, bool)
@@ -73,12 +80,25 @@ class Encoder:
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.t.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _letters(self, piece: str) -> bool:
+        """Latin letters only: one word to the pre-tokenizer, with the blank before it."""
+        return self.bare is not None and piece.isalpha() and (piece.isascii() or max(piece) < "\u0250")
+
     @staticmethod
     def _plain(piece: str) -> bool:
         """No white space at either end, but for the line break that leads it."""
         body = piece[1:] if piece[:1] == "\n" else piece
         return bool(body) and not body[0].isspace() and not body[-1].isspace()
 
+    def _keep(self, pieces: list[str], found: list[int]) -> None:
+        """Into the cache: the ids of all pieces, one after another, cut where a piece opens."""
+        ids = np.array(found, self.dtype)
+        starts = np.flatnonzero(self.led[ids])
+        assert len(starts) == len(pieces), "a piece was joined or split"
+        raw, w = ids.tobytes(), self.dtype.itemsize
+        ends = np.append(starts[1:], len(ids)) * w
+        self.cache.update(zip(pieces, [raw[a:b] for a, b in zip((starts * w).tolist(), ends.tolist())]))
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         if self.held > self.most:
             self.cache.clear()
@@ -88,19 +108,22 @@ class Encoder:
         for pieces in cut:
             new.update(pieces[1:])
         cache = self.cache
-        new = [x for x in new if x not in cache and self._plain(x)]
+        new = [x for x in new if x not in cache and (x.isalpha() or self._plain(x))]
         marked = [x for x in new if x[-1] in MARKS and x[-2:-1].isalpha()]
         if marked:  # a mark after a letter is a piece of the pre-tokenizer's own, so such a word is its stem and the mark
             done = set(marked)
             new = [x for x in new if x not in done] + list({x[:-1] for x in marked if x[:-1] not in cache}.difference(new))
-        if new:
-            line = "".join([x if x[0] == "\n" else " " + x for x in new])
-            ids = np.array(self.t.encode_batch_fast([line], add_special_tokens=False)[0].ids, self.dtype)
-            starts = np.flatnonzero(self.led[ids])
-            assert len(starts) == len(new), "a piece was joined or split"
-            raw, w = ids.tobytes(), self.dtype.itemsize
-            ends = np.append(starts[1:], len(ids)) * w
-            cache.update(zip(new, [raw[a:b] for a, b in zip((starts * w).tolist(), ends.tolist())]))
+        words = [x for x in new if self._letters(x)]
+        if words:
+            shown = [f"Ġ{x}" if x.isascii() else f" {x}".encode().decode("latin-1").translate(BYTES) for x in words]
+            self._keep(words, self.bare.encode_batch_fast([shown], is_pretokenized=True, add_special_tokens=False)[0].ids)
+            new_words = set(words)
+            rest = [x for x in new if x not in new_words]
+        else:
+            rest = new
+        if rest:
+            line = "".join([x if x[0] == "\n" else " " + x for x in rest])
+            self._keep(rest, self.t.encode_batch_fast([line], add_special_tokens=False)[0].ids)
         for x in marked:
             cache[x] = cache[x[:-1]] + self.marks[x[-1]]
         self.held += self.ENTRY * (len(new) + len(marked)) + sum(map(len, new)) + sum(map(len, marked))

@@ -50,3 +50,16 @@ def test_gray_rank_orders_all_patterns(xs):
     assert len(set(r.tolist())) == len(xs)
     back = r ^ (r >> np.uint64(1))
     assert back.tolist() == xs
+
+
+def test_words_of_letters_skip_the_pre_tokenizer(monkeypatch):
+    """Latin words go to the merges alone, with the library's ids; other pieces are pre-tokenized."""
+    e = tokens.Encoder(queries.vocabulary())
+    words = ["the", "Straße", "ÀÉÎõü", "ciónñgaco", "ÿþæ", "x" * 300, "ªº", "ıİſ", "ɏ", "ll", "s"]
+    other = ["日本", "ɐa", "a1", "don't", "é", "—", "ՠ", "ﬁn", "|"]
+    text = " ".join(["first", *words, *other])
+    want, seen = e.whole([text]), []
+    whole = type(e)._keep
+    monkeypatch.setattr(type(e), "_keep", lambda self, pieces, ids: seen.append(list(pieces)) or whole(self, pieces, ids))
+    assert e([text]) == want
+    assert sorted(seen[0]) == sorted(words) and sorted(seen[1]) == sorted(other)
